@@ -32,7 +32,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
-    ELSE list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
 n AS (SELECT w.doc_id, count(s.g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
 i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS MATERIALIZED (
@@ -42,3 +42,47 @@ r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, d.y FRO
 SELECT n.doc_id, n.n AS n_shingles, min(r.to_id) AS component_id, n.doc_id = min(r.to_id) AS kept
 FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """
+
+
+def _remainder(n: int):
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from parley.llm.langid import fit, predict
+
+    docs = _read(spark, sf_dir, "documents")
+    rest = F.coalesce(_remainder(3), F.lit(0))
+    scored = predict(docs, fit(docs, rest != 1))
+    return scored.select("doc_id", (rest == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@_query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from parley.llm.substring_dedup import remove_repeats
+
+    done = remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), size=35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op4_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+g AS (SELECT doc_id, i AS pos, md5(array_to_string(ws[i:i + 34], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+r AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY g) AS n FROM g) WHERE n > 1),
+m AS (
+  SELECT p.doc_id, p.pos, p.word, max(r.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS UNBOUNDED PRECEDING) AS last
+  FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.pos = p.pos),
+k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE last + 34 >= pos) AS n_removed,
+    string_agg(word, ' ' ORDER BY pos) FILTER (WHERE last IS NULL OR last + 34 < pos) AS kept FROM m GROUP BY 1)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
