@@ -116,3 +116,30 @@ SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
   sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@_query
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.mixing import mix
+
+    done = mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(1, 2, 3))
+    return done.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def token_summary(docs: DataFrame) -> DataFrame:
+    """Writes the files of documents in the shared folder and sums them up as they read back."""
+    import public_tokenizers
+
+    from parley.llm._shared import Scratch, checkpointed
+    from parley.llm.tokenids import summarise_corpus, write_corpus
+
+    files = Scratch(docs.sparkSession, "corpus")
+    write_corpus(docs, files.path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    done = checkpointed(summarise_corpus(docs.sparkSession, files.path))
+    files.delete()
+    return done
+
+
+@_query
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_summary(_read(spark, sf_dir, "documents"))
