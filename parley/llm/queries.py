@@ -143,3 +143,23 @@ def token_summary(docs: DataFrame) -> DataFrame:
 @_query
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_summary(_read(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.vector_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+ORACLE_SQL["op10_vector_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+d AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT x, count(*) AS n FROM d GROUP BY 1),
+r(vec_id, to_id) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, d.y FROM r JOIN d ON d.x = r.to_id)
+SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(to_id) AS component_id, r.vec_id = min(to_id) AS kept
+FROM r LEFT JOIN n ON n.x = r.vec_id GROUP BY r.vec_id
+"""
