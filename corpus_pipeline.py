@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from parley.llm import decontaminate, langid, minhash_dedup, mixing, queries
 from parley.llm._shared import Scratch
+from parley.shipping import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no learned language claims go: those without a letter, and those that every language codes badly."""
+    ship(spark)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(0)) == 1
     return langid.keep_identified(docs, langid.fit(docs, ~held_out))
 
