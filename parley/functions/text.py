@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clean_markdown(text: Column | str) -> Column:
@@ -93,7 +94,7 @@ def _fnv1a(text: str) -> str:
     return f"{h:08x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """32-bit FNV-1a over UTF-16 units, in hex; null stays null."""
     return text.map(_fnv1a, na_action="ignore")
@@ -130,7 +131,7 @@ def cologne(word: str) -> str:
     return "".join(d for i, d in enumerate(single) if d != "0" or not i)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def cologne_code(phrase: pd.Series) -> pd.Series:
     """Codes of a phrase's words joined by '-'; null stays null."""
     return phrase.map(lambda p: "-".join(cologne(w) for w in p.split()), na_action="ignore")

@@ -81,13 +81,14 @@ def ingest_outcomes(envelopes: DataFrame, key: str, order: Sequence[str]) -> Dat
     before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = F.col("source_id") == F.coalesce(F.first("source_id").over(before), F.col("source_id"))
     rows = envelopes.withColumn("_own", own)
-    mine = F.when(F.col("_own"), F.col("revision"))
-    rows = rows.withColumn("_top", F.max(mine).over(before))
-    rows = rows.withColumn("_hash", F.max_by("content_hash", F.when(F.col("_own"), F.struct(F.col("revision"), *[(-F.col(o).cast("long")).alias(f"n{i}") for i, o in enumerate(order)]))).over(before))
-    rows = rows.withColumn("_done", F.max(F.col("finalized") & F.col("_own")).over(before))
+    rows = rows.withColumn("_done", F.coalesce(F.max(F.col("finalized") & F.col("_own")).over(before), F.lit(False)))
+    counts = F.col("_own") & ~F.col("_done")  # nothing changes what a finalized envelope left
+    rows = rows.withColumn("_top", F.max(F.when(counts, F.col("revision"))).over(before))
+    first = F.struct(F.col("revision"), *[(-F.col(o).cast("long")).alias(f"n{i}") for i, o in enumerate(order)])
+    rows = rows.withColumn("_hash", F.max_by("content_hash", F.when(counts, first)).over(before))
     same = (F.col("revision") == F.col("_top")) & (F.col("content_hash") == F.col("_hash"))
     outcome = (
-        F.when(~F.col("_own"), "foreign").when(F.col("_top").isNull(), "applied").when(same, "already").when(F.coalesce("_done", F.lit(False)), "final")
+        F.when(~F.col("_own"), "foreign").when(F.col("_top").isNull(), "applied").when(same, "already").when(F.col("_done"), "final")
         .when(F.col("revision") == F.col("_top"), "conflict").when(F.col("revision") < F.col("_top"), "stale").otherwise("applied")
     )
     return rows.withColumn("outcome", outcome).drop("_own", "_top", "_hash", "_done")
