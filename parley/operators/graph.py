@@ -1,23 +1,28 @@
-"""Connected components of an edge list."""
+"""Connected components of an edge list, and the shared folder in which lineage is cut."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in spark.checkpoint.dir; a folder is set only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
     context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        path = tempfile.mkdtemp(prefix="parley-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     if not context.getCheckpointDir():
-        path = context.getConf().get("spark.checkpoint.dir", None)
-        if not path:
-            local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-            path = tempfile.mkdtemp(prefix="parley-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
