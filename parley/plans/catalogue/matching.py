@@ -46,14 +46,14 @@ def cosine_topk(spark, sf):
     a AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY score DESC, human) AS n, lead(score) OVER (PARTITION BY speaker ORDER BY score DESC, human) AS second FROM m),
     b AS (SELECT *, row_number() OVER (PARTITION BY human ORDER BY score DESC, speaker) AS n, lead(score) OVER (PARTITION BY human ORDER BY score DESC, speaker) AS second FROM m)
     SELECT a.speaker, a.human, round(a.score, 6) AS score FROM a JOIN b ON a.speaker = b.speaker AND a.human = b.human
-    WHERE a.n = 1 AND b.n = 1 AND a.score >= 0.62 AND (a.second IS NULL OR a.score - a.second >= 0.08) AND (b.second IS NULL OR b.score - b.second >= 0.08)""",
+    WHERE a.n = 1 AND b.n = 1 AND a.score >= 0.3 AND (a.second IS NULL OR a.score - a.second >= 0.01) AND (b.second IS NULL OR b.score - b.second >= 0.01)""",
     covers="vp_match w_best_second",
 )
 def mutual_best(spark, sf):
     v = _vectors(spark, sf)
     samples = v.where("vec_id % 2 = 1").select(F.col("label").alias("speaker"), (F.col("label") % 2).alias("domain"), "embedding")
     exemplars = V.centroids(v.where("vec_id % 2 = 0"), ["label"]).select(F.col("label").alias("human"), (F.col("label") % 2).alias("domain"), F.col("centroid").alias("embedding"))
-    return V.mutual_best(V.scores(samples, exemplars, ["domain"])).select("speaker", "human", F.round("score", 6).alias("score"))
+    return V.mutual_best(V.scores(samples, exemplars, ["domain"]), least=0.3, margin=0.01).select("speaker", "human", F.round("score", 6).alias("score"))
 
 
 @query(
