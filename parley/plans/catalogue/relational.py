@@ -9,7 +9,9 @@ from parley.operators import relational as R
 from parley.plans.catalog import query
 from parley.sources.tables import load
 
-_RECENT = [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc_nulls_last()]
+
+def _recent():
+    return [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc_nulls_last()]
 
 
 @query(
@@ -22,11 +24,11 @@ _RECENT = [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc_null
 def recent_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The page is cut before the joins, which then meet 50 rows only: left joins on unique keys neither drop nor repeat rows."""
     orders = load(spark, sf, "orders").where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderdate", "o_custkey")
-    top = R.page(orders, _RECENT, 50, 10)
+    top = R.page(orders, _recent(), 50, 10)
     c, n = load(spark, sf, "customer"), load(spark, sf, "nation")
     j = top.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     unknown = F.lit("Unknown")
-    return j.select("o_orderkey", "o_orderdate", F.coalesce(R.filled("c_name"), unknown).alias("person"), F.coalesce(R.filled("n_name"), unknown).alias("organisation")).orderBy(*_RECENT)
+    return j.select("o_orderkey", "o_orderdate", F.coalesce(R.filled("c_name"), unknown).alias("person"), F.coalesce(R.filled("n_name"), unknown).alias("organisation")).orderBy(*_recent())
 
 
 @query("session_search", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE instr(lower(c_name), '00001') > 0 OR instr(lower(c_mktsegment), 'build') > 0", covers="f_substr_ci")
