@@ -141,3 +141,33 @@ def keyword_like(word: Column, sentence_start: Column, stop_words: Sequence[str]
     """Words of two characters with a letter that are no stop words; capitals inside a sentence count in any case."""
     capital = word.rlike(r"^\p{Lu}") & ~sentence_start
     return (F.length(word) >= 2) & word.rlike(r"\p{L}") & (capital | ~F.lower(word).isin(*stop_words))
+
+
+#: Frequent words by language.
+FREQUENT = {
+    "de": ("der", "die", "und", "das", "nicht", "ist", "ein", "zu", "den", "mit", "von", "auf", "für", "sich", "dem"),
+    "en": ("the", "and", "of", "to", "is", "in", "that", "it", "was", "for", "with", "are", "this", "be", "as"),
+    "es": ("el", "los", "y", "que", "de", "la", "en", "un", "por", "con", "para", "una", "su", "al", "las"),
+    "fr": ("le", "les", "et", "des", "est", "dans", "un", "une", "qui", "pour", "du", "sur", "pas", "que", "la"),
+}
+#: Other names of these languages.
+LANGUAGE_CODES = {"deu": "de", "ger": "de", "german": "de", "eng": "en", "english": "en", "spa": "es", "spanish": "es", "fra": "fr", "fre": "fr", "french": "fr"}
+
+
+def frequent_word_language(text: Column | str) -> Column:
+    """The language whose frequent words a text has most of, the first by code among equals; null without any."""
+    words = word_tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+    def count(own: Sequence[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*own)))
+
+    counts = [F.struct(count(own).alias("n"), F.lit(code).alias("code")) for code, own in sorted(FREQUENT.items())]
+    best = F.array_max(F.transform(F.array(*counts), lambda c: c["n"]))
+    return F.when(best > 0, F.filter(F.array(*counts), lambda c: c["n"] == best)[0]["code"])
+
+
+def language_code(name: Column | str) -> Column:
+    """A two-letter code from a code with region or a name; null where it is unknown."""
+    low = F.regexp_replace(F.lower(F.trim(name)), r"[-_].*$", "")
+    known = F.create_map(*[F.lit(x) for kv in (LANGUAGE_CODES | {c: c for c in FREQUENT}).items() for x in kv])
+    return F.try_element_at(known, low)
