@@ -57,8 +57,10 @@ def merged_content(*parts: Column | str) -> Column:
 def normalised_list(terms: Column | str) -> Column:
     """Terms trimmed, single-spaced, of two characters at least, each once in any case, in order of first appearance."""
     neat = F.filter(F.transform(terms, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: F.length(t) >= 2)
-    keys = F.transform(neat, lambda t: F.lower(t))
-    return F.transform(F.filter(F.transform(neat, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_position(keys, F.lower(x["t"])) == x["i"] + 1), lambda x: x["t"])
+    by_key = F.array_sort(F.transform(neat, lambda t, i: F.struct(F.lower(t).alias("k"), i.alias("i"), t.alias("t"))))
+    before = F.concat(F.array(F.lit(None).cast("struct<k:string,i:int,t:string>")), F.slice(by_key, 1, F.greatest(F.size(by_key) - 1, F.lit(0))))
+    first = F.filter(F.zip_with(by_key, before, lambda x, y: F.when(y.isNull() | (x["k"] != y["k"]), x)), lambda x: x.isNotNull())
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))), lambda x: x["t"])
 
 
 def key_facts(text: Column | str, most: int = 3) -> Column:

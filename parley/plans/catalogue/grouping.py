@@ -150,7 +150,7 @@ def top3_runs(spark, sf):
 
 @query(
     "overlap_cut",
-    """WITH e AS (SELECT event_type AS channel, user_id % 4 AS speaker, epoch_us(ts) // 1000 AS s, event_id FROM events WHERE ts < TIMESTAMP '2024-01-04'),
+    """WITH e AS (SELECT event_type AS channel, user_id % 4 AS speaker, epoch_us(ts) // 1000 AS s, event_id FROM events),
     r AS (SELECT *, CASE WHEN s - max(s + 5400000) OVER (PARTITION BY channel, speaker ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS new FROM e),
     g AS (SELECT *, sum(new) OVER (PARTITION BY channel, speaker ORDER BY s, event_id ROWS UNBOUNDED PRECEDING) AS run FROM r),
     i AS (SELECT channel, speaker, min(s) AS s, max(s) + 5400000 AS e FROM g GROUP BY channel, speaker, run),
@@ -163,7 +163,7 @@ def top3_runs(spark, sf):
     covers="j_interval_subtract vp_spans",
 )
 def overlap_cut(spark, sf):
-    e = _events(spark, sf).where("ts < timestamp_ntz'2024-01-04'").select(F.col("event_type").alias("channel"), (F.col("user_id") % 4).alias("speaker"), "t")
+    e = _events(spark, sf).select(F.col("event_type").alias("channel"), (F.col("user_id") % 4).alias("speaker"), "t")
     own = I.runs(e, ["channel", "speaker"], F.col("t"), F.col("t") + 5_400_000, 0).select("channel", "speaker", "start", "end")
     return I.alone(own, ["channel"], "speaker")
 

@@ -144,11 +144,11 @@ def ingest_outcomes(spark, sf):
 
 @query(
     "reconcile",
-    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_quantity > 25 THEN 'now' END AS deleted_at FROM lineitem WHERE l_orderkey < 3000""",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_quantity > 25 THEN 'now' END AS deleted_at FROM lineitem""",
     covers="m_reconcile",
 )
 def reconcile(spark, sf):
-    li = load(spark, sf, "lineitem").where("l_orderkey < 3000").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_quantity", F.lit(None).cast("string").alias("deleted_at"))
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", "l_quantity", F.lit(None).cast("string").alias("deleted_at"))
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
     return M.reconcile(li, li.where("l_quantity <= 25").select(*keys).distinct(), keys, "l_returnflag", "A", "now").select("l_orderkey", "l_linenumber", "deleted_at")
 
@@ -242,13 +242,13 @@ def json_set(spark, sf):
 
 @query(
     "preference_backfill",
-    """SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN props ->> '$.k' END, CASE WHEN event_id % 3 = 1 THEN event_type END, 'default') AS theme FROM events WHERE event_id < 500""",
+    """SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN props ->> '$.k' END, CASE WHEN event_id % 3 = 1 THEN event_type END, 'default') AS theme FROM events""",
     covers="m_pref_backfill p_coalesce_nullif u_values",
 )
 def preference_backfill(spark, sf):
     new = F.when(F.col("event_id") % 3 == 0, F.col("props"))
     old = F.when(F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("event_type").alias("theme"))))
-    e = load(spark, sf, "events").where("event_id < 500")
+    e = load(spark, sf, "events")
     return e.select("event_id", F.coalesce(jsonx.field(new, "$.k"), jsonx.field(old, "$.theme"), F.lit("default")).alias("theme"))
 
 

@@ -14,12 +14,12 @@ from parley.sources.tables import load
 
 @query(
     "vtt_round_trip",
-    r"""WITH w AS (SELECT conv_id AS transcript, turn, unnest(string_split_regex(trim(text), '\s+')) AS t, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 AS pos FROM conversations WHERE conv_id < 30)
-    SELECT transcript, count(*) AS cues, min(turn * 90000 + pos * 300)::BIGINT AS first_ms, max(turn * 90000 + pos * 300 + 250)::BIGINT AS last_ms, sum(length(t))::BIGINT AS chars FROM w GROUP BY 1""",
+    r"""WITH w AS (SELECT conv_id AS transcript, turn, unnest(string_split_regex(trim(text), '\s+')) AS t, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 AS pos FROM conversations)
+    SELECT transcript, count(*) AS cues, min(turn * 900000 + pos * 300)::BIGINT AS first_ms, max(turn * 900000 + pos * 300 + 250)::BIGINT AS last_ms, sum(length(t))::BIGINT AS chars FROM w GROUP BY 1""",
     covers="src_vtt src_subtitle sink_vtt",
 )
 def vtt_round_trip(spark, sf):
-    files = P.subtitles(words(spark, sf).where("transcript < 30")).select(F.col("transcript").alias("path"), F.col("body").alias("content"))
+    files = P.subtitles(words(spark, sf)).select(F.col("transcript").alias("path"), F.col("body").alias("content"))
     return S.vtt_cues(files).groupBy(F.col("path").alias("transcript")).agg(F.count("*").alias("cues"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -47,9 +47,9 @@ def provider_records(spark, sf):
     return out.select(F.col("meeting").cast("long").alias("meeting"), F.col("pos").cast("long").alias("pos"), "speaker", F.length("text").alias("chars"), "start_ms")
 
 
-@query("calendar_records", "SELECT event_id::VARCHAR AS id, event_type AS title, event_id % 2 = 0 AS all_day, event_id % 3 = 0 AS recurring FROM events WHERE event_id < 1000", covers="src_calendar")
+@query("calendar_records", "SELECT event_id::VARCHAR AS id, event_type AS title, event_id % 2 = 0 AS all_day, event_id % 3 = 0 AS recurring FROM events", covers="src_calendar")
 def calendar_records(spark, sf):
-    e = load(spark, sf, "events").where("event_id < 1000")
+    e = load(spark, sf, "events")
     start = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("date"), F.col("ts").cast("date").cast("string"))).otherwise(F.create_map(F.lit("dateTime"), F.col("ts").cast("string")))
     r = e.select(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("summary"), start.alias("start"), F.when(F.col("event_id") % 3 == 0, "r").alias("recurringEventId"))).alias("record"))
     return S.calendar_events(r).select("id", "title", F.coalesce("all_day", F.lit(False)).alias("all_day"), "recurring")
@@ -76,7 +76,7 @@ def webhook_deliveries(spark, sf):
     return S.deliveries(e, subs).groupBy("endpoint").agg(F.count("*").alias("n"))
 
 
-@query("attached_source", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE n.n_nationkey < 10", covers="src_attach src_open src_proxy u_intersect_cols")
+@query("attached_source", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE r.r_name = 'ASIA'", covers="src_attach src_open src_proxy u_intersect_cols")
 def attached_source(spark, sf):
     """A second source joins under a name of its own, with the columns that both have."""
     from parley.sources.sql import Catalog
@@ -85,7 +85,7 @@ def attached_source(spark, sf):
     catalog = Catalog(spark, sf, ["nation"])
     region = load(spark, sf, "region")
     catalog.attach("imported", region.select(*shared_columns(region, region.withColumn("extra", F.lit(1)))))
-    return catalog.execute("SELECT n.n_name, r.r_name FROM nation n JOIN imported r ON r.r_regionkey = n.n_regionkey WHERE n.n_nationkey < ?", [10])
+    return catalog.execute("SELECT n.n_name, r.r_name FROM nation n JOIN imported r ON r.r_regionkey = n.n_regionkey WHERE r.r_name = ?", ["ASIA"])
 
 
 @query("rich_text", None, covers="sf_plaintext sf_flatten_transcript sf_flatten_chat sf_flatten_apps sf_md_tiptap a_canonical_hash sf_json_patch")

@@ -24,8 +24,8 @@ def stream_windows(spark, sf):
 
 def messages(spark, sf):
     """Messages of a live transcript from turns: a final with the turn's words, a partial before it, a flush at the end."""
-    c = load(spark, sf, "conversations").select(F.col("conv_id").alias("transcript"), (F.col("role") == "assistant").cast("int").alias("channel"), F.col("turn").alias("seq"), F.slice(F.split(F.trim("text"), r"\s+"), 1, 40).alias("w"))
-    at = lambda i: (F.col("seq") * 90_000 + i * 300).cast("long")
+    c = load(spark, sf, "conversations").select(F.col("conv_id").alias("transcript"), (F.col("role") == "assistant").cast("int").alias("channel"), F.col("turn").alias("seq"), F.split(F.trim("text"), r"\s+").alias("w"))
+    at = lambda i: (F.col("seq") * 900_000 + i * 300).cast("long")
     words = F.transform("w", lambda x, i: F.struct(F.concat(F.when((i % 5) == 4, "").otherwise(" "), x).alias("text"), at(i).alias("start_ms"), (at(i) + 250).alias("end_ms")))
     final = c.select("transcript", "channel", (F.col("seq") * 3 + 1).alias("seq"), F.lit("final").alias("kind"), F.lit(None).cast("string").alias("job"), words.alias("words"))
     partial = final.select("transcript", "channel", F.col("seq") - 1, F.lit("partial").alias("kind"), "job", F.slice("words", 1, 3).alias("words"))
@@ -36,7 +36,7 @@ def messages(spark, sf):
 
 @query(
     "live_words",
-    r"""WITH t AS (SELECT conv_id AS transcript, (role = 'assistant')::INT AS channel, turn, string_split_regex(trim(text), '\s+')[1:40] AS w FROM conversations),
+    r"""WITH t AS (SELECT conv_id AS transcript, (role = 'assistant')::INT AS channel, turn, string_split_regex(trim(text), '\s+') AS w FROM conversations),
     p AS (SELECT transcript, channel, turn, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM t),
     m AS (SELECT *, lag(x) OVER (PARTITION BY transcript, channel ORDER BY turn, i) AS before, lag(turn) OVER (PARTITION BY transcript, channel ORDER BY turn, i) AS bturn FROM p),
     f AS (SELECT transcript, channel, turn, i, x, CASE WHEN i % 5 = 4 AND bturn = turn AND NOT regexp_matches(before, '[.!?]$') THEN 0 ELSE 1 END AS new FROM m)

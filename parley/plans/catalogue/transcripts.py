@@ -8,15 +8,15 @@ from parley.operators import transcript as P
 from parley.plans.catalog import query
 from parley.sources.tables import load
 
-#: A word of a turn starts 300 ms after the one before, a turn 90 s after the one before; the role is the channel.
+#: A word of a turn starts 300 ms after the one before, a turn 15 minutes after the one before; the role is the channel.
 _WORDS = r"""WITH w AS (SELECT conv_id AS transcript, turn, role, unnest(string_split_regex(trim(text), '\s+')) AS t, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 AS pos FROM conversations),
-words AS (SELECT transcript, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS channel, turn * 90000 + pos * 300 AS start_ms, turn * 90000 + pos * 300 + 250 AS end_ms, ' ' || t AS text FROM w)"""
+words AS (SELECT transcript, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS channel, turn * 900000 + pos * 300 AS start_ms, turn * 900000 + pos * 300 + 250 AS end_ms, ' ' || t AS text FROM w)"""
 
 
 def words(spark, sf):
     w = load(spark, sf, "conversations").select(F.col("conv_id").alias("transcript"), "turn", "role", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "t"))
     channel = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
-    start = F.col("turn") * 90_000 + F.col("pos") * 300
+    start = F.col("turn") * 900_000 + F.col("pos") * 300
     return w.select(
         "transcript", F.concat_ws(":", "transcript", "turn", "pos").alias("id"), channel.alias("channel"), F.when(channel == 1, F.lit(None)).otherwise(F.lit(0)).cast("int").alias("speaker_index"),
         start.alias("start_ms"), (start + 250).alias("end_ms"), F.concat(F.lit(" "), "t").alias("text"),

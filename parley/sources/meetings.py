@@ -128,5 +128,5 @@ def deliveries(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     """(endpoint, event, body): one envelope for each event and subscriber of its kind; an empty list of kinds means all."""
     s = subscribers.select("endpoint", F.explode(F.when(F.size("kinds") == 0, F.array(F.lit("*"))).otherwise(F.col("kinds"))).alias("want"))
     e = events.select("event", "kind", "payload", F.explode(F.array("kind", F.lit("*"))).alias("want"))
-    j = e.join(F.broadcast(s), "want").select("endpoint", "event", "kind", "payload").distinct()
+    j = e.join(s, "want").select("endpoint", "event", "kind", "payload").distinct()
     return j.select("endpoint", "event", F.to_json(F.struct("event", "kind", "payload")).alias("body"))

@@ -212,3 +212,10 @@ def test_read_only_catalog(spark, sf_dir):
     with pytest.raises(ValueError):
         c.execute("DROP VIEW nation")
     assert sql.bound({"a": [1]}) == '{"a":[1]}'
+
+
+def test_lists_keep_first_spellings(spark):
+    df = spark.createDataFrame([([" New  York ", "b", "new york", "Zoo", "zoo", "apple"],), ([],), (["x"],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(text.normalised_list("t")).collect()] == [["New York", "Zoo", "apple"], [], [], None]
+    notes = spark.createDataFrame([("- One fact\n* one FACT\n2) Two\n\n3. Three\n4. Four",)], "t string")
+    assert notes.select(text.key_facts("t")).first()[0] == ["One fact", "Two", "Three"]
