@@ -15,13 +15,17 @@ byte gives four lengths, their running sum gives each value's place.
 
 Texts are split at white space and each distinct word is encoded once by the
 tokenizer, which gives the same ids as encoding the text for a tokenizer that
-drops white space. Null text is empty. Rows that repeat a doc_id stay rows.
+drops white space. Where its file says that it lower-cases and splits letters
+from punctuation, words are folded to lower case and their last marks are words
+of their own, so fewer words are encoded. Null text is empty. Rows that repeat a doc_id stay rows.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +49,7 @@ class _Words:
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.tokenizer, self.end, self.folds = Tokenizer.from_file(path), end, folds(path)
         self.clear()
 
     def clear(self) -> None:
@@ -67,7 +71,7 @@ class _Words:
             words = [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(count.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
             entry = np.arange(len(self.count), len(self.count) + len(new))
             self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, flat])
@@ -78,6 +82,34 @@ class _Words:
 
 _KNOWN: dict[tuple[str, int], _Words] = {}
 
+_MARKS = np.isin(np.arange(256), list(b".,;:!?"))
+_ASCII_LETTERS = np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
+
+
+def folds(path: str) -> bool:
+    """Whether a tokenizer's file says that it lower-cases and that runs of letters are split from what follows."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    steps = lambda kind, inner: [x for x in [said.get(kind) or {}] for x in x.get(inner, [x])]
+    splits = [x for x in steps("pre_tokenizer", "pretokenizers") if x.get("type") == "Split"]
+    return any(x.get("type") == "Lowercase" for x in steps("normalizer", "normalizers")) and any("[\\p{L}]+" in x["pattern"].get("Regex", "") and x.get("invert") for x in splits)
+
+
+def _folded(t: X.Texts, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> tuple[X.Texts, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in lower case, and words whose marks after a last ASCII letter are words of their own; words with '<' keep their case, as they may name special ids."""
+    data = t.lowered().data
+    odd = np.concatenate([[0], np.cumsum(t.data == ord("<"))])
+    odd = np.flatnonzero(odd[stop] > odd[start])
+    at = X.ranges(start[odd], (stop - start)[odd])
+    data[at] = t.data[at]
+    last = np.maximum.accumulate(np.where(_MARKS[data], -1, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
+    last = last[stop - 1] if len(stop) else last
+    cut = (last >= start) & (last + 1 < stop) & _ASCII_LETTERS[data[np.maximum(last, 0)]] if len(stop) else np.zeros(0, bool)
+    at = np.concatenate([[0], np.cumsum(1 + cut)])
+    start, stop = np.repeat(start, 1 + cut), np.repeat(stop, 1 + cut)
+    stop[at[:-1][cut]] = start[at[:-1][cut] + 1] = last[cut] + 1
+    return X.Texts(data, t.bounds), start, stop, at[first]
+
 
 def _tokenising(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +121,8 @@ def _tokenising(path: str, end: int):
             for part in X.pieces(batch, "text"):
                 t = X.texts_of(part.column("text"))
                 start, stop, first = X.word_bounds(t)
+                if words.folds:
+                    t, start, stop, first = _folded(t, start, stop, first)
                 entry = np.insert(words.entries(t, start, stop), first[1:], 0)
                 count = words.count[entry]
                 ids = words.ids[X.ranges(words.start[entry], count)]
