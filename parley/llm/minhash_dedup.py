@@ -7,11 +7,15 @@ bin j alone, and rounds stop once every bin has a value, so each coordinate
 fills and the estimate keeps its concentration bounds. Documents whose `rows`
 coordinates agree in any band are candidates.
 
-Candidates are never expanded into all pairs of a bucket. Each bucket first
-gives a star around its smallest id and one around a drawn member, which differs
-from band to band; stars are verified on the full sets, and what they leave in
-different components inside one bucket is compared across those components only. A pair of similarity s misses
-every band with probability (1 - s**rows)**bands: 5e-7 at s = 0.8.
+Candidates are never expanded into all pairs of a bucket. First each document
+meets the smallest id of its buckets; then, in two rounds, documents outside the
+largest linked group of a bucket meet drawn members of it, a few each. These
+pairs are verified on the full sets. What is left in different groups of one
+bucket is compared exactly, in blocks: members of a large group are sent once,
+and the others of a bucket only to the blocks in which it has members. Groups
+may be parts of a component, which costs comparisons but no link; components
+are computed once, from all links. A pair of similarity s misses every band with
+probability (1 - s**rows)**bands: 5e-7 at s = 0.8.
 
 Defined results: null or blank text has an empty set and links with nothing;
 equal sets always link; rows that repeat a doc_id are one node; rows with a
@@ -24,15 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import _text as X
 from parley.llm._shared import Scratch, checkpointed, components
 
 BANDS, ROWS = 48, 6
-#: Documents of a bucket that meet in one task, from each of two parts.
+#: Documents of a bucket or group that meet in one task, from each of two parts.
 BLOCK = 1024
+#: Rounds in which documents meet drawn members of their buckets' largest groups, and how many each round.
+ROUNDS, HUBS = 2, 4
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +78,7 @@ def sketches(h: np.ndarray, cut: np.ndarray, t: int) -> np.ndarray:
         v = X.mix(e, 1000 + i)
         bins = (X.mix(e, 5000 + i) % np.uint64(t)).astype(np.int64) if i < t else np.full(len(e), i - t)
         value = (np.uint64(i) << np.uint64(52)) | (v >> np.uint64(12))  # ordered by round first, as i + h
-        at = d * t + bins
-        order = np.lexsort((value, at))
-        at, value = at[order], value[order]
-        head = np.ones(len(at), dtype=bool)
-        head[1:] = at[1:] != at[:-1]
-        at, value = at[head], value[head]
-        flat[at] = np.minimum(flat[at], value)
+        np.minimum.at(flat, d * t + bins, value)
         open_ &= (out == top).any(axis=1)
     out[out == top] = 0
     return out
@@ -160,6 +160,41 @@ def _cross_links(shingle: int, percent: int):
     return run
 
 
+def _cross(held: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between members (key, id, c) of one bucket that are in different groups c, all of them found.
+
+    Groups of up to BLOCK documents meet inside each bucket. A larger one is
+    dealt into blocks by id; its documents are sent there, and from every bucket
+    the members of smaller groups go to those blocks that have members in
+    the bucket. Incoming documents are dealt into parts as well, so no task gets
+    more than two times BLOCK documents.
+    """
+    mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    held = checkpointed(held.join(mixed, "key"))
+    counts = held.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
+    held = held.join(counts, "c")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)).cast("int")
+
+    small = held.where(F.col("n_c") <= BLOCK)
+    still = small.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("key", "m")
+    small = small.join(still, "key").withColumn("part", dealt("m")).withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)))
+    small = small.select("key", F.least("part", "other").alias("p0"), F.greatest("part", "other").alias("p1"), "part", "id", "c")
+
+    large = held.where(F.col("n_c") > BLOCK).withColumn("part", dealt("n_c"))
+    blocks = large.select("key", F.col("c").alias("c_b"), F.col("n_c").alias("n_b"), "part").distinct()
+    coming = held.join(blocks, "key").where((F.col("n_c") < F.col("n_b")) | ((F.col("n_c") == F.col("n_b")) & (F.col("c") < F.col("c_b"))))
+    coming = coming.select("c_b", "part", "id", "c").distinct()
+    parts = coming.groupBy("c_b", "part").agg(F.count("*").alias("n_in"))
+    coming = coming.join(parts, ["c_b", "part"]).select("c_b", "part", dealt("n_in").alias("j"), F.lit(1).alias("side"), "id", "c")
+    own = large.select(F.col("c").alias("c_b"), "part", "id", "c").distinct().join(parts, ["c_b", "part"])
+    own = own.select("c_b", "part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_in") / BLOCK).cast("int") - 1)).alias("j"), F.lit(0).alias("side"), "id", "c")
+    wide = own.unionByName(coming).select(F.col("c_b").alias("key"), F.col("part").alias("p0"), (-1 - F.col("j")).alias("p1"), F.col("side").alias("part"), "id", "c")
+
+    met = checkpointed(small.unionByName(wide))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(met.select("id").distinct(), "id", "left_semi")
+    return met.join(texts, "id").groupBy("key", "p0", "p1").applyInArrow(_cross_links(shingle, percent), "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough; texts are fetched for the ids that occur."""
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -184,44 +219,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     classed = members.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"])
     node = classes.select(F.col("rep").alias("doc_id")).distinct()
     band = members.join(node, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    drawn = F.min(F.struct(F.xxhash64("id", "key").alias("r"), F.col("id").alias("p")))["p"]
-    stats = band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), drawn.alias("p")).where("a <> z")
-    bucket = scratch.write(band.join(stats.select("key", "a", "p"), "key").select("key", "a", "p", "id", "n"), "bucket")
-    near = F.greatest("n", "n_p") * percent <= F.least("n", "n_p") * 100
+    stats = band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    bucket = scratch.write(band.join(stats.select("key", "a"), "key").select("key", "a", "id", "n"), "bucket")
 
-    def star(pivot: str) -> DataFrame:
-        """Edges from the pivot of each bucket to its other members of a size that can link."""
-        sizes = bucket.where(F.col("id") == F.col(pivot)).select(F.col(pivot).alias("p"), F.col("n").alias("n_p")).distinct()
-        spokes = bucket.where(F.col("id") != F.col(pivot)).select(F.col(pivot).alias("p"), "id", "n").distinct().join(sizes, "p").where(near)
-        return spokes.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+    def near(other: str) -> Column:
+        """Whether sizes allow a link."""
+        return F.greatest("n", other) * percent <= F.least("n", other) * 100
 
     same = classed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    one = checkpointed(star("a").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    sizes = bucket.where("id = a").select("a", F.col("n").alias("n_a")).distinct()
+    spokes = bucket.where("id <> a").select("a", "id", "n").distinct().join(sizes, "a").where(near("n_a"))
+    one = checkpointed(spokes.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"))
     links = checkpointed(_verified(one, docs, shingle, percent))
 
-    def label(found: DataFrame) -> DataFrame:
-        return checkpointed(components(found))
-
-    def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        ca, cb = comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        j = pairs.join(ca, "a", "left").join(cb, "b", "left")
-        return j.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-    comp = label(links)
-    rest = checkpointed(across(star("p").unionByName(star("a")).distinct().join(one, ["a", "b"], "left_anti"), comp))
-    links = checkpointed(links.unionByName(_verified(rest, docs, shingle, percent)))
-    comp = label(links)
-
-    # Buckets that still hold several components: compare across those, block by block.
-    held = bucket.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1")
-    held = held.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g")), "key")
-    held = held.withColumn("part", F.pmod(F.xxhash64("id"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    held = held.select("key", F.least("part", "other").alias("p0"), F.greatest("part", "other").alias("p1"), "part", "id", "c")
-    texts = docs.join(held.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
-    cross = held.join(texts, "id").groupBy("key", "p0", "p1").applyInArrow(_cross_links(shingle, percent), "a long, b long")
-    links = checkpointed(links.unionByName(cross.distinct()).unionByName(same))
+    # Groups so far: documents of one group are linked by a path, but a component may still be several groups.
+    above = links.select(F.col("b").alias("a"), F.col("a").alias("top"))  # each b has one a
+    group = checkpointed(links.join(above, "a", "left").select(F.col("b").alias("id"), F.coalesce("top", "a").alias("c")))
+
+    def held_by(group: DataFrame) -> DataFrame:
+        """Buckets with the group c of each member so far, a member's own id where it has no link."""
+        return bucket.join(group, "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c"))
+
+    for round_ in range(ROUNDS):
+        held = held_by(group)
+        groups = held.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "key", F.lit(round_)).alias("r"), "id", "n")).alias("hub"))
+        top = groups.groupBy("key").agg(F.max(F.struct("m", "c", "hub")).alias("t"), F.count("*").alias("k")).where("k > 1")
+        top = top.select("key", F.col("t.c").alias("c_t"), F.col("t.hub.id").alias("hub"), F.col("t.hub.n").alias("n_t"))
+        tried = held.join(top, "key").where((F.col("c") != F.col("c_t")) & near("n_t")).select("id", "hub").distinct()
+        few = tried.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("id", "hub").alias("r"), "hub"))), 1, HUBS).alias("h"))  # a document has at most `bands` hubs
+        pairs = checkpointed(few.select(F.col("id").alias("a"), F.explode("h.hub").alias("b")))
+        found = checkpointed(_verified(pairs, docs, shingle, percent))
+        links = links.unionByName(found)
+        moved = found.join(group.withColumnRenamed("id", "b"), "b", "left").groupBy(F.col("a").alias("id")).agg(F.min(F.coalesce("c", "b")).alias("to"))
+        group = checkpointed(group.join(moved, "id", "full_outer").select("id", F.coalesce("to", "c").alias("c")))
+
+    links = checkpointed(links.unionByName(_cross(held_by(group).select("key", "id", "c"), docs, shingle, percent)).unionByName(same))
     comp = components(links)
 
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
