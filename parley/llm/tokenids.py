@@ -17,7 +17,7 @@ Texts are split at white space and each distinct word is encoded once by the
 tokenizer, which gives the same ids as encoding the text for a tokenizer that
 drops white space. Where its file says that it lower-cases and splits letters
 from punctuation, words are folded to lower case and their last marks are words
-of their own, so fewer words are encoded. Null text is empty. Rows that repeat a doc_id stay rows.
+of their own, so fewer words are encoded, and many at once. Null text is empty. Rows that repeat a doc_id stay rows.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ from parley.llm._shared import Scratch
 
 #: Ids of a block, about; ids of a part, about; words that a worker remembers at most.
 BLOCK_IDS, PART_IDS, KNOWN_WORDS = 1 << 18, 8_000_000, 1_500_000
+#: Words that are encoded as one text.
+JOINED = 256
 
 #: Bytes of the four values of each control byte, and their sum.
 _LENGTHS = np.stack([(np.arange(256) >> (2 * i)) & 3 for i in range(4)], axis=1).astype(np.uint8) + 1
@@ -50,12 +52,44 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.folds = Tokenizer.from_file(path), end, folds(path)
+        with open(path, encoding="utf-8") as f:
+            suffix = (json.load(f).get("model") or {}).get("end_of_word_suffix")
+        self.last = None
+        if suffix and self.folds:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
         self.hash, self.index = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.count, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end], np.uint32)
 
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(ids of each word, all ids, order): words encoded, in the order that is returned.
+
+        Where the last id of a word shows that it is one, many words of letters
+        are encoded as one text, and cut after those ids; if a text does not
+        give as many words as it has, its words are encoded one by one.
+        """
+        joined = [i for i, w in enumerate(words) if w.isalpha()] if self.last is not None else []
+        alone = [i for i, w in enumerate(words) if not w.isalpha()] if self.last is not None else list(range(len(words)))
+        groups = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        counts, flat, order = [], [], []
+        for group, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.uint32)
+            cut = np.flatnonzero(self.last[ids])
+            if len(cut) == len(group) and cut[-1] == len(ids) - 1:
+                counts.append(np.diff(cut, prepend=-1))
+                flat.append(ids)
+                order += group
+            else:
+                alone += group
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)]
+        counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts[-1].sum())))
+        return np.concatenate(counts), np.concatenate(flat), order + alone
+
     def entries(self, t: X.Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The entry of each word."""
         h, first, back = np.unique(X.word_hashes(t, start, end), return_index=True, return_inverse=True)
@@ -69,11 +103,10 @@ class _Words:
         if len(new):
             raw = t.data.tobytes()
             words = [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
+            count, flat, order = self.encoded(words)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-            entry = np.arange(len(self.count), len(self.count) + len(new))
+            entry = np.empty(len(new), np.int64)
+            entry[order] = np.arange(len(self.count), len(self.count) + len(new))
             self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, flat])
             self.hash, self.index = np.insert(self.hash, at[new], h[new]), np.insert(self.index, at[new], entry)
             at = np.searchsorted(self.hash, h)
