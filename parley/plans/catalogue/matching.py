@@ -134,16 +134,15 @@ def phonetic_block(spark, sf):
     covers="v_recurrence",
 )
 def fuzzy_components(spark, sf):
-    """Names number by rank among the distinct ones, a bounded list, so that the smallest id is the smallest name."""
-    from pyspark.sql import Window
-
-    n = load(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().withColumn("id", F.row_number().over(Window.orderBy("name")).cast("long"))
-    n = n.withColumn("block", F.explode(F.sequence((F.length("name") / 4).cast("int"), (F.length("name") / 4).cast("int") + 1)))
+    """Names are nodes by hash; names within three edits differ by three letters at most, so blocks of four lengths and the next one bring all pairs together."""
+    names = load(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().withColumn("id", F.xxhash64("name"))
+    first = (F.length("name") / 4).cast("int")
+    n = names.withColumn("block", F.explode(F.sequence(first, first + 1)))
     b = n.select(F.col("id").alias("b"), F.col("name").alias("other"), "block")
     edges = n.join(b, "block").where((F.col("id") < F.col("b")) & (F.levenshtein("name", "other") <= 3)).select(F.col("id").alias("a"), "b").distinct()
-    c = components(edges)
-    names = n.select("id", "name").distinct()
-    return c.join(names, "id").select("name", F.col("component").alias("id")).join(names.withColumnRenamed("name", "component"), "id").select("name", "component")
+    named = components(edges).join(names, "id")
+    least = named.groupBy("component").agg(F.min("name").alias("least"))
+    return named.join(least, "component").select("name", F.col("least").alias("component"))
 
 
 @query("context_proposals", None, covers="v_context")
