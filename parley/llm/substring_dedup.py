@@ -5,9 +5,14 @@ of the k-word runs inside a window the one with the least hash, so that equal
 windows have equal anchors and some thirteen neighbouring windows share one.
 Every partition sketches its anchors, the sketches are summed into one of a
 fixed most size, and its counts never fall below the number of starts of a
-window. A second pass sends on only the windows whose estimate is two or more,
-dealt by anchor, and groups them exactly by a 96-bit fingerprint of their
-words; none that repeats is lost, however full the sketch is.
+window. A second pass sends on only the windows whose estimate is two or more
+and groups them exactly by a 96-bit fingerprint of their words; none that
+repeats is lost, however full the sketch is.
+
+Windows are dealt by anchor, so that neighbours stay together. Anchors that the
+sketch estimates at HOT_PLACES places or more, as a phrase with different words
+around it, are dealt by the windows' own fingerprints instead: equal windows
+still meet, and no phrase gathers its windows in one task.
 
 A task that sees a window twice marks its places at once and sends one row on
 for it, so a passage of very many documents gives a row for each task.
@@ -37,6 +42,8 @@ DEPTH = 2
 MOST_CELLS, WORDS_A_CELL = 1 << 28, 2
 #: Cells that one task sums up; bytes of text to a bucket of the exact grouping; words that are grouped in a task at once.
 BLOCK_CELLS, BUCKET_BYTES, BATCH_WORDS = 1 << 20, 16_000_000, 2_000_000
+#: Places from which an anchor's windows are spread; a task's count of a cell is carried up to MOST_COUNT, in the bits beside its offset.
+HOT_PLACES, MOST_COUNT = 256, (1 << 12) - 1
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -64,13 +71,13 @@ def _cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
 
 
 def _sketching(size: int, width: int):
-    """Rows (block, payload): the cells of one task's anchors by block, as offsets doubled, plus one where the task counts two or more."""
+    """Rows (block, payload): the cells of one task's anchors by block, as offsets with the task's counts in the low bits."""
 
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate(held)
         for row in range(DEPTH):
             cell, count = np.unique(_cells(hashes, row, width), return_counts=True)
-            value = ((cell % BLOCK_CELLS) * 2 + (count > 1)).astype(np.uint32)
+            value = ((cell % BLOCK_CELLS) * (MOST_COUNT + 1) + np.minimum(count, MOST_COUNT)).astype(np.uint32)
             block, at = np.unique(cell // BLOCK_CELLS, return_index=True)
             cut = [*at.tolist(), len(cell)]
             yield pa.RecordBatch.from_arrays(
@@ -95,25 +102,32 @@ def _sketching(size: int, width: int):
     return run
 
 
-def _summed(block: pa.Table) -> pa.Table:
-    """The cells of one block that count two or more, as packed bits."""
-    seen = np.zeros(BLOCK_CELLS, dtype=np.uint8)
-    for payload in block.column("payload"):
-        value = np.frombuffer(payload.as_py(), dtype=np.uint32)
-        at = value >> 1
-        seen[at] = np.minimum(seen[at] + 1 + (value & 1), 2)
-    return pa.table({"block": block.column("block")[:1], "bits": pa.array([np.packbits(seen > 1).tobytes()], pa.binary())})
+def _summing(hot: int):
+    """The cells of one block that count two or more, as packed bits, and the offsets of those that count `hot` or more."""
+
+    def run(block: pa.Table) -> pa.Table:
+        seen = np.zeros(BLOCK_CELLS, dtype=np.uint32)
+        for payload in block.column("payload"):
+            value = np.frombuffer(payload.as_py(), dtype=np.uint32)
+            at = value // (MOST_COUNT + 1)
+            seen[at] = np.minimum(seen[at] + value % (MOST_COUNT + 1), max(hot, 2))
+        often = np.flatnonzero(seen >= hot).astype(np.uint32)
+        return pa.table({"block": block.column("block")[:1], "bits": pa.array([np.packbits(seen > 1).tobytes()], pa.binary()), "hot": pa.array([often.tobytes()], pa.binary())})
+
+    return run
 
 
-def _sketch(docs: DataFrame, size: int, width: int) -> list[np.ndarray]:
-    """For each row of the sketch, packed bits of the cells that count two or more: a fixed size, whatever the input."""
+def _sketch(docs: DataFrame, size: int, width: int, hot: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of the sketch, packed bits of the cells that count two or more, of a fixed size whatever the input, and the few cells that count `hot` or more."""
     parts = docs.select("text").mapInArrow(_sketching(size, width), "block int, payload binary")
-    sums = parts.groupBy("block").applyInArrow(_summed, "block int, bits binary")
+    sums = parts.groupBy("block").applyInArrow(_summing(hot), "block int, bits binary, hot binary")
     per_row, rows = width // BLOCK_CELLS + 1, [np.zeros(max(width, BLOCK_CELLS) // 8, dtype=np.uint8) for _ in range(DEPTH)]
+    often: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
     for r in sums.toLocalIterator():
         at = (r["block"] % per_row) * (BLOCK_CELLS // 8)
         rows[r["block"] // per_row][at : at + BLOCK_CELLS // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return rows
+        often[r["block"] // per_row].append(np.frombuffer(r["hot"], dtype=np.uint32).astype(np.int64) + at * 8)
+    return [(bits, np.sort(np.concatenate([np.zeros(0, dtype=np.int64), *cells]))) for bits, cells in zip(rows, often, strict=True)]
 
 
 _ENTRIES = "bucket int, h1 binary, h2 binary, multi binary, doc binary, pos binary, ids array<string>, texts array<long>"
@@ -124,14 +138,14 @@ def _sending(size: int, width: int, sketch, buckets: int):
     names = [x.split()[0] for x in _ENTRIES.split(", ")]
 
     def flush(held: list[tuple], ids: list, keys: list) -> Iterator[pa.RecordBatch]:
-        h1, h2, anchor, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+        h1, h2, dealt, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
         ids, keys = np.concatenate(ids), np.concatenate(keys)
         order = np.lexsort((h2, h1))
-        h1, h2, anchor, doc, pos = h1[order], h2[order], anchor[order], doc[order], pos[order]
+        h1, h2, dealt, doc, pos = h1[order], h2[order], dealt[order], doc[order], pos[order]
         head = np.ones(len(h1) + 1, dtype=bool)
         head[1:-1] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         multi = np.where(head[:-1], (~head[1:]).astype(np.uint8), np.uint8(2))
-        bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+        bucket = (dealt % np.uint64(buckets)).astype(np.int64)
         known = multi == 2
         bucket[known] = X.mix(keys[doc[known]].astype(np.uint64), 8) % np.uint64(buckets)
         order = np.lexsort((pos, doc, bucket))
@@ -156,19 +170,22 @@ def _sending(size: int, width: int, sketch, buckets: int):
                 start, anchor, full = _anchors(words, first, size)
                 if len(start):
                     places = np.unique(anchor)
-                    often = np.ones(len(places), dtype=bool)
-                    for row, plane in enumerate(planes):
+                    often, hot = np.ones(len(places), dtype=bool), np.ones(len(places), dtype=bool)
+                    for row, (plane, cells) in enumerate(planes):
                         cell = _cells(full[places], row, width)
                         often &= (plane[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
-                    chosen = np.zeros(len(words), dtype=bool)
+                        hot &= np.isin(cell, cells)
+                    chosen, spread = np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=bool)
                     chosen[places[often]] = True
+                    spread[places[hot]] = True
                     take = chosen[anchor]
                     start, anchor = start[take], anchor[take]
                 if len(start):
                     doc = np.searchsorted(first, start, side="right") - 1
                     h1 = X.span_hashes(X.mix(words, 41), start, start + size, salt=42)
                     h2 = X.span_hashes(X.mix(words, 43), start, start + size, salt=44) & _LOW
-                    held.append((h1, h2, full[anchor], doc + docs, start - first[doc]))
+                    dealt = np.where(spread[anchor], X.mix(h1, 9), full[anchor])
+                    held.append((h1, h2, dealt, doc + docs, start - first[doc]))
                     ids.append(part.column("k_id").to_numpy(zero_copy_only=False))
                     keys.append(part.column("k_text").to_numpy())
                     docs, words_held = docs + part.num_rows, words_held + len(start)
@@ -248,7 +265,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = min(MOST_CELLS, max(BLOCK_CELLS, 1 << int(total // (6 * WORDS_A_CELL)).bit_length()))
     buckets = max(64, int(total // BUCKET_BYTES))
-    sketch = spark.sparkContext.broadcast(_sketch(keyed, size, width))
+    sketch = spark.sparkContext.broadcast(_sketch(keyed, size, width, HOT_PLACES))
     entries = keyed.where("text is not null").mapInArrow(_sending(size, width, sketch, buckets), _ENTRIES)
     places = entries.groupBy("bucket").applyInArrow(_grouping, "k_id string, k_text long, runs binary")
     marks = checkpointed(places.groupBy("k_id", "k_text").agg(F.collect_list("runs").alias("runs")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,34 @@ def test_full_sketch_loses_nothing(docs, monkeypatch):
     assert got == brute.repeats_removed(corpus(), 12)
 
 
+@pytest.mark.parametrize("hot", [1, 4])
+def test_spread_anchors_lose_nothing(docs, monkeypatch, hot):
+    """All or the more frequent anchors count as hot; equal windows still meet."""
+    monkeypatch.setattr(substring_dedup, "HOT_PLACES", hot)
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["text"] or "") for r in substring_dedup.remove_repeats(docs, 12).collect())
+    assert got == brute.repeats_removed(corpus(), 12)
+
+
+def test_phrase_in_different_words_is_spread(spark, monkeypatch):
+    """A phrase of 34 words in every document, other words around it: no bucket gets more than a few of its windows."""
+    sent = []
+
+    def counting(entries):
+        n = sum(len(x.as_py()) for x in entries.column("multi"))
+        return pa.table({"k_id": pa.array([str(n)]), "k_text": entries.column("bucket")[:1].cast(pa.int64()), "runs": pa.array([b""], pa.binary())})
+
+    def watched(df):
+        sent.extend(int(r["k_id"]) for r in df.select("k_id").collect())
+        return df
+
+    monkeypatch.setattr(substring_dedup, "_grouping", counting)
+    monkeypatch.setattr(substring_dedup, "checkpointed", watched)
+    phrase = " ".join(f"p{i}" for i in range(34))
+    rows = [(d, " ".join([f"a{d}x{i}" for i in range(40)] + [phrase] + [f"b{d}x{i}" for i in range(40)])) for d in range(600)]
+    substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(sent) > 600 and max(sent) < sum(sent) / 16
+
+
 def test_repeats_keep_clashing_columns(spark):
     rows = [(1, "a b c d e f", 7, "k"), (1, "a b c d e f", 8, "k"), (2, None, 9, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words long, runs string")
