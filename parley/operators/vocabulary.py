@@ -96,36 +96,80 @@ def candidates(docs: DataFrame, ordinary: DataFrame) -> DataFrame:
     return picked.withColumn("word", F.lower("core")).join(ordinary.select(F.lower("word").alias("word")).distinct(), "word", "left_anti").select("id", "pos", F.col("core").alias("word"))
 
 
-def alike(spellings: DataFrame, block: Column) -> DataFrame:
-    """(a, b): spellings (word, code) whose codes and letters are close; only words of one block meet.
+#: Words of so many letters at most meet by segments, longer ones by length alone.
+MOST_SEGMENTED = 24
+
+
+def _close(a: str, ca: str, b: str, cb: str) -> Column:
+    """A quarter of the longer word's letters may differ, and two of five code digits."""
+    letters = F.levenshtein(a, b) * 4 <= F.greatest(F.length(a), F.length(b))
+    return letters & (F.levenshtein(ca, cb) * 5 <= F.greatest(F.length(ca), F.length(cb)) * 2)
+
+
+def _close_pairs(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """(x, y): all close words of two tables (word, code, block) that share a block, x as long as y or longer; pairs may repeat.
 
-    A quarter of the longer word's letters may differ, and two of five code digits.
+    Of words with at most t edits, one of t + 1 segments of the shorter stands
+    in the longer, moved by at most t, so words meet by segments and none that
+    is close is lost, while no block is compared with itself in full. Words
+    beyond MOST_SEGMENTED letters meet by steps of length, each the next as well.
     """
-    s = spellings.select("word", "code", block.alias("_block"))
-    j = s.select(F.col("word").alias("a"), F.col("code").alias("ca"), "_block").join(s.select(F.col("word").alias("b"), F.col("code").alias("cb"), "_block"), "_block").where("a < b")
-    letters = F.levenshtein("a", "b") * 4 <= F.greatest(F.length("a"), F.length("b"))
-    digits = F.levenshtein("ca", "cb") * 5 <= F.greatest(F.length("ca"), F.length("cb")) * 2
-    return j.where(letters & digits).select("a", "b")
+    x = longer.select(F.col("word").alias("x"), F.col("code").alias("cx"), F.col("block"), F.length("word").alias("m"))
+    y = shorter.select(F.col("word").alias("y"), F.col("code").alias("cy"), F.col("block"), F.length("word").alias("n"))
+    few, segments = f"m <= {MOST_SEGMENTED}", F.sequence(F.lit(0), F.expr("cast(m div 4 as int)"))
+    start, size = "i * n div (m div 4 + 1)", "((i + 1) * n div (m div 4 + 1) - i * n div (m div 4 + 1))"
+    of_y = y.withColumn("m", F.explode(F.sequence("n", F.expr("cast(n * 4 div 3 + 2 as int)")))).where(f"{few} and m - m div 4 <= n").withColumn("i", F.explode(segments))
+    of_y = of_y.select("y", "cy", "block", "m", "n", "i", F.expr(f"substring(y, cast({start} + 1 as int), cast({size} as int))").alias("part"))
+    of_x = x.where(few).withColumn("n", F.explode(F.sequence(F.expr("cast(m - m div 4 as int)"), "m"))).withColumn("i", F.explode(segments))
+    of_x = of_x.withColumn("at", F.explode(F.expr(f"sequence(greatest({start} - m div 4, 0), least({start} + m div 4, m - {size}))")))
+    of_x = of_x.select("x", "cx", "block", "m", "n", "i", F.expr(f"substring(x, cast(at + 1 as int), cast({size} as int))").alias("part")).distinct()
+    step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.4)))
+    long_x = x.where(f"not {few}").withColumn("step", step(F.col("m")))
+    long_y = y.where(f"n * 4 >= {MOST_SEGMENTED} * 3").withColumn("step", F.explode(F.array(step(F.col("n")), step(F.col("n")) + 1)))
+    near = of_x.join(of_y, ["block", "m", "n", "i", "part"]).where(_close("x", "cx", "y", "cy")).select("x", "y")
+    return near.unionByName(long_x.join(long_y, ["block", "step"]).where((F.col("n") <= F.col("m")) & _close("x", "cx", "y", "cy")).select("x", "y"))
 
 
-def proposals(found: DataFrame, least_sessions: int = 2) -> DataFrame:
+def alike(spellings: DataFrame, block: Column) -> DataFrame:
+    """(a, b): spellings (word, code) whose codes and letters are close; only words of one block meet."""
+    s = spellings.select("word", "code", block.alias("block")).distinct()
+    return _close_pairs(s, s).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def proposals(found: DataFrame, anchors: DataFrame, immune: DataFrame | None = None, least_sessions: int = 2) -> DataFrame:
     """(canonical, alias, occurrences, sessions) from candidates (id, word): spellings that sound alike across sessions.
 
-    Spellings are grouped by components of `alike`; the most frequent one of a
-    group, then the smallest, is canonical; aliases that inflect it are left out.
+    Spellings with one first digit are grouped by components of `alike`. A
+    group's canonical is its first spelling by code point that is an anchor
+    (word) in any case; a group without one gives nothing, as frequency proves
+    no spelling. Aliases that are anchors or immune (word), that inflect the
+    canonical or that are close to it only over others are left out.
     """
     s = found.groupBy("word").agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("sessions"))
     s = s.withColumn("code", cologne_code("word")).where(F.length("code") >= 3)
-    pairs = alike(s, F.substring("code", 1, 2))
+    pairs = alike(s, F.substring("code", 1, 1))
     numbered = s.select("word", F.xxhash64("word").alias("node"))
     edges = pairs.join(numbered.select(F.col("word").alias("a"), F.col("node").alias("x")), "a").join(numbered.select(F.col("word").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     group = components(edges)
-    named = s.join(numbered, "word").join(group.withColumnRenamed("id", "node"), "node")
-    top = named.groupBy("component").agg(F.min_by("word", F.struct((-F.col("occurrences")).alias("o"), "word")).alias("canonical"), F.sum("sessions").alias("all"))
-    j = named.join(top, "component").where((F.col("word") != F.col("canonical")) & (F.col("all") >= least_sessions) & ~inflected("word", "canonical"))
+    named = s.join(numbered, "word").join(group.withColumnRenamed("id", "node"), "node").withColumn("key", F.lower("word"))
+    anchored = anchors.select(F.lower("word").alias("key")).distinct()
+    top = named.join(anchored, "key", "left_semi").groupBy("component").agg(F.min(F.struct("word", "code")).alias("top")).select("component", F.col("top.word").alias("canonical"), F.col("top.code").alias("own"))
+    covered = found.join(named.select("word", "component"), "word").groupBy("component").agg(F.countDistinct("id").alias("all"))
+    fixed = anchored if immune is None else anchored.unionByName(immune.select(F.lower("word").alias("key"))).distinct()
+    j = named.join(top, "component").join(covered, "component").where(F.col("all") >= least_sessions).join(fixed, "key", "left_anti")
+    j = j.where(~inflected("word", "canonical") & _close("canonical", "own", "word", "code"))
     return j.select("canonical", F.col("word").alias("alias"), "occurrences", "sessions")
 
 
+def undecided(proposed: DataFrame, *decided: DataFrame) -> DataFrame:
+    """Proposals whose pair, in any case, is in none of the tables (canonical, alias) of dismissed and known pairs."""
+    key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[\s\uFEFF]+", " ")))
+    out = proposed.withColumns({"k_canonical": key("canonical"), "k_alias": key("alias")}).where("k_canonical <> k_alias")
+    for pairs in decided:
+        out = out.join(pairs.select(key("canonical").alias("k_canonical"), key("alias").alias("k_alias")), ["k_canonical", "k_alias"], "left_anti")
+    return out.select(*proposed.columns)
+
+
 #: Endings of inflected words.
 ENDINGS = ("", "e", "en", "er", "es", "em", "n", "s", "st", "t", "te", "ten", "ern")
 

@@ -114,11 +114,26 @@ def correction_counts(spark, sf):
     return O.replacements(docs, pairs).groupBy("id").agg(F.count("*").alias("n"))
 
 
-@query("name_proposals", None, covers="v_candidates v_recurrence v_scan v_context a_recurrence o_proposals sf_is_inflection j_fuzzy_block sf_koelner")
+def _names(spark, sf):
+    """Names that people wrote beside the documents: the capitalised words of four letters or more of the benchmark's texts."""
+    words = load(spark, sf, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
+    return words.where((F.length("word") >= 4) & F.col("word").rlike(r"^\p{Lu}")).join(_ordinary(spark), F.lower("word") == F.col("common"), "left_anti").distinct()
+
+
+def _ordinary(spark):
+    return spark.createDataFrame([("the",), ("and",), ("dies",), ("that",)], "common string")
+
+
+def _decided(spark):
+    """Pairs that the dictionary knows, and pairs that were dismissed."""
+    return spark.createDataFrame([("License", "Licence")], "canonical string, alias string"), spark.createDataFrame([("Public", "Publik")], "canonical string, alias string")
+
+
+@query("name_proposals", None, covers="v_candidates v_recurrence v_scan a_recurrence o_proposals sf_is_inflection j_fuzzy_block sf_koelner")
 def name_proposals(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    ordinary = spark.createDataFrame([("the",), ("and",), ("dies",), ("that",)], "word string")
-    return O.proposals(O.candidates(docs, ordinary)).orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
+    found = O.candidates(docs, _ordinary(spark).withColumnRenamed("common", "word"))
+    return O.undecided(O.proposals(found, _names(spark, sf)), *_decided(spark)).orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
 
 
 @query("phonetic_block", None, covers="j_fuzzy_block")

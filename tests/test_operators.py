@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import jsonx, text, times
+from parley.functions.text import cologne
 from parley.operators import graph, intervals, merge, relational, search, transcript, vectors, vocabulary
 from parley.sources import meetings, sql
 from parley.streaming import live_words as live
@@ -131,6 +133,41 @@ def test_inflections(spark):
     assert [r[0] for r in df.select(vocabulary.inflected("a", "b")).collect()] == [True, False, False]
 
 
+def test_alike_loses_no_pair(spark):
+    """Against all pairs of a block: short words, words about the segments' end, long words, and second digits that differ."""
+    r = random.Random(7)
+    base = ["Grandpfeil", "Tochmann", "Verlin", "Anna", "Thornton", "abcdefghijklmnopqrstuv", "abcdefghijklmnopqrstuvwxyzabcdefghijkl"]
+    words = set(base)
+    for w in base * 25:
+        for _ in range(r.randint(1, max(1, len(w) // 4))):
+            i = r.randrange(len(w))
+            w = r.choice([w[:i] + w[i + 1 :], w[:i] + r.choice("abtknr") + w[i + 1 :], w[:i] + r.choice("abtknr") + w[i:]])
+        words.add(w)
+    df = spark.createDataFrame([(w, cologne(w)) for w in sorted(words)], "word string, code string").where("code <> ''")
+    s = df.withColumn("block", F.substring("code", 1, 1))
+    other = s.select(F.col("word").alias("w2"), F.col("code").alias("c2"), "block")
+    near = (F.levenshtein("word", "w2") * 4 <= F.greatest(F.length("word"), F.length("w2"))) & (F.levenshtein("code", "c2") * 5 <= F.greatest(F.length("code"), F.length("c2")) * 2)
+    expected = {tuple(x) for x in s.join(other, "block").where("word < w2").where(near).select("word", "w2").collect()}
+    got = vocabulary.alike(df, F.substring("code", 1, 1)).collect()
+    assert len(got) == len(expected) > 100 and {tuple(x) for x in got} == expected
+
+
+def test_proposals_need_an_anchor(spark):
+    """Second digits differ; the rarer spelling is canonical if it is the anchor; what is close only over others, known or immune stays out."""
+    rows = [(i, "Tochmann") for i in range(3)] + [(1, "Tofmann"), (2, "Tochmann"), (3, "Verlin"), (4, "Ferlin"), (4, "Merkator"), (5, "Merkater"), (5, "Merkates"), (6, "Nortwind"), (6, "Nordwind")]
+    found = spark.createDataFrame(rows, "id long, word string")
+    names = lambda *w: spark.createDataFrame([(x,) for x in w], "word string")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    assert cologne("Tochmann")[:2] != cologne("Tofmann")[:2]
+    assert got(vocabulary.proposals(found, names("tofmann", "Nordwind"))) == [("Tofmann", "Tochmann", 4, 3)]
+    assert got(vocabulary.proposals(found, names("Merkator"))) == [("Merkator", "Merkater", 1, 1), ("Merkator", "Merkates", 1, 1)]
+    assert got(vocabulary.proposals(found, names("Merkator"), names("MERKATES"))) == [("Merkator", "Merkater", 1, 1)]
+    chain = spark.createDataFrame([(1, "Landberger"), (2, "Lantberker"), (3, "Lantperkar")], "id long, word string")
+    assert got(vocabulary.proposals(chain, names("Landberger"))) == [("Landberger", "Lantberker", 1, 1)]
+    pairs = spark.createDataFrame([("merkator", "MERKATER ")], "canonical string, alias string")
+    assert got(vocabulary.undecided(vocabulary.proposals(found, names("Merkator")), pairs)) == [("Merkator", "Merkates", 1, 1)]
+
+
 def test_segments_cut_at_caps(spark):
     w = [(1, 0, None, None, i * 1000, i * 1000 + 900, f" w{i}") for i in range(400)] + [(1, 1, None, None, 500_000, 500_100, " x"), (1, 1, None, None, 503_200, 503_300, " y")]
     df = spark.createDataFrame(w, "transcript long, channel int, speaker_index int, human string, start_ms long, end_ms long, text string")
