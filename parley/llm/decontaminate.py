@@ -54,9 +54,9 @@ def hits(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     is_small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     anchors = windows.select("anchor").distinct()
     keyed = docs.where("text is not null").select("text", *row_key())
-    # Which documents have an anchor at all, over all words; full lower case finds no fewer.
-    rough = keyed.select("k_id", "k_text", F.explode(F.split(F.lower("text"), _SEPARATORS)).alias("word"))
-    some = rough.join(_small(anchors.select(F.lower("anchor").alias("word")).distinct(), is_small), "word", "left_semi")
+    # Which documents have an anchor at all, over all words; lowered as in words_of, as full lower case depends on what stands around a capital sigma.
+    rough = keyed.select("k_id", "k_text", F.explode(F.split(F.translate("text", _UPPER, _LOWER), _SEPARATORS)).alias("word"))
+    some = rough.join(_small(anchors.select(F.col("anchor").alias("word")), is_small), "word", "left_semi")
     some = some.select("k_id", "k_text").distinct()
     near = keyed.join(some, ["k_id", "k_text"], "left_semi").dropDuplicates(["k_id", "k_text"]).select("k_id", "k_text", words_of(F.col("text")).alias("w"))
     spots = near.select("k_id", "k_text", "w", F.posexplode("w").alias("pos", "anchor")).join(_small(anchors, is_small), "anchor", "left_semi")

@@ -125,6 +125,14 @@ def test_contamination(spark, docs):
     assert kept == {r[0] for r in rows if not r[5]}
 
 
+@pytest.mark.parametrize("mark", [".", ":", "'"])
+def test_contamination_before_a_mark(spark, mark):
+    """Full lower case of a capital sigma depends on what follows the word's mark."""
+    docs = spark.createDataFrame([(1, f"ΟΔΟΣ{mark}ΝΕΑ"), (2, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ΟΔΟΣ")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()] == [2]
+
+
 def test_vectors(spark):
     r = np.random.default_rng(5)
     centre = r.normal(size=(20, 16))
