@@ -161,6 +161,33 @@ def proposals(found: DataFrame, anchors: DataFrame, immune: DataFrame | None = N
     return j.select("canonical", F.col("word").alias("alias"), "occurrences", "sessions")
 
 
+def alike_names(words: DataFrame, names: DataFrame) -> DataFrame:
+    """(word, name): words and names (word, code, block), in either order of length, that are close but not one word in any case."""
+    both = _close_pairs(words, names).select(F.col("x").alias("word"), F.col("y").alias("name"))
+    both = both.unionByName(_close_pairs(names, words).select(F.col("y").alias("word"), F.col("x").alias("name")))
+    return both.where(F.lower("word") != F.lower("name")).distinct()
+
+
+def context_proposals(found: DataFrame, names: DataFrame, immune: DataFrame | None = None, ceiling: float = 0.98) -> DataFrame:
+    """(canonical, alias, occurrences, sessions) from candidates (id, pos, word, confidence) and names (id, word, rank) of their context.
+
+    A name with a null id belongs to every session. Words of a measured
+    confidence of `ceiling` or more, names and immune words (word) are no
+    aliases; a null confidence was not measured and stays. Words and names of
+    one first digit meet; each place goes to its first name by rank, then by word.
+    """
+    fixed = names.select("word") if immune is None else names.select("word").unionByName(immune.select("word"))
+    open_ = found.where("confidence is null or confidence < " + repr(float(ceiling))).withColumn("key", F.lower("word")).join(fixed.select(F.lower("word").alias("key")).distinct(), "key", "left_anti")
+    coded = lambda df: df.select("word").distinct().withColumn("code", cologne_code("word")).withColumn("block", F.substring("code", 1, 1))
+    pairs = alike_names(coded(open_).where(F.length("code") >= 3), coded(names)).where(~inflected("name", "word"))
+    targets = pairs.join(names.select(F.col("id").alias("of"), F.col("word").alias("name"), "rank"), "name")
+    ranked = F.struct("rank", "name")
+    everywhere = targets.where("of is null").groupBy("word").agg(F.min(ranked).alias("all"))
+    own = targets.where("of is not null").groupBy(F.col("of").alias("id"), "word").agg(F.min(ranked).alias("own"))
+    hit = open_.join(everywhere, "word", "left").join(own, ["id", "word"], "left").select("id", "pos", "word", F.least("own", "all").alias("t")).where("t is not null")
+    return hit.groupBy(F.col("t.name").alias("canonical"), F.col("word").alias("alias")).agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("sessions"))
+
+
 def undecided(proposed: DataFrame, *decided: DataFrame) -> DataFrame:
     """Proposals whose pair, in any case, is in none of the tables (canonical, alias) of dismissed and known pairs."""
     key = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[\s\uFEFF]+", " ")))

@@ -162,9 +162,8 @@ def fuzzy_components(spark, sf):
 
 @query("context_proposals", None, covers="v_context")
 def context_proposals(spark, sf):
-    """Candidates beside the names of their context: pairs that sound and look alike within a phonetic block, first target by name."""
+    """Candidates beside the names of their context; documents have no measured confidence, and the names belong to all of them."""
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = O.candidates(docs, spark.createDataFrame([("the",)], "word string")).select("word").distinct().withColumn("code", cologne_code("word"))
-    names = found.where(F.length("word") >= 9)
-    pairs = O.alike(found.unionByName(names).distinct(), F.substring("code", 1, 3))
-    return pairs.groupBy("a").agg(F.min("b").alias("b"))
+    found = O.candidates(docs, _ordinary(spark).withColumnRenamed("common", "word")).withColumn("confidence", F.lit(None).cast("double"))
+    names = _names(spark, sf).select(F.lit(None).cast("long").alias("id"), "word", F.lit(2).alias("rank"))
+    return O.context_proposals(found, names)

@@ -168,6 +168,17 @@ def test_proposals_need_an_anchor(spark):
     assert got(vocabulary.undecided(vocabulary.proposals(found, names("Merkator")), pairs)) == [("Merkator", "Merkates", 1, 1)]
 
 
+def test_context_names_propose_in_both_orders(spark):
+    """Names before and behind the word, confidence, immune words, names of another session, and the first name by rank."""
+    rows = [(1, 1, "Ferlin", 0.5), (1, 2, "Verlim", None), (1, 3, "Werlin", 0.98), (1, 4, "Verlin", 0.1), (2, 1, "Tofmann", None), (3, 1, "Tofmann", None), (3, 2, "Zerlin", 0.2)]
+    found = spark.createDataFrame(rows, "id long, pos int, word string, confidence double")
+    names = spark.createDataFrame([(None, "Verlin", 1), (2, "Tochmann", 0), (2, "Tobmann", 1)], "id long, word string, rank int")
+    got = sorted(tuple(r) for r in vocabulary.context_proposals(found, names).collect())
+    assert got == [("Tochmann", "Tofmann", 1, 1), ("Verlin", "Ferlin", 1, 1), ("Verlin", "Verlim", 1, 1)]
+    immune = spark.createDataFrame([("FERLIN",)], "word string")
+    assert sorted(r["alias"] for r in vocabulary.context_proposals(found, names, immune).collect()) == ["Tofmann", "Verlim"]
+
+
 def test_segments_cut_at_caps(spark):
     w = [(1, 0, None, None, i * 1000, i * 1000 + 900, f" w{i}") for i in range(400)] + [(1, 1, None, None, 500_000, 500_100, " x"), (1, 1, None, None, 503_200, 503_300, " y")]
     df = spark.createDataFrame(w, "transcript long, channel int, speaker_index int, human string, start_ms long, end_ms long, text string")
