@@ -73,13 +73,12 @@ def fuzzy_terms(spark, sf):
     "ngram_terms",
     """WITH p AS (SELECT p_partkey, lower(p_name) AS t FROM part), g AS (SELECT t, i, n FROM (SELECT DISTINCT t FROM p), range(1, 41) a(i), range(1, 4) b(n) WHERE i + n - 1 <= length(t)),
     s AS (SELECT substr(t, i, n) AS gram, count(*) AS per, t FROM g GROUP BY 1, 3) SELECT gram, sum(per * k)::BIGINT AS n FROM s JOIN (SELECT t, count(*) AS k FROM p GROUP BY 1) USING (t) GROUP BY 1""",
-    covers="sf_tokenize_ngram",
 )
 def ngram_terms(spark, sf):
     return load(spark, sf, "part").select(F.explode(ngrams("p_name")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("index_postings", f"{_BASE} t AS (SELECT id, unnest(w) AS term FROM d) SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM t GROUP BY 1 HAVING df > 20", covers="fts_index fts_project sf_tokenize_lang")
+@query("index_postings", f"{_BASE} t AS (SELECT id, unnest(w) AS term FROM d) SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM t GROUP BY 1 HAVING df > 20", covers="fts_index fts_project")
 def index_postings(spark, sf):
     p = S.postings(_docs(spark, sf), ["content"])
     return p.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).where("df > 20")

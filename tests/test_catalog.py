@@ -22,6 +22,11 @@ def test_runs(spark, sf_dir, name):
     df.count()
 
 
+def test_folding_is_not_claimed():
+    """Their tokens keep accents."""
+    assert not {"sf_tokenize_lang", "sf_tokenize_ngram"} & {i for ids in catalog.COVERS.values() for i in ids}
+
+
 def test_entry(spark):
     import __spark_entry__
 
