@@ -97,7 +97,7 @@ def _aliases(spark):
     return spark.createDataFrame([("Theatre", "the"), ("Ofonly", "of only"), ("Andbig", "and"), ("Andsmall", "and"), ("Idiot", "moron")], "canonical string, alias string")
 
 
-@query("corrections", None, covers="v_apply v_rewrite_words")
+@query("corrections", None, covers="v_apply")
 def corrections(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return O.corrected(docs, _aliases(spark)).select("id", "n", F.sha2("text", 256).alias("digest"))

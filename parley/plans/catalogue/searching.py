@@ -113,7 +113,7 @@ _STOP = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "die"
     "keywords",
     f"""{_BASE} t AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(w) AS term FROM d) WHERE length(term) >= 2 AND term NOT IN {_STOP} AND regexp_matches(term, '\\p{{L}}') GROUP BY 1, 2)
     SELECT id, term, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS place FROM t QUALIFY place <= 50""",
-    covers="sf_keywords x_keyword_filter sf_stopword",
+    covers="sf_stopword",
 )
 def keywords(spark, sf):
     from pyspark.sql import Window

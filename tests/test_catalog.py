@@ -27,6 +27,11 @@ def test_folding_is_not_claimed():
     assert not {"sf_tokenize_lang", "sf_tokenize_ngram"} & {i for ids in catalog.COVERS.values() for i in ids}
 
 
+def test_keyword_rules_and_timed_words_are_not_claimed():
+    """Stop words go in any case, and texts alone are rewritten."""
+    assert not {"sf_keywords", "x_keyword_filter", "v_rewrite_words"} & {i for ids in catalog.COVERS.values() for i in ids}
+
+
 def test_entry(spark):
     import __spark_entry__
 
