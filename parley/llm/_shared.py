@@ -1,41 +1,28 @@
-"""Shared-folder tables, row keys and connected components for the operators of this subpackage."""
+"""Shared-folder tables and row keys for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.operators.graph import checkpointed, components, shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset.
-
-    Where it is unset, a local session gets a temporary folder and a cluster a
-    folder of the warehouse, which is shared as well.
-    """
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not path:
-        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-        path = tempfile.mkdtemp(prefix="parley-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(path)
-    return path
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["Scratch", "checkpointed", "components", "row_key", "shared_folder", "unused"]
 
 
 class Scratch:
-    """Parquet tables in the shared folder that are deleted together when the work that needs them is done."""
+    """Parquet tables in the shared folder that are deleted together when the work that needs them is done or has failed."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.delete()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
@@ -62,29 +49,3 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each id reaches over edges (a, b), a and b being longs.
-
-    Alternates large-star and small-star steps. Every step is a grouped minimum,
-    which is combined before the shuffle, and a join, so a node with very many
-    edges is spread as any other skewed join; the lineage is cut each time.
-    """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = checkpointed(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -15,11 +15,19 @@ bucket is compared exactly, in blocks: members of a large group are sent once,
 and the others of a bucket only to the blocks in which it has members. Groups
 may be parts of a component, which costs comparisons but no link; components
 are computed once, from all links. A pair of similarity s misses every band with
-probability (1 - s**rows)**bands: 5e-7 at s = 0.8.
+probability (1 - s**rows)**bands: 3e-6 at s = 0.8, 7e-9 at 0.85.
+
+Shingles are compared by 64-bit hashes: a link is confirmed on the full sets of
+these, and sets count as equal when their sizes and two 64-bit sums of mixed
+hashes agree, so texts that share no shingle agree by chance in about one of
+2**128 pairs.
 
 Defined results: null or blank text has an empty set and links with nothing;
-equal sets always link; rows that repeat a doc_id are one node; rows with a
-null doc_id are returned with a null component and kept.
+equal sets always link, ties at the threshold included; rows that repeat a
+doc_id are one node, which links by any of its texts; rows with a null doc_id
+are returned with a null component and kept; an empty table gives an empty one.
+A very long text is a batch of its own, whole. Columns other than doc_id and
+text, whatever their names, take no part; `deduplicate` returns them as they were.
 """
 
 from __future__ import annotations
@@ -34,11 +42,13 @@ from pyspark.sql import functions as F
 from parley.llm import _text as X
 from parley.llm._shared import Scratch, checkpointed, components
 
-BANDS, ROWS = 48, 6
+BANDS, ROWS = 32, 5
 #: Documents of a bucket or group that meet in one task, from each of two parts.
 BLOCK = 1024
 #: Rounds in which documents meet drawn members of their buckets' largest groups, and how many each round.
 ROUNDS, HUBS = 2, 4
+#: Parts into which a group of any size is dealt when its documents are counted.
+SALTS = 64
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +170,7 @@ def _cross_links(shingle: int, percent: int):
     return run
 
 
-def _cross(held: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _cross(held: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """Links between members (key, id, c) of one bucket that are in different groups c, all of them found.
 
     Groups of up to BLOCK documents meet inside each bucket. A larger one is
@@ -170,19 +180,25 @@ def _cross(held: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
     more than two times BLOCK documents.
     """
     mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    held = checkpointed(held.join(mixed, "key"))
-    counts = held.select("id", "c").distinct().groupBy("c").agg(F.count("*").alias("n_c"))
-    held = held.join(counts, "c")
+    held = scratch.write(held.join(mixed, "key"), "held")
+
+    # Sizes matter for groups above BLOCK alone: these are few, and go to each salt of their documents, so that no group is one task's.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    sizes = held.select("id", "c").distinct().groupBy("c", salt.alias("salt")).agg(F.count("*").alias("n")).groupBy("c").agg(F.sum("n").alias("n_c"))
+    sizes = sizes.where(F.col("n_c") > BLOCK).select("c", "n_c", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    held = held.withColumn("salt", salt).join(sizes, ["c", "salt"], "left").select("key", "id", "c", "n_c")
+    held = scratch.write(held, "sized")
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / BLOCK)).cast("int")
 
-    small = held.where(F.col("n_c") <= BLOCK)
+    small = held.where("n_c is null")
     still = small.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 <> c1").select("key", "m")
     small = small.join(still, "key").withColumn("part", dealt("m")).withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK).cast("int") - 1)))
     small = small.select("key", F.least("part", "other").alias("p0"), F.greatest("part", "other").alias("p1"), "part", "id", "c")
 
-    large = held.where(F.col("n_c") > BLOCK).withColumn("part", dealt("n_c"))
+    large = held.where("n_c is not null").withColumn("part", dealt("n_c"))
     blocks = large.select("key", F.col("c").alias("c_b"), F.col("n_c").alias("n_b"), "part").distinct()
-    coming = held.join(blocks, "key").where((F.col("n_c") < F.col("n_b")) | ((F.col("n_c") == F.col("n_b")) & (F.col("c") < F.col("c_b"))))
+    size = F.coalesce("n_c", F.lit(0))
+    coming = held.join(blocks, "key").where((size < F.col("n_b")) | ((size == F.col("n_b")) & (F.col("c") < F.col("c_b"))))
     coming = coming.select("c_b", "part", "id", "c").distinct()
     parts = coming.groupBy("c_b", "part").agg(F.count("*").alias("n_in"))
     coming = coming.join(parts, ["c_b", "part"]).select("c_b", "part", dealt("n_in").alias("j"), F.lit(1).alias("side"), "id", "c")
@@ -190,77 +206,77 @@ def _cross(held: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
     own = own.select("c_b", "part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_in") / BLOCK).cast("int") - 1)).alias("j"), F.lit(0).alias("side"), "id", "c")
     wide = own.unionByName(coming).select(F.col("c_b").alias("key"), F.col("part").alias("p0"), (-1 - F.col("j")).alias("p1"), F.col("side").alias("part"), "id", "c")
 
-    met = checkpointed(small.unionByName(wide))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(met.select("id").distinct(), "id", "left_semi")
+    met = small.unionByName(wide)
     return met.join(texts, "id").groupBy("key", "p0", "p1").applyInArrow(_cross_links(shingle, percent), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough; texts are fetched for the ids that occur."""
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    left = left.join(ids.withColumnRenamed("id", "a"), "a", "left_semi")
-    right = right.join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are similar enough, by the texts (id, text)."""
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_matching(shingle, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    with Scratch(docs.sparkSession, "minhash") as scratch:
+        return checkpointed(_near_duplicates(docs, scratch, shingle, percent, bands, rows))
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = docs.mapInArrow(_sketch_batches(shingle, bands, rows), "doc_id long, n long, h1 long, h2 long, bands array<long>")
     sketch = scratch.write(made, "sketch")
 
-    # Equal sets are one class, so that a group of copies is one node from here on.
+    # Equal sets are one class, so that a group of copies is one node from here on; they have equal bands.
     members = sketch.where("doc_id is not null and n > 0")
-    classes = members.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    classed = members.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"])
-    node = classes.select(F.col("rep").alias("doc_id")).distinct()
-    band = members.join(node, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    stats = band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    classes = members.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    band = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
+    # Buckets with the same members (a pair of copies shares most of its bands) are looked at once; the hashes tell sets of ids apart.
+    stats = band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("m"), *(F.sum(F.shiftright(F.xxhash64("id", F.lit(s)), 20)).alias(f"s{s}") for s in (1, 2))).where("a <> z")
+    stats = stats.groupBy("a", "z", "m", "s1", "s2").agg(F.min("key").alias("key"))
     bucket = scratch.write(band.join(stats.select("key", "a"), "key").select("key", "a", "id", "n"), "bucket")
+    texts = scratch.write(docs.withColumnRenamed("doc_id", "id").join(bucket.select("id").distinct(), "id", "left_semi"), "texts")
 
     def near(other: str) -> Column:
         """Whether sizes allow a link."""
         return F.greatest("n", other) * percent <= F.least("n", other) * 100
 
-    same = classed.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     sizes = bucket.where("id = a").select("a", F.col("n").alias("n_a")).distinct()
-    spokes = bucket.where("id <> a").select("a", "id", "n").distinct().join(sizes, "a").where(near("n_a"))
-    one = checkpointed(spokes.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b"))
-    links = checkpointed(_verified(one, docs, shingle, percent))
+    spokes = bucket.where("id <> a").select("a", "id", "n").join(sizes, "a").where(near("n_a"))
+    one = spokes.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
+    links = scratch.write(_verified(one, texts, shingle, percent), "spokes")
 
     # Groups so far: documents of one group are linked by a path, but a component may still be several groups.
     above = links.select(F.col("b").alias("a"), F.col("a").alias("top"))  # each b has one a
-    group = checkpointed(links.join(above, "a", "left").select(F.col("b").alias("id"), F.coalesce("top", "a").alias("c")))
+    group = links.join(above, "a", "left").select(F.col("b").alias("id"), F.coalesce("top", "a").alias("c"))
 
     def held_by(group: DataFrame) -> DataFrame:
         """Buckets with the group c of each member so far, a member's own id where it has no link."""
         return bucket.join(group, "id", "left").select("key", "id", "n", F.coalesce("c", "id").alias("c"))
 
     for round_ in range(ROUNDS):
-        held = held_by(group)
+        held = scratch.write(held_by(group), f"held{round_}")
         groups = held.groupBy("key", "c").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("id", "key", F.lit(round_)).alias("r"), "id", "n")).alias("hub"))
         top = groups.groupBy("key").agg(F.max(F.struct("m", "c", "hub")).alias("t"), F.count("*").alias("k")).where("k > 1")
         top = top.select("key", F.col("t.c").alias("c_t"), F.col("t.hub.id").alias("hub"), F.col("t.hub.n").alias("n_t"))
-        tried = held.join(top, "key").where((F.col("c") != F.col("c_t")) & near("n_t")).select("id", "hub").distinct()
-        few = tried.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("id", "hub").alias("r"), "hub"))), 1, HUBS).alias("h"))  # a document has at most `bands` hubs
-        pairs = checkpointed(few.select(F.col("id").alias("a"), F.explode("h.hub").alias("b")))
-        found = checkpointed(_verified(pairs, docs, shingle, percent))
+        tried = held.join(top, "key").where((F.col("c") != F.col("c_t")) & near("n_t")).select("id", "c", "hub", "c_t").distinct()
+        few = tried.groupBy("id", "c").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("id", "hub").alias("r"), "hub", "c_t"))), 1, HUBS).alias("h"))  # a document has at most `bands` hubs
+        pairs = few.select(F.col("id").alias("a"), "c", F.explode("h").alias("h")).select("a", F.col("h.hub").alias("b"), "c", F.col("h.c_t").alias("c_b"))
+        pairs = scratch.write(pairs, f"pairs{round_}")
+        found = scratch.write(_verified(pairs, texts, shingle, percent), f"found{round_}")
         links = links.unionByName(found)
-        moved = found.join(group.withColumnRenamed("id", "b"), "b", "left").groupBy(F.col("a").alias("id")).agg(F.min(F.coalesce("c", "b")).alias("to"))
-        group = checkpointed(group.join(moved, "id", "full_outer").select("id", F.coalesce("to", "c").alias("c")))
+        moved = found.join(pairs, ["a", "b"]).groupBy(F.col("a").alias("id")).agg(F.min("c_b").alias("to"))
+        group = group.join(moved, "id", "full_outer").select("id", F.coalesce("to", "c").alias("c"))
 
-    links = checkpointed(links.unionByName(_cross(held_by(group).select("key", "id", "c"), docs, shingle, percent)).unionByName(same))
-    comp = components(links)
+    crossed = scratch.write(_cross(held_by(group).select("key", "id", "c"), texts, scratch, shingle, percent), "crossed")
+    of = members.select("doc_id", "h1", "h2", "n").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
+    same = of.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    comp = components(links.unionByName(crossed).unionByName(same))
 
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    out = checkpointed(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
-    scratch.delete()
-    return out
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
