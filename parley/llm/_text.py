@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; the temporaries of the kernels are about 40 times this.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -46,7 +46,7 @@ BANDS, ROWS = 32, 5
 #: Documents of a bucket or group that meet in one task, from each of two parts.
 BLOCK = 1024
 #: Rounds in which documents meet drawn members of their buckets' largest groups, and how many each round.
-ROUNDS, HUBS = 2, 4
+ROUNDS, HUBS = 1, 6
 #: Parts into which a group of any size is dealt when its documents are counted.
 SALTS = 64
 
