@@ -9,8 +9,11 @@ broadcast only where their number is within BROADCAST_WINDOWS; beyond it the
 same joins shuffle.
 
 Words are runs of ASCII letters and digits and of everything beyond ASCII,
-with A-Z lower-cased. Defined results: null texts and items have no words;
-repeated rows are each reported; a repeated item_id counts once.
+with A-Z lower-cased. Whole documents go (`keep_clean`), or the hit words alone
+(`without_spans`). Defined results: null texts and items have no words; repeated
+rows are each reported; a repeated item_id counts once; a very long text is
+searched whole; without documents the result is empty, without items nothing is
+hit. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ SIZE = 10
 BROADCAST_WINDOWS = 200_000
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words of a text as it is, capitals being letters.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,7 +79,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFr
     places = found.select("k_id", "k_text", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos")).distinct()
     n_hit = places.groupBy("k_id", "k_text").agg(F.count("*").alias("n_hit"))
     ids = found.select("k_id", "k_text", "item_id").distinct().groupBy("k_id", "k_text").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
-    counted = docs.select("doc_id", *row_key(), F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", *row_key(), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = counted.join(n_hit.join(ids, ["k_id", "k_text"]), ["k_id", "k_text"], "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
@@ -87,3 +93,16 @@ def keep_clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame
     id_, text = row_key()
     gone = hits(docs, items, size).select(F.col("k_id").alias(a), F.col("k_text").alias(b)).distinct()
     return docs.withColumns({a: id_, b: text}).join(gone, [a, b], "left_anti").select(*docs.columns)
+
+
+def without_spans(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """Documents with the hit words cut from text, each with the separators after it; all else as it was."""
+    a, b, n = unused(docs, "k_id"), unused(docs, "k_text"), unused(docs, "hit")
+    id_, text = row_key()
+    found = hits(docs, items, size).select(F.col("k_id").alias(a), F.col("k_text").alias(b), F.sequence(F.col("start"), F.col("start") + F.col("n") - 1).alias("at"))
+    cut = found.groupBy(a, b).agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias(n))  # positions within one document
+    pieces = F.regexp_extract_all("text", F.lit(rf"{_WORD}(?:{_BETWEEN})?"), F.lit(0))
+    kept = F.filter(F.transform(pieces, lambda w, i: F.when(~F.array_contains(F.col(f"`{n}`"), i), w)), lambda w: w.isNotNull())
+    rest = F.concat(F.regexp_extract("text", rf"^(?:{_BETWEEN})?", 0), F.array_join(kept, ""))
+    joined = docs.withColumns({a: id_, b: text}).join(cut, [a, b], "left")
+    return joined.withColumn("text", F.when(F.col(f"`{n}`").isNull(), F.col("text")).otherwise(rest)).select(*[F.col(f"`{c}`") for c in docs.columns])

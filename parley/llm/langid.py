@@ -9,7 +9,10 @@ by table lookups; the answer is the language with the shortest code.
 
 Defined results: null text and text without a letter give `und` with score 0;
 languages without labelled rows are not learned; without any labelled row every
-text gives `und`. Labels are read in training only.
+text gives `und`; of languages with equal code lengths the first by name is
+taken; a very long text is coded whole; repeated rows are each answered; an
+empty table gives an empty one. Columns named lang_pred, score or bits_per_byte
+stay, and the new ones get an underscore. Labels are read in training only.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from parley.llm._shared import unused
 ORDER = 3
 #: Labelled rows that training reads for each language, about, drawn by a hash of the row.
 SAMPLE_ROWS = 400
-#: Different bytes that contexts tell apart at most; the rarest others share one class.
+#: Classes that contexts tell apart: one for the start of a text, one for each of the most frequent bytes, one for all others,
+#: of which the byte itself is then coded by its own frequency, so that code lengths are those of bytes, not of classes.
 CLASSES = 128
 #: A text is rejected when even its best language needs more bits a byte than this.
 MAX_BITS = 7.0
@@ -39,10 +43,11 @@ MAX_BITS = 7.0
 @dataclass
 class Model:
     """Code lengths in bits, a column for each language: `dense` by runs of up to ORDER classes, `cost` by the longer runs
-    in `slots`; `skip` holds what escaping from a context in `homes` costs before `dense` applies."""
+    in `slots`; `skip` holds what escaping from a context in `homes` costs before `dense` applies. `member` is what each byte costs within its class."""
 
     langs: list[str]
     classes: np.ndarray
+    member: np.ndarray
     width: int
     dense: np.ndarray
     slots: np.ndarray
@@ -109,10 +114,12 @@ def train(samples: dict[str, pa.Array]) -> Model:
     langs = sorted(samples)
     texts = [X.texts_of(samples[x]) for x in langs]
     seen = np.sum([np.bincount(t.data, minlength=256) for t in texts], axis=0)
-    kept = np.argsort(-seen, kind="stable")[: CLASSES - 1]
+    kept = np.argsort(-seen, kind="stable")[: CLASSES - 2]
     kept = np.sort(kept[seen[kept] > 0])
-    classes, width = np.zeros(256, np.uint32), len(kept) + 1
-    classes[kept] = np.arange(1, width)
+    classes, width = np.full(256, len(kept) + 1, np.uint32), len(kept) + 2
+    classes[kept] = np.arange(1, len(kept) + 1)
+    rest = classes == len(kept) + 1
+    member = np.where(rest, np.log2((seen[rest].sum() + rest.sum()) / (seen + 1)), 0.0)
     dense = np.empty((width**ORDER, len(langs)), np.float32)
     runs = []
     for j, t in enumerate(texts):
@@ -139,7 +146,7 @@ def train(samples: dict[str, pa.Array]) -> Model:
         cost[np.searchsorted(keys, run), j] = own - np.log2(count)
     slots, cost = _stored(keys, cost)
     homes, skip = _stored(contexts, skip)
-    return Model(langs, classes, width, dense, slots, cost, homes, skip)
+    return Model(langs, classes, member, width, dense, slots, cost, homes, skip)
 
 
 def code_lengths(model: Model, t: X.Texts) -> np.ndarray:
@@ -153,11 +160,12 @@ def code_lengths(model: Model, t: X.Texts) -> np.ndarray:
     missed = np.flatnonzero(~hit)
     home = _found(model.homes, long_[missed] // np.uint32(model.width))
     full = np.flatnonzero(np.diff(t.bounds))
+    within = model.member[t.data]
     for j in range(len(model.langs)):
         bits = np.empty(len(short), np.float64)
         bits[hit] = model.cost[at[hit], j]
         bits[missed] = model.dense[short[missed], j] + np.where(home >= 0, model.skip[home, j], 0)
-        out[full, j] = np.add.reduceat(bits, t.bounds[:-1][full])
+        out[full, j] = np.add.reduceat(bits + within, t.bounds[:-1][full])
     return out
 
 

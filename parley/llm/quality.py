@@ -13,8 +13,10 @@ punctuation, repetition of words, word pairs and lines, line lengths.
 
 Defined results: null text counts as empty and is scored as well; without
 labelled rows every score is 0.5; with one class only, scores are its share
-with one pseudo-row. Rows that repeat a doc_id are each scored. labels, lang,
-source and doc_id never enter a score.
+with one pseudo-row; texts with equal features tie; a very long text is a batch
+of its own, whole. Rows that repeat a doc_id are each scored; an empty table
+gives an empty one. A column named quality_score stays, and the new one is
+quality_score_. labels, lang, source and doc_id never enter a score.
 """
 
 from __future__ import annotations

@@ -141,11 +141,9 @@ def token_summary(docs: DataFrame) -> DataFrame:
     from parley.llm._shared import Scratch, checkpointed
     from parley.llm.tokenids import summarise_corpus, write_corpus
 
-    files = Scratch(docs.sparkSession, "corpus")
-    write_corpus(docs, files.path, public_tokenizers.path("word_bpe_49k.json"), end=2)
-    done = checkpointed(summarise_corpus(docs.sparkSession, files.path))
-    files.delete()
-    return done
+    with Scratch(docs.sparkSession, "corpus") as files:
+        write_corpus(docs, files.path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+        return checkpointed(summarise_corpus(docs.sparkSession, files.path))
 
 
 @_query

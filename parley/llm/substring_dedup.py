@@ -18,8 +18,11 @@ A task that sees a window twice marks its places at once and sends one row on
 for it, so a passage of very many documents gives a row for each task.
 
 Defined results: null text has no words and stays null; rows that repeat a
-document repeat all its windows; texts shorter than a window are kept whole.
+document repeat all its windows; texts shorter than a window are kept whole; a
+very long text is a batch of its own, whole; an empty table gives an empty one.
 Kept words are joined by single spaces where something was removed or not.
+Columns named n_words or n_removed stay, and the new ones get an underscore.
+Windows count as equal when 96 bits of their words' 64-bit hashes agree.
 """
 
 from __future__ import annotations
@@ -250,7 +253,7 @@ def _cutting(size: int, text: str, runs: str, added: list[str]):
                 texts = [joined[a : max(a, b - 1)].decode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 n = np.diff(first)
                 new = [pa.array(texts, pa.string()), pa.array(n), pa.array(n - np.diff(kept[first]))]
-                out = {c: part.column(c) for c in part.schema.names if c not in (runs, "k_id", "k_text")}
+                out = {c: part.column(c) for c in part.schema.names if c != runs}
                 out[text] = pa.array([None if not v else x for v, x in zip(part.column(text).is_valid().to_pylist(), texts, strict=True)], pa.string())
                 out |= dict(zip(added, new[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
@@ -270,7 +273,9 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     places = entries.groupBy("bucket").applyInArrow(_grouping, "k_id string, k_text long, runs binary")
     marks = checkpointed(places.groupBy("k_id", "k_text").agg(F.collect_list("runs").alias("runs")))
     runs, added = unused(docs, "runs"), [unused(docs, "n_words"), unused(docs, "n_removed")]
-    key = row_key() if "doc_id" in docs.columns else [F.lit("null").alias("k_id"), F.xxhash64("text").alias("k_text")]
-    joined = docs.select("*", *key).join(marks.withColumnRenamed("runs", runs), ["k_id", "k_text"], "left").select(*docs.columns, runs)
+    id_, hash_ = unused(docs, "k_id"), unused(docs, "k_text")
+    key = row_key() if "doc_id" in docs.columns else [F.lit("null"), F.xxhash64("text")]
+    marks = marks.select(F.col("k_id").alias(id_), F.col("k_text").alias(hash_), F.col("runs").alias(runs))
+    joined = docs.withColumns({id_: key[0], hash_: key[1]}).join(marks, [id_, hash_], "left").select(*[F.col(f"`{c}`") for c in docs.columns], runs)
     schema = docs.withColumns({a: F.lit(0).cast("long") for a in added}).schema
     return joined.mapInArrow(_cutting(size, "text", runs, added), schema)

@@ -17,7 +17,12 @@ Texts are split at white space and each distinct word is encoded once by the
 tokenizer, which gives the same ids as encoding the text for a tokenizer that
 drops white space. Where its file says that it lower-cases and splits letters
 from punctuation, words are folded to lower case and their last marks are words
-of their own, so fewer words are encoded, and many at once. Null text is empty. Rows that repeat a doc_id stay rows.
+of their own, so fewer words are encoded, and many at once.
+
+Defined results: null text is empty and gets the end id alone; rows that repeat
+a doc_id stay rows, in order of their texts' hashes; a very long text is encoded
+whole; an empty table gives files without blocks; ids of equal frequency rank by
+id; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -10,10 +10,12 @@ its own label is left out of the lexicon's counts. Boosting fits shallow trees
 to histograms of binned features; isotonic regression on out-of-fold sums turns
 the trees' sum into a probability.
 
-Defined results: null text counts as empty and is scored as well; without
-labelled rows every score is 0; with one class only, scores are that class.
-Rows that repeat a doc_id are each scored. labels, lang, source and doc_id
-never enter a score.
+Defined results: null text counts as empty and is scored as well; a very long
+text is a batch of its own, whole; without labelled rows every score is 0; with
+one class only, scores are that class; texts with equal features tie. Rows that
+repeat a doc_id are each scored; an empty table gives an empty one. A column
+named toxicity stays, and the new one is toxicity_. labels, lang, source and
+doc_id never enter a score.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from parley.llm import _labelled as L
 from parley.llm import _text as X
 from parley.llm._shared import checkpointed, unused
 
-#: Rows of each class that training reads at most, about; terms of the lexicon at most, the surest ones.
-SAMPLE_ROWS, MOST_TERMS = 10_000, 50_000
+#: Rows of each class that training reads at most, about; the lexicon holds terms of these rows alone.
+SAMPLE_ROWS = 10_000
 #: Documents a term occurs in at least; the part of them that is toxic at least.
 LEAST_DOCS, LEAST_TOXIC = 3, 0.7
 PREFIXES = (4, 5, 6)
@@ -157,7 +159,7 @@ def features(column: pa.Array, lexicon: Lexicon, y: np.ndarray | None = None, we
     shouted = inside(L.UPPER[d]) & ~inside(L.LOWER[d]) & (we - ws > 2)
     words = np.diff(wf)
     cols = [
-        np.log1p(count), best, second, np.minimum(by(o[sure], odds[sure]), 60), np.minimum(by(o[sure]), 60), by(o[kinds[sure[kinds]]]), L.share(by(o[sure]), count), np.minimum(by(o[sure & ~whole]), 60), L.share(by(o[sure & ~whole]), count), by(owner[strong[near]]),
+        np.log1p(count), best, second, by(o[sure], odds[sure]), by(o[sure]), by(o[kinds[sure[kinds]]]), L.share(by(o[sure]), count), by(o[sure & ~whole]), L.share(by(o[sure & ~whole]), count), by(owner[strong[near]]),
         L.share(by(owner, person), count), L.share(L.per_text(L.UPPER[d], b), size), L.share(by(wo, shouted), words), L.share(L.per_text(_MARK[d], b), size), L.share(L.per_text(_PUNCTUATION[d], b), size),
         L.share(by(wo, inside(_INSIDE[d] & inner)), words), L.share(by(wo, inside(L.DIGIT[d] & inner)), words), L.share(by(wo, inside(long_)), words),
     ]
@@ -261,7 +263,7 @@ def learn_lexicon(sample: DataFrame, p: float) -> Lexicon:
     """The lexicon of labelled rows (text, y, weight), of which the weighted part p is toxic."""
     sums = sample.mapInArrow(_counting, "term long, n double, a double, wn double, wa double").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "a", "wn", "wa")])
     sure = sums.where((F.col("n") >= LEAST_DOCS) & (F.col("a") >= LEAST_TOXIC * F.col("n")) & (F.col("wa") >= LEAST_TOXIC * F.col("wn")))
-    rows = sure.orderBy(F.col("a").desc(), "n", "term").limit(MOST_TERMS).select("term", "wn", "wa").toArrow()
+    rows = sure.select("term", "wn", "wa").toArrow()
     term, n, a = (rows.column(c).to_numpy() for c in ("term", "wn", "wa"))
     term = term.view(np.uint64)
     order = np.argsort(term)

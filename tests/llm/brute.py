@@ -71,3 +71,72 @@ def contamination(docs, items, size):
                     ids |= names
         out.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
     return sorted(out)
+
+
+def targets(sizes, weights, most=3):
+    """What each source should give: shares by weight of the sum of all sizes, none above most times its size."""
+    out, left, rest = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while left:
+        share = rest / sum(weights[i] for i in left)
+        over = {i for i in left if share * weights[i] > most * sizes[i]}
+        if not over:
+            return [share * weights[i] if i in left else x for i, x in enumerate(out)]
+        for i in over:
+            out[i] = float(most * sizes[i])
+        rest, left = rest - sum(out[i] for i in over), left - over
+    return out
+
+
+def mix(draws, weights, most=3, temper=0.5):
+    """(doc_id, size, source_size, target, taken) of rows (doc_id, text, source, u): documents sorted by rank, up to the words that are left, and the one that closes the gap best."""
+    sized = [(i, text, s, len(SPACED.findall(text or "")), u) for i, text, s, u in draws]
+    names = sorted({s for _, _, s, _, _ in sized}, key=lambda s: (s is None, (s or "").encode()))
+    words = {n: sum(x[3] for x in sized if x[2] == n) for n in names}
+    want = dict(zip(names, targets([words[n] for n in names], [weights[k % len(weights)] for k in range(len(names))], most), strict=True))
+    out = []
+    for n in names:
+        rows = [x for x in sized if x[2] == n]
+        whole = int(want[n] // words[n]) if words[n] else 0
+        left, power = want[n] - whole * words[n], sum(x[3] ** (1 + temper) for x in rows)
+        p = [min(1.0, left / power * x[3] ** temper) if power else 0.0 for x in rows]
+        rank = {k: x[4] / (1 - x[4]) * (1 - p[k]) / p[k] for k, x in enumerate(rows) if x[3] and p[k] > 0}
+        groups = defaultdict(list)  # rows that repeat are taken together
+        for k in rank:
+            groups[rank[k], str(rows[k][0]), rows[k][1]].append(k)
+        taken, got, rest = set(), 0, []
+        for g in sorted(groups):
+            size = sum(rows[k][3] for k in groups[g])
+            if not rest and got + size <= left:
+                taken |= set(groups[g])
+                got += size
+            else:
+                rest.append(g)
+        closing = [(abs(left - got - rows[groups[g][0]][3]), g) for g in rest if abs(left - got - rows[groups[g][0]][3]) < left - got]
+        if closing:
+            taken |= set(groups[min(closing)[1]])
+        out += [(x[0], x[3], words[n], round(want[n], 6), x[3] * (whole + (k in taken)) if x[3] else 0) for k, x in enumerate(rows)]
+    return out
+
+
+def code_length(texts, text, order=3):
+    """Bits of a text (bytes) in a context tree of the texts: the longest context first, an escape of kinds / (total + kinds) where a byte is new to it, 8 bits at last."""
+    import math
+
+    follows = defaultdict(Counter)
+    for t in texts:
+        padded = [None] * order + list(t)
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                follows[tuple(padded[i - k : i])][padded[i]] += 1
+    bits, padded = 0.0, [None] * order + list(text)
+    for i in range(order, len(padded)):
+        for k in range(order, -1, -1):
+            seen = follows.get(tuple(padded[i - k : i]))
+            if seen and padded[i] in seen:
+                bits -= math.log2(seen[padded[i]] / (seen.total() + len(seen)))
+                break
+            if seen:
+                bits -= math.log2(len(seen) / (seen.total() + len(seen)))
+        else:
+            bits += 8
+    return bits

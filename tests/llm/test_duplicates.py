@@ -169,3 +169,37 @@ def test_vectors_repeated_ids_and_ties(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, unit string")
     got = sorted(map(tuple, vector_dedup.near_vectors(df, 0.6).collect()))
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False)]
+
+
+def test_clashing_columns_stay(spark):
+    """Columns with the names of what the operators add in between."""
+    rows = [(1, "a b c d e f", "i", "t", "h"), (2, "a b c d e f", "i", "t", "h"), (2, "x a b c d e f", "i", "t", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k_id string, k_text string, hit string")
+    got = substring_dedup.remove_repeats(df, 4)
+    assert got.columns == [*df.columns, "n_words", "n_removed"] and sorted(r["n_removed"] for r in got.collect()) == [6, 6, 6]
+    items = spark.createDataFrame([(1, "C d")], "item_id long, text string")
+    assert decontaminate.keep_clean(df, items).count() == 0
+    cut = decontaminate.without_spans(df, items)
+    assert cut.columns == df.columns and sorted(r["text"] for r in cut.collect()) == ["a b e f", "a b e f", "x a b e f"]
+
+
+def test_spans_go_with_their_separators(spark):
+    rows = [(1, "..One, two; THREE four!"), (2, "one"), (3, None), (4, "two one three"), (1, "..One, two; THREE four!")]
+    items = spark.createDataFrame([(1, "two three"), (2, "Four")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in decontaminate.without_spans(spark.createDataFrame(rows, "doc_id long, text string"), items).collect())
+    assert got == [(1, "..One, "), (1, "..One, "), (2, "one"), (3, None), (4, "two one three")]
+
+
+def test_folding_is_the_same_on_both_sides(spark):
+    """Lower case of a capital sigma depends on what stands around it; only A-Z is lowered."""
+    docs = spark.createDataFrame([(1, "ΑΣ'Α ist da"), (2, "ΑΣ x"), (3, "ας")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ΑΣ")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["n_hit"]) for r in decontaminate.contamination(docs, items).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_near_duplicates_with_one_id_twice(spark):
+    """Rows that repeat a doc_id are one node, which links by any of its texts."""
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "p q r s t u v"), (9, "p q r s t u v"), (9, "p q r s t u v"), (7, "lone text of its own here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(df).collect()}
+    assert got == {(1, 1), (5, 1), (9, 1), (7, 7)}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import chat, mixing, tokenids
 from tests.conftest import same_rows
+from tests.llm import brute
 
 
 def test_escapes_are_undone_and_leave_no_control_string(spark):
@@ -124,7 +125,7 @@ def test_mix(spark):
     sizes = {i: len((t or "").split()) for i, t, _, _ in rows}
     names = sorted({s for _, _, s, _ in rows if s is not None}) + [None]
     total = {s: sum(sizes[i] for i, _, x, _ in rows if x == s) for s in names}
-    want = dict(zip(names, mixing.targets([total[s] for s in names], [1 + k % 3 for k in range(len(names))]), strict=True))
+    want = dict(zip(names, brute.targets([total[s] for s in names], [1 + k % 3 for k in range(len(names))]), strict=True))
     assert abs(sum(want.values()) - sum(sizes.values())) < 1e-6 or any(want[s] == 3 * total[s] for s in names)
     for s in names:
         mine = [x for x in got if x["source"] == s]
@@ -135,5 +136,35 @@ def test_mix(spark):
 
 
 def test_targets_stop_at_three_times():
-    assert mixing.targets([10, 100, 0], [1, 1, 1]) == [30.0, 80.0, 0.0]
-    assert mixing.targets([], []) == []
+    assert brute.targets([10, 100, 0], [1, 1, 1]) == [30.0, 80.0, 0.0]
+    assert brute.targets([], []) == []
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_mix_equals_brute_force(spark, monkeypatch, broadcast):
+    """Sizes, ties, repeated rows, a null source, an empty source and one that is capped; with and without a broadcast plan."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    r = random.Random(4)
+    rows = [(i, " ".join(["w"] * r.choice([1, 1, 3, 9, 40])), r.choice(["a", "b", "b", "b", "é", "Z", None])) for i in range(400)]
+    rows += [rows[0], (500, None, "a"), (501, " ", "void"), (502, "x " * 5000, "b"), (None, "x y", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("mine"))
+    draws = df.select("doc_id", "text", "source", ((F.shiftrightunsigned(F.xxhash64(F.lit(1), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text")), 12) + F.lit(0.5)) / float(1 << 52)).alias("u")).collect()
+    got = mixing.mix(df, (1, 2, 3))
+    assert got.columns == ["doc_id", "text", "source", "size", "size_", "source_size", "target", "copies", "taken"]
+    found = sorted(((x["doc_id"], x["size_"], x["source_size"], round(x["target"], 6), x["taken"]) for x in got.collect()), key=repr)
+    assert found == sorted(brute.mix([tuple(x) for x in draws], (1, 2, 3)), key=repr)
+
+
+def test_many_sources_are_planned(spark):
+    """More sources than a range partition holds: weights follow the code points across partitions."""
+    rows = [(i, "w " * (1 + i % 5), f"s{i:05d}") for i in range(3000)]
+    got = {x["source"]: x["target"] for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = brute.targets([1 + i % 5 for i in range(3000)], [1 + i % 3 for i in range(3000)])
+    assert np.allclose([got[f"s{i:05d}"] for i in range(3000)], want)
+
+
+def test_table_roles_and_columns_stay(spark):
+    """Roles of a typed table are no other names, and columns of another mapping are not read."""
+    table = spark.createDataFrame([(1, 0, "human", "q", 9, "p"), (1, 1, "model", "a" * 300_000, 9, "p")], "conv_id long, turn long, role string, text string, id long, prompt string")
+    got = sorted((r["turn"], r["role"], len(r["text"])) for r in chat.canonical_table(table).collect())
+    assert got == [(0, "human", 1), (1, "model", 300_000)]

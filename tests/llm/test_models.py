@@ -9,8 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from parley.llm import _text as X
 from parley.llm import langid, quality, toxicity
 from parley.llm.queries import QUERIES
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.01"
 EDGES = [None, "", " ", "1234 !!", "x", "word " * 20000, "퟿\U0001f600 é", "a\x00b"]
@@ -79,9 +81,36 @@ def test_scores_add_up_from_tables():
 
 def test_code_lengths_are_exact():
     """The tables give the same code as coding byte by byte with escapes."""
-    model = langid.train({"a": pa.array(["abracadabra abracadabra", "cad"]), "b": pa.array(["zzz xyz"])})
-    from parley.llm import _text as X
-
-    t = X.texts_of(pa.array(["abra", "zz", ""]))
-    bits = langid.code_lengths(model, t)
-    assert bits.shape == (3, 2) and bits[0].argmin() == 0 and bits[1].argmin() == 1 and (bits[2] == 0).all()
+    trained = {"a": ["abracadabra abracadabra", "cad", "é"], "b": ["zzz xyz", ""]}
+    model = langid.train({k: pa.array(v) for k, v in trained.items()})
+    texts = ["abra", "zz", "", "abracadabra xyz é", "a", "zyx cadabra" * 50]
+    bits = langid.code_lengths(model, X.texts_of(pa.array(texts)))
+    for j, name in enumerate(model.langs):
+        want = [brute.code_length([t.encode() for t in trained[name]], t.encode()) for t in texts]
+        assert np.allclose(bits[:, j], want, atol=1e-4)
+
+
+def test_rare_bytes_keep_their_own_cost(monkeypatch):
+    """With few classes, bytes that share one are told apart by their own frequency: codes of all bytes after a context sum to 1 at most."""
+    monkeypatch.setattr(langid, "CLASSES", 5)
+    model = langid.train({"a": pa.array(["abcdefgh abcdefgh aaa bbb"])})
+    one = [bytes([b]) for b in range(128)]
+    bits = langid.code_lengths(model, X.texts_of(pa.array([b"".join([b"ab", c]).decode() for c in one])))[:, 0] - langid.code_lengths(model, X.texts_of(pa.array(["ab"])))[0, 0]
+    assert np.exp2(-bits).sum() <= 1 and len({round(bits[ord(c)], 3) for c in "cx"}) == 2
+
+
+def test_empty_and_repeated_rows(spark):
+    """Empty tables are answered, and rows that repeat are each answered alike."""
+    rows = [(i, "good words here" if i % 2 else "$$ %% ##", "en" if i % 2 else "de") for i in [*range(40), 7, 7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        model = module.fit(docs, marks, F.lit(True))
+        assert module.predict(docs.where("false"), model).count() == 0
+        assert len({r["score"] for r in module.predict(docs, model).where("doc_id = 7").collect()}) == 1
+        assert module.predict(docs, model).where("doc_id = 7").count() == 3
+        clash = docs.withColumn("quality_score", F.lit("q")).withColumn("toxicity", F.lit("t"))
+        assert module.score(clash, model).columns[-1] in ("quality_score_", "toxicity_")
+    model = langid.fit(docs, F.lit(True))
+    assert langid.identify(docs.where("false"), model).count() == 0
+    assert len({tuple(r) for r in langid.predict(docs, model).where("doc_id = 7").collect()}) == 1
