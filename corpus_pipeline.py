@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again for the next one. All but the last return the columns
 of documents; the last returns doc_id, start, n_tokens and ids_crc32 as they
 read back from the token files, a row for each copy that the mix takes.
+
+Defined results: rows with null or empty text go with language_id, as they have
+no letter; rows that repeat a doc_id and a text stay until near_dedup, which
+keeps all rows of the smallest doc_id of a group; null ids are kept and never
+linked; a very long text is handled whole; an empty table stays empty through
+all stages; columns of other names, such as those that an operator adds
+itself, are carried on as they are.
 """
 
 from __future__ import annotations
@@ -58,11 +65,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark, "pipeline")
-    before = ""
-    for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
-        if before:
-            scratch.delete(before)
-        before = name
+    scratch, before = Scratch(spark, "pipeline"), ""
+    try:
+        for name, stage in STAGES:
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+            if before:
+                scratch.delete(before)
+            before = name
+    except BaseException:
+        scratch.delete()
+        raise
     return docs
