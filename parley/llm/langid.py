@@ -126,11 +126,14 @@ def train(samples: dict[str, pa.Array]) -> Model:
         short, long_ = _codes(t, classes, width)
         cost = np.full(1, 8.0)
         for k in range(1, ORDER + 1):
-            count = np.bincount(short % width**k, minlength=width**k).reshape(-1, width).astype(float)
-            total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
+            count = np.bincount(short % width**k, minlength=width**k).reshape(-1, width).astype(np.float32)
+            total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True).astype(np.float32)
             escape = np.where(total > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0)
-            shorter = np.tile(cost.reshape(-1, width) if k > 1 else np.full((1, width), 8.0), (len(count) // max(len(cost) // width, 1), 1))
-            cost = np.where(count > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(count, 1)), escape + shorter).reshape(-1)
+            next_ = np.tile(cost.reshape(-1, width) if k > 1 else np.full((1, width), 8.0, np.float32), (len(count) // max(len(cost) // width, 1), 1))
+            next_ += escape
+            seen_ = count > 0
+            np.log2(np.maximum(total + kinds, 1) / np.maximum(count, 1), out=next_, where=seen_)
+            cost = next_.reshape(-1)
         dense[:, j] = cost
         runs.append(np.unique(long_, return_counts=True))
     keys = np.unique(np.concatenate([r for r, _ in runs]))

@@ -199,14 +199,14 @@ def _cross(held: DataFrame, texts: DataFrame, scratch: Scratch, shingle: int, pe
     blocks = large.select("key", F.col("c").alias("c_b"), F.col("n_c").alias("n_b"), "part").distinct()
     size = F.coalesce("n_c", F.lit(0))
     coming = held.join(blocks, "key").where((size < F.col("n_b")) | ((size == F.col("n_b")) & (F.col("c") < F.col("c_b"))))
-    coming = coming.select("c_b", "part", "id", "c").distinct()
+    coming = scratch.write(coming.select("c_b", "part", "id", "c").distinct(), "coming")
     parts = coming.groupBy("c_b", "part").agg(F.count("*").alias("n_in"))
     coming = coming.join(parts, ["c_b", "part"]).select("c_b", "part", dealt("n_in").alias("j"), F.lit(1).alias("side"), "id", "c")
     own = large.select(F.col("c").alias("c_b"), "part", "id", "c").distinct().join(parts, ["c_b", "part"])
     own = own.select("c_b", "part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_in") / BLOCK).cast("int") - 1)).alias("j"), F.lit(0).alias("side"), "id", "c")
     wide = own.unionByName(coming).select(F.col("c_b").alias("key"), F.col("part").alias("p0"), (-1 - F.col("j")).alias("p1"), F.col("side").alias("part"), "id", "c")
 
-    met = small.unionByName(wide)
+    met = scratch.write(small.unionByName(wide), "met")
     return met.join(texts, "id").groupBy("key", "p0", "p1").applyInArrow(_cross_links(shingle, percent), "a long, b long").distinct()
 
 
@@ -249,7 +249,8 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int, percent: i
 
     # Groups so far: documents of one group are linked by a path, but a component may still be several groups.
     above = links.select(F.col("b").alias("a"), F.col("a").alias("top"))  # each b has one a
-    group = links.join(above, "a", "left").select(F.col("b").alias("id"), F.coalesce("top", "a").alias("c"))
+    group = scratch.write(links.join(above, "a", "left").select(F.col("b").alias("id"), F.coalesce("top", "a").alias("c")), "group")
+    links = group.select(F.col("c").alias("a"), F.col("id").alias("b"))  # the same components, and shorter paths
 
     def held_by(group: DataFrame) -> DataFrame:
         """Buckets with the group c of each member so far, a member's own id where it has no link."""
