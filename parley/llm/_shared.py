@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators.graph import checkpointed, components, shared_folder
 
-__all__ = ["Scratch", "checkpointed", "components", "row_key", "shared_folder", "unused"]
+__all__ = ["Scratch", "checkpointed", "components", "give_back", "row_key", "shared_folder", "unused"]
 
 
 class Scratch:
@@ -34,6 +36,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system where the C library can; training leaves large arrays behind in a driver that lives on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: A second key beside doc_id: rows that share an id but not a text stay apart, rows that share both are alike anyway.
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list:
     """Two columns, k_id and k_text, never null, by which results can be joined back to their rows."""

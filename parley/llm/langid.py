@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm import _text as X
-from parley.llm._shared import unused
+from parley.llm._shared import give_back, unused
 
 #: Bytes of context at most.
 ORDER = 3
@@ -186,7 +186,9 @@ def fit(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS) -> Mode
     drawn = rows.where(draw <= rate).select("lang", "text").toArrow()
     lang = drawn.column("lang")
     samples = {x: drawn.filter(pc.equal(lang, x)).column("text") for x in sorted(sizes)}
-    return train({x: v for x, v in samples.items() if len(v)})
+    model = train({x: v for x, v in samples.items() if len(v)})
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
