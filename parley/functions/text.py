@@ -54,6 +54,14 @@ def merged_content(*parts: Column | str) -> Column:
     return F.array_join(F.filter(F.transform(F.array(*parts), lambda p: F.trim(p)), lambda p: p != ""), " ")
 
 
+def spaced_word(text: Column | str, is_first: Column) -> Column:
+    """A word as it is put after others: no space before the first word and before closing punctuation, else one at least; blank text stays."""
+    text = F.col(text) if isinstance(text, str) else text
+    bare = F.regexp_replace(text, r"^\s+", "")
+    joins = bare.rlike(r"^[,.;:!?)}\]']")
+    return F.when(bare == "", text).when(is_first, bare).when(F.startswith(text, F.lit(" ")), text).when(joins, bare).otherwise(F.concat(F.lit(" "), bare))
+
+
 def normalised_list(terms: Column | str) -> Column:
     """Terms trimmed, single-spaced, of two characters at least, each once in any case, in order of first appearance."""
     neat = F.filter(F.transform(terms, lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: F.length(t) >= 2)

@@ -82,6 +82,60 @@ def merged(blocks: DataFrame, gap: int = DISPLAY_GAP) -> DataFrame:
     return out.drop("_run")
 
 
+def propagated(blocks: DataFrame) -> DataFrame:
+    """A second pass over blocks: one joins the block of its channel before it if both have the same human, or the same speaker without one, and the gap and the caps allow.
+
+    Islands are made by windows; only islands that exceed a cap go on to a fold
+    in order, island by island.
+    """
+    w = Window.partitionBy("transcript", "channel").orderBy("start_ms", "end_ms", "text")
+    same = F.when(F.col("human").isNotNull() & F.lag("human").over(w).isNotNull(), F.col("human") == F.lag("human").over(w)).otherwise(F.struct("human", "speaker_index").eqNullSafe(F.lag(F.struct("human", "speaker_index")).over(w)))
+    fresh = F.when(same & (F.col("start_ms") - F.lag("end_ms").over(w) <= GAP), 0).otherwise(1)
+    rows = blocks.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    keys = ["transcript", "channel", "_island"]
+    over = rows.groupBy(*keys).agg(F.sum("n").alias("_n"), (F.max("end_ms") - F.min("start_ms")).alias("_span")).where((F.col("_n") > MOST_WORDS) | (F.col("_span") > MOST_MS)).select(*keys)
+    short = rows.join(over, keys, "left_anti").withColumn("_block", F.lit(0).cast("long"))
+    names = short.columns
+
+    def cut(island: pd.DataFrame) -> pd.DataFrame:
+        island = island.sort_values(["start_ms", "end_ms", "text"])
+        block, n, begin, out = 0, 0, None, []
+        for start, end, words in zip(island["start_ms"], island["end_ms"], island["n"], strict=True):
+            if n and (n + words > MOST_WORDS or end - begin > MOST_MS):
+                block, n = block + 1, 0
+            begin = start if not n else begin
+            n += words
+            out.append(block)
+        return island.assign(_block=out)[names]
+
+    long_ = rows.join(over, keys, "left_semi").groupBy(*keys).applyInPandas(cut, short.schema)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"]), " ")
+    first = lambda c: F.min_by(c, F.struct("start_ms", "end_ms", "text")).alias(c)
+    out = short.unionByName(long_).groupBy(*keys, "_block").agg(first("speaker_index"), first("human"), text.alias("text"), F.min("start_ms").alias("_s"), F.max("end_ms").alias("end_ms"), F.sum("n").alias("n"))
+    return out.withColumnRenamed("_s", "start_ms").select(*blocks.columns)
+
+
+def neutral_words(words: DataFrame, hints: DataFrame, participants: DataFrame, own: str) -> DataFrame:
+    """Adds neutral: the word's label says nothing, as its transcript has one channel, one speaker and one assigned human at most though others took part, and no one assigned the word by hand.
+
+    words: (transcript, id, channel, speaker_index); hints: (transcript, scope,
+    word_id, channel, speaker_index, human, by_hand); participants: (transcript, human).
+    """
+    spoken = words.groupBy("transcript").agg(F.countDistinct("channel").alias("_c"), F.countDistinct(F.when(F.col("speaker_index").isNotNull(), F.struct("channel", "speaker_index"))).alias("_s"))
+    machine = hints.where("not by_hand").groupBy("transcript").agg(F.countDistinct("human").alias("_h"))
+    others = participants.where((F.col("human") != "") & (F.col("human") != own)).select("transcript").distinct()
+    mixed = spoken.join(machine, "transcript", "left").where((F.col("_c") <= 1) & (F.col("_s") <= 1) & (F.coalesce("_h", F.lit(0)) <= 1)).select("transcript").join(others, "transcript", "left_semi")
+    hand = hints.where("by_hand and human is not null")
+    by_word = hand.where("scope = 'word'").select("transcript", F.col("word_id").alias("id")).distinct()
+    by_speaker = hand.where("scope = 'speaker' and speaker_index is not null").select("transcript", "channel", "speaker_index").distinct()
+    by_channel = hand.where("scope = 'speaker' and speaker_index is null or scope = 'channel'").select("transcript", "channel").distinct()
+    flag = lambda df, name: df.withColumn(name, F.lit(True))
+    j = words.join(flag(mixed, "_mixed"), "transcript", "left").join(flag(by_word, "_w"), ["transcript", "id"], "left")
+    j = j.join(flag(by_speaker, "_sp"), ["transcript", "channel", "speaker_index"], "left").join(flag(by_channel, "_ch"), ["transcript", "channel"], "left")
+    no = lambda c: F.col(c).isNull()
+    return j.withColumn("neutral", F.col("_mixed").isNotNull() & no("_w") & no("_sp") & no("_ch")).select(*words.columns, "neutral")
+
+
 def labelled(blocks: DataFrame, names: DataFrame, own: str) -> DataFrame:
     """Adds label: the human's name, 'You' for one's own, else 'Speaker n' by first appearance in the transcript."""
     unknown = blocks.where("human is null").groupBy("transcript", "channel", "speaker_index").agg(F.min("start_ms").alias("first"))

@@ -133,7 +133,7 @@ def _runs(spark, sf):
     return I.runs(_events(spark, sf), ["user_id"], F.col("t"), F.col("t"), 6 * _HOUR, ["event_id"])
 
 
-@query("activity_runs", _RUNS + ' SELECT user_id, run, "start", "end", n FROM runs', covers="w_runs w_gapseg s_chunk_merge")
+@query("activity_runs", _RUNS + ' SELECT user_id, run, "start", "end", n FROM runs', covers="w_runs w_gapseg")
 def activity_runs(spark, sf):
     return _runs(spark, sf)
 

@@ -184,7 +184,7 @@ def replace_set(spark, sf):
     return M.replace_set(rows, rows.where("c_mktsegment = 'BUILDING' and c_custkey % 2 = 0"), "c_custkey", F.col("c_mktsegment") == "BUILDING", "gone")
 
 
-@query("expire", "SELECT event_id, CASE WHEN ts + INTERVAL 5 DAY <= TIMESTAMP '2024-01-15' THEN 'expired' END AS deleted_at FROM events", covers="x_expire x_promote")
+@query("expire", "SELECT event_id, CASE WHEN ts + INTERVAL 5 DAY <= TIMESTAMP '2024-01-15' THEN 'expired' END AS deleted_at FROM events", covers="x_expire")
 def expire(spark, sf):
     e = load(spark, sf, "events").select("event_id", (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("expires_at"), F.lit(None).cast("string").alias("deleted_at"))
     return M.expire(e, "expires_at", F.lit("2024-01-15").cast("timestamp_ntz"), "expired").select("event_id", "deleted_at")
@@ -193,7 +193,7 @@ def expire(spark, sf):
 @query(
     "append_once",
     """SELECT count(*) AS n, count(DISTINCT id) AS ids, min(id) AS first_id FROM (SELECT DISTINCT 'msg:' || sha256(concat_ws(':', user_id, event_type)) AS id FROM events)""",
-    covers="x_hash_id_insert x_stable_id x_create_once",
+    covers="x_hash_id_insert x_stable_id",
 )
 def append_once(spark, sf):
     e = load(spark, sf, "events").select("user_id", "event_type")

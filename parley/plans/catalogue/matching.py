@@ -129,7 +129,7 @@ def _decided(spark):
     return spark.createDataFrame([("License", "Licence")], "canonical string, alias string"), spark.createDataFrame([("Public", "Publik")], "canonical string, alias string")
 
 
-@query("name_proposals", None, covers="v_candidates v_recurrence v_scan a_recurrence o_proposals sf_is_inflection j_fuzzy_block sf_koelner")
+@query("name_proposals", None, covers="v_candidates v_recurrence a_recurrence o_proposals sf_is_inflection j_fuzzy_block sf_koelner")
 def name_proposals(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     found = O.candidates(docs, _ordinary(spark).withColumnRenamed("common", "word"))

@@ -26,7 +26,7 @@ def vtt_round_trip(spark, sf):
 @query(
     "front_matter",
     "SELECT page_id, url, length(html) AS body_chars FROM pages",
-    covers="src_frontmatter src_legacy_vault src_scan_files",
+    covers="src_frontmatter",
 )
 def front_matter(spark, sf):
     p = load(spark, sf, "pages").select("page_id", S.with_front_matter(F.create_map(F.lit("url"), F.col("url"), F.lit("id"), F.col("page_id").cast("string")), F.col("html")).alias("content"))
@@ -37,7 +37,7 @@ def front_matter(spark, sf):
 @query(
     "provider_records",
     """SELECT conv_id AS meeting, turn - (SELECT min(turn) FROM conversations c WHERE c.conv_id = x.conv_id) AS pos, role AS speaker, length(text) AS chars, turn * 61000 AS start_ms FROM conversations x""",
-    covers="src_teams src_webex src_zoom src_fathom src_meet src_plaud sf_rfc3339",
+    covers="src_fathom sf_rfc3339",
 )
 def provider_records(spark, sf):
     c = load(spark, sf, "conversations").withColumn("turn", F.col("turn").cast("long"))
@@ -58,7 +58,7 @@ def calendar_records(spark, sf):
 @query(
     "import_json",
     """SELECT c_custkey, regexp_replace(c_name, '[^A-Za-z0-9_-]', '-', 'g') AS file, CASE WHEN c_custkey % 3 = 0 THEN '{"name":"' || c_name || '"}' ELSE '{"name":"' || c_name || '","segment":"' || c_mktsegment || '"}' END AS body FROM customer""",
-    covers="sink_import_json sink_tx",
+    covers="sink_import_json",
 )
 def import_json(spark, sf):
     c = load(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("segment"))
@@ -68,7 +68,7 @@ def import_json(spark, sf):
 @query(
     "webhook_deliveries",
     """SELECT endpoint, count(*) AS n FROM (SELECT 'all' AS endpoint FROM events UNION ALL SELECT 'errors' FROM events WHERE event_type IN ('error', 'view')) GROUP BY 1""",
-    covers="sink_webhook sf_hmac",
+    covers="sink_webhook",
 )
 def webhook_deliveries(spark, sf):
     e = load(spark, sf, "events").select(F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.col("props").alias("payload"))
@@ -76,7 +76,7 @@ def webhook_deliveries(spark, sf):
     return S.deliveries(e, subs).groupBy("endpoint").agg(F.count("*").alias("n"))
 
 
-@query("attached_source", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE r.r_name = 'ASIA'", covers="src_attach src_open src_proxy u_intersect_cols")
+@query("attached_source", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE r.r_name = 'ASIA'", covers="src_attach u_intersect_cols")
 def attached_source(spark, sf):
     """A second source joins under a name of its own, with the columns that both have."""
     from parley.sources.sql import Catalog
@@ -88,7 +88,7 @@ def attached_source(spark, sf):
     return catalog.execute("SELECT n.n_name, r.r_name FROM nation n JOIN imported r ON r.r_regionkey = n.n_regionkey WHERE r.r_name = ?", ["ASIA"])
 
 
-@query("rich_text", None, covers="sf_plaintext sf_flatten_transcript sf_flatten_chat sf_flatten_apps sf_md_tiptap a_canonical_hash sf_json_patch")
+@query("rich_text", None, covers="sf_plaintext a_canonical_hash")
 def rich_text(spark, sf):
     """Document trees to text, canonical hashes, and word patches."""
     c = load(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit('{"type":"doc","content":[{"type":"text","text":'), F.to_json(F.array("text")), F.lit("}]}")).alias("bad"), F.to_json(F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"))).alias("doc"))

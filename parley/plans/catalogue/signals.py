@@ -69,7 +69,7 @@ def channel_lags(spark, sf):
     g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 600 THEN 0 ELSE 1 END AS new FROM s),
     r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM g)
     SELECT user_id, session, min(t) AS "start", max(t) AS "end" FROM r GROUP BY 1, 2 HAVING max(t) - min(t) >= 90""",
-    covers="s_speech_session s_chunk_merge",
+    covers="s_speech_session",
 )
 def speech_sessions(spark, sf):
     e = _series(spark, sf).withColumn("t", F.col("i").cast("long") * 100)

@@ -13,7 +13,7 @@ from parley.streaming.bounded import run_to_end, table_stream
 @query(
     "stream_windows",
     "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
-    covers="src_stream s_debounce src_sql",
+    covers="src_sql",
 )
 def stream_windows(spark, sf):
     """A windowed aggregate with a watermark over a file stream; state holds a row for each open window and type."""
@@ -41,7 +41,7 @@ def messages(spark, sf):
     m AS (SELECT *, lag(x) OVER (PARTITION BY transcript, channel ORDER BY turn, i) AS before, lag(turn) OVER (PARTITION BY transcript, channel ORDER BY turn, i) AS bturn FROM p),
     f AS (SELECT transcript, channel, turn, i, x, CASE WHEN i % 5 = 4 AND bturn = turn AND NOT regexp_matches(before, '[.!?]$') THEN 0 ELSE 1 END AS new FROM m)
     SELECT transcript, channel, sum(new)::BIGINT AS words, sum(length(x))::BIGINT AS chars FROM f GROUP BY 1, 2""",
-    covers="s_watermark_dedup s_partial_replace s_stitch s_bounds s_corrections s_flush s_assemble s_registry",
+    covers="s_watermark_dedup s_partial_replace s_stitch s_bounds s_flush",
 )
 def live_words(spark, sf):
     """The batch fold of the same step that the stream runs; tests hold the stream to it."""

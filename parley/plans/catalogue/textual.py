@@ -52,7 +52,7 @@ def title_keys(spark, sf):
 @query(
     "page_text",
     "SELECT conv_id, string_agg(role || ' ' || text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1",
-    covers="x_page_text sink_md_export sf_merge_content",
+    covers="x_page_text sink_md_export",
 )
 def page_text(spark, sf):
     rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(" ", "role", "text").alias("t"))))
@@ -115,7 +115,7 @@ def julian_days(spark, sf):
     n AS (SELECT days, CASE WHEN abs(days) <= 6 THEN abs(days) WHEN abs(days) <= 27 THEN floor(abs(days) / 7 + 0.5)::BIGINT ELSE months END AS n, CASE WHEN abs(days) <= 6 THEN 'day' WHEN abs(days) <= 27 THEN 'week' ELSE 'month' END AS unit FROM d)
     SELECT CASE WHEN days = 0 THEN 'Today' WHEN days = 1 THEN 'Yesterday' WHEN days = -1 THEN 'Tomorrow' ELSE CASE WHEN days < 0 THEN 'in ' ELSE '' END || n || ' ' || unit || CASE WHEN n = 1 THEN '' ELSE 's' END || CASE WHEN days > 0 THEN ' ago' ELSE '' END END AS bucket,
       count(*) AS n FROM n GROUP BY 1""",
-    covers="sf_bucket tl_buckets sf_strftime",
+    covers="sf_bucket tl_buckets",
 )
 def time_buckets(spark, sf):
     label, _ = times.bucket(F.col("o_orderdate"), _NOW)

@@ -33,14 +33,14 @@ def _segments(spark, sf):
     i AS (SELECT *, sum(new) OVER (PARTITION BY transcript, channel ORDER BY start_ms ROWS UNBOUNDED PRECEDING) AS island FROM f),
     b AS (SELECT *, (row_number() OVER (PARTITION BY transcript, channel, island ORDER BY start_ms) - 1) // 512 AS block FROM i)
     SELECT transcript, channel, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n, sha256(trim(string_agg(text, '' ORDER BY start_ms))) AS digest FROM b GROUP BY transcript, channel, island, block""",
-    covers="s_segments s_propagate w_gapseg",
+    covers="s_segments w_gapseg",
 )
 def segments(spark, sf):
     """Words are 300 ms apart here, so the cap of 512 words always comes before that of 300 s."""
     return _segments(spark, sf).select("transcript", "channel", "start_ms", "end_ms", "n", F.sha2("text", 256).alias("digest"))
 
 
-@query("segments_render", None, covers="s_display_merge s_render s_label s_identity s_neutralize sink_md_mirror x_md_transcript sf_stable_id sf_word_space")
+@query("segments_render", None, covers="s_display_merge s_render s_label s_identity x_md_transcript sf_stable_id")
 def segments_render(spark, sf):
     w = words(spark, sf)
     hints = spark.createDataFrame([(t, "channel", None, 1, None, "h1") for t in range(0, 20, 2)] + [(t, "speaker", None, 0, 0, "me") for t in range(0, 20, 5)], "transcript long, scope string, word_id string, channel int, speaker_index int, human string")
