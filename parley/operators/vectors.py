@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The least score of a match, and how far the runner-up has to be behind.
 LEAST_SCORE, MARGIN = 0.62, 0.08
+#: Exemplars that are held beside a row in one list.
+MOST_EXEMPLARS = 4096
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -33,6 +35,24 @@ def scores(samples: DataFrame, exemplars: DataFrame, domain: list[str]) -> DataF
     return j.select("speaker", "human", cosine("_a", "_b").alias("score")).where("score is not null").groupBy("speaker", "human").agg(F.max("score").alias("score"))
 
 
+def best_of(vectors: DataFrame, exemplars: DataFrame, k: int) -> DataFrame:
+    """The k best exemplars (label, centroid) of each vector, as rows with label and score, ties by label.
+
+    Exemplars are counted and, up to MOST_EXEMPLARS, held beside each row as one
+    list, so nothing is shuffled. More are dealt into lists of that many; each
+    list keeps its best k for a vector, and these meet by vector.
+    """
+    n = exemplars.count()
+    dealt = exemplars.withColumn("_g", F.pmod(F.xxhash64("label"), F.lit(-(-n // MOST_EXEMPLARS) or 1)))
+    lists = dealt.groupBy("_g").agg(F.collect_list(F.struct("label", "centroid")).alias("_x")).drop("_g")
+    held = vectors.withColumn("_key", F.monotonically_increasing_id()) if n > MOST_EXEMPLARS else vectors
+    near = F.filter(F.transform("_x", lambda x: F.struct((-cosine(F.col("embedding"), x["centroid"])).alias("s"), x["label"].alias("label"))), lambda x: x["s"].isNotNull())
+    best = held.crossJoin(F.broadcast(lists)).withColumn("_b", F.slice(F.array_sort(near), 1, k)).drop("_x")
+    if n > MOST_EXEMPLARS:
+        best = best.groupBy("_key").agg(*[F.first(c).alias(c) for c in vectors.columns], F.slice(F.array_sort(F.flatten(F.collect_list("_b"))), 1, k).alias("_b"))
+    return best.select(*vectors.columns, F.explode("_b").alias("_b")).select(*vectors.columns, F.col("_b.label").alias("label"), (-F.col("_b.s")).alias("score"))
+
+
 def mutual_best(pairs: DataFrame, least: float = LEAST_SCORE, margin: float = MARGIN) -> DataFrame:
     """(speaker, human, score): pairs that are best for both sides, good enough, and ahead of both sides' runners-up by the margin."""
 

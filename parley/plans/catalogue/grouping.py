@@ -303,3 +303,26 @@ def upcoming(spark, sf):
 def now_indicator(spark, sf):
     now = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
     return load(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("ts") < now).alias("before"), F.count_if(F.col("ts") >= now).alias("after"), F.bool_or(F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz")).alias("has_more_future"))
+
+
+@query(
+    "grouping_levels",
+    "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())",
+    covers="a_grouping_sets",
+)
+def grouping_levels(spark, sf):
+    from pyspark.sql import functions as F
+
+    sets = [["l_returnflag", "l_linestatus"], ["l_linenumber"], []]
+    return load(spark, sf, "lineitem").groupingSets(sets, "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@query("approximate_counts", "SELECT o_orderstatus, TRUE AS near_users, TRUE AS near_median FROM orders GROUP BY 1", covers="a_approx_count_distinct a_approx_percentile")
+def approximate_counts(spark, sf):
+    """Approximate distinct counts and medians, held against the exact ones: within 10 % and 2 %."""
+    from pyspark.sql import functions as F
+
+    o = load(spark, sf, "orders").groupBy("o_orderstatus").agg(
+        F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.count_distinct("o_custkey").alias("e"), F.percentile_approx("o_totalprice", 0.5, 10000).alias("m"), F.percentile("o_totalprice", F.lit(0.5)).alias("x")
+    )
+    return o.select("o_orderstatus", (F.abs(F.col("a") - F.col("e")) <= 0.1 * F.col("e")).alias("near_users"), (F.abs(F.col("m") - F.col("x")) <= 0.02 * F.col("x")).alias("near_median"))

@@ -29,12 +29,9 @@ def _vectors(spark, sf):
 )
 def cosine_topk(spark, sf):
     """Exemplars are one centroid a label; each vector keeps its best three."""
-    from parley.operators.relational import first_per_group
-
     v = _vectors(spark, sf)
-    s = V.scores(v.select(F.col("vec_id").alias("speaker"), "embedding", F.lit(0).alias("d")), V.centroids(v, ["label"]).select(F.col("label").alias("human"), F.col("centroid").alias("embedding"), F.lit(0).alias("d")), ["d"])
-    best = first_per_group(s, ["speaker"], [F.col("score").desc(), F.col("human")], 3)
-    return best.select(F.col("speaker").alias("vec_id"), F.col("human").alias("label"), F.round("score", 6).alias("score"))
+    best = V.best_of(v.select("vec_id", "embedding"), V.centroids(v, ["label"]), 3)
+    return best.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 @query(

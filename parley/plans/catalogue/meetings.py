@@ -103,3 +103,75 @@ def rich_text(spark, sf):
 def contact_names(spark, sf):
     plain = F.regexp_replace("html", r"<[^>]*>", " ")
     return load(spark, sf, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"([\w.+-]+@[\w-]+\.[\w.-]+)"), F.lit(1)))).cast("long").alias("emails"))
+
+
+_SHAPES = tuple(sorted(S.PROVIDERS))
+
+
+@query(
+    "provider_shapes",
+    f"""SELECT p AS provider, conv_id AS meeting, turn - min(turn) OVER (PARTITION BY p, conv_id) AS pos, role AS speaker, length(text) AS chars, turn * 61000 AS start_ms
+    FROM conversations, (VALUES {", ".join(f"('{p}')" for p in _SHAPES)}) v(p)""",
+    covers="src_meet src_teams src_webex src_zoom src_fathom",
+)
+def provider_shapes(spark, sf):
+    """Each conversation as a record of each provider: times as clocks, seconds, or times of day after the start."""
+    c = load(spark, sf, "conversations").withColumn("turn", F.col("turn").cast("long"))
+    out = None
+    for k, name in enumerate(_SHAPES):
+        id_, title, start, entries, speaker, text, at = S.PROVIDERS[name]
+        seconds = F.col("turn") * 61
+        times = (
+            F.format_string("%d:%02d", F.floor(seconds / 60), seconds % 60), F.concat(seconds.cast("string"), F.lit("s")),
+            F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        )
+        entry = F.struct(F.col("role").alias(speaker), F.col("text").alias(text), times[k % 3].alias(at))
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda x: x["e"])
+        begun = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        record = F.to_json(F.struct(F.col("conv_id").cast("string").alias(id_[2:]), F.lit("t").alias(title[2:]), begun.alias(start[2:]), F.col("rows").alias(entries)))
+        got = S.imported(c.groupBy("conv_id").agg(rows.alias("rows")).select(record.alias("record")), name).withColumn("provider", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out.select("provider", F.col("meeting").cast("long").alias("meeting"), F.col("pos").cast("long").alias("pos"), "speaker", F.length("text").alias("chars"), "start_ms")
+
+
+@query("text_tables", "SELECT r_regionkey, n_nationkey, n_name FROM nation JOIN region ON r_regionkey = n_regionkey", covers="src_plaud")
+def text_tables(spark, sf):
+    """Nations of a region as a printed table with rules and colours, and its rows again."""
+    n = load(spark, sf, "nation").select(F.col("n_regionkey").alias("r_regionkey"), F.struct("n_nationkey", F.concat(F.lit("| \x1b[1m"), F.col("n_nationkey").cast("string"), F.lit("\x1b[0m  | "), "n_name", F.lit(" |")).alias("line")).alias("x"))
+    printed = n.groupBy("r_regionkey").agg(F.concat(F.lit("+----+----+\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")).alias("text"))
+    cells = printed.select("r_regionkey", F.explode(S.table_rows(F.col("text"))).alias("c"))
+    return cells.select("r_regionkey", F.col("c")[0].cast("int").alias("n_nationkey"), F.col("c")[1].alias("n_name"))
+
+
+@query("checked_write", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 1", covers="sink_tx")
+def checked_write(spark, sf):
+    """A table written twice under one name, the second time in place of the first, and read back."""
+    import uuid
+
+    from parley.operators.graph import checkpointed, shared_folder
+
+    n = load(spark, sf, "nation").select("n_nationkey", "n_name")
+    path = f"{shared_folder(spark)}/checked-{uuid.uuid4().hex}"
+    S.write_checked(n, path)
+    odd = n.where("n_nationkey % 2 = 1")
+    S.write_checked(odd, path, odd.count())
+    done = checkpointed(spark.read.parquet(path))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return done
+
+
+_INNER, _OUTER = ("".join(f"\\x{b ^ pad:02X}" for b in b"k3y".ljust(64, b"\0")) for pad in (0x36, 0x5C))
+
+
+@query(
+    "signed_webhooks",
+    f"""WITH d AS (SELECT 'all' AS endpoint, * FROM events UNION ALL SELECT 'errors', * FROM events WHERE event_type IN ('error', 'view')),
+    b AS (SELECT endpoint, event_id, '{{"event":' || event_id || ',"kind":"' || event_type || '","payload":"' || user_id || '"}}' AS body FROM d)
+    SELECT endpoint, sha256(endpoint || ':' || event_id) AS id, 'sha256=' || sha256('{_OUTER}'::BLOB || unhex(sha256('{_INNER}'::BLOB || encode(body)))) AS signature FROM b""",
+    covers="sink_webhook sf_hmac sf_sha256",
+)
+def signed_webhooks(spark, sf):
+    e = load(spark, sf, "events").select(F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("payload"))
+    subs = spark.createDataFrame([("all", []), ("errors", ["error", "view"])], "endpoint string, kinds array<string>")
+    return S.signed_deliveries(e, subs, b"k3y").select("endpoint", "id", "signature")

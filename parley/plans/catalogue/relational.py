@@ -124,15 +124,18 @@ def self_excluded(spark, sf):
 
 @query(
     "linked_event",
-    """SELECT event_id, min(c_custkey) AS c_custkey FROM events JOIN (SELECT c_custkey, c_nationkey, lower(c_mktsegment) AS seg FROM customer) c
-    ON c_custkey = user_id OR (c_nationkey = user_id % 25 AND seg = event_type) GROUP BY event_id""",
+    """SELECT event_id, min(c_custkey) AS c_custkey FROM events JOIN (SELECT c_custkey, c_nationkey, length(c_mktsegment) - 4 AS seg FROM customer) c
+    ON c_custkey = user_id OR (c_nationkey = user_id % 25 AND seg = length(event_type)) GROUP BY event_id""",
     covers="j_disjunctive j_scalar_first",
 )
 def linked_event(spark, sf):
-    e = load(spark, sf, "events").select("event_id", "user_id", (F.col("user_id") % 25).cast("int").alias("nation"), "event_type")
-    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", F.lower("c_mktsegment").alias("seg"))
-    pairs = R.disjunctive_join(e, c, [[("user_id", "c_custkey")], [("nation", "c_nationkey"), ("event_type", "seg")]], "event_id", "c_custkey")
-    return pairs.groupBy("event_id").agg(F.min("c_custkey").alias("c_custkey"))
+    """Each leg's smallest customer by key comes before the join, so neither leg makes pairs."""
+    e = load(spark, sf, "events").select("event_id", "user_id", (F.col("user_id") % 25).cast("int").alias("nation"), F.length("event_type").alias("kind"))
+    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey", (F.length("c_mktsegment") - 4).alias("seg"))
+    first = c.groupBy("c_nationkey", "seg").agg(F.min("c_custkey").alias("c_custkey"))
+    one = e.join(c.select("c_custkey"), e["user_id"] == c["c_custkey"]).select("event_id", "c_custkey")
+    two = e.join(first, (F.col("nation") == F.col("c_nationkey")) & (F.col("kind") == F.col("seg"))).select("event_id", "c_custkey")
+    return one.unionByName(two).groupBy("event_id").agg(F.min("c_custkey").alias("c_custkey"))
 
 
 @query(
@@ -315,7 +318,7 @@ def fallback_lookup(spark, sf):
 
 @query(
     "join_on_json",
-    """SELECT event_id, p_partkey FROM events JOIN part ON CAST(props ->> '$.k' AS BIGINT) = p_size AND lower(p_type) = event_type
+    """SELECT event_id, p_partkey FROM events JOIN part ON CAST(props ->> '$.k' AS BIGINT) = p_size AND length(p_brand) = length(event_type) + 4
     UNION ALL SELECT event_id, p_partkey FROM events JOIN part ON CAST(props ->> '$.k' AS BIGINT) = p_partkey AND event_type = 'view'""",
     covers="x_join_on_json f_json_guard",
 )
@@ -323,8 +326,8 @@ def join_on_json(spark, sf):
     from parley.functions.jsonx import field
 
     e = load(spark, sf, "events").select("event_id", "event_type", field("props", "$.k", "long").alias("k")).where("k is not null")
-    p = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"), F.lower("p_type").alias("kind"))
-    a = e.join(p, (F.col("k") == F.col("p_size")) & (F.col("kind") == F.col("event_type")))
+    p = load(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("p_size"), (F.length("p_brand") - 4).alias("kind"))
+    a = e.join(p, (F.col("k") == F.col("p_size")) & (F.col("kind") == F.length("event_type")))
     b = e.where("event_type = 'view'").join(p, F.col("k") == F.col("p_partkey"))
     return a.select("event_id", "p_partkey").unionByName(b.select("event_id", "p_partkey"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,7 +109,9 @@ def meeting_json(fields: Sequence[str]) -> Column:
 def write_checked(df: DataFrame, path: str, expected: int | None = None) -> int:
     """Writes a table to a staging folder, checks its rows, and only then moves it to `path`; the rows written.
 
-    A count that differs from `expected` leaves `path` as it was and raises.
+    A count that differs from `expected` leaves `path` as it was and raises. The
+    table that was there is renamed aside first, put back if the move fails, and
+    deleted only when the new one is in place.
     """
     spark = df.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
@@ -119,11 +122,34 @@ def write_checked(df: DataFrame, path: str, expected: int | None = None) -> int:
     if expected is not None and n != expected:
         fs.delete(fs_path(staging), True)
         raise ValueError(f"{n} rows, {expected} expected")
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(staging), fs_path(path))
+    aside = f"{path.rstrip('/')}__before"
+    had = fs.exists(fs_path(path))
+    if had and not fs.rename(fs_path(path), fs_path(aside)):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(fs_path(staging), fs_path(path)):
+        if had:
+            fs.rename(fs_path(aside), fs_path(path))
+        raise OSError(f"{staging} can't be moved to {path}")
+    if had:
+        fs.delete(fs_path(aside), True)
     return n
 
 
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 of a text as lower-case hex, by two nested hashes over the key's padded forms."""
+    if len(key) > 64:
+        key = hashlib.sha256(key).digest()
+    inner, outer = (F.lit(bytearray(b ^ pad for b in key.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def signed_deliveries(events: DataFrame, subscribers: DataFrame, key: bytes) -> DataFrame:
+    """(endpoint, id, body, signature): deliveries with an id by endpoint and event, the same for every attempt, and the body's HMAC."""
+    sent = deliveries(events, subscribers)
+    id_ = F.sha2(F.concat_ws(":", "endpoint", F.col("event").cast("string")), 256)
+    return sent.select("endpoint", id_.alias("id"), "body", F.concat(F.lit("sha256="), hmac_sha256(key, F.col("body"))).alias("signature"))
+
+
 def deliveries(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     """(endpoint, event, body): one envelope for each event and subscriber of its kind; an empty list of kinds means all."""
     s = subscribers.select("endpoint", F.explode(F.when(F.size("kinds") == 0, F.array(F.lit("*"))).otherwise(F.col("kinds"))).alias("want"))
