@@ -47,7 +47,7 @@ BANDS, ROWS = 32, 5
 BLOCK = 1024
 #: Rounds in which documents meet drawn members of their buckets' largest groups, and how many each round.
 ROUNDS, HUBS = 1, 6
-#: Parts into which a group of any size is dealt when its documents are counted.
+#: Parts into which a group of any size is dealt when its documents are counted or joined.
 SALTS = 64
 
 
@@ -230,7 +230,7 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int, percent: i
 
     # Equal sets are one class, so that a group of copies is one node from here on; they have equal bands.
     members = sketch.where("doc_id is not null and n > 0")
-    classes = members.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = members.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     band = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
     # Buckets with the same members (a pair of copies shares most of its bands) are looked at once; the hashes tell sets of ids apart.
     stats = band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("m"), *(F.sum(F.shiftright(F.xxhash64("id", F.lit(s)), 20)).alias(f"s{s}") for s in (1, 2))).where("a <> z")
@@ -271,7 +271,9 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int, percent: i
         group = group.join(moved, "id", "full_outer").select("id", F.coalesce("to", "c").alias("c"))
 
     crossed = scratch.write(_cross(held_by(group).select("key", "id", "c"), texts, scratch, shingle, percent), "crossed")
-    of = members.select("doc_id", "h1", "h2", "n").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"])
+    # Only classes of several rows matter here; they go to each salt of their members, so that no group of copies is one task's.
+    several = classes.where("copies > 1").select("h1", "h2", "n", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of = members.select("doc_id", "h1", "h2", "n", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(several, ["h1", "h2", "n", "salt"])
     same = of.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comp = components(links.unionByName(crossed).unionByName(same))
 
