@@ -40,7 +40,7 @@ def truncated(text: Column | str, most: int) -> Column:
 
 
 #: Titles that say nothing.
-GENERIC_TITLES = ("untitled", "meeting", "new note", "note", "summary")
+GENERIC_TITLES = ("new note", "untitled")
 
 
 def title_key(title: Column | str) -> Column:
@@ -83,19 +83,49 @@ def core_of(token: Column | str) -> tuple[Column, Column, Column]:
     return tuple(F.regexp_extract(token, pattern, i) for i in (1, 2, 3))
 
 
+def _accented() -> dict[str, str]:
+    """Small Latin letters that decompose into an ASCII letter and marks, with that letter."""
+    small = (c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c.islower())
+    return {c: base for c in small if (base := unicodedata.normalize("NFD", c)[0]).isascii()}
+
+
+#: Small letters without a decomposition, as search terms write them in ASCII.
+_STROKED = {"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t", "ı": "i", "ð": "d"}
+_LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+_PLAIN = _accented() | _STROKED
+
+
+def folded(text: Column | str) -> Column:
+    """A text in lower case with accented Latin letters as ASCII; other scripts stay."""
+    out = F.translate(F.lower(text), "".join(_PLAIN), "".join(_PLAIN.values()))
+    for letter, plain in _LIGATURES.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
+
+
+def folded_term(term: str) -> str:
+    """What `folded` makes of one literal."""
+    return term.lower().translate(str.maketrans(_PLAIN | _LIGATURES))
+
+
 def ngrams(text: Column | str, most: int = 3) -> Column:
-    """All runs of 1 to `most` characters of a lower-cased text, by start and then by length."""
-    low = F.lower(text)
+    """All runs of 1 to `most` characters of a folded text, by start and then by length; three characters are never above the 40 bytes of a term."""
+    low = folded(text)
     starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
     grams = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.when(i + n - 1 <= F.length(low), F.substring(low, i, n)))))
     return F.filter(grams, lambda g: g.isNotNull() & (g != ""))
 
 
-def word_tokens(text: Column | str) -> Column:
+def plain_words(text: Column | str) -> Column:
     """Lower-cased words of letters and digits, of 40 bytes at most."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & (F.octet_length(w) <= 40))
 
 
+def word_tokens(text: Column | str) -> Column:
+    """Folded words of letters and digits, of 40 bytes at most when folded."""
+    return plain_words(folded(text))
+
+
 def _fnv1a(text: str) -> str:
     h = 0x811C9DC5
     raw = text.encode("utf-16-le", "surrogatepass")
@@ -166,7 +196,7 @@ LANGUAGE_CODES = {"deu": "de", "ger": "de", "german": "de", "eng": "en", "englis
 
 def frequent_word_language(text: Column | str) -> Column:
     """The language whose frequent words a text has most of, the first by code among equals; null without any."""
-    words = word_tokens(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    words = plain_words(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
     def count(own: Sequence[str]) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*own)))

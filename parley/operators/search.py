@@ -6,10 +6,10 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import word_tokens
+from parley.functions.text import core_of, folded_term, keyword_like, word_tokens
 
 K1, B = 1.2, 0.75
 #: A hit in a title counts so many times in fuzzy and boolean queries.
@@ -25,10 +25,10 @@ def postings(docs: DataFrame, fields: Sequence[str] = ("title", "content")) -> D
 
 
 def parse(query: str) -> list[tuple[str, list[str]]]:
-    """(sign, terms) of each part of a query: quoted parts are phrases, an open quote reaches to the end; + and - are signs."""
+    """(sign, terms) of each part of a query: quoted parts are phrases, an open quote reaches to the end; + and - are signs; terms are folded as words are."""
     out = []
     for sign, quoted, plain in re.findall(r'([+-]?)(?:"([^"]*)"?|([^\s"]+))', query):
-        terms = [w for w in re.split(r"[^\w]+", (quoted or plain).lower()) if w]
+        terms = [w for w in re.split(r"[^\w]+", folded_term(quoted or plain)) if w]
         if terms:
             out.append((sign, terms))
     return out
@@ -125,8 +125,6 @@ def overlapping_hits(rows: DataFrame, key: str, order: str, text: str, needle: s
     next ones, so each row is searched together with what follows it up to the
     needle's length.
     """
-    from pyspark.sql import Window
-
     n = len(needle)
     w = Window.partitionBy(key).orderBy(order)
     after = F.array_join(F.collect_list(F.substring(text, 1, n)).over(w.rowsBetween(1, n)), " ")
@@ -137,3 +135,34 @@ def overlapping_hits(rows: DataFrame, key: str, order: str, text: str, needle: s
     overlaps = any(needle[i:] == needle[: n - i] for i in range(1, n))
     hits = F.size(starts) if overlaps else F.size(F.split(F.col("body"), re.escape(needle.lower()), -1)) - 1
     return found.select(key, order, hits.cast("long").alias("hits")).where("hits > 0")
+
+
+def keywords(docs: DataFrame, stop_words: Sequence[str], most: int = 50) -> DataFrame:
+    """(id, term, n, place): hints of documents (id, text, named): named terms, then #tags, keywords, and phrases.
+
+    Code goes before anything is read. Keywords are words that `keyword_like`
+    keeps, the most frequent first, in original case; a phrase is a run of
+    them inside one sentence. A term counts once in any case, under its
+    first kind and spelling; terms of one character go. All of it works on arrays of
+    one row, so only the terms of a document are shuffled, grouped before.
+    """
+    body = F.regexp_replace(F.regexp_replace("text", r"(?s)```.*?```", ""), r"`[^`]+`", "")
+    d = docs.select("id", "named", body.alias("body")).withColumn("tags", F.regexp_extract_all("body", F.lit(r"#([\p{L}\p{N}_]+)"), 1))
+    words = F.filter(F.split(F.translate("body", "#*_~`[]()", " " * 9), r"[ \t\n\r\f]+"), lambda w: w != "")
+    closed = lambda w: w.rlike(r"[.!?][^\p{L}\p{N}]*$")
+    d = d.withColumn("w", words).withColumn("w", F.transform("w", lambda w, i: F.struct(core_of(w)[1].alias("core"), ((i == 0) | closed(F.get("w", i - 1))).alias("starts"))))
+    d = d.withColumn("w", F.transform("w", lambda w: F.struct(w["core"].alias("core"), w["starts"].alias("starts"), keyword_like(w["core"], w["starts"], stop_words).alias("good"))))
+    runs = F.array_join(F.transform("w", lambda w: F.concat(F.when(w["starts"], "\n").otherwise(""), F.when(w["good"], w["core"]).otherwise("\n"))), " ")
+    phrases = F.filter(F.transform(F.split(runs, "\n"), lambda p: F.trim(p)), lambda p: F.instr(p, " ") > 0)
+
+    def ranked(terms: Column, rank: int) -> Column:
+        return F.transform(terms, lambda t, i: F.struct(F.lit(rank).alias("rank"), (i if rank < 3 else F.lit(0)).alias("i"), t.alias("term")))
+
+    keys = F.filter(F.transform("w", lambda w: F.when(w["good"], w["core"])), lambda w: w.isNotNull())
+    kinds = [ranked(F.col("named"), 0), ranked(F.col("tags"), 1), ranked(keys, 2), ranked(phrases, 3)]
+    terms = d.select("id", F.explode(F.concat(*[F.coalesce(k, F.array().cast("array<struct<rank:int,i:int,term:string>>")) for k in kinds])).alias("t")).where(F.length("t.term") >= 2)
+    g = terms.groupBy("id", F.lower("t.term").alias("key")).agg(F.min("t").alias("t"), *[F.count_if(F.col("t.rank") == r).alias(f"n{r}") for r in (2, 3)])
+    n = F.when(F.col("t.rank") == 2, F.col("n2")).when(F.col("t.rank") == 3, F.col("n3")).otherwise(0)
+    g = g.select("id", "key", "t", n.alias("n"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("t.rank", F.col("n").desc(), "t.i", "key"))
+    return g.withColumn("place", place).where(F.col("place") <= most).select("id", "t.term", "n", "place")

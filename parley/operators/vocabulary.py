@@ -41,7 +41,12 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
 
 def replacements(docs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, pos, n, canonical): what greedy correction replaces in documents (id, text): n tokens from pos.
+    """(id, pos, n, canonical): what greedy correction replaces in documents (id, text): n tokens from pos."""
+    return _replaced(_tokens(docs), aliases)
+
+
+def _replaced(t: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, pos, n, canonical) of tokens (id, pos, core, suffix) whose pos count on by one.
 
     Runs of up to three tokens that end no sentence inside meet the aliases in a
     hash join; aliases of several canonicals name none. Longer runs win over
@@ -52,7 +57,6 @@ def replacements(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     one = aliases.groupBy("alias").agg(F.min("canonical").alias("canonical"), F.countDistinct("canonical").alias("k")).where("k = 1").drop("k")
     fixed = aliases.select(F.lower("canonical").alias("alias"), F.col("canonical")).distinct()
     table = one.join(fixed.select("alias"), "alias", "left_anti").unionByName(fixed.groupBy("alias").agg(F.min("canonical").alias("canonical")))
-    t = _tokens(docs)
     w = Window.partitionBy("id").orderBy("pos")
     runs = None
     for n in range(1, MOST_WORDS + 1):
@@ -87,6 +91,47 @@ def corrected(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     return whole.select("id", F.replace("text", F.lit(" \x00"), F.lit("")).alias("text"), "n")
 
 
+#: Fixed value: milliseconds of silence that end a run of words.
+LONGEST_GAP = 1000
+
+
+def rewritten_words(words: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Timed words (id, channel, speaker, start_ms, end_ms, text, confidence) with aliases replaced.
+
+    A run that an alias matches lies in one channel and speaker without a gap
+    above LONGEST_GAP. A name of several words becomes several timed words: the
+    run's time is dealt out by their numbers of characters, its first start and
+    last end stay, and so does the least confidence, which is null where one of
+    the run was not measured. Words that nothing replaces stay as they are.
+    A recording's words are put in order in one task, as a meeting bounds them.
+    """
+    w = Window.partitionBy("id").orderBy("start_ms", "end_ms", "channel", "text")
+    new = lambda c: ~F.col(c).eqNullSafe(F.lag(c).over(w))
+    breaks = new("channel") | new("speaker") | (F.col("start_ms") - F.lag("end_ms").over(w) > LONGEST_GAP)
+    t = words.withColumn("pos", F.row_number().over(w)).withColumn("new", F.coalesce(breaks, F.lit(True)).cast("int"))
+    t = t.withColumn("id", F.struct("id", F.sum("new").over(w).alias("segment"))).drop("new")
+    prefix, core, suffix = core_of("text")
+    t = t.withColumns({"prefix": prefix, "core": core, "suffix": suffix})
+    hit = _replaced(t.select("id", "pos", "core", "suffix"), aliases)
+    covered = hit.select("id", F.explode(F.sequence("pos", F.col("pos") + F.col("n") - 1)).alias("pos"), F.col("pos").alias("at"), "canonical")
+    j = t.join(covered, ["id", "pos"], "left")
+    columns = ["channel", "speaker", "start_ms", "end_ms", "text", "confidence"]
+    kept = j.where("at is null").select("id.id", *columns)
+    least = F.when(F.count("confidence") == F.count("*"), F.min("confidence"))
+    group = j.where("at is not null").groupBy("id", "at", "canonical").agg(
+        F.first("channel").alias("channel"), F.first("speaker").alias("speaker"), F.min("start_ms").alias("from"), F.max_by("end_ms", "pos").alias("to"),
+        F.min_by("prefix", "pos").alias("prefix"), F.max_by("suffix", "pos").alias("suffix"), least.alias("confidence"),
+    )
+    parts = F.split(F.concat("prefix", "canonical", "suffix"), r"\s+")
+    lengths = F.transform(parts, lambda x: F.length(x))
+    total = F.aggregate(lengths, F.lit(0), lambda n, x: n + x)
+    before = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda n, x: n + x)
+    at = lambda i: (F.col("from") + F.round((F.col("to") - F.col("from")) * before(i) / total)).cast("long")
+    timed = F.transform(parts, lambda x, i: F.struct(at(i).alias("start_ms"), F.when(i + 1 == F.size(parts), F.col("to")).otherwise(at(i + 1)).alias("end_ms"), x.alias("text")))
+    made = group.select("id", "channel", "speaker", F.explode(timed).alias("x"), "confidence").select("id.id", "channel", "speaker", "x.start_ms", "x.end_ms", "x.text", "confidence")
+    return kept.unionByName(made)
+
+
 def candidates(docs: DataFrame, ordinary: DataFrame) -> DataFrame:
     """(id, pos, word): capitalised words of four letters or more inside sentences that are no ordinary words (word)."""
     t = _tokens(docs)
@@ -136,14 +181,15 @@ def alike(spellings: DataFrame, block: Column) -> DataFrame:
     return _close_pairs(s, s).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def proposals(found: DataFrame, anchors: DataFrame, immune: DataFrame | None = None, least_sessions: int = 2) -> DataFrame:
+def proposals(found: DataFrame, anchors: DataFrame, immune: DataFrame | None = None, least_sessions: int = 2, ordinary: DataFrame | None = None) -> DataFrame:
     """(canonical, alias, occurrences, sessions) from candidates (id, word): spellings that sound alike across sessions.
 
     Spellings with one first digit are grouped by components of `alike`. A
     group's canonical is its first spelling by code point that is an anchor
     (word) in any case; a group without one gives nothing, as frequency proves
     no spelling. Aliases that are anchors or immune (word), that inflect the
-    canonical or that are close to it only over others are left out.
+    canonical, that are compounds of it with an ordinary word (word), or that
+    are close to it only over others are left out.
     """
     s = found.groupBy("word").agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("sessions"))
     s = s.withColumn("code", cologne_code("word")).where(F.length("code") >= 3)
@@ -157,7 +203,7 @@ def proposals(found: DataFrame, anchors: DataFrame, immune: DataFrame | None = N
     covered = found.join(named.select("word", "component"), "word").groupBy("component").agg(F.countDistinct("id").alias("all"))
     fixed = anchored if immune is None else anchored.unionByName(immune.select(F.lower("word").alias("key"))).distinct()
     j = named.join(top, "component").join(covered, "component").where(F.col("all") >= least_sessions).join(fixed, "key", "left_anti")
-    j = j.where(~inflected("word", "canonical") & _close("canonical", "own", "word", "code"))
+    j = _no_compounds(j.where(~inflected("word", "canonical") & _close("canonical", "own", "word", "code")), "word", "canonical", ordinary)
     return j.select("canonical", F.col("word").alias("alias"), "occurrences", "sessions")
 
 
@@ -168,7 +214,7 @@ def alike_names(words: DataFrame, names: DataFrame) -> DataFrame:
     return both.where(F.lower("word") != F.lower("name")).distinct()
 
 
-def context_proposals(found: DataFrame, names: DataFrame, immune: DataFrame | None = None, ceiling: float = 0.98) -> DataFrame:
+def context_proposals(found: DataFrame, names: DataFrame, immune: DataFrame | None = None, ceiling: float = 0.98, ordinary: DataFrame | None = None) -> DataFrame:
     """(canonical, alias, occurrences, sessions) from candidates (id, pos, word, confidence) and names (id, word, rank) of their context.
 
     A name with a null id belongs to every session. Words of a measured
@@ -180,6 +226,7 @@ def context_proposals(found: DataFrame, names: DataFrame, immune: DataFrame | No
     open_ = found.where("confidence is null or confidence < " + repr(float(ceiling))).withColumn("key", F.lower("word")).join(fixed.select(F.lower("word").alias("key")).distinct(), "key", "left_anti")
     coded = lambda df: df.select("word").distinct().withColumn("code", cologne_code("word")).withColumn("block", F.substring("code", 1, 1))
     pairs = alike_names(coded(open_).where(F.length("code") >= 3), coded(names)).where(~inflected("name", "word"))
+    pairs = _no_compounds(pairs, "name", "word", ordinary)
     targets = pairs.join(names.select(F.col("id").alias("of"), F.col("word").alias("name"), "rank"), "name")
     ranked = F.struct("rank", "name")
     everywhere = targets.where("of is null").groupBy("word").agg(F.min(ranked).alias("all"))
@@ -197,13 +244,34 @@ def undecided(proposed: DataFrame, *decided: DataFrame) -> DataFrame:
     return out.select(*proposed.columns)
 
 
+def scan(found: DataFrame, anchors: DataFrame, names: DataFrame, *decided: DataFrame, immune: DataFrame | None = None, ordinary: DataFrame | None = None) -> DataFrame:
+    """What `proposals` and `context_proposals` find in candidates (id, pos, word, confidence), a pair once in any case, without decided pairs (canonical, alias).
+
+    A pair that both find stands as the first finds it.
+    """
+    both = proposals(found, anchors, immune, ordinary=ordinary).withColumn("net", F.lit(1)).unionByName(context_proposals(found, names, immune, ordinary=ordinary).withColumn("net", F.lit(2)))
+    first = both.groupBy(F.lower("canonical").alias("c"), F.lower("alias").alias("a")).agg(F.min(F.struct("net", "canonical", "alias", "occurrences", "sessions")).alias("s"))
+    return undecided(first.select("s.canonical", "s.alias", "s.occurrences", "s.sessions"), *decided)
+
+
 #: Endings of inflected words.
-ENDINGS = ("", "e", "en", "er", "es", "em", "n", "s", "st", "t", "te", "ten", "ern")
+ENDINGS = ("", "n", "en", "e", "er", "r", "s", "es", "em", "ern")
 
 
 def inflected(a: str, b: str, endings: Sequence[str] = ENDINGS) -> Column:
-    """Whether two words of five letters or more share at least 60 % of the longer one and differ in endings only."""
+    """Whether two words of five letters or more share a beginning of at least 60 % of the shorter one and differ in endings only."""
     x, y = F.lower(a), F.lower(b)
     shared = F.aggregate(F.sequence(F.lit(1), F.least(F.length(x), F.length(y))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))), i).otherwise(n))
     tail = lambda w: F.substring(w, shared + 1, F.length(w)).isin(*endings)
-    return (F.least(F.length(x), F.length(y)) >= 5) & (shared * 10 >= F.greatest(F.length(x), F.length(y)) * 6) & tail(x) & tail(y)
+    short = F.least(F.length(x), F.length(y))
+    return (short >= 5) & (shared * 10 >= short * 6) & tail(x) & tail(y)
+
+
+def _no_compounds(pairs: DataFrame, a: str, b: str, ordinary: DataFrame | None) -> DataFrame:
+    """Pairs of which none is the other one with an ordinary word (word) of three letters or more behind it."""
+    if ordinary is None:
+        return pairs
+    x, y = F.lower(a), F.lower(b)
+    rest = F.when(F.startswith(x, y), F.substr(x, F.length(y) + 1)).when(F.startswith(y, x), F.substr(y, F.length(x) + 1))
+    words = ordinary.select(F.lower("word").alias("_rest")).where(F.length("_rest") >= 3).distinct()
+    return pairs.withColumn("_rest", rest).join(words, "_rest", "left_anti").drop("_rest")

@@ -196,21 +196,22 @@ def expire(spark, sf):
     covers="x_hash_id_insert x_stable_id",
 )
 def append_once(spark, sf):
-    e = load(spark, sf, "events").select("user_id", "event_type")
-    target = M.append_once(spark.createDataFrame([], "user_id long, event_type string, id string"), e.where("user_id < 60"), ["user_id", "event_type"], "msg")
+    e = load(spark, sf, "events").select("user_id", "event_type", "ts")
+    before, e = e.where("ts < timestamp_ntz '2024-01-15'").drop("ts"), e.drop("ts")
+    target = M.append_once(spark.createDataFrame([], "user_id long, event_type string, id string"), before, ["user_id", "event_type"], "msg")
     return M.append_once(target, e, ["user_id", "event_type"], "msg").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("first_id"))
 
 
 @query(
     "incremental_summary",
-    """WITH saved AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 0 ELSE o_totalprice END AS stamp FROM orders WHERE o_orderkey < 7000)
+    """WITH saved AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE o_totalprice END AS stamp FROM orders WHERE o_orderdate < DATE '1997-01-01')
     SELECT o.o_custkey, count(*) FILTER (WHERE s.o_orderkey IS NULL) AS fresh, count(*) FILTER (WHERE s.o_orderkey IS NOT NULL AND s.stamp <> o.o_totalprice) = 0 AS reusable
     FROM orders o LEFT JOIN saved s ON s.o_orderkey = o.o_orderkey GROUP BY 1""",
     covers="x_incremental_summary",
 )
 def incremental_summary(spark, sf):
     o = load(spark, sf, "orders")
-    saved = o.where("o_orderkey < 7000").select("o_orderkey", F.when(F.col("o_orderkey") % 50 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("stamp"))
+    saved = o.where("o_orderdate < date '1997-01-01'").select("o_orderkey", F.when(F.col("o_orderpriority") == "1-URGENT", 0.0).otherwise(F.col("o_totalprice")).alias("stamp"))
     j = o.select("o_custkey", "o_orderkey", "o_totalprice").join(saved, "o_orderkey", "left")
     return j.groupBy("o_custkey").agg(F.count_if(F.col("stamp").isNull()).alias("fresh"), (F.count_if(F.col("stamp") != F.col("o_totalprice")) == 0).alias("reusable"))
 

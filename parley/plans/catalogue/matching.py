@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.text import cologne_code, word_tokens
+from parley.functions.text import cologne_code, plain_words
 from parley.operators import vectors as V
 from parley.operators import vocabulary as O
 from parley.operators.graph import components
@@ -43,14 +43,14 @@ def cosine_topk(spark, sf):
     a AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY score DESC, human) AS n, lead(score) OVER (PARTITION BY speaker ORDER BY score DESC, human) AS second FROM m),
     b AS (SELECT *, row_number() OVER (PARTITION BY human ORDER BY score DESC, speaker) AS n, lead(score) OVER (PARTITION BY human ORDER BY score DESC, speaker) AS second FROM m)
     SELECT a.speaker, a.human, round(a.score, 6) AS score FROM a JOIN b ON a.speaker = b.speaker AND a.human = b.human
-    WHERE a.n = 1 AND b.n = 1 AND a.score >= 0.3 AND (a.second IS NULL OR a.score - a.second >= 0.01) AND (b.second IS NULL OR b.score - b.second >= 0.01)""",
+    WHERE a.n = 1 AND b.n = 1 AND a.score >= 0.62 AND (a.second IS NULL OR a.score - a.second >= 0.08) AND (b.second IS NULL OR b.score - b.second >= 0.08)""",
     covers="vp_match w_best_second",
 )
 def mutual_best(spark, sf):
     v = _vectors(spark, sf)
     samples = v.where("vec_id % 2 = 1").select(F.col("label").alias("speaker"), (F.col("label") % 2).alias("domain"), "embedding")
     exemplars = V.centroids(v.where("vec_id % 2 = 0"), ["label"]).select(F.col("label").alias("human"), (F.col("label") % 2).alias("domain"), F.col("centroid").alias("embedding"))
-    return V.mutual_best(V.scores(samples, exemplars, ["domain"]), least=0.3, margin=0.01).select("speaker", "human", F.round("score", 6).alias("score"))
+    return V.mutual_best(V.scores(samples, exemplars, ["domain"]), least=0.62, margin=0.08).select("speaker", "human", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -111,6 +111,24 @@ def correction_counts(spark, sf):
     return O.replacements(docs, pairs).groupBy("id").agg(F.count("*").alias("n"))
 
 
+_SPLIT = r"""WITH t AS (SELECT conv_id, turn, role, string_split_regex(trim(text), '[ \t\n\r\f]+') AS w FROM conversations WHERE trim(text) <> ''),
+    p AS (SELECT conv_id, role, turn::BIGINT * 900000 + (unnest(range(1, len(w) + 1)) - 1) * 300 AS s, unnest(w) AS x FROM t),
+    c AS (SELECT *, lower(regexp_extract(x, '^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}]*$', 1)) AS core, regexp_extract(x, '^([^\p{L}\p{N}]*)', 1) AS pre, regexp_extract(x, '([^\p{L}\p{N}]*)$', 1) AS suf FROM p),
+    n AS (SELECT *, CASE core WHEN 'the' THEN [pre || 'Theatre' || suf] WHEN 'that' THEN [pre || 'Great', 'Hat' || suf] ELSE [x] END AS y FROM c),
+    e AS (SELECT *, CASE WHEN len(y) = 2 THEN s + round(250.0 * length(y[1]) / (length(y[1]) + length(y[2])))::BIGINT END AS cut FROM n)
+    SELECT conv_id, role, s AS start_ms, coalesce(cut, s + 250) AS end_ms, y[1] AS text FROM e UNION ALL SELECT conv_id, role, cut, s + 250, y[2] FROM e WHERE len(y) = 2"""
+
+
+@query("timed_corrections", _SPLIT, covers="v_rewrite_words v_apply")
+def timed_corrections(spark, sf):
+    """Turns as words of 250 ms every 300 ms, with one alias for a word and one for two."""
+    c = load(spark, sf, "conversations").where(F.trim("text") != "").select("conv_id", "turn", "role", F.posexplode(F.split(F.trim("text"), r"[ \t\n\r\f]+")).alias("i", "text"))
+    start = F.col("turn").cast("long") * 900_000 + F.col("i") * 300
+    words = c.select(F.col("conv_id").alias("id"), F.lit(0).alias("channel"), F.col("role").alias("speaker"), start.alias("start_ms"), (start + 250).alias("end_ms"), "text", F.lit(None).cast("double").alias("confidence"))
+    out = O.rewritten_words(words, spark.createDataFrame([("Theatre", "the"), ("Great Hat", "that")], "canonical string, alias string"))
+    return out.select(F.col("id").alias("conv_id"), F.col("speaker").alias("role"), "start_ms", "end_ms", "text")
+
+
 def _names(spark, sf):
     """Names that people wrote beside the documents: the capitalised words of four letters or more of the benchmark's texts."""
     words = load(spark, sf, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
@@ -129,13 +147,15 @@ def _decided(spark):
 @query("name_proposals", None, covers="v_candidates v_recurrence a_recurrence o_proposals sf_is_inflection j_fuzzy_block sf_koelner")
 def name_proposals(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = O.candidates(docs, _ordinary(spark).withColumnRenamed("common", "word"))
-    return O.undecided(O.proposals(found, _names(spark, sf)), *_decided(spark)).orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
+    ordinary = _ordinary(spark).withColumnRenamed("common", "word")
+    return O.undecided(O.proposals(O.candidates(docs, ordinary), _names(spark, sf), ordinary=ordinary), *_decided(spark)).orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
 
 
 @query("phonetic_block", None, covers="j_fuzzy_block")
 def phonetic_block(spark, sf):
-    words = load(spark, sf, "part").select(F.explode(word_tokens("p_name")).alias("word")).distinct().withColumn("code", cologne_code("word"))
+    """Words of part names and of benchmark texts."""
+    texts = load(spark, sf, "part").select(F.col("p_name").alias("text")).unionByName(load(spark, sf, "benchmark").select("text"))
+    words = texts.select(F.explode(plain_words("text")).alias("word")).distinct().withColumn("code", cologne_code("word"))
     return O.alike(words, F.substring("code", 1, 1))
 
 
@@ -161,6 +181,19 @@ def fuzzy_components(spark, sf):
 def context_proposals(spark, sf):
     """Candidates beside the names of their context; documents have no measured confidence, and the names belong to all of them."""
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = O.candidates(docs, _ordinary(spark).withColumnRenamed("common", "word")).withColumn("confidence", F.lit(None).cast("double"))
-    names = _names(spark, sf).select(F.lit(None).cast("long").alias("id"), "word", F.lit(2).alias("rank"))
-    return O.context_proposals(found, names)
+    ordinary = _ordinary(spark).withColumnRenamed("common", "word")
+    found = O.candidates(docs, ordinary).withColumn("confidence", F.lit(None).cast("double"))
+    return O.context_proposals(found, _everywhere(spark, sf), ordinary=ordinary)
+
+
+def _everywhere(spark, sf):
+    return _names(spark, sf).select(F.lit(None).cast("long").alias("id"), "word", F.lit(2).alias("rank"))
+
+
+@query("vocabulary_scan", None, covers="v_scan v_recurrence v_context o_proposals")
+def vocabulary_scan(spark, sf):
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    ordinary = _ordinary(spark).withColumnRenamed("common", "word")
+    found = O.candidates(docs, ordinary).withColumn("confidence", F.lit(None).cast("double"))
+    out = O.scan(found, _names(spark, sf), _everywhere(spark, sf), *_decided(spark), ordinary=ordinary)
+    return out.orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.text import ngrams, word_tokens
+from parley.functions.text import ngrams
 from parley.operators import search as S
 from parley.plans.catalog import query
 from parley.sources.tables import load
 
-_TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND strlen(w) <= 40)"
+_FOLD = "replace(strip_accents(lower({})), 'ß', 'ss')"
+_TOKENS = r"list_filter(string_split_regex(replace(strip_accents(lower({})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND strlen(w) <= 40)"
 _BASE = f"""WITH d AS (SELECT doc_id AS id, {_TOKENS.format("text")} AS w, {_TOKENS.format("concat(lang, ' ', source)")} AS tw, lang, source, n_chars, text FROM documents),
 c AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS mean, avg(len(tw)) AS tmean FROM d),"""
 _HITS = """h AS (SELECT id, term, len(list_filter(w, lambda x: x = term)) AS tf, len(w) AS length FROM d, (VALUES {}) v(term) WHERE list_contains(w, term)),
@@ -71,11 +72,15 @@ def fuzzy_terms(spark, sf):
 
 @query(
     "ngram_terms",
-    """WITH p AS (SELECT p_partkey, lower(p_name) AS t FROM part), g AS (SELECT t, i, n FROM (SELECT DISTINCT t FROM p), range(1, 41) a(i), range(1, 4) b(n) WHERE i + n - 1 <= length(t)),
-    s AS (SELECT substr(t, i, n) AS gram, count(*) AS per, t FROM g GROUP BY 1, 3) SELECT gram, sum(per * k)::BIGINT AS n FROM s JOIN (SELECT t, count(*) AS k FROM p GROUP BY 1) USING (t) GROUP BY 1""",
+    f"""WITH p AS (SELECT {_FOLD.format("p_name")} AS t FROM part UNION ALL SELECT {_FOLD.format("text")} FROM benchmark), d AS (SELECT t, count(*) AS k FROM p GROUP BY 1),
+    i AS (SELECT t, k, unnest(range(1, length(t) + 1)) AS i FROM d), g AS (SELECT substr(t, i, n) AS gram, k FROM i, range(1, 4) b(n) WHERE i + n - 1 <= length(t))
+    SELECT gram, sum(k)::BIGINT AS n FROM g GROUP BY 1""",
+    covers="sf_tokenize_ngram",
 )
 def ngram_terms(spark, sf):
-    return load(spark, sf, "part").select(F.explode(ngrams("p_name")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """Terms of part names, and of benchmark texts, which have accents."""
+    texts = load(spark, sf, "part").select(F.col("p_name").alias("text")).unionByName(load(spark, sf, "benchmark").select("text"))
+    return texts.select(F.explode(ngrams("text")).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("index_postings", f"{_BASE} t AS (SELECT id, unnest(w) AS term FROM d) SELECT term, count(*) AS cf, count(DISTINCT id) AS df FROM t GROUP BY 1 HAVING df > 20", covers="fts_index")
@@ -107,18 +112,24 @@ def snippets(spark, sf):
 
 
 _STOP = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "die", "der", "und", "le", "la", "de", "et", "el", "que", "y")
+_CORE = r"regexp_extract({}, '^[^\p{{L}}\p{{N}}]*(.*?)[^\p{{L}}\p{{N}}]*$', 1)"
 
 
 @query(
     "keywords",
-    f"""{_BASE} t AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(w) AS term FROM d) WHERE length(term) >= 2 AND term NOT IN {_STOP} AND regexp_matches(term, '\\p{{L}}') GROUP BY 1, 2)
-    SELECT id, term, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, term) AS place FROM t QUALIFY place <= 50""",
-    covers="sf_stopword",
+    rf"""WITH c AS (SELECT doc_id AS id, source, regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`[^`]+`', '', 'g') AS body FROM documents),
+    w AS (SELECT id, list_filter(string_split_regex(translate(body, '#*_~`[]()', '         '), '[ \t\n\r\f]+'), lambda x: x <> '') AS w FROM c),
+    t AS (SELECT id, unnest(range(1, len(w) + 1)) AS i, w FROM w),
+    k AS (SELECT id, i, w[i] AS word, {_CORE.format("w[i]")} AS core, i = 1 OR regexp_matches(w[i - 1], '[.!?][^\p{{L}}\p{{N}}]*$') AS starts, regexp_matches(w[i], '[.!?][^\p{{L}}\p{{N}}]*$') AS ends FROM t),
+    m AS (SELECT *, length(core) >= 2 AND regexp_matches(core, '\p{{L}}') AND (lower(core) NOT IN {_STOP} OR (regexp_matches(core, '^\p{{Lu}}') AND NOT starts)) AS good FROM k),
+    p AS (SELECT id, trim(unnest(string_split(string_agg(CASE WHEN starts THEN chr(10) ELSE '' END || CASE WHEN good THEN core ELSE chr(10) END, ' ' ORDER BY i), chr(10)))) AS term FROM m GROUP BY 1),
+    f AS (SELECT id, 1 AS rank, i, term FROM (SELECT id, generate_subscripts(h, 1) AS i, unnest(h) AS term FROM (SELECT id, regexp_extract_all(body, '#([\p{{L}}\p{{N}}_]+)', 1) AS h FROM c))
+      UNION ALL SELECT id, 0, 1, source FROM c UNION ALL SELECT id, 2, i, core FROM m WHERE good UNION ALL SELECT id, 3, 0, term FROM p WHERE instr(term, ' ') > 0),
+    g AS (SELECT id, lower(term) AS key, min(rank * 1000000000000 + i) AS first, count(*) FILTER (rank = 2) AS n2, count(*) FILTER (rank = 3) AS n3 FROM f WHERE length(term) >= 2 GROUP BY 1, 2),
+    s AS (SELECT id, key, first, CASE first // 1000000000000 WHEN 2 THEN n2 WHEN 3 THEN n3 ELSE 0 END AS n FROM g)
+    SELECT id, key AS term, n, row_number() OVER (PARTITION BY id ORDER BY first // 1000000000000, n DESC, first, key) AS place FROM s QUALIFY place <= 50""",
+    covers="sf_stopword sf_keywords x_keyword_filter",
 )
 def keywords(spark, sf):
-    from pyspark.sql import Window
-
-    w = _docs(spark, sf).select("id", F.explode(word_tokens("content")).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*_STOP) & F.col("term").rlike(r"\p{L}"))
-    n = w.groupBy("id", "term").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("n").desc(), "term"))
-    return n.withColumn("place", place).where("place <= 50")
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.array("source").alias("named"))
+    return S.keywords(d, _STOP).select("id", F.lower("term").alias("term"), "n", "place")

@@ -44,7 +44,7 @@ def truncate_word(spark, sf):
     return load(spark, sf, "conversations").select("conv_id", "turn", T.truncated("text", 60).alias("short"))
 
 
-@query("title_keys", r"SELECT p_partkey, CASE WHEN k IN ('untitled', 'meeting', 'new note', 'note', 'summary') THEN '' ELSE k END AS key FROM (SELECT p_partkey, trim(regexp_replace(lower(CASE WHEN p_size < 5 THEN ' New   Note ' ELSE p_name END), '\s+', ' ', 'g')) AS k FROM part)", covers="sf_title_key")
+@query("title_keys", r"SELECT p_partkey, CASE WHEN k IN ('new note', 'untitled') THEN '' ELSE k END AS key FROM (SELECT p_partkey, trim(regexp_replace(lower(CASE WHEN p_size < 5 THEN ' New   Note ' ELSE p_name END), '\s+', ' ', 'g')) AS k FROM part)", covers="sf_title_key")
 def title_keys(spark, sf):
     return load(spark, sf, "part").select("p_partkey", T.title_key(F.when(F.col("p_size") < 5, " New   Note ").otherwise(F.col("p_name"))).alias("key"))
 

@@ -129,8 +129,55 @@ def test_corrections_are_greedy_and_keep_punctuation(spark):
 
 
 def test_inflections(spark):
-    df = spark.createDataFrame([("Vertrag", "Vertrages"), ("Hausen", "Haus"), ("Meier", "Maier")], "a string, b string")
-    assert [r[0] for r in df.select(vocabulary.inflected("a", "b")).collect()] == [True, False, False]
+    df = spark.createDataFrame([("Vertrag", "Vertrages"), ("Hausen", "Haus"), ("Meier", "Maier"), ("Marens", "Maren"), ("Grandpfeil", "Grandfall"), ("Lehrern", "Lehre")], "a string, b string")
+    assert [r[0] for r in df.select(vocabulary.inflected("a", "b")).collect()] == [True, False, False, True, False, False]
+
+
+def test_compounds_are_no_aliases(spark):
+    pairs = spark.createDataFrame([("Kampagnen", "Kampagnenidee"), ("Sven", "Svenon"), ("Meier", "Maier")], "a string, b string")
+    words = spark.createDataFrame([("idee",), ("on",)], "word string")
+    assert rows(vocabulary._no_compounds(pairs, "a", "b", words)) == [("Meier", "Maier"), ("Sven", "Svenon")]
+
+
+def test_scan_takes_a_pair_once_and_no_decided_one(spark):
+    found = [(i, 1, w, c) for i, w, c in [(1, "Kowalski", None), (1, "Kowalsky", 0.5), (2, "Kowalsky", None), (2, "Kowalzki", 0.99), (3, "Schmidtke", None), (4, "Schmitdke", None)]]
+    found = spark.createDataFrame(found, "id long, pos int, word string, confidence double")
+    anchors = spark.createDataFrame([("Kowalski",), ("Schmidtke",)], "word string")
+    names = anchors.selectExpr("cast(null as long) as id", "word", "2 as rank")
+    dismissed = spark.createDataFrame([("schmidtke", "Schmitdke")], "canonical string, alias string")
+    got = rows(vocabulary.scan(found, anchors, names, dismissed))
+    assert got == [("Kowalski", "Kowalsky", 2, 2), ("Kowalski", "Kowalzki", 1, 1)]
+
+
+def test_timed_words_keep_their_span(spark):
+    """A pause, another speaker and another channel end a run; parts share the time by characters."""
+    schema = "id long, channel int, speaker string, start_ms long, end_ms long, text string, confidence double"
+    said = [(1, 0, "a", 0, 200, "Klick", 0.9), (1, 0, "a", 200, 400, "ab,", 0.4), (1, 0, "a", 2000, 2100, "Klick", 1.0), (1, 0, "a", 3200, 3300, "ab", 1.0), (1, 0, "a", 3300, 3400, "klick", None), (1, 0, "b", 3400, 3500, "ab", 1.0)]
+    said += [(2, 0, None, 0, 90, "(nor", None), (2, 0, None, 90, 100, "druck).", 0.5)]
+    aliases = spark.createDataFrame([("ClickUp", "klick ab"), ("NOR Drucktechnik", "nor druck")], "canonical string, alias string")
+    got = rows(vocabulary.rewritten_words(spark.createDataFrame(said, schema), aliases), "id", "start_ms", "end_ms", "text", "confidence")
+    kept = [(1, 2000, 2100, "Klick", 1.0), (1, 3200, 3300, "ab", 1.0), (1, 3300, 3400, "klick", None), (1, 3400, 3500, "ab", 1.0)]
+    assert got == sorted([(1, 0, 400, "ClickUp,", 0.4), *kept, (2, 0, 22, "(NOR", None), (2, 22, 100, "Drucktechnik).", None)], key=repr)
+
+
+def test_terms_are_folded(spark):
+    df = spark.createDataFrame([("Café STRAẞE Łódź œuvre naïve Ωμέγα",)], "t string")
+    assert df.select(text.word_tokens("t")).first()[0] == ["cafe", "strasse", "lodz", "oeuvre", "naive", "ωμέγα"]
+    assert [text.folded_term(w) for w in ("Café", "Straße", "Łódź", "ŒUVRE")] == ["cafe", "strasse", "lodz", "oeuvre"]
+    assert search.parse("+Über café") == [("+", ["uber"]), ("", ["cafe"])]
+    docs = spark.createDataFrame([(1, "Im Café"), (2, "cafe"), (3, "tee")], "id long, content string")
+    assert [r[0] for r in search.any_of(docs, ["cafe"]).orderBy("id").collect()] == [1, 2]
+
+
+def test_keywords_by_kind(spark):
+    body = "Die Katze schläft. Der Herr Wird kommt, Herr Wird geht! `code here` #plan_b ```more\ncode``` [Roter](x) Faden und Roter Faden"
+    docs = spark.createDataFrame([(1, body, ["Anna", "x"]), (2, None, []), (3, "", None), (4, "anna Anna", ["ANNA"])], "id long, text string, named array<string>")
+    got = search.keywords(docs, ("die", "der", "wird", "und")).orderBy("id", "place").collect()
+    one = [(r["term"], r["n"]) for r in got if r["id"] == 1]
+    assert one[:2] == [("Anna", 0), ("plan_b", 0)] and one[2:6] == [("Herr", 2), ("Wird", 2), ("Roter", 2), ("Faden", 2)]
+    assert ("Katze schläft", 1) in one and ("Roter Faden", 1) in one and not {"code", "Die", "Der", "und", "x"} & {t for t, _ in one}
+    assert [(r["term"], r["n"]) for r in got if r["id"] == 4] == [("ANNA", 0), ("anna Anna", 1)]
+    assert {r["id"] for r in got} == {1, 4}
 
 
 def test_alike_loses_no_pair(spark):
