@@ -22,8 +22,8 @@ def stream_windows(spark, sf):
     return run_to_end(w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total")), "complete")
 
 
-def messages(spark, sf):
-    """Messages of a live transcript from turns: a final with the turn's words, a partial before it, a flush at the end."""
+def messages(spark, sf, repeated=True):
+    """Messages of a live transcript from turns: a final with the turn's words, a partial before it, a flush at the end; some finals arrive twice."""
     c = load(spark, sf, "conversations").select(F.col("conv_id").alias("transcript"), (F.col("role") == "assistant").cast("int").alias("channel"), F.col("turn").alias("seq"), F.split(F.trim("text"), r"\s+").alias("w"))
     at = lambda i: (F.col("seq") * 900_000 + i * 300).cast("long")
     words = F.transform("w", lambda x, i: F.struct(F.concat(F.when((i % 5) == 4, "").otherwise(" "), x).alias("text"), at(i).alias("start_ms"), (at(i) + 250).alias("end_ms")))
@@ -31,7 +31,8 @@ def messages(spark, sf):
     partial = final.select("transcript", "channel", F.col("seq") - 1, F.lit("partial").alias("kind"), "job", F.slice("words", 1, 3).alias("words"))
     again = final.where("transcript % 4 = 0").select("transcript", "channel", F.col("seq") + 1, F.lit("final").alias("kind"), "job", "words")
     end = c.groupBy("transcript", "channel").agg((F.max("seq") * 3 + 3).alias("seq")).select("transcript", "channel", "seq", F.lit("flush").alias("kind"), F.lit(None).cast("string").alias("job"), F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>").alias("words"))
-    return final.union(partial).union(again).union(end)
+    once = final.union(partial).union(end)
+    return once.union(again) if repeated else once
 
 
 @query(
@@ -49,6 +50,39 @@ def live_words(spark, sf):
     return w.groupBy("transcript", "channel").agg(F.count("*").alias("words"), F.sum(F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("chars"))
 
 
+def handed_off(spark, sf):
+    """Messages of turns: what the assistant says is sent off for correction, and turns of more than 20 words come back as one word."""
+    m = messages(spark, sf, repeated=False)
+    job = F.when((F.col("kind") == "final") & (F.col("channel") == 1), F.col("words")[0]["start_ms"].cast("string"))
+    sent = m.withColumn("job", job)
+    fixed = F.array(F.struct(F.lit(" FIXED").alias("text"), F.col("words")[0]["start_ms"].alias("start_ms"), F.col("words")[0]["end_ms"].alias("end_ms")))
+    back = sent.where((F.size("words") > 20) & F.col("job").isNotNull()).select("transcript", "channel", F.col("seq") + 1, F.lit("correction").alias("kind"), "job", fixed.alias("words"))
+    return sent.union(back)
+
+
+@query(
+    "live_corrections",
+    r"""WITH t AS (SELECT conv_id AS transcript, (role = 'assistant')::INT AS channel, turn, string_split_regex(trim(text), '\s+') AS w FROM conversations),
+    p AS (SELECT transcript, channel, turn, len(w) > 20 AS long, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM t),
+    m AS (SELECT *, lag(x) OVER (PARTITION BY transcript, channel ORDER BY turn, i) AS before, lag(turn) OVER (PARTITION BY transcript, channel ORDER BY turn, i) AS bturn FROM p),
+    f AS (SELECT * FROM m WHERE NOT (i % 5 = 4 AND bturn = turn AND NOT regexp_matches(before, '[.!?]$'))),
+    e AS (SELECT transcript, channel, lead(turn) OVER (PARTITION BY transcript, channel ORDER BY turn, i) AS eturn, lead(long) OVER (PARTITION BY transcript, channel ORDER BY turn, i) AS long FROM f),
+    c AS (SELECT transcript, channel, count(*) FILTER (channel = 1 AND len(w) > 20) AS corrected FROM t GROUP BY 1, 2)
+    SELECT transcript, channel, count(*) FILTER (channel = 1 AND eturn IS NOT NULL) AS pending, any_value(corrected) AS corrected, count(*) FILTER (channel = 1 AND eturn IS NOT NULL AND NOT long) AS promoted,
+    count(*) FILTER (channel = 1 AND eturn IS NOT NULL AND long) AS replaced, count(*) FILTER (channel = 0 OR eturn IS NULL) AS plain FROM e JOIN c USING (transcript, channel) GROUP BY 1, 2""",
+    covers="s_corrections s_flush",
+)
+def live_corrections(spark, sf):
+    """How many words were pending, corrected, promoted without a correction, replaced by one, or final at once."""
+    w = L.batch_words(handed_off(spark, sf))
+    own, none = F.col("replaces") == F.array("id"), F.size("replaces") == 0
+    fixed, final = F.col("text") == " FIXED", F.col("state") == "final"
+    return w.groupBy("transcript", "channel").agg(
+        F.count_if(~final).alias("pending"), F.count_if(fixed).alias("corrected"), F.count_if(final & ~fixed & own).alias("promoted"),
+        F.sum(F.when(fixed, F.size("replaces")).otherwise(0)).alias("replaced"), F.count_if(final & ~fixed & none).alias("plain"),
+    )
+
+
 @query(
     "changed_tables",
     "SELECT event_type AS table_name, max(event_id) AS seq, count(*) AS n FROM events GROUP BY 1",

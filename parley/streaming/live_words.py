@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Gap in milliseconds within which pieces of a word join; partial words and correction jobs that state holds at most.
-STITCH_GAP, MOST_PARTIALS, MOST_JOBS = 300, 512, 64
+#: Gap in milliseconds within which pieces of a word join; partial words that state holds at most, their bytes and milliseconds; correction jobs that it holds, their words and bytes.
+STITCH_GAP = 300
+MOST_PARTIALS, MOST_PARTIAL_BYTES, LONGEST_PARTIALS = 512, 128 * 1024, 120_000
+MOST_JOBS, MOST_JOB_WORDS, MOST_JOB_BYTES = 64, 4096, 256 * 1024
 SENTENCE_END = (".", "!", "?")
 
 OUTPUT = "transcript long, channel int, id string, text string, start_ms long, end_ms long, state string, replaces array<string>"
@@ -37,51 +39,122 @@ def _word(w: dict, key: str, state: str, replaces: list[str] | None = None) -> d
     return w | {"id": f"{key}:{w['start_ms']}:{w['end_ms']}", "state": state, "replaces": replaces or []}
 
 
+def _size(text: str) -> int:
+    return len(text.encode())
+
+
+def _stitched(state: dict, words: list[dict]) -> list[dict]:
+    """Words that are whole once these follow the held one; the last becomes the held one, unless it is too long to hold."""
+    out = []
+    for w in words:
+        held = state["held"]
+        if held and _joins(held, w):
+            state["held"] = held | {"text": held["text"] + w["text"], "end_ms": max(held["end_ms"], w["end_ms"])}
+            continue
+        if held:
+            out.append(held)
+        state["held"] = w
+    if state["held"] and _size(state["held"]["text"]) > MOST_PARTIAL_BYTES:
+        out.append(state["held"])
+        state["held"] = None
+    return out
+
+
+def _overflow(state: dict) -> int:
+    """How many of the first partials are beyond a bound of number, bytes or time."""
+    partials = state["partials"]
+    if not partials:
+        return 0
+    latest = max(p["end_ms"] for p in partials)
+    old = 0
+    while old < len(partials) and partials[old]["end_ms"] <= latest - LONGEST_PARTIALS:
+        old += 1
+    size, first = _size(state["held"]["text"]) if state["held"] else 0, len(partials)
+    while first and (size := size + _size(partials[first - 1]["text"])) <= MOST_PARTIAL_BYTES:
+        first -= 1
+    return max(old, len(partials) - (MOST_PARTIALS - bool(state["held"])), first)
+
+
+def _partial(state: dict, words: list[dict], key: str) -> list[dict]:
+    words = [w for w in words if w["end_ms"] > state["watermark"]]
+    if not words:
+        return []
+    lo, hi = words[0]["start_ms"], words[-1]["end_ms"]
+    kept = [p for p in state["partials"] if p["end_ms"] <= lo or p["start_ms"] >= hi]
+    state["partials"] = sorted(kept + words, key=lambda w: (w["start_ms"], w["end_ms"]))
+    out = []
+    while (n := _overflow(state)) > 0:
+        over, state["partials"] = state["partials"][:n], state["partials"][n:]
+        state["watermark"] = max(state["watermark"], *(w["end_ms"] for w in over))
+        out += _stitched(state, over)
+    return [_word(w, key, "final") for w in out]
+
+
+def _final(state: dict, words: list[dict], key: str, label: str) -> list[dict]:
+    late = 0
+    while late < len(words) and words[late]["end_ms"] <= state["watermark"]:
+        late += 1
+    words = words[late:]
+    if not words:
+        return []
+    before = [p for p in state["partials"] if p["end_ms"] <= words[0]["start_ms"]]
+    state["partials"] = [p for p in state["partials"] if p["end_ms"] > words[0]["start_ms"] and p["start_ms"] > words[-1]["end_ms"]]
+    state["watermark"] = words[-1]["end_ms"]
+    return [_word(w, key, label) for w in before + _stitched(state, words)]
+
+
+def _promoted(words: list[dict]) -> list[dict]:
+    """Words of a job that no correction will come for: final, in place of themselves."""
+    return [w | {"state": "final", "replaces": [w["id"]]} for w in words]
+
+
+def _registered(state: dict, job: str, words: list[dict]) -> list[dict]:
+    """Words of older jobs that become final as this one takes their name or their room."""
+    jobs = state["jobs"]
+    gone = jobs.pop(job, [])
+    jobs[job] = words
+
+    def full() -> bool:
+        held = [w for kept in jobs.values() for w in kept]
+        return len(jobs) > MOST_JOBS or len(held) > MOST_JOB_WORDS or sum(_size(w["id"]) + _size(w["text"]) for w in held) > MOST_JOB_BYTES
+
+    while jobs and full():
+        gone = gone + jobs.pop(next(iter(jobs)))
+    return _promoted(gone)
+
+
 def step(state: dict[str, Any], message: dict[str, Any], key: str) -> list[dict]:
-    """Words that one message makes final, and what the state becomes.
+    """Words that one message makes final or pending, and what the state becomes.
 
     final: the prefix of words that end at or before the watermark is dropped;
-    the rest follows the held word, whose last one is held in turn. partial:
-    replaces the partials of its time range. correction: the words of a job that
-    is known take the place of those it sent. flush: what is held comes out.
+    partials that end before the rest come out first, overlapping ones go; the
+    rest follows the held word, whose last one is held in turn. With a job the
+    words are pending until their correction. partial: replaces the partials of
+    its time range; what exceeds a bound comes out as final. correction: its
+    words take the place of those the job sent; without words these stay, as
+    final. flush: what is held comes out, and pending words become final. State
+    is bounded and no word is lost to a bound.
     """
-    words = [dict(w) for w in message["words"] or []]
-    out: list[dict] = []
+    words, job = [dict(w) for w in message["words"] or []], message["job"]
     kind = message["kind"]
     if kind == "partial":
-        words = [w for w in words if w["end_ms"] > state["watermark"]]
-        if words:
-            lo, hi = words[0]["start_ms"], words[-1]["end_ms"]
-            kept = [p for p in state["partials"] if p["end_ms"] <= lo or p["start_ms"] >= hi]
-            state["partials"] = sorted(kept + words, key=lambda w: w["start_ms"])[-MOST_PARTIALS:]
-        return out
+        return _partial(state, words, key)
     if kind == "correction":
-        before = state["jobs"].pop(message["job"], None)
-        return [_word(w, key, "final", before if not i else None) for i, w in enumerate(words)] if before is not None else []
+        before = state["jobs"].pop(job, None)
+        if before is None:
+            return []
+        ids = [w["id"] for w in before]
+        return [_word(w, key, "final", ids if not i else None) for i, w in enumerate(words)] or _promoted(before)
     if kind == "flush":
-        if state["held"]:
-            out.append(_word(state["held"], key, "final"))
-        out += [_word(p, key, "final") for p in state["partials"]]
-        state["held"], state["partials"] = None, []
+        out = [_word(w, key, "final") for w in ([state["held"]] if state["held"] else []) + state["partials"]]
+        out += _promoted([w for kept in state["jobs"].values() for w in kept])
+        state["held"], state["partials"], state["jobs"] = None, [], {}
         return out
-    late = 0
-    while late < len(words) and words[late]["end_ms"] <= state["watermark"]:
-        late += 1
-    for w in words[late:]:
-        held = state["held"]
-        if held and _joins(held, w):
-            state["held"] = held | {"text": held["text"] + w["text"], "end_ms": max(held["end_ms"], w["end_ms"])}
-            continue
-        if held:
-            out.append(_word(held, key, "pending" if message["job"] else "final"))
-        state["held"] = w
-    if words[late:]:
-        state["watermark"] = max(state["watermark"], words[-1]["end_ms"])
-        state["partials"] = [p for p in state["partials"] if p["start_ms"] >= state["watermark"]]
-    if message["job"] and out:
-        state["jobs"][message["job"]] = state["jobs"].get(message["job"], []) + [w["id"] for w in out]
-        while len(state["jobs"]) > MOST_JOBS:
-            state["jobs"].pop(next(iter(state["jobs"])))
+    out = _final(state, words, key, "pending" if job else "final")
+    if job:
+        promoted = _registered(state, job, out)
+        ids = {w["id"] for w in promoted}
+        out = [w for w in out if w["id"] not in ids] + promoted
     return out
 
 

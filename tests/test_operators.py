@@ -260,6 +260,48 @@ def test_live_step_rules():
     assert live.collapsed(list("abcdefabcdef")) == list("abcdef")
 
 
+def _said(kind, *words, job=None):
+    return {"kind": kind, "job": job, "words": [{"text": t, "start_ms": a, "end_ms": b} for t, a, b in words]}
+
+
+def _brief(words):
+    return [(x["text"], x["state"], x["replaces"]) for x in words]
+
+
+def test_live_partials_come_out_at_every_bound(monkeypatch):
+    s = live.empty()
+    assert live.step(s, _said("partial", (" a", 0, 10), (" b", 20, 30)), "k") == []
+    assert _brief(live.step(s, _said("final", (" c", 40, 50)), "k")) == [(" a", "final", []), (" b", "final", [])]
+    s = live.empty()
+    many = [(f" w{i}", i * 10, i * 10 + 5) for i in range(live.MOST_PARTIALS + 3)]
+    out = live.step(s, _said("partial", *many), "k")
+    rest = live.step(s, _said("flush"), "k")
+    assert out and [x["text"] for x in out + rest] == [w[0] for w in many]
+    s = live.empty()
+    live.step(s, _said("partial", (" old", 0, 10)), "k")
+    live.step(s, _said("partial", (" new", live.LONGEST_PARTIALS + 10, live.LONGEST_PARTIALS + 20)), "k")
+    assert s["held"]["text"] == " old" and s["watermark"] == 10
+    monkeypatch.setattr(live, "MOST_PARTIAL_BYTES", 8)
+    s = live.empty()
+    out = live.step(s, _said("partial", *[(f" {c * 3}", i * 1000, i * 1000 + 5) for i, c in enumerate("abcd")]), "k")
+    assert [x["text"] for x in out + live.step(s, _said("flush"), "k")] == [" aaa", " bbb", " ccc", " ddd"]
+
+
+def test_live_jobs_are_promoted_not_lost():
+    s = live.empty()
+    out = []
+    for i in range(live.MOST_JOBS + 2):  # the first job sends nothing, as its word is held
+        out += live.step(s, _said("final", (f" w{i}", i * 1000, i * 1000 + 5), job=f"j{i}"), "k")
+    assert _brief(w for w in out if w["state"] == "final") == [(" w0", "final", ["k:0:5"])] and len(s["jobs"]) == live.MOST_JOBS
+    assert _brief(live.step(s, _said("correction", job="j2"), "k")) == [(" w1", "final", ["k:1000:1005"])]  # without words, the originals stand
+    assert _brief(live.step(s, _said("correction", (" x", 2000, 2005), job="j3"), "k")) == [(" x", "final", ["k:2000:2005"])]
+    again = live.step(s, _said("final", (" y", 90_000, 90_005), job="j4"), "k")  # a job's name taken again
+    assert _brief(again) == [(f" w{live.MOST_JOBS + 1}", "pending", []), (" w3", "final", ["k:3000:3005"])]
+    end = live.step(s, _said("flush"), "k")
+    assert end[0]["text"] == " y" and {x["text"] for x in end[1:]} == {f" w{i}" for i in range(4, live.MOST_JOBS + 2)} and all(x["state"] == "final" for x in end)
+    assert live.step(s, _said("flush"), "k") == []
+
+
 def test_live_queries_run_once_a_commit(spark):
     from parley.streaming.live_query import LiveQueries
 
