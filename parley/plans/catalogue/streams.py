@@ -53,9 +53,9 @@ def live_words(spark, sf):
 def handed_off(spark, sf):
     """Messages of turns: what the assistant says is sent off for correction, and turns of more than 20 words come back as one word."""
     m = messages(spark, sf, repeated=False)
-    job = F.when((F.col("kind") == "final") & (F.col("channel") == 1), F.col("words")[0]["start_ms"].cast("string"))
+    job = F.when((F.col("kind") == "final") & (F.col("channel") == 1), F.get("words", F.lit(0))["start_ms"].cast("string"))
     sent = m.withColumn("job", job)
-    fixed = F.array(F.struct(F.lit(" FIXED").alias("text"), F.col("words")[0]["start_ms"].alias("start_ms"), F.col("words")[0]["end_ms"].alias("end_ms")))
+    fixed = F.array(F.struct(F.lit(" FIXED").alias("text"), F.get("words", F.lit(0))["start_ms"].alias("start_ms"), F.get("words", F.lit(0))["end_ms"].alias("end_ms")))
     back = sent.where((F.size("words") > 20) & F.col("job").isNotNull()).select("transcript", "channel", F.col("seq") + 1, F.lit("correction").alias("kind"), "job", fixed.alias("words"))
     return sent.union(back)
 
