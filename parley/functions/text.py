@@ -97,10 +97,11 @@ _PLAIN = _accented() | _STROKED
 
 def folded(text: Column | str) -> Column:
     """A text in lower case with accented Latin letters as ASCII; other scripts stay."""
-    out = F.translate(F.lower(text), "".join(_PLAIN), "".join(_PLAIN.values()))
+    low = F.lower(text)
+    out = F.translate(low, "".join(_PLAIN), "".join(_PLAIN.values()))
     for letter, plain in _LIGATURES.items():
         out = F.replace(out, F.lit(letter), F.lit(plain))
-    return out
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(out)  # texts in ASCII need no look
 
 
 def folded_term(term: str) -> str:
