@@ -260,3 +260,51 @@ SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION B
 UNION ALL
 SELECT * FROM (SELECT lang, source, 'term' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM z) WHERE rank <= 10
 """
+
+
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """Sequences (conv_id, ids, sizes) with their first h turns taken from the conversation that begins their group of five; h is a hash of the id, 0 to 8."""
+    from pyspark.sql import functions as F
+
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).cast("int")
+    base = sequences.select(F.col("conv_id").alias("base"), F.slice("ids", 1, 8).alias("base_ids"), F.slice("sizes", 1, 8).alias("base_sizes"))
+    both = sequences.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).withColumn("h", h).join(base, "base", "left")
+
+    def put(own: str, other: str):
+        return F.concat(F.slice(F.coalesce(other, F.array().cast("array<long>")), F.lit(1), F.col("h")), F.slice(own, F.col("h") + 1, F.size(own) + 1)).alias(own)
+
+    return both.select("conv_id", put("ids", "base_ids"), put("sizes", "base_sizes"))
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm._shared import checkpointed
+    from parley.llm.prefix_trie import encoded, trie
+
+    return trie(checkpointed(rebuilt(encoded(_read(spark, sf_dir, "conversations")))))
+
+
+ORACLE_SQL["op12_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, turn, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS m FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT conv_id, list(m ORDER BY turn NULLS FIRST, sha256(length(m.r)::VARCHAR || ':' || m.r || m.t)) AS ms FROM t GROUP BY 1),
+c AS (
+  SELECT conv_id, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(0, 8), lambda i: 0::UBIGINT)), lambda s, u: xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))) AS v
+  FROM o),
+h AS (SELECT conv_id, xor(v, 4294967295::UBIGINT)::BIGINT % 9 AS h FROM c),
+b AS MATERIALIZED (
+  SELECT o.conv_id, list_concat(coalesce(p.ms, [])[1:h.h], o.ms[h.h + 1:]) AS ms
+  FROM o JOIN h USING (conv_id) LEFT JOIN o p ON p.conv_id = o.conv_id - o.conv_id % 5),
+e AS (SELECT conv_id, ms, unnest(range(0, len(ms) + 1)) AS d FROM b),
+f AS MATERIALIZED (SELECT conv_id, d, md5(d::VARCHAR || ms[1:d]::VARCHAR) AS k, CASE WHEN d > 0 THEN md5((d - 1)::VARCHAR || ms[1:d - 1]::VARCHAR) END AS pk, d = len(ms) AS ends, CASE WHEN d > 0 THEN octet_length(encode(ms[d].t)) ELSE 0 END AS size FROM e),
+n AS MATERIALIZED (
+  SELECT k, any_value(pk) AS pk, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM f GROUP BY k),
+m AS (SELECT pk AS k, count(*) AS n_children FROM n WHERE pk IS NOT NULL GROUP BY 1),
+s AS (
+  SELECT f.k, sum(n.own) AS saved_tokens, count(*) FILTER (WHERE m.k IS NULL) AS n_leaves
+  FROM n LEFT JOIN m USING (k) JOIN f ON f.conv_id = n.conv_id AND f.d <= n.depth GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(m.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n p ON p.k = n.pk LEFT JOIN m ON m.k = n.k JOIN s ON s.k = n.k
+"""

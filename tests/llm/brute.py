@@ -140,3 +140,59 @@ def code_length(texts, text, order=3):
         else:
             bits += 8
     return bits
+
+
+def trie(sequences: dict) -> set:
+    """Nodes of {conv_id: [(role, text)]}, as prefix_trie gives them."""
+    members = defaultdict(list)
+    for conv, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(conv)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+
+    def sums(node):
+        below = [sums(x) for x in children[node]]
+        own = (len(members[node]) - 1) * len(node[-1][1].encode()) if node else 0
+        return (sum(x[0] for x in below) or 1, own + sum(x[1] for x in below))
+
+    out = set()
+    for node, convs in members.items():
+        ends = ",".join(str(c) for c in sorted(c for c in convs if len(sequences[c]) == len(node)))
+        leaves, saved = sums(node)
+        out.add((min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), len(children[node]), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def divergence(docs, least=10, top=10) -> set:
+    """Rows of (text, lang, source), as divergence.audit gives them."""
+    docs = [tuple(x or "" for x in d) for d in docs]
+    n, df = defaultdict(Counter), defaultdict(Counter)
+    groups = {(lang, source) for _, lang, source in docs}
+    for text, lang, source in docs:
+        words = TERM.findall(lower(text))
+        n[lang, source].update(words)
+        df[lang].update(set(words))
+    out = set()
+    for lang in {g[0] for g in groups}:
+        kept = [t for t, c in df[lang].items() if c >= least]
+        mine = sorted(s for g, s in groups if g == lang)
+
+        def rates(count, kept=kept):
+            total = sum(count[t] for t in kept)
+            return {t: 1 + 10**9 * (count[t] + 2) // (total + 2 * len(kept)) for t in kept}
+
+        p = {s: rates(n[lang, s]) for s in mine}
+        q = rates(sum((n[lang, s] for s in mine), Counter()))
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in mine:
+            pairs = [(-sum(f(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in mine if o != s]
+            terms = [(-f(p[s][t], q[t]), t.encode(), t) for t in kept if n[lang, s][t] and p[s][t] > q[t]]
+            for part, items in (("pair", sorted(pairs)), ("term", sorted(terms)[:top])):
+                out |= {(lang, s, part, item, -v, r) for r, (v, _, item) in enumerate(items, 1)}
+    return out
