@@ -308,3 +308,15 @@ s AS (
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(m.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
 FROM n LEFT JOIN n p ON p.k = n.pk LEFT JOIN m ON m.k = n.k JOIN s ON s.k = n.k
 """
+
+
+#: Rules of hosts and paths, and what they say.
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+@_query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.llm.url_filter import fit, judge, rule_labels
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, URL_RULES, fit(rule_labels(pages, URL_RULES))).select("page_id", "host", "path", "rule", "verdict", "blocked")
