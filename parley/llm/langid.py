@@ -3,8 +3,8 @@
 Every language has a context tree of up to ORDER bytes, held as counts of byte
 runs. A byte that has not followed its context costs an escape, `kinds` out of
 `total + kinds`, and is coded again in the context one byte shorter, down to a
-uniform code over 256 bytes. After training the counts are frozen, so the exact
-code length of a byte depends on its context alone and whole texts are scored
+uniform code over 256 bytes, which bytes that no language has seen take as well.
+After training the counts are frozen, so the exact code length of a byte depends on its context alone and whole texts are scored
 by table lookups; the answer is the language with the shortest code.
 
 Defined results: null text and text without a letter give `und` with score 0;
@@ -33,60 +33,61 @@ from parley.llm._shared import give_back, unused
 ORDER = 3
 #: Labelled rows that training reads for each language, about, drawn by a hash of the row.
 SAMPLE_ROWS = 400
-#: Classes that contexts tell apart: one for the start of a text, one for each of the most frequent bytes, one for all others,
-#: of which the byte itself is then coded by its own frequency, so that code lengths are those of bytes, not of classes.
-CLASSES = 128
 #: A text is rejected when even its best language needs more bits a byte than this.
 MAX_BITS = 7.0
 
 
+#: Bits of a byte in the key of a run; 0 stands before a text, each byte for itself plus one.
+WIDE = 9
+
+
 @dataclass
-class Model:
-    """Code lengths in bits, a column for each language: `dense` by runs of up to ORDER classes, `cost` by the longer runs
-    in `slots`; `skip` holds what escaping from a context in `homes` costs before `dense` applies. `member` is what each byte costs within its class."""
+class Table:
+    """Code lengths of runs of bytes that some language has seen, and what escaping from their contexts costs; a column for each language."""
 
-    langs: list[str]
-    classes: np.ndarray
-    member: np.ndarray
-    width: int
-    dense: np.ndarray
     slots: np.ndarray
     cost: np.ndarray
     homes: np.ndarray
     skip: np.ndarray
 
 
-def _codes(t: X.Texts, classes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(short, long): for each byte the run of ORDER classes that ends in it, and the run of ORDER + 1; before a text is class 0."""
-    c = classes[t.data]
-    short, long_ = np.zeros(len(c), np.uint32), np.zeros(len(c), np.uint32)
-    heads = t.bounds[:-1]
-    for k in range(ORDER, -1, -1):
-        part = np.zeros(len(c), np.uint32)
+@dataclass
+class Model:
+    """Code lengths in bits, a column for each language: `pairs` of a byte by the one before it, `tables` by two and by three before it."""
+
+    langs: list[str]
+    pairs: np.ndarray
+    tables: list[Table]
+
+
+def _runs(t: X.Texts) -> list[np.ndarray]:
+    """For each byte the keys of the runs of 1 to ORDER + 1 bytes that end in it."""
+    c = t.data.astype(np.uint64) + np.uint64(1)
+    out, heads = [c], t.bounds[:-1]
+    for k in range(1, ORDER + 1):
+        part = np.zeros(len(c), np.uint64)
         part[k:] = c[: len(c) - k]
         for i in range(k):
             at = heads + i
-            part[at[at < len(c)]] = 0 if k else c[at[at < len(c)]]
-        if k < ORDER:
-            short = short * np.uint32(width) + part
-        long_ = long_ * np.uint32(width) + part
-    return short, long_
+            part[at[at < len(c)]] = 0
+        out.append(out[-1] | (part << np.uint64(WIDE * k)))
+    return out
 
 
 def _slot(keys: np.ndarray, size: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((keys * np.uint32(2654435769)) >> np.uint32(33 - size.bit_length())).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def _stored(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An open-addressing table: each key plus one at its slot (0 is free), and the rows beside."""
     size = 1 << int(2 * len(keys) + 16).bit_length()
-    slots, beside = np.zeros(size, np.uint32), np.zeros((size, rows.shape[1]), np.float32)
+    slots, beside = np.zeros(size, np.uint64), np.zeros((size, rows.shape[1]), np.float32)
     at, left = _slot(keys, size), np.arange(len(keys))
     while len(left):
         here, first = np.unique(at[left], return_index=True)
         first = first[slots[here] == 0]
-        slots[at[left[first]]] = keys[left[first]] + np.uint32(1)
+        slots[at[left[first]]] = keys[left[first]] + np.uint64(1)
         beside[at[left[first]]] = rows[left[first]]
         left = np.delete(left, first)
         at[left] = (at[left] + 1) % size
@@ -96,7 +97,7 @@ def _stored(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _found(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The slot of each key, -1 where it is not stored."""
     at = _slot(keys, len(slots))
-    tag = keys + np.uint32(1)
+    tag = keys + np.uint64(1)
     got = slots[at]
     out = np.where(got == tag, at, -1)
     open_ = np.flatnonzero((got != tag) & (got != 0))
@@ -109,47 +110,43 @@ def _found(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _contexts(run: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, skip, own): the contexts of sorted runs, what escaping from each costs, and what each run costs in its own."""
+    ctx, at, kinds = np.unique(run >> np.uint64(WIDE), return_index=True, return_counts=True)
+    total = np.add.reduceat(count, at) if len(at) else kinds
+    return ctx, np.log2((total + kinds) / kinds), np.repeat(np.log2(total + kinds), kinds) - np.log2(count)
+
+
 def train(samples: dict[str, pa.Array]) -> Model:
     """A model of the languages from sample texts of each."""
     langs = sorted(samples)
-    texts = [X.texts_of(samples[x]) for x in langs]
-    seen = np.sum([np.bincount(t.data, minlength=256) for t in texts], axis=0)
-    kept = np.argsort(-seen, kind="stable")[: CLASSES - 2]
-    kept = np.sort(kept[seen[kept] > 0])
-    classes, width = np.full(256, len(kept) + 1, np.uint32), len(kept) + 2
-    classes[kept] = np.arange(1, len(kept) + 1)
-    rest = classes == len(kept) + 1
-    member = np.where(rest, np.log2((seen[rest].sum() + rest.sum()) / (seen + 1)), 0.0)
-    dense = np.empty((width**ORDER, len(langs)), np.float32)
-    runs = []
-    for j, t in enumerate(texts):
-        short, long_ = _codes(t, classes, width)
-        cost = np.full(1, 8.0)
-        for k in range(1, ORDER + 1):
-            count = np.bincount(short % width**k, minlength=width**k).reshape(-1, width).astype(np.float32)
-            total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True).astype(np.float32)
-            escape = np.where(total > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0)
-            next_ = np.tile(cost.reshape(-1, width) if k > 1 else np.full((1, width), 8.0, np.float32), (len(count) // max(len(cost) // width, 1), 1))
-            next_ += escape
-            seen_ = count > 0
-            np.log2(np.maximum(total + kinds, 1) / np.maximum(count, 1), out=next_, where=seen_)
-            cost = next_.reshape(-1)
-        dense[:, j] = cost
-        runs.append(np.unique(long_, return_counts=True))
-    keys = np.unique(np.concatenate([r for r, _ in runs]))
-    contexts = np.unique(keys // np.uint32(width))
-    cost, skip = dense[keys % np.uint32(width**ORDER)].astype(float), np.zeros((len(contexts), len(langs)))
-    where = np.searchsorted(contexts, keys // np.uint32(width))
-    for j, (run, count) in enumerate(runs):
-        ctx, at, kinds = np.unique(run // np.uint32(width), return_index=True, return_counts=True)
-        total = np.add.reduceat(count, at)
-        skip[np.searchsorted(contexts, ctx), j] = np.log2((total + kinds) / kinds)
-        cost[:, j] += skip[where, j]
-        own = np.repeat(np.log2(total + kinds), kinds)
-        cost[np.searchsorted(keys, run), j] = own - np.log2(count)
-    slots, cost = _stored(keys, cost)
-    homes, skip = _stored(contexts, skip)
-    return Model(langs, classes, member, width, dense, slots, cost, homes, skip)
+    counted = [[np.unique(keys, return_counts=True) for keys in _runs(X.texts_of(samples[x]))] for x in langs]
+    size = 1 << WIDE
+    pairs = np.full((size, size, len(langs)), 8.0, np.float32)
+    for j, runs in enumerate(counted):
+        ctx, skip, own = _contexts(*runs[0])
+        if len(ctx):
+            pairs[:, :, j] = 8.0 + skip[0]
+            pairs[:, runs[0][0].astype(int), j] = own
+        ctx, skip, own = _contexts(*runs[1])
+        pairs[ctx.astype(int), :, j] += skip[:, None]
+        pairs[(runs[1][0] >> np.uint64(WIDE)).astype(int), (runs[1][0] & np.uint64(size - 1)).astype(int), j] = own
+    pairs = pairs.reshape(size * size, len(langs))
+    shorter, cost, tables = None, pairs, []
+    for k in range(2, ORDER + 1):
+        keys = np.unique(np.concatenate([runs[k][0] for runs in counted]))
+        homes = np.unique(keys >> np.uint64(WIDE))
+        last = keys & np.uint64((1 << (WIDE * k)) - 1)
+        below = cost[last.astype(int) if shorter is None else np.searchsorted(shorter, last)].astype(float)
+        skips, where = np.zeros((len(homes), len(langs))), np.searchsorted(homes, keys >> np.uint64(WIDE))
+        for j, runs in enumerate(counted):
+            ctx, skip, own = _contexts(*runs[k])
+            skips[np.searchsorted(homes, ctx), j] = skip
+            below[:, j] += skips[where, j]
+            below[np.searchsorted(keys, runs[k][0]), j] = own
+        tables.append(Table(*_stored(keys, below), *_stored(homes, skips)))
+        shorter, cost = keys, below
+    return Model(langs, pairs, tables)
 
 
 def code_lengths(model: Model, t: X.Texts) -> np.ndarray:
@@ -157,18 +154,21 @@ def code_lengths(model: Model, t: X.Texts) -> np.ndarray:
     out = np.zeros((len(t), len(model.langs)))
     if not len(t.data):
         return out
-    short, long_ = _codes(t, model.classes, model.width)
-    at = _found(model.slots, long_)
-    hit = at >= 0
-    missed = np.flatnonzero(~hit)
-    home = _found(model.homes, long_[missed] // np.uint32(model.width))
+    runs = _runs(t)
+    bits = np.zeros((len(t.data), len(model.langs)), np.float32)
+    left = np.arange(len(t.data))
+    for k in range(ORDER, 1, -1):
+        table, keys = model.tables[k - 2], runs[k][left]
+        at = _found(table.slots, keys)
+        hit = at >= 0
+        bits[left[hit]] += table.cost[at[hit]]
+        left, keys = left[~hit], keys[~hit]
+        home = _found(table.homes, keys >> np.uint64(WIDE))
+        known = home >= 0
+        bits[left[known]] += table.skip[home[known]]
+    bits[left] += model.pairs[runs[1][left].astype(np.int64)]
     full = np.flatnonzero(np.diff(t.bounds))
-    within = model.member[t.data]
-    for j in range(len(model.langs)):
-        bits = np.empty(len(short), np.float64)
-        bits[hit] = model.cost[at[hit], j]
-        bits[missed] = model.dense[short[missed], j] + np.where(home >= 0, model.skip[home, j], 0)
-        out[full, j] = np.add.reduceat(bits + within, t.bounds[:-1][full])
+    out[full] = np.add.reduceat(bits, t.bounds[:-1][full], axis=0, dtype=np.float64)
     return out
 
 

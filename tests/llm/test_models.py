@@ -80,23 +80,30 @@ def test_scores_add_up_from_tables():
 
 
 def test_code_lengths_are_exact():
-    """The tables give the same code as coding byte by byte with escapes."""
+    """The tables give the same code as coding byte by byte with escapes, also for bytes that one language or none has seen."""
     trained = {"a": ["abracadabra abracadabra", "cad", "é"], "b": ["zzz xyz", ""]}
     model = langid.train({k: pa.array(v) for k, v in trained.items()})
-    texts = ["abra", "zz", "", "abracadabra xyz é", "a", "zyx cadabra" * 50]
+    texts = ["abra", "zz", "", "abracadabra xyz é", "a", "zyx cadabra" * 50, "q", "é", "aq", "abraqé", "\x00\u0394\U0001f600", "xy\x7f" * 30]
     bits = langid.code_lengths(model, X.texts_of(pa.array(texts)))
     for j, name in enumerate(model.langs):
         want = [brute.code_length([t.encode() for t in trained[name]], t.encode()) for t in texts]
         assert np.allclose(bits[:, j], want, atol=1e-4)
 
 
-def test_rare_bytes_keep_their_own_cost(monkeypatch):
-    """With few classes, bytes that share one are told apart by their own frequency: codes of all bytes after a context sum to 1 at most."""
-    monkeypatch.setattr(langid, "CLASSES", 5)
-    model = langid.train({"a": pa.array(["abcdefgh abcdefgh aaa bbb"])})
-    one = [bytes([b]) for b in range(128)]
-    bits = langid.code_lengths(model, X.texts_of(pa.array([b"".join([b"ab", c]).decode() for c in one])))[:, 0] - langid.code_lengths(model, X.texts_of(pa.array(["ab"])))[0, 0]
-    assert np.exp2(-bits).sum() <= 1 and len({round(bits[ord(c)], 3) for c in "cx"}) == 2
+def test_all_bytes_are_told_apart():
+    """Training on texts of very many different bytes: each context knows them all."""
+    every = "".join(map(chr, range(1, 0x250))) + "".join(chr(c) for c in range(0x300, 0x11000, 97) if not 0xD800 <= c < 0xE000)
+    trained = {"a": [every, every[::2]], "b": [every[::3]]}
+    model = langid.train({k: pa.array(v) for k, v in trained.items()})
+    texts = [every[5:90], every[::7], every[-40:], "plain"]
+    bits = langid.code_lengths(model, X.texts_of(pa.array(texts)))
+    for j, name in enumerate(model.langs):
+        assert np.allclose(bits[:, j], [brute.code_length([t.encode() for t in trained[name]], t.encode()) for t in texts], rtol=1e-5)
+
+
+def test_equal_code_lengths_go_by_name(spark):
+    docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(docs, F.lit(True))).collect()} == {"a"}
 
 
 def test_empty_and_repeated_rows(spark):
