@@ -26,30 +26,49 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Edges from which hubs are looked for; below, even one node with all edges is no load for a task.
+HUB_EDGES = 100_000
+#: A hub has at least this part of all edges, so there are at most twice as many hubs.
+HUB_SHARE = 1_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id reaches over edges (a, b).
 
     Alternates large-star and small-star steps until every id has one edge, to
     an id without one. Every step is a grouped minimum, which is combined before
-    the shuffle, and a join, so a node with very many edges is spread as any
-    other skewed join; the lineage is cut each time. Loops and repeated edges
-    change nothing.
+    the shuffle, and a join. Nodes with a thousandth of all edges or more, of
+    which there can be two thousand, get their minimum by broadcast, so that no
+    node's edges meet in one task; the lineage is cut each time. Loops and
+    repeated edges change nothing.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    while not _are_stars(e):
+    while (state := _state(e))[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, state[1], own=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, state[1]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _are_stars(e: DataFrame) -> bool:
-    """Whether each id below has one edge, and none of those above is below."""
+def _with_least(pairs: DataFrame, edges: int, own: bool = False) -> DataFrame:
+    """(u, v, m): m is the least v of u, or u itself where that counts and is less."""
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", (F.least("u", "m") if own else F.col("m")).alias("m"), "n")
+    if edges < HUB_EDGES:
+        return pairs.join(low.drop("n"), "u")
+    low = checkpointed(low)
+    hub = F.col("n") * HUB_SHARE >= edges
+    hubs, others = (low.where(which).drop("n") for which in (hub, ~hub))
+    rest = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others, "u")
+    return pairs.join(F.broadcast(hubs), "u").unionByName(rest)
+
+
+def _state(e: DataFrame) -> tuple[bool, int]:
+    """(whether some id below has several edges or is also above, the number of edges)."""
     below = e.select(F.col("u").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above"))
     above = e.select(F.col("v").alias("id"), F.lit(0).alias("below"), F.lit(1).alias("above"))
     ends = below.unionByName(above).groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
-    return ends.where("below > 1 or below = 1 and above = 1").isEmpty()
+    odd, edges = ends.agg(F.count_if(F.expr("below > 1 or below = 1 and above = 1")), F.sum("below")).first()
+    return odd > 0, edges or 0

@@ -24,6 +24,17 @@ def test_cologne_codes():
     assert {w: text.cologne(w) for w in expected} == expected
 
 
+def test_components_spread_hubs(spark, monkeypatch):
+    """With hubs found at any size, a star, a path and a clique give the same components."""
+    pairs = [(500, i) for i in range(501, 560)] + [(i, i + 1) for i in range(1, 9)] + [(a, b) for a in range(20, 26) for b in range(20, a)] + [(510, 3), (7, 7), (7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    plain = sorted(rows(graph.components(edges)))
+    monkeypatch.setattr(graph, "HUB_EDGES", 0)
+    monkeypatch.setattr(graph, "HUB_SHARE", 10)
+    assert sorted(rows(graph.components(edges))) == plain
+    assert {c for i, c in plain if i >= 500} == {1} and {c for i, c in plain if 20 <= i < 26} == {20}
+
+
 def test_components_follow_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = dict(rows(graph.components(edges)))
