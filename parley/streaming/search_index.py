@@ -1,41 +1,31 @@
-"""Incremental index maintenance: a stream of dirty entities replaces their postings batch by batch."""
+"""Incremental index maintenance: a stream of dirty entities replaces the buckets that they touch, batch by batch."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.operators import search
+from parley.operators.kept_index import KeptIndex
 
 
 class IndexMaintainer:
-    """Postings under `path`, in versions; every micro-batch writes the next version and then names it current.
+    """Keeps an index in step with a source table.
 
     Dirty rows are (id, generation, removed). The latest generation of an id
-    counts; ids are acknowledged only once the new version is written, so a
-    batch that is replayed writes the same postings again.
+    counts in a batch. The index itself holds the number of the last batch, so a
+    maintainer that starts anew goes on where the last one stopped, and a batch
+    that is replayed after its manifest was written changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, source: Callable[[], DataFrame], fields: tuple[str, ...] = ("title", "content")):
-        self.spark, self.path, self.source, self.fields = spark, path.rstrip("/"), source, fields
-        self.version = 0
-
-    def rebuild(self) -> None:
-        """A first version of all documents."""
-        search.postings(self.source(), self.fields).write.mode("overwrite").parquet(f"{self.path}/v0")
-        self.version = 0
-
-    def index(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+    def __init__(self, index: KeptIndex, source: Callable[[], DataFrame]):
+        self.index, self.source = index, source
 
     def apply(self, dirty: DataFrame, batch_id: int) -> None:
         latest = dirty.groupBy("id").agg(F.max_by("removed", "generation").alias("removed"))
         changed = self.source().join(latest.where("not removed").select("id"), "id", "left_semi")
-        gone = latest.select("id")
-        search.replaced(self.index(), changed, gone, self.fields).write.mode("overwrite").parquet(f"{self.path}/v{batch_id + 1}")
-        self.version = batch_id + 1
+        self.index.update(changed, latest.select("id"), batch_id)
 
     def follow(self, dirty: DataFrame, checkpoint: str):
         return dirty.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)

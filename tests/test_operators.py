@@ -327,17 +327,6 @@ def test_live_queries_run_once_a_commit(spark):
     assert live_queries.changed({"t"}, 4) == 0
 
 
-def test_index_maintenance(spark, tmp_path):
-    from parley.streaming.search_index import IndexMaintainer
-
-    docs = {"d": [(1, "a", "one two"), (2, "b", "two")]}
-    m = IndexMaintainer(spark, str(tmp_path), lambda: spark.createDataFrame(docs["d"], "id long, title string, content string"))
-    m.rebuild()
-    docs["d"] = [(1, "a", "three"), (3, "c", "four")]
-    m.apply(spark.createDataFrame([(1, 1, False), (2, 1, True), (3, 2, False), (3, 1, True)], "id long, generation long, removed boolean"), 0)
-    assert rows(m.index().where("field = 'content'"), "id", "term") == [(1, "three"), (3, "four")]
-
-
 def test_subtitle_files(spark):
     vtt = "WEBVTT\n\n1\n00:01.500 --> 00:00:03.000\n<v Ada>Hello <b>you</b>\n\nnote\n\n00:04.000 --> 00:05.000\nBob: hi: there"
     df = spark.createDataFrame([("f", vtt)], "path string, content string")
