@@ -270,20 +270,6 @@ def changed_entities(spark, sf):
     return e.where("generation > acknowledged")
 
 
-@query(
-    "delta_fold",
-    """WITH d AS (SELECT user_id, event_id AS seq, CAST(props ->> '$.k' AS BIGINT) AS word, event_type, value FROM events),
-    l AS (SELECT user_id, word, max(seq) AS seq, arg_max(event_type, seq) AS kind, arg_max(value, seq) AS value FROM d GROUP BY 1, 2)
-    SELECT user_id, word, value FROM l WHERE kind <> 'error'""",
-    covers="s_delta_apply x_live_delta_fold",
-)
-def delta_fold(spark, sf):
-    """The last delta of a word decides: an 'error' removes it, anything else is its value."""
-    d = load(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), jsonx.field("props", "$.k", "long").alias("word"), "event_type", "value")
-    last = d.groupBy("user_id", "word").agg(F.max_by(F.struct("event_type", "value"), "seq").alias("x"))
-    return last.where("x.event_type <> 'error'").select("user_id", "word", F.col("x.value").alias("value"))
-
-
 @query(
     "index_consistency",
     """SELECT count(*) AS active, (SELECT count(*) FROM documents WHERE doc_id % 100 <> 7) AS indexed, count(*) <> (SELECT count(*) FROM documents WHERE doc_id % 100 <> 7) AS rebuild FROM documents""",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.operators import deltas as D
 from parley.operators import transcript as P
 from parley.plans.catalog import query
 from parley.sources.tables import load
+from parley.streaming import live_segments as L
 
 #: A word of a turn starts 300 ms after the one before, a turn 15 minutes after the one before; the role is the channel.
 _WORDS = r"""WITH w AS (SELECT conv_id AS transcript, turn, role, unnest(string_split_regex(trim(text), '\s+')) AS t, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 AS pos FROM conversations),
@@ -59,8 +61,57 @@ def subtitles(spark, sf):
     return P.subtitles(words(spark, sf)).select("transcript", F.sha2("body", 256).alias("digest"))
 
 
-@query("live_segments", None, covers="s_live_segments")
+def deltas(spark, sf):
+    """Deltas of live transcripts from turns, 15 minutes apart: a turn's words, with a partial of its last ones; in every third turn a correction that puts one word for the first two; every fourth transcript sends its deltas twice."""
+    c = load(spark, sf, "conversations").select(F.col("conv_id").alias("transcript"), "turn", (F.col("role") == "assistant").cast("int").alias("channel"), F.filter(F.split("text", "[ \\n]+"), lambda x: x != "").alias("t"))
+    word = lambda name, text, i, k: F.struct(F.concat_ws(":", "turn", name).alias("id"), text.alias("text"), (F.col("turn") * 900_000 + i * 300).cast("long").alias("start_ms"), (F.col("turn") * 900_000 + (i + k) * 300 - 50).cast("long").alias("end_ms"), "channel", F.col("channel").alias("speaker_index"), F.lit(None).cast("string").alias("human"))
+    words = F.transform("t", lambda x, i: word(i.cast("string"), F.concat(F.lit(" "), x), i, 1))
+    partials = F.transform(F.slice(words, -2, 2), lambda w: F.struct(F.concat(w["text"], F.lit("...")).alias("text"), (w["end_ms"] + 50).alias("start_ms"), (w["end_ms"] + 300).alias("end_ms"), w["channel"].alias("channel")))
+    first = c.where(F.size("t") > 1).select("transcript", (F.col("turn") * 2).alias("seq"), words.alias("new_words"), F.array().cast("array<string>").alias("replaced_ids"), partials.alias("partials"))
+    fix = word(F.lit("fix"), F.lit(" fixed"), F.lit(0), F.lit(2))
+    second = c.where((F.size("t") > 1) & (F.col("turn") % 3 == 1)).select("transcript", (F.col("turn") * 2 + 1).alias("seq"), F.array(fix).alias("new_words"), F.array(F.concat_ws(":", "turn", F.lit("0")), F.concat_ws(":", "turn", F.lit("1"))).alias("replaced_ids"), F.array().cast(f"array<{L.PARTIAL}>").alias("partials"))
+    once = first.union(second)
+    return once.union(once.where("transcript % 4 = 0"))
+
+
+_DELTA_WORDS = r"""t AS (SELECT conv_id AS transcript, turn, (role = 'assistant')::INT AS channel, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') AS t FROM conversations),
+    w AS (SELECT transcript, turn, channel, unnest(t) AS x, generate_subscripts(t, 1) - 1 AS i, len(t) AS n FROM t WHERE len(t) > 1),
+    p AS (SELECT transcript, turn, channel, turn || ':' || i AS id, ' ' || x AS text, turn * 900000 + i * 300 AS start_ms, turn * 900000 + i * 300 + 250 AS end_ms FROM w WHERE NOT (turn % 3 = 1 AND i < 2)
+      UNION ALL SELECT DISTINCT transcript, turn, channel, turn || ':fix', ' fixed', turn * 900000, turn * 900000 + 550 FROM w WHERE turn % 3 = 1)"""
+
+
+@query(
+    "live_segments",
+    f"""WITH {_DELTA_WORDS},
+    l AS (SELECT transcript, max(turn) AS turn FROM w GROUP BY 1),
+    q AS (SELECT w.transcript, w.channel, w.turn, w.turn * 900000 + i * 300 + 300 AS start_ms, w.turn * 900000 + i * 300 + 550 AS end_ms, ' ' || x || '...' AS text, n FROM w JOIN l USING (transcript, turn) WHERE i >= n - 2),
+    e AS (SELECT transcript, max(end_ms) AS latest FROM (SELECT transcript, end_ms FROM p UNION ALL SELECT transcript, end_ms FROM q) GROUP BY 1),
+    k AS (SELECT p.*, row_number() OVER (PARTITION BY transcript ORDER BY start_ms DESC, id DESC) AS r, sum(octet_length(encode(text))) OVER (PARTITION BY transcript ORDER BY start_ms DESC, id DESC ROWS UNBOUNDED PRECEDING) AS size FROM p JOIN e USING (transcript) WHERE end_ms >= latest - 1800000),
+    a AS (SELECT transcript, channel, start_ms, end_ms, 0 AS partial, text FROM k WHERE r <= 4096 AND (size <= 65536 OR r = 1) UNION ALL SELECT transcript, channel, start_ms, end_ms, 1, text FROM q WHERE turn % 3 <> 1),
+    f AS (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY transcript, channel ORDER BY start_ms, end_ms, partial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 3000 THEN 0 ELSE 1 END AS new FROM a),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY transcript, channel ORDER BY start_ms, end_ms, partial ROWS UNBOUNDED PRECEDING) AS island FROM f),
+    b AS (SELECT *, (row_number() OVER (PARTITION BY transcript, channel, island ORDER BY start_ms, end_ms, partial) - 1) // 512 AS block FROM s)
+    SELECT transcript, channel, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*)::INT AS n, sha256(trim(string_agg(text, '' ORDER BY start_ms, end_ms, partial))) AS digest FROM b GROUP BY transcript, channel, island, block""",
+    covers="s_live_segments sf_stable_id",
+)
 def live_segments(spark, sf):
-    s = _segments(spark, sf).withColumn("id", P.segment_id(F.col("channel"), F.col("speaker_index"), F.col("human"), F.concat_ws("/", "transcript", "start_ms"), F.lit(None)))
-    before = s.where("transcript % 3 <> 0").withColumn("n", F.when(F.col("transcript") % 5 == 0, F.col("n") + 1).otherwise(F.col("n")))
-    return P.live_changes(before, s.where("transcript % 4 <> 0"), "id").groupBy("change").agg(F.count("*").alias("n"))
+    """What stands after all changes of live segments; the window of half an hour leaves the last turns. Tests hold the stream to these changes."""
+    now = L.current(L.batch_changes(deltas(spark, sf)))
+    return now.select("transcript", "channel", "start_ms", "end_ms", "n", F.sha2("text", 256).alias("digest"))
+
+
+@query(
+    "delta_fold",
+    f"""WITH {_DELTA_WORDS},
+    hints AS (SELECT transcript, count(*) AS hints FROM (SELECT transcript FROM w WHERE i < 4 AND NOT (turn % 3 = 1 AND i = 1) UNION ALL SELECT transcript FROM p) GROUP BY 1)
+    SELECT transcript, words, chars, first_ms, hints FROM (SELECT transcript, count(*) AS words, sum(length(text))::BIGINT AS chars, min(start_ms) AS first_ms FROM p GROUP BY 1) JOIN hints USING (transcript)""",
+    covers="s_delta_apply x_live_delta_fold",
+)
+def delta_fold(spark, sf):
+    """Words, and hints on them, after a log with replaced words and replays: hints on the first four words of a turn, of which that of a speaker lasts where its word goes."""
+    d = deltas(spark, sf)
+    mine = d.where("seq % 2 = 0").select("transcript", "seq", F.posexplode(F.slice("new_words", 1, 4)).alias("i", "w")).distinct()
+    scope = F.when(F.col("i") == 0, "speaker").when(F.col("i") == 2, "segment").otherwise("word")
+    hints = D.folded_hints(d, mine.select("transcript", "seq", F.col("w.id").alias("word_id"), F.lit("mine").alias("kind"), scope.alias("scope"), F.lit("x").alias("value")))
+    words = D.folded_words(d).groupBy("transcript").agg(F.count("*").alias("words"), F.sum(F.length("text")).alias("chars"), F.min("start_ms").alias("first_ms"))
+    return words.join(hints.groupBy("transcript").agg(F.count("*").alias("hints")), "transcript")
