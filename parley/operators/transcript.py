@@ -42,12 +42,12 @@ def _capped(rows: pd.DataFrame) -> pd.Series:
 
 
 def segments(words: DataFrame) -> DataFrame:
-    """(transcript, channel, speaker_index, human, start_ms, end_ms, n, text): blocks of words (transcript, channel, speaker_index, human, start_ms, end_ms, text).
+    """(transcript, channel, speaker_index, human, start_ms, end_ms, last, n, text): blocks of words (transcript, channel, speaker_index, human, start_ms, end_ms, text).
 
     A word joins the last block of its channel if that has the same speaker and
     human and ended at most GAP before; a block that is full is cut. Gap and key
     make islands by windows; only islands that exceed a cap, and those are few,
-    go on to a fold in order, island by island.
+    go on to a fold in order, island by island. last is the time of the last word.
     """
     key = F.struct("speaker_index", "human")
     w = Window.partitionBy("transcript", "channel").orderBy("start_ms", "end_ms", "text")
@@ -66,42 +66,37 @@ def segments(words: DataFrame) -> DataFrame:
     long_ = rows.join(over, keys, "left_semi").groupBy(*keys).applyInPandas(cut, schema)
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"])
     out = short.unionByName(long_).groupBy(*keys, "_block").agg(
-        F.first("speaker_index").alias("speaker_index"), F.first("human").alias("human"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n"), F.trim(F.array_join(pieces, "")).alias("text")
-    )
+        F.first("speaker_index").alias("speaker_index"), F.first("human").alias("human"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
+        F.max(F.struct("start_ms", "end_ms")).alias("last"), F.count("*").alias("n"), F.trim(F.array_join(pieces, "")).alias("text"),
+    )
     return out.drop("_island", "_block")
 
 
-def merged(blocks: DataFrame, gap: int = DISPLAY_GAP) -> DataFrame:
-    """In display order neighbours of the same channel, speaker and human become one while the gap is small: one more islands pass over each transcript."""
-    w = Window.partitionBy("transcript").orderBy("start_ms", "end_ms", "channel")
-    key = F.struct("channel", "speaker_index", "human")
-    fresh = F.when(F.lag(key).over(w).eqNullSafe(key) & (F.col("start_ms") - F.lag("end_ms").over(w) <= gap), 0).otherwise(1)
-    rows = blocks.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"]), " ")
-    out = rows.groupBy("transcript", "_run").agg(F.first("channel").alias("channel"), F.first("speaker_index").alias("speaker_index"), F.first("human").alias("human"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("n").alias("n"), text.alias("text"))
-    return out.drop("_run")
-
-
-def propagated(blocks: DataFrame) -> DataFrame:
-    """A second pass over blocks: one joins the block of its channel before it if both have the same human, or the same speaker without one, and the gap and the caps allow.
+def _joined(blocks: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """Neighbours in order become one where they speak for the same, start in order, have a small gap and do not exceed the caps together.
 
-    Islands are made by windows; only islands that exceed a cap go on to a fold
-    in order, island by island.
+    They speak for the same if they have one human, or the same channel, speaker
+    and human of which at least one is known: blocks without any identity stay
+    apart. Islands are made by windows; only islands that exceed a cap, and
+    those are few, go on to a fold in order, island by island.
     """
-    w = Window.partitionBy("transcript", "channel").orderBy("start_ms", "end_ms", "text")
-    same = F.when(F.col("human").isNotNull() & F.lag("human").over(w).isNotNull(), F.col("human") == F.lag("human").over(w)).otherwise(F.struct("human", "speaker_index").eqNullSafe(F.lag(F.struct("human", "speaker_index")).over(w)))
-    fresh = F.when(same & (F.col("start_ms") - F.lag("end_ms").over(w) <= GAP), 0).otherwise(1)
-    rows = blocks.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    keys = ["transcript", "channel", "_island"]
+    order = ["start_ms", "end_ms", "channel", "text"]
+    w = Window.partitionBy(*by).orderBy(*order)
+    before = lambda c: F.lag(c).over(w)
+    same_key = before("speaker_index").eqNullSafe(F.col("speaker_index")) & before("human").eqNullSafe(F.col("human")) & (F.col("speaker_index").isNotNull() | F.col("human").isNotNull())
+    alike = (before("channel") == F.col("channel")) & (F.coalesce(before("human") == F.col("human"), F.lit(False)) | same_key)
+    near = (before("last")["start_ms"] <= F.col("start_ms")) & (F.col("start_ms") - before("last")["end_ms"] <= gap)
+    rows = blocks.withColumn("_new", F.when(F.coalesce(alike & near, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    keys = [*by, "_island"]
     over = rows.groupBy(*keys).agg(F.sum("n").alias("_n"), (F.max("end_ms") - F.min("start_ms")).alias("_span")).where((F.col("_n") > MOST_WORDS) | (F.col("_span") > MOST_MS)).select(*keys)
     short = rows.join(over, keys, "left_anti").withColumn("_block", F.lit(0).cast("long"))
     names = short.columns
 
     def cut(island: pd.DataFrame) -> pd.DataFrame:
-        island = island.sort_values(["start_ms", "end_ms", "text"])
+        island = island.sort_values(order)
         block, n, begin, out = 0, 0, None, []
-        for start, end, words in zip(island["start_ms"], island["end_ms"], island["n"], strict=True):
-            if n and (n + words > MOST_WORDS or end - begin > MOST_MS):
+        for start, last, words in zip(island["start_ms"], island["last"], island["n"], strict=True):
+            if n and (n + words > MOST_WORDS or last["end_ms"] - begin > MOST_MS):
                 block, n = block + 1, 0
             begin = start if not n else begin
             n += words
@@ -109,12 +104,24 @@ def propagated(blocks: DataFrame) -> DataFrame:
         return island.assign(_block=out)[names]
 
     long_ = rows.join(over, keys, "left_semi").groupBy(*keys).applyInPandas(cut, short.schema)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"]), " ")
-    first = lambda c: F.min_by(c, F.struct("start_ms", "end_ms", "text")).alias(c)
-    out = short.unionByName(long_).groupBy(*keys, "_block").agg(first("speaker_index"), first("human"), text.alias("text"), F.min("start_ms").alias("_s"), F.max("end_ms").alias("end_ms"), F.sum("n").alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["text"]), " ")
+    first = lambda c: F.min_by(c, F.struct(*order)).alias(c)
+    out = short.unionByName(long_).groupBy(*keys, "_block").agg(
+        *([] if "channel" in by else [first("channel")]), first("speaker_index"), first("human"), text.alias("text"), F.min("start_ms").alias("_s"), F.max("end_ms").alias("end_ms"), F.max_by("last", F.struct(*order)).alias("last"), F.sum("n").alias("n"),
+    )
     return out.withColumnRenamed("_s", "start_ms").select(*blocks.columns)
 
 
+def merged(blocks: DataFrame, gap: int = DISPLAY_GAP) -> DataFrame:
+    """Neighbours in the order of display, over all channels of a transcript, joined."""
+    return _joined(blocks, ["transcript"], gap)
+
+
+def propagated(blocks: DataFrame) -> DataFrame:
+    """A second pass over the blocks of each channel: those that an identity joins although their keys differ."""
+    return _joined(blocks, ["transcript", "channel"], GAP)
+
+
 def neutral_words(words: DataFrame, hints: DataFrame, participants: DataFrame, own: str) -> DataFrame:
     """Adds neutral: the word's label says nothing, as its transcript has one channel, one speaker and one assigned human at most though others took part, and no one assigned the word by hand.
 

@@ -137,14 +137,29 @@ def speech_chunks(spark, sf):
     return S.merged_chunks(_chunks(spark, sf), 600)
 
 
-@query("propagated_segments", None, covers="s_propagate")
+@query(
+    "propagated_segments",
+    r"""WITH RECURSIVE t AS (SELECT conv_id AS transcript, turn, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS channel, unnest(string_split_regex(trim(text), '\s+')) AS x, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 AS pos FROM conversations),
+    b AS MATERIALIZED (
+      SELECT transcript, channel, turn * 900000 + min(pos) * 300 AS start_ms, turn * 900000 + max(pos) * 300 + 250 AS end_ms, count(*) AS n, (pos // 40) % 3 AS speaker,
+        CASE WHEN transcript % 3 = 0 OR (transcript % 3 = 1 AND (pos // 40) % 3 < 2) THEN 'h' END AS human, row_number() OVER (PARTITION BY transcript, channel ORDER BY turn, pos // 40) AS i
+      FROM t GROUP BY transcript, channel, turn, pos // 40),
+    r AS (
+      SELECT transcript, channel, i, 1::BIGINT AS block, n, start_ms, end_ms, speaker, human FROM b WHERE i = 1
+      UNION ALL
+      SELECT b.transcript, b.channel, b.i, r.block + (NOT joins)::BIGINT, CASE WHEN joins THEN r.n + b.n ELSE b.n END, CASE WHEN joins THEN r.start_ms ELSE b.start_ms END, b.end_ms, CASE WHEN joins THEN r.speaker ELSE b.speaker END, CASE WHEN joins THEN r.human ELSE b.human END
+      FROM r JOIN b ON b.transcript = r.transcript AND b.channel = r.channel AND b.i = r.i + 1,
+        LATERAL (SELECT coalesce(b.human = r.human, b.human IS NULL AND r.human IS NULL AND b.speaker = r.speaker) AND b.start_ms - r.end_ms <= 3000 AND r.n + b.n <= 512 AND b.end_ms - r.start_ms <= 300000 AS joins))
+    SELECT transcript, channel, min(start_ms) AS start_ms, max(end_ms) AS end_ms, max(n)::BIGINT AS n, any_value(speaker)::INT AS speaker_index, any_value(human) AS human FROM r GROUP BY transcript, channel, block""",
+    covers="s_propagate",
+)
 def propagated_segments(spark, sf):
-    """Segments of the sessions' words, whose speakers are told apart by turn, joined again where a hint says that they are one human."""
+    """Segments of words whose speaker changes every 40 words, joined again where two or three of the speakers are one human; long turns reach the cap of 512 words."""
     from parley.plans.catalogue.transcripts import words
 
-    w = words(spark, sf)
-    human = F.when(F.col("speaker_index") % 2 == 0, F.col("channel").cast("string"))
-    return P.propagated(P.segments(w.withColumn("human", human)))
+    w = words(spark, sf).withColumn("speaker_index", (F.floor(F.col("start_ms") % 900_000 / 12_000) % 3).cast("int"))
+    human = F.when((F.col("transcript") % 3 == 0) | ((F.col("transcript") % 3 == 1) & (F.col("speaker_index") < 2)), "h")
+    return P.propagated(P.segments(w.withColumn("human", human))).select("transcript", "channel", "start_ms", "end_ms", "n", "speaker_index", "human")
 
 
 @query("neutral_labels", None, covers="s_neutralize")

@@ -42,13 +42,53 @@ def segments(spark, sf):
     return _segments(spark, sf).select("transcript", "channel", "start_ms", "end_ms", "n", F.sha2("text", 256).alias("digest"))
 
 
-@query("segments_render", None, covers="s_display_merge s_render s_label s_identity x_md_transcript sf_stable_id")
-def segments_render(spark, sf):
+_SAID = r"""WITH RECURSIVE t AS (SELECT conv_id AS transcript, turn, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS channel, unnest(string_split_regex(trim(text), '\s+')) AS x, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 AS pos FROM conversations),
+    k AS (SELECT *, pos // 40 AS part, turn * 900000 + pos * 300 + (pos // 40) * 5000 AS start_ms, CASE WHEN channel = 1 THEN 0 WHEN transcript % 3 <> 0 THEN (pos // 80) % 2 END AS speaker FROM t),
+    w AS (SELECT *, CASE WHEN channel = 0 AND speaker = 0 AND transcript % 5 = 0 THEN 'me' WHEN channel = 1 AND transcript % 2 = 0 THEN 'h1' END AS human FROM k),
+    b AS MATERIALIZED (
+      SELECT transcript, channel, any_value(speaker) AS speaker, any_value(human) AS human, min(start_ms) AS start_ms, max(start_ms) + 250 AS end_ms, count(*) AS n, string_agg(x, ' ' ORDER BY pos) AS text,
+        row_number() OVER (PARTITION BY transcript ORDER BY min(start_ms), max(start_ms), channel, string_agg(x, ' ' ORDER BY pos)) AS i
+      FROM w GROUP BY transcript, channel, turn, part),
+    r AS (
+      SELECT transcript, i, 1::BIGINT AS block, channel, speaker, human, n, start_ms, end_ms FROM b WHERE i = 1
+      UNION ALL
+      SELECT b.transcript, b.i, r.block + (NOT joins)::BIGINT, b.channel, CASE WHEN joins THEN r.speaker ELSE b.speaker END, CASE WHEN joins THEN r.human ELSE b.human END, CASE WHEN joins THEN r.n + b.n ELSE b.n END, CASE WHEN joins THEN r.start_ms ELSE b.start_ms END, b.end_ms
+      FROM r JOIN b ON b.transcript = r.transcript AND b.i = r.i + 1,
+        LATERAL (SELECT b.channel = r.channel AND (coalesce(b.human = r.human, FALSE) OR (b.speaker IS NOT DISTINCT FROM r.speaker AND b.human IS NOT DISTINCT FROM r.human AND (b.speaker IS NOT NULL OR b.human IS NOT NULL)))
+          AND r.end_ms - 250 <= b.start_ms AND b.start_ms - r.end_ms <= 40000 AND r.n + b.n <= 512 AND b.end_ms - r.start_ms <= 300000 AS joins)),
+    m AS MATERIALIZED (
+      SELECT r.transcript, r.block, any_value(r.channel) AS channel, any_value(r.speaker) AS speaker, any_value(r.human) AS human, min(r.start_ms) AS start_ms, max(r.end_ms) AS end_ms, string_agg(b.text, ' ' ORDER BY r.i) AS text
+      FROM r JOIN b ON b.transcript = r.transcript AND b.i = r.i GROUP BY r.transcript, r.block),
+    u AS (SELECT transcript, channel, speaker, row_number() OVER (PARTITION BY transcript ORDER BY min(start_ms), channel, speaker NULLS FIRST) AS number FROM m WHERE human IS NULL GROUP BY transcript, channel, speaker),
+    l AS (
+      SELECT m.*, CASE human WHEN 'h1' THEN 'Ada' WHEN 'me' THEN 'You' ELSE 'Speaker ' || number END AS label
+      FROM m LEFT JOIN u ON m.human IS NULL AND u.transcript = m.transcript AND u.channel = m.channel AND u.speaker IS NOT DISTINCT FROM m.speaker)"""
+
+
+def said(spark, sf):
+    """Words that pause five seconds after every 40; the user's are of one or two speakers, or of none that is known."""
     w = words(spark, sf)
-    hints = spark.createDataFrame([(t, "channel", None, 1, None, "h1") for t in range(0, 20, 2)] + [(t, "speaker", None, 0, 0, "me") for t in range(0, 20, 5)], "transcript long, scope string, word_id string, channel int, speaker_index int, human string")
+    pos = F.floor(F.col("start_ms") % 900_000 / 300)
+    pause = (F.floor(pos / 40) * 5000).cast("long")
+    speaker = F.when(F.col("channel") == 1, 0).when(F.col("transcript") % 3 != 0, F.floor(pos / 80) % 2).cast("int")
+    return w.select("transcript", "id", "channel", speaker.alias("speaker_index"), (F.col("start_ms") + pause).alias("start_ms"), (F.col("end_ms") + pause).alias("end_ms"), "text")
+
+
+@query(
+    "segments_render",
+    _SAID + """ SELECT transcript, sha256(string_agg('**[' || printf('%02d:%02d:%02d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60) || '] ' || label || '**' || chr(10) || text, chr(10) || chr(10) ORDER BY start_ms, end_ms, channel)) AS digest, count(*) AS blocks FROM l GROUP BY 1""",
+    covers="s_display_merge s_render s_label s_identity x_md_transcript",
+)
+def segments_render(spark, sf):
+    """Transcripts as Markdown: who spoke by hints of channels and speakers, neighbours of one speaker joined up to 512 words and five minutes."""
+    w = said(spark, sf)
+    own = w.select("transcript").distinct()
+    hint = lambda rows, scope, channel, speaker, human: rows.select("transcript", F.lit(scope).alias("scope"), F.lit(None).cast("string").alias("word_id"), F.lit(channel).alias("channel"), F.lit(speaker).cast("int").alias("speaker_index"), F.lit(human).alias("human"))
+    hints = hint(own.where("transcript % 2 = 0"), "channel", 1, None, "h1").union(hint(own.where("transcript % 5 = 0"), "speaker", 0, 0, "me"))
     blocks = P.merged(P.segments(P.identities(w, hints)))
     names = spark.createDataFrame([("h1", "Ada")], "human string, name string")
-    return P.markdown(P.labelled(blocks, names, "me")).select("transcript", F.length("body").alias("n"), F.sha2("body", 256).alias("digest"))
+    told = P.labelled(blocks, names, "me")
+    return P.markdown(told).select("transcript", F.sha2("body", 256).alias("digest")).join(told.groupBy("transcript").agg(F.count("*").alias("blocks")), "transcript")
 
 
 @query(

@@ -50,13 +50,41 @@ def test_chunks_merge_as_in_a_fold(spark, redemption, gap):
     assert got == sorted((k, *x) for k, v in chunks.items() for x in folded(v, gap))
 
 
+BLOCK = "transcript long, channel int, speaker_index int, human string, start_ms long, end_ms long, last struct<start_ms:long,end_ms:long>, n long, text string"
+
+
+def block(channel, speaker, human, start, end, n, text, last=None):
+    return (1, channel, speaker, human, start, end, last or (end - 100, end), n, text)
+
+
+def texts(df):
+    return sorted((r["start_ms"], r["end_ms"], r["n"], r["text"]) for r in df.collect())
+
+
 def test_propagation_joins_one_human_and_keeps_caps(spark, monkeypatch):
-    rows = [(1, 0, 0, "h", 0, 900, 3, "a"), (1, 0, 1, "h", 1000, 1900, 3, "b"), (1, 1, 0, None, 1100, 1200, 1, "x"), (1, 0, 1, "h", 9000, 9100, 1, "c"), (1, 0, 2, "g", 9200, 9300, 1, "d"), (1, 0, 2, None, 9400, 9500, 1, "e"), (1, 0, 2, None, 9600, 9700, 1, "f")]
-    df = spark.createDataFrame(rows, "transcript long, channel int, speaker_index int, human string, start_ms long, end_ms long, n long, text string")
-    texts = lambda: sorted((r["start_ms"], r["end_ms"], r["n"], r["text"]) for r in transcript.propagated(df).collect())
-    assert texts() == [(0, 1900, 6, "a b"), (1100, 1200, 1, "x"), (9000, 9100, 1, "c"), (9200, 9300, 1, "d"), (9400, 9700, 2, "e f")]
+    rows = [
+        block(0, 0, "h", 0, 900, 3, "a"), block(0, 1, "h", 1000, 1900, 3, "b"), block(1, 0, None, 1100, 1200, 1, "x"), block(0, 1, "h", 9000, 9100, 1, "c"), block(0, 2, "g", 9200, 9300, 1, "d"),
+        block(0, 2, None, 9400, 9500, 1, "e"), block(0, 2, None, 9600, 9700, 1, "f"), block(2, None, None, 0, 100, 1, "p"), block(2, None, None, 200, 300, 1, "q"),
+    ]
+    df = spark.createDataFrame(rows, BLOCK)
+    # Without speaker and human, p and q stay apart.
+    want = [(0, 100, 1, "p"), (0, 1900, 6, "a b"), (200, 300, 1, "q"), (1100, 1200, 1, "x"), (9000, 9100, 1, "c"), (9200, 9300, 1, "d"), (9400, 9700, 2, "e f")]
+    assert texts(transcript.propagated(df)) == want
     monkeypatch.setattr(transcript, "MOST_WORDS", 5)
-    assert texts()[:2] == [(0, 900, 3, "a"), (1000, 1900, 3, "b")]
+    assert (0, 900, 3, "a") in texts(transcript.propagated(df)) and (1000, 1900, 3, "b") in texts(transcript.propagated(df))
+
+
+def test_display_joins_by_identity_order_and_caps(spark):
+    one = lambda *rows: texts(transcript.merged(spark.createDataFrame(list(rows), BLOCK)))
+    a, b = block(0, 1, None, 0, 900, 500, "a"), block(0, 1, None, 2000, 2900, 500, "b")
+    assert one(a, b) == [(0, 900, 500, "a"), (2000, 2900, 500, "b")]  # 1000 words
+    assert one(a, block(0, 1, None, 2000, 2900, 12, "b")) == [(0, 2900, 512, "a b")]
+    assert len(one(block(0, None, None, 0, 900, 1, "a"), block(0, None, None, 2000, 2900, 1, "b"))) == 2  # no identity
+    assert len(one(block(0, 1, "h", 0, 900, 1, "a"), block(0, 2, "h", 2000, 2900, 1, "b"))) == 1
+    assert len(one(block(0, 1, None, 0, 900, 1, "a"), block(1, 1, None, 1000, 1100, 1, "x"), block(0, 1, None, 2000, 2900, 1, "b"))) == 3  # another channel between
+    assert len(one(block(0, 1, None, 0, 900, 1, "a"), block(0, 1, None, 40_901, 41_000, 1, "b"))) == 2
+    assert len(one(block(0, 1, None, 0, 290_000, 1, "a"), block(0, 1, None, 290_100, 300_001, 1, "b"))) == 2  # five minutes
+    assert len(one(block(0, 1, None, 0, 5000, 2, "a", (4900, 5000)), block(0, 1, None, 3000, 6000, 1, "b"))) == 2  # starts do not rise
 
 
 def test_neutral_labels_spare_words_assigned_by_hand(spark):
