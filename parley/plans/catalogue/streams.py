@@ -83,10 +83,31 @@ def live_corrections(spark, sf):
     )
 
 
+@query(
+    "service_words",
+    r"""WITH c AS (SELECT conv_id AS transcript, (role = 'assistant')::INT AS channel, turn * 3 AS seq, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM conversations),
+    x AS (SELECT transcript, channel, seq, len(regexp_extract_all(s, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+')) AS tokens,
+      string_split(regexp_replace(regexp_replace(regexp_replace(s, '([,;:!?)}\]''"])([\p{L}\p{N}])', '\1 \2', 'g'), '\.([\p{Lu}\p{Lt}\p{Lo}\p{Lm}])', '. \1', 'g'), '(^|[^\p{L}\p{N}])\.(\p{Ll})', '\1. \2', 'g'), ' ') AS w FROM c WHERE s <> '')
+    SELECT transcript, channel, seq, CASE WHEN transcript % 2 = 0 THEN 'final' ELSE 'partial' END AS kind, len(w)::INT AS words, tokens * 250 - 50 AS end_ms, sha256(array_to_string(w, '|')) AS digest FROM x""",
+    covers="src_stream s_assemble",
+)
+def service_words(spark, sf):
+    """A stream of envelopes in JSON, whose tokens are words and signs apart, assembled to words as the transcript spaces them."""
+    c = table_stream(spark, sf, "conversations").select(F.col("conv_id").alias("transcript"), (F.col("turn") * 3).alias("seq"), "role", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("s")).where("s <> ''")
+    tokens = F.transform(F.regexp_extract_all("s", F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"), 0), lambda t, i: F.struct(t.alias("word"), (i * 0.25).alias("start"), (i * 0.25 + 0.2).alias("end")))
+    best = F.array(F.struct(F.col("s").alias("transcript"), tokens.alias("words")))
+    channel = (F.col("role") == "assistant").cast("int")
+    results = F.to_json(F.struct(F.lit("Results").alias("type"), (F.col("transcript") % 2 == 0).alias("is_final"), F.struct(best.alias("alternatives")).alias("channel"), F.array(channel).alias("channel_index")))
+    lines = c.select("transcript", "seq", F.explode(F.array(results, F.lit('{"type":"Metadata"}'), F.lit("no envelope"))).alias("value"))
+    m = run_to_end(L.spoken(L.enveloped(lines)), "append")
+    text = F.array_join(F.transform("words", lambda w: F.trim(w["text"])), "|")
+    return m.select("transcript", "channel", "seq", "kind", F.size("words").alias("words"), F.element_at("words", -1)["end_ms"].alias("end_ms"), F.sha2(text, 256).alias("digest"))
+
+
 @query(
     "changed_tables",
     "SELECT event_type AS table_name, max(event_id) AS seq, count(*) AS n FROM events GROUP BY 1",
-    covers="s_cdc s_live_query s_deps s_shared_sub s_keyed_writes",
+    covers="s_cdc",
 )
 def changed_tables(spark, sf):
     """Commits coalesced by table: a stream of changes run to its end."""

@@ -12,10 +12,13 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parley.functions.assembly import Token, assembled
+
 #: Gap in milliseconds within which pieces of a word join; partial words that state holds at most, their bytes and milliseconds; correction jobs that it holds, their words and bytes.
 STITCH_GAP = 300
 MOST_PARTIALS, MOST_PARTIAL_BYTES, LONGEST_PARTIALS = 512, 128 * 1024, 120_000
@@ -194,12 +197,43 @@ def batch_words(messages: DataFrame) -> DataFrame:
     return messages.groupBy("transcript", "channel").applyInPandas(fold, OUTPUT)
 
 
+#: A service's envelope, as its JSON holds it; other fields are not read.
+ENVELOPE = (
+    "type string, is_final boolean, from_finalize boolean, channel struct<alternatives: array<struct<transcript: string, words: array<struct<word: string, punctuated_word: string, start: double, end: double, speaker: int>>>>>, channel_index array<int>"
+)
+
+
+def enveloped(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The other columns and the fields of ENVELOPE, from JSON; lines that are no envelope go."""
+    rest = [c for c in lines.columns if c != column]
+    e = lines.select(*rest, F.from_json(column, ENVELOPE).alias("e")).where("e.type is not null")
+    return e.select(*rest, "e.*")
+
+
 def spoken(envelopes: DataFrame) -> DataFrame:
-    """Messages from service envelopes (transcript, seq, type, is_final, from_finalize, channel struct, channel_index)."""
-    best = F.col("channel.alternatives")[0]
-    words = F.transform(best["words"], lambda w: F.struct(F.concat(F.lit(" "), F.coalesce(w["punctuated_word"], w["word"])).alias("text"), (w["start"] * 1000).cast("long").alias("start_ms"), (w["end"] * 1000).cast("long").alias("end_ms")))
+    """MESSAGE rows from service envelopes (transcript, seq, fields of ENVELOPE), batch or stream.
+
+    The best alternative's tokens are assembled to words spaced as its
+    transcript; the first channel counts, which is 0 where none is named.
+    Envelopes of other types than Results and Flush say nothing of words.
+    """
+    best = F.get("channel.alternatives", F.lit(0))
     kind = F.when(F.col("type") == "Flush", "flush").when(F.col("is_final"), "final").otherwise("partial")
-    return envelopes.where(F.col("type").isin("Results", "Flush")).select("transcript", F.coalesce(F.col("channel_index")[0], F.lit(0)).cast("int").alias("channel"), "seq", kind.alias("kind"), F.lit(None).cast("string").alias("job"), words.alias("words"))
+    token = F.transform(best["words"], lambda w: F.struct(F.coalesce(w["word"], F.lit("")).alias("word"), w["punctuated_word"].alias("punctuated"), F.round(w["start"] * 1000).cast("long").alias("start_ms"), F.round(w["end"] * 1000).cast("long").alias("end_ms"), w["speaker"].alias("speaker")))
+    told = envelopes.where(F.col("type").isin("Results", "Flush")).select(
+        "transcript", F.coalesce(F.get("channel_index", F.lit(0)), F.lit(0)).cast("int").alias("channel"), "seq", kind.alias("kind"),
+        F.coalesce(best["transcript"], F.lit("")).alias("said"), F.coalesce(token, F.array().cast("array<struct<word:string,punctuated:string,start_ms:bigint,end_ms:bigint,speaker:int>>")).alias("tokens"),
+    )
+    word = pa.list_(pa.struct([("text", pa.string()), ("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said, tokens = (batch.column(c).to_pylist() for c in ("said", "tokens"))
+            words = [[{k: w[k] for k in ("text", "start_ms", "end_ms")} for w in assembled([Token(**t) for t in own], text)] for text, own in zip(said, tokens, strict=True)]
+            own = [batch.column(c) for c in ("transcript", "channel", "seq", "kind")]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(batch.num_rows, pa.string()), pa.array(words, word)], ["transcript", "channel", "seq", "kind", "job", "words"])
+
+    return told.mapInArrow(run, MESSAGE)
 
 
 def overlap_trimmed(history: list[str], words: list[str], least: int = 1) -> list[str]:
