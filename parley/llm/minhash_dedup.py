@@ -214,7 +214,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """Those of the pairs (a, b) whose full sets are similar enough, by the texts (id, text)."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_matching(shingle, percent), "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_matching(shingle, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -236,7 +236,8 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int, percent: i
     stats = band.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("m"), *(F.sum(F.shiftright(F.xxhash64("id", F.lit(s)), 20)).alias(f"s{s}") for s in (1, 2))).where("a <> z")
     stats = stats.groupBy("a", "z", "m", "s1", "s2").agg(F.min("key").alias("key"))
     bucket = scratch.write(band.join(stats.select("key", "a"), "key").select("key", "a", "id", "n"), "bucket")
-    texts = scratch.write(docs.withColumnRenamed("doc_id", "id").join(bucket.select("id").distinct(), "id", "left_semi"), "texts")
+    # Merge joins at every size: ids and pairs grow with the documents, so a plan that sends them to all tasks would be one for small inputs alone.
+    texts = scratch.write(docs.withColumnRenamed("doc_id", "id").join(bucket.select("id").distinct().hint("merge"), "id", "left_semi"), "texts")
 
     def near(other: str) -> Column:
         """Whether sizes allow a link."""
