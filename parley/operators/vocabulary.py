@@ -132,6 +132,17 @@ def rewritten_words(words: DataFrame, aliases: DataFrame) -> DataFrame:
     return kept.unionByName(made)
 
 
+def ordinary_words(docs: DataFrame, least: int = 2) -> DataFrame:
+    """(word): words that stand in lower case in `least` documents (id, text) or more, and in at least as many as with a capital inside a sentence."""
+    t = _tokens(docs)
+    w = Window.partitionBy("id").orderBy("pos")
+    inside = ~F.coalesce(F.lag("suffix").over(w).rlike(r"[.!?]"), F.lit(True))
+    seen = t.withColumn("inside", inside).where(F.col("core").rlike(r"^[\p{L}]+$")).select("id", F.lower("core").alias("word"), (F.col("core") == F.lower("core")).alias("low"), "inside")
+    own = seen.where("low or inside").groupBy("word", "id").agg(F.max("low").alias("low"), F.max(~F.col("low")).alias("high"))
+    total = own.groupBy("word").agg(F.count_if("low").alias("low"), F.count_if("high").alias("high"))
+    return total.where((F.col("low") >= least) & (F.col("low") >= F.col("high"))).select("word")
+
+
 def candidates(docs: DataFrame, ordinary: DataFrame) -> DataFrame:
     """(id, pos, word): capitalised words of four letters or more inside sentences that are no ordinary words (word)."""
     t = _tokens(docs)
@@ -141,44 +152,40 @@ def candidates(docs: DataFrame, ordinary: DataFrame) -> DataFrame:
     return picked.withColumn("word", F.lower("core")).join(ordinary.select(F.lower("word").alias("word")).distinct(), "word", "left_anti").select("id", "pos", F.col("core").alias("word"))
 
 
-#: Words of so many letters at most meet by segments, longer ones by length alone.
-MOST_SEGMENTED = 24
+#: Code digits that may differ, and the part of the longer word's letters, in fifths, that may.
+CODE_EDITS, LETTER_FIFTHS = 1, 2
 
 
 def _close(a: str, ca: str, b: str, cb: str) -> Column:
-    """A quarter of the longer word's letters may differ, and two of five code digits."""
-    letters = F.levenshtein(a, b) * 4 <= F.greatest(F.length(a), F.length(b))
-    return letters & (F.levenshtein(ca, cb) * 5 <= F.greatest(F.length(ca), F.length(cb)) * 2)
+    """One code digit may differ, and two fifths of the longer word's letters, in any case; words equal in any case are not close."""
+    x, y = F.lower(a), F.lower(b)
+    letters = F.levenshtein(x, y) * 5 <= F.greatest(F.length(x), F.length(y)) * LETTER_FIFTHS
+    return (x != y) & (F.levenshtein(ca, cb) <= CODE_EDITS) & letters
+
+
+def _reduced(code: str) -> Column:
+    """A code and the codes that are left when one digit is taken out: two codes within one edit have one of these in common."""
+    c = F.col(code)
+    return F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))))
 
 
-def _close_pairs(longer: DataFrame, shorter: DataFrame) -> DataFrame:
-    """(x, y): all close words of two tables (word, code, block) that share a block, x as long as y or longer; pairs may repeat.
+def _close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y): all close words of two tables (word, code, block) that share a block.
 
-    Of words with at most t edits, one of t + 1 segments of the shorter stands
-    in the longer, moved by at most t, so words meet by segments and none that
-    is close is lost, while no block is compared with itself in full. Words
-    beyond MOST_SEGMENTED letters meet by steps of length, each the next as well.
+    Codes are few beside words, so they meet first, each pair of codes once, by
+    what is left of them without one digit; words then meet by pairs of codes.
     """
-    x = longer.select(F.col("word").alias("x"), F.col("code").alias("cx"), F.col("block"), F.length("word").alias("m"))
-    y = shorter.select(F.col("word").alias("y"), F.col("code").alias("cy"), F.col("block"), F.length("word").alias("n"))
-    few, segments = f"m <= {MOST_SEGMENTED}", F.sequence(F.lit(0), F.expr("cast(m div 4 as int)"))
-    start, size = "i * n div (m div 4 + 1)", "((i + 1) * n div (m div 4 + 1) - i * n div (m div 4 + 1))"
-    of_y = y.withColumn("m", F.explode(F.sequence("n", F.expr("cast(n * 4 div 3 + 2 as int)")))).where(f"{few} and m - m div 4 <= n").withColumn("i", F.explode(segments))
-    of_y = of_y.select("y", "cy", "block", "m", "n", "i", F.expr(f"substring(y, cast({start} + 1 as int), cast({size} as int))").alias("part"))
-    of_x = x.where(few).withColumn("n", F.explode(F.sequence(F.expr("cast(m - m div 4 as int)"), "m"))).withColumn("i", F.explode(segments))
-    of_x = of_x.withColumn("at", F.explode(F.expr(f"sequence(greatest({start} - m div 4, 0), least({start} + m div 4, m - {size}))")))
-    of_x = of_x.select("x", "cx", "block", "m", "n", "i", F.expr(f"substring(x, cast(at + 1 as int), cast({size} as int))").alias("part")).distinct()
-    step = lambda n: F.floor(F.log(n) / F.log(F.lit(1.4)))
-    long_x = x.where(f"not {few}").withColumn("step", step(F.col("m")))
-    long_y = y.where(f"n * 4 >= {MOST_SEGMENTED} * 3").withColumn("step", F.explode(F.array(step(F.col("n")), step(F.col("n")) + 1)))
-    near = of_x.join(of_y, ["block", "m", "n", "i", "part"]).where(_close("x", "cx", "y", "cy")).select("x", "y")
-    return near.unionByName(long_x.join(long_y, ["block", "step"]).where((F.col("n") <= F.col("m")) & _close("x", "cx", "y", "cy")).select("x", "y"))
+    coded = lambda df, c: df.select("block", F.col("code").alias(c)).distinct().withColumn("part", F.explode(_reduced(c)))
+    codes = coded(left, "cx").join(coded(right, "cy"), ["block", "part"]).where(F.levenshtein("cx", "cy") <= CODE_EDITS).select("block", "cx", "cy").distinct()
+    x = left.select("block", F.col("code").alias("cx"), F.col("word").alias("x"))
+    y = right.select("block", F.col("code").alias("cy"), F.col("word").alias("y"))
+    return codes.join(x, ["block", "cx"]).join(y, ["block", "cy"]).where(_close("x", "cx", "y", "cy")).select("x", "y")
 
 
 def alike(spellings: DataFrame, block: Column) -> DataFrame:
     """(a, b): spellings (word, code) whose codes and letters are close; only words of one block meet."""
     s = spellings.select("word", "code", block.alias("block")).distinct()
-    return _close_pairs(s, s).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _close_pairs(s, s).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def proposals(found: DataFrame, anchors: DataFrame, immune: DataFrame | None = None, least_sessions: int = 2, ordinary: DataFrame | None = None) -> DataFrame:
@@ -208,10 +215,8 @@ def proposals(found: DataFrame, anchors: DataFrame, immune: DataFrame | None = N
 
 
 def alike_names(words: DataFrame, names: DataFrame) -> DataFrame:
-    """(word, name): words and names (word, code, block), in either order of length, that are close but not one word in any case."""
-    both = _close_pairs(words, names).select(F.col("x").alias("word"), F.col("y").alias("name"))
-    both = both.unionByName(_close_pairs(names, words).select(F.col("y").alias("word"), F.col("x").alias("name")))
-    return both.where(F.lower("word") != F.lower("name")).distinct()
+    """(word, name): words and names (word, code, block) that are close."""
+    return _close_pairs(words, names).select(F.col("x").alias("word"), F.col("y").alias("name")).distinct()
 
 
 def context_proposals(found: DataFrame, names: DataFrame, immune: DataFrame | None = None, ceiling: float = 0.98, ordinary: DataFrame | None = None) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parley.functions.text import cologne_code, plain_words
+from parley.functions.text import cologne_code, word_tokens
 from parley.operators import vectors as V
 from parley.operators import vocabulary as O
-from parley.operators.graph import components
+from parley.operators.graph import checkpointed, components
 from parley.plans.catalog import query
 from parley.sources.tables import load
 
@@ -129,14 +129,15 @@ def timed_corrections(spark, sf):
     return out.select(F.col("id").alias("conv_id"), F.col("speaker").alias("role"), "start_ms", "end_ms", "text")
 
 
-def _names(spark, sf):
-    """Names that people wrote beside the documents: the capitalised words of four letters or more of the benchmark's texts."""
+def _names(spark, sf, ordinary):
+    """Names that people wrote beside the documents: the capitalised words of four letters or more of the benchmark's texts that are not ordinary."""
     words = load(spark, sf, "benchmark").select(F.explode(F.split("text", r"[^\p{L}]+")).alias("word"))
-    return words.where((F.length("word") >= 4) & F.col("word").rlike(r"^\p{Lu}")).join(_ordinary(spark), F.lower("word") == F.col("common"), "left_anti").distinct()
+    return words.where((F.length("word") >= 4) & F.col("word").rlike(r"^\p{Lu}")).join(ordinary.select(F.col("word").alias("common")), F.lower("word") == F.col("common"), "left_anti").distinct()
 
 
-def _ordinary(spark):
-    return spark.createDataFrame([("the",), ("and",), ("dies",), ("that",)], "common string")
+def _ordinary(docs):
+    """Ordinary words of the documents themselves, met by candidates and compounds alike."""
+    return checkpointed(O.ordinary_words(docs))
 
 
 def _decided(spark):
@@ -147,15 +148,35 @@ def _decided(spark):
 @query("name_proposals", None, covers="v_candidates v_recurrence a_recurrence o_proposals sf_is_inflection j_fuzzy_block sf_koelner")
 def name_proposals(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    ordinary = _ordinary(spark).withColumnRenamed("common", "word")
-    return O.undecided(O.proposals(O.candidates(docs, ordinary), _names(spark, sf), ordinary=ordinary), *_decided(spark)).orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
+    ordinary = _ordinary(docs)
+    return O.undecided(O.proposals(O.candidates(docs, ordinary), _names(spark, sf, ordinary), ordinary=ordinary), *_decided(spark)).orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
 
 
-@query("phonetic_block", None, covers="j_fuzzy_block")
+#: The phonetic code of Cologne of words of ASCII letters, by rules on each letter and its neighbours.
+_CODES = r"""t AS (SELECT p_name AS text FROM part UNION ALL SELECT text FROM benchmark),
+    w AS (SELECT DISTINCT unnest(list_filter(string_split_regex(replace(strip_accents(lower(text)), 'ß', 'ss'), '[^\p{L}\p{N}]+'), lambda x: x <> '' AND strlen(x) <= 40)) AS word FROM t),
+    l AS (SELECT word, string_split(regexp_replace(upper(word), '[^A-Z]', '', 'g'), '') AS s FROM w WHERE regexp_matches(word, '[a-z]')),
+    d AS (SELECT word, array_to_string(list_transform(s, lambda c, i: CASE
+        WHEN c IN ('A', 'E', 'I', 'J', 'O', 'U', 'Y') THEN '0' WHEN c = 'B' THEN '1' WHEN c IN ('F', 'V', 'W') THEN '3' WHEN c IN ('G', 'K', 'Q') THEN '4' WHEN c = 'L' THEN '5' WHEN c IN ('M', 'N') THEN '6' WHEN c = 'R' THEN '7' WHEN c IN ('S', 'Z') THEN '8'
+        WHEN c = 'P' THEN CASE WHEN s[i + 1] = 'H' THEN '3' ELSE '1' END WHEN c IN ('D', 'T') THEN CASE WHEN s[i + 1] IN ('C', 'S', 'Z') THEN '8' ELSE '2' END
+        WHEN c = 'X' THEN CASE WHEN i > 1 AND s[i - 1] IN ('C', 'K', 'Q') THEN '8' ELSE '48' END
+        WHEN c = 'C' AND i = 1 THEN CASE WHEN s[2] IN ('A', 'H', 'K', 'L', 'O', 'Q', 'R', 'U', 'X') THEN '4' ELSE '8' END
+        WHEN c = 'C' THEN CASE WHEN s[i - 1] NOT IN ('S', 'Z') AND s[i + 1] IN ('A', 'H', 'K', 'O', 'Q', 'U', 'X') THEN '4' ELSE '8' END ELSE '' END), '') AS raw FROM l),
+    e AS (SELECT word, string_split(raw, '') AS s FROM d WHERE raw <> ''),
+    f AS (SELECT word, list_filter(s, lambda c, i: i = 1 OR c <> s[i - 1]) AS s FROM e),
+    k AS MATERIALIZED (SELECT word, array_to_string(list_filter(s, lambda c, i: i = 1 OR c <> '0'), '') AS code FROM f)"""
+
+
+@query(
+    "phonetic_block",
+    f"""WITH {_CODES} SELECT a.word AS a, b.word AS b FROM k a JOIN k b ON a.code[1] = b.code[1] AND a.word < b.word
+    WHERE length(a.code) >= 3 AND length(b.code) >= 3 AND levenshtein(a.code, b.code) <= 1 AND levenshtein(a.word, b.word) * 5 <= greatest(length(a.word), length(b.word)) * 2""",
+    covers="j_fuzzy_block sf_koelner",
+)
 def phonetic_block(spark, sf):
-    """Words of part names and of benchmark texts."""
+    """Words of part names and of benchmark texts, written in ASCII, that sound alike."""
     texts = load(spark, sf, "part").select(F.col("p_name").alias("text")).unionByName(load(spark, sf, "benchmark").select("text"))
-    words = texts.select(F.explode(plain_words("text")).alias("word")).distinct().withColumn("code", cologne_code("word"))
+    words = texts.select(F.explode(word_tokens("text")).alias("word")).distinct().withColumn("code", cologne_code("word")).where(F.length("code") >= 3)
     return O.alike(words, F.substring("code", 1, 1))
 
 
@@ -181,19 +202,19 @@ def fuzzy_components(spark, sf):
 def context_proposals(spark, sf):
     """Candidates beside the names of their context; documents have no measured confidence, and the names belong to all of them."""
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    ordinary = _ordinary(spark).withColumnRenamed("common", "word")
+    ordinary = _ordinary(docs)
     found = O.candidates(docs, ordinary).withColumn("confidence", F.lit(None).cast("double"))
-    return O.context_proposals(found, _everywhere(spark, sf), ordinary=ordinary)
+    return O.context_proposals(found, _everywhere(spark, sf, ordinary), ordinary=ordinary)
 
 
-def _everywhere(spark, sf):
-    return _names(spark, sf).select(F.lit(None).cast("long").alias("id"), "word", F.lit(2).alias("rank"))
+def _everywhere(spark, sf, ordinary):
+    return _names(spark, sf, ordinary).select(F.lit(None).cast("long").alias("id"), "word", F.lit(2).alias("rank"))
 
 
 @query("vocabulary_scan", None, covers="v_scan v_recurrence v_context o_proposals")
 def vocabulary_scan(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    ordinary = _ordinary(spark).withColumnRenamed("common", "word")
+    ordinary = _ordinary(docs)
     found = O.candidates(docs, ordinary).withColumn("confidence", F.lit(None).cast("double"))
-    out = O.scan(found, _names(spark, sf), _everywhere(spark, sf), *_decided(spark), ordinary=ordinary)
+    out = O.scan(found, _names(spark, sf, ordinary), _everywhere(spark, sf, ordinary), *_decided(spark), ordinary=ordinary)
     return out.orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")

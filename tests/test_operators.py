@@ -191,25 +191,40 @@ def test_keywords_by_kind(spark):
     assert {r["id"] for r in got} == {1, 4}
 
 
+def test_alike_by_known_pairs(spark):
+    """Two fifths of the letters and one code digit: pairs that are alike, and pairs that are not."""
+    yes = [("Grandpfeil", "Grandfall"), ("Tofmann", "Tochmann"), ("Meierhofer", "Maiahover"), ("Verlin", "Ferlin"), ("Anna", "Enna")]
+    no = [("Anna", "Ina"), ("Verlin", "verlin"), ("Grandpfeil", "Grandwehr")]
+    df = spark.createDataFrame([(w, cologne(w)) for p in yes + no for w in p], "word string, code string").distinct()
+    got = {(r["a"], r["b"]) for r in vocabulary.alike(df, F.lit("all")).collect()}
+    pair = lambda p: tuple(sorted(p))
+    assert {pair(p) for p in yes if cologne(p[0])} <= got and not got & {pair(p) for p in no}
+
+
 def test_alike_loses_no_pair(spark):
-    """Against all pairs of a block: short words, words about the segments' end, long words, and second digits that differ."""
+    """Against all pairs of a block: short words, long words, and codes that differ in any digit or in length."""
     r = random.Random(7)
     base = ["Grandpfeil", "Tochmann", "Verlin", "Anna", "Thornton", "abcdefghijklmnopqrstuv", "abcdefghijklmnopqrstuvwxyzabcdefghijkl"]
     words = set(base)
     for w in base * 25:
-        for _ in range(r.randint(1, max(1, len(w) // 4))):
+        for _ in range(r.randint(1, max(1, len(w) * 2 // 5))):
             i = r.randrange(len(w))
             w = r.choice([w[:i] + w[i + 1 :], w[:i] + r.choice("abtknr") + w[i + 1 :], w[:i] + r.choice("abtknr") + w[i:]])
         words.add(w)
     df = spark.createDataFrame([(w, cologne(w)) for w in sorted(words)], "word string, code string").where("code <> ''")
     s = df.withColumn("block", F.substring("code", 1, 1))
     other = s.select(F.col("word").alias("w2"), F.col("code").alias("c2"), "block")
-    near = (F.levenshtein("word", "w2") * 4 <= F.greatest(F.length("word"), F.length("w2"))) & (F.levenshtein("code", "c2") * 5 <= F.greatest(F.length("code"), F.length("c2")) * 2)
+    near = (F.levenshtein(F.lower("word"), F.lower("w2")) <= F.floor(F.greatest(F.length("word"), F.length("w2")) * 0.4)) & (F.levenshtein("code", "c2") <= 1) & (F.lower("word") != F.lower("w2"))
     expected = {tuple(x) for x in s.join(other, "block").where("word < w2").where(near).select("word", "w2").collect()}
     got = vocabulary.alike(df, F.substring("code", 1, 1)).collect()
     assert len(got) == len(expected) > 100 and {tuple(x) for x in got} == expected
 
 
+def test_ordinary_words_stand_in_lower_case(spark):
+    docs = spark.createDataFrame([(1, "the Medien say. Medien and Verlin came"), (2, "our medien saw Verlin"), (3, "medien and the Verlin, verlin"), (4, "Only here")], "id long, text string")
+    assert rows(vocabulary.ordinary_words(docs)) == [("and",), ("medien",), ("the",)]
+
+
 def test_proposals_need_an_anchor(spark):
     """Second digits differ; the rarer spelling is canonical if it is the anchor; what is close only over others, known or immune stays out."""
     rows = [(i, "Tochmann") for i in range(3)] + [(1, "Tofmann"), (2, "Tochmann"), (3, "Verlin"), (4, "Ferlin"), (4, "Merkator"), (5, "Merkater"), (5, "Merkates"), (6, "Nortwind"), (6, "Nordwind")]
@@ -220,7 +235,7 @@ def test_proposals_need_an_anchor(spark):
     assert got(vocabulary.proposals(found, names("tofmann", "Nordwind"))) == [("Tofmann", "Tochmann", 4, 3)]
     assert got(vocabulary.proposals(found, names("Merkator"))) == [("Merkator", "Merkater", 1, 1), ("Merkator", "Merkates", 1, 1)]
     assert got(vocabulary.proposals(found, names("Merkator"), names("MERKATES"))) == [("Merkator", "Merkater", 1, 1)]
-    chain = spark.createDataFrame([(1, "Landberger"), (2, "Lantberker"), (3, "Lantperkar")], "id long, word string")
+    chain = spark.createDataFrame([(1, "Landberger"), (2, "Lantberker"), (3, "Lantperkas")], "id long, word string")
     assert got(vocabulary.proposals(chain, names("Landberger"))) == [("Landberger", "Lantberker", 1, 1)]
     pairs = spark.createDataFrame([("merkator", "MERKATER ")], "canonical string, alias string")
     assert got(vocabulary.undecided(vocabulary.proposals(found, names("Merkator")), pairs)) == [("Merkator", "Merkates", 1, 1)]
