@@ -178,12 +178,6 @@ def cologne_code(phrase: pd.Series) -> pd.Series:
     return phrase.map(lambda p: "-".join(cologne(w) for w in p.split()), na_action="ignore")
 
 
-def keyword_like(word: Column, sentence_start: Column, stop_words: Sequence[str]) -> Column:
-    """Words of two characters with a letter that are no stop words; capitals inside a sentence count in any case."""
-    capital = word.rlike(r"^\p{Lu}") & ~sentence_start
-    return (F.length(word) >= 2) & word.rlike(r"\p{L}") & (capital | ~F.lower(word).isin(*stop_words))
-
-
 #: Frequent words by language.
 FREQUENT = {
     "de": ("der", "die", "und", "das", "nicht", "ist", "ein", "zu", "den", "mit", "von", "auf", "für", "sich", "dem"),

@@ -26,10 +26,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import word_tokens
+from parley.functions.text import folded, word_tokens
 from parley.operators.graph import checkpointed
 
 K1, B = 1.2, 0.75
@@ -249,6 +249,30 @@ class KeptIndex:
         return by.where(F.exists("p0", lambda s: F.coalesce(end(s) - s <= len(terms) - 1 + slop, F.lit(False)))).select("id")
 
 
+    def snippets(self, terms: Sequence[str], field: str, docs: DataFrame, width: int = 24, lead: int = 3) -> DataFrame:
+        """(id, fragment, weight, hits): of each document (id, field) with a term the `width` words in which its terms weigh most.
+
+        A window begins at a hit; it weighs the sum of the inverse document
+        frequencies of the hits in it; of equal ones the first is taken, and
+        `lead` words before it are shown as well. hits are the places of the
+        terms among the words of the fragment, from 0. Places come from the
+        postings; only documents that are found give their texts.
+        """
+        now = self.manifest()
+        own = self.postings(terms).where(F.col("field") == field)
+        df = own.groupBy("term").agg(F.count("*").alias("df"))
+        n = float(now["sums"][field][0])
+        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        places = own.join(F.broadcast(df), "term").select("id", F.explode("positions").alias("pos"), F.round(idf, 6).alias("w"))
+        ahead = Window.partitionBy("id").orderBy("pos").rangeBetween(0, width - 1)
+        best = places.select("id", "pos", F.round(F.sum("w").over(ahead), 6).alias("weight"), F.collect_list("pos").over(ahead).alias("at"))
+        best = best.groupBy("id").agg(F.max(F.struct("weight", (-F.col("pos")).alias("first"), "at")).alias("b"))
+        from_ = F.greatest(-F.col("b.first") - lead, F.lit(0))
+        words = F.filter(F.regexp_extract_all(F.col(field), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.octet_length(folded(w)) <= 40)
+        found = best.join(docs.select("id", field), "id")
+        return found.select("id", F.array_join(F.slice(words, from_ + 1, F.lit(width + lead)), " ").alias("fragment"), "b.weight", F.transform("b.at", lambda p: p - from_).alias("hits"))
+
+
 def source_state(docs: DataFrame) -> str:
     """Names, lengths and times of the files that a table reads from, as a digest: what tells a changed table from the same."""
     spark = docs.sparkSession

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.functions.text import core_of, folded_term, keyword_like, word_tokens
+from parley.functions.text import folded_term, word_tokens
 
 K1, B = 1.2, 0.75
 #: A hit in a title counts so many times in fuzzy and boolean queries.
@@ -98,14 +99,6 @@ def swapped_distance(word: Column, term: str) -> Column:
     return F.least(own, *[F.levenshtein(word, F.lit(s)) + 1 for s in sorted(swaps)]) if swaps else own
 
 
-def snippet(text: Column, term: str, width: int = 150) -> Column:
-    """(fragment, start, length): at most `width` characters around the first hit, and the hit's place in them."""
-    at = F.instr(F.lower(text), term.lower())
-    begin = F.greatest(at - int(width / 3), F.lit(1))
-    fragment = F.substring(text, begin, F.lit(width))
-    return F.when(at > 0, F.struct(fragment.alias("fragment"), (at - begin).alias("start"), F.lit(len(term)).alias("length")))
-
-
 def top(hits: DataFrame, limit: int = 100) -> DataFrame:
     """The best hits and, beside each, how many there were in all."""
     total = hits.agg(F.count("*").alias("total"))
@@ -137,32 +130,78 @@ def overlapping_hits(rows: DataFrame, key: str, order: str, text: str, needle: s
     return found.select(key, order, hits.cast("long").alias("hits")).where("hits > 0")
 
 
+_CODE = re.compile(r"```.*?```", re.DOTALL), re.compile(r"`[^`]+`")
+_MARKS = str.maketrans("#*_~`[]()", " " * 9)
+_SPACES = re.compile(r"[ \t\n\r\f]+")
+
+
+def _core(token: str) -> tuple[str, bool]:
+    """(core, closes): a token without signs around it, and whether those behind it end a sentence."""
+    if token.isalnum():
+        return token, False
+    inside = [i for i, c in enumerate(token) if c.isalnum()]
+    end = inside[-1] + 1 if inside else 0
+    return token[inside[0] : end] if inside else "", any(c in ".!?" for c in token[end:])
+
+
+def _keyword_terms(text: str, stop_words: frozenset[str]) -> list[tuple[int, int, str]]:
+    """(rank, place, term) of all tags (1), keywords (2) and phrases (3) of a text."""
+    body = _CODE[1].sub("", _CODE[0].sub("", text))
+    out = [(1, i, t) for i, t in enumerate(re.findall(r"#(\w+)", body))]
+    run: list[str] = []
+    n, starts = 0, True
+
+    def ended() -> None:
+        if len(run) > 1:
+            out.append((3, 0, " ".join(run)))
+        run.clear()
+
+    for token in _SPACES.split(body.translate(_MARKS)):
+        if not token:
+            continue
+        core, closes = _core(token)
+        if starts:
+            ended()
+        capital = core[:1].isupper() and not starts
+        if len(core) >= 2 and any(c.isalpha() for c in core) and (capital or core.lower() not in stop_words):
+            out.append((2, n, core))
+            run.append(core)
+            n += 1
+        else:
+            ended()
+        starts = closes
+    ended()
+    return out
+
+
 def keywords(docs: DataFrame, stop_words: Sequence[str], most: int = 50) -> DataFrame:
     """(id, term, n, place): hints of documents (id, text, named): named terms, then #tags, keywords, and phrases.
 
-    Code goes before anything is read. Keywords are words that `keyword_like`
-    keeps, the most frequent first, in original case; a phrase is a run of
-    them inside one sentence. A term counts once in any case, under its
-    first kind and spelling; terms of one character go. All of it works on arrays of
-    one row, so only the terms of a document are shuffled, grouped before.
+    Code goes before anything is read. Keywords are words of two characters with
+    a letter that are no stop words, where a capital inside a sentence counts in
+    any case; the most frequent come first, in original case; a phrase is a run
+    of them inside one sentence. A term counts once in any case, under its first
+    kind and spelling; terms of one character go. A document is read once in
+    its task, and only its `most` terms leave it.
     """
-    body = F.regexp_replace(F.regexp_replace("text", r"(?s)```.*?```", ""), r"`[^`]+`", "")
-    d = docs.select("id", "named", body.alias("body")).withColumn("tags", F.regexp_extract_all("body", F.lit(r"#([\p{L}\p{N}_]+)"), 1))
-    words = F.filter(F.split(F.translate("body", "#*_~`[]()", " " * 9), r"[ \t\n\r\f]+"), lambda w: w != "")
-    closed = lambda w: w.rlike(r"[.!?][^\p{L}\p{N}]*$")
-    d = d.withColumn("w", words).withColumn("w", F.transform("w", lambda w, i: F.struct(core_of(w)[1].alias("core"), ((i == 0) | closed(F.get("w", i - 1))).alias("starts"))))
-    d = d.withColumn("w", F.transform("w", lambda w: F.struct(w["core"].alias("core"), w["starts"].alias("starts"), keyword_like(w["core"], w["starts"], stop_words).alias("good"))))
-    runs = F.array_join(F.transform("w", lambda w: F.concat(F.when(w["starts"], "\n").otherwise(""), F.when(w["good"], w["core"]).otherwise("\n"))), " ")
-    phrases = F.filter(F.transform(F.split(runs, "\n"), lambda p: F.trim(p)), lambda p: F.instr(p, " ") > 0)
-
-    def ranked(terms: Column, rank: int) -> Column:
-        return F.transform(terms, lambda t, i: F.struct(F.lit(rank).alias("rank"), (i if rank < 3 else F.lit(0)).alias("i"), t.alias("term")))
-
-    keys = F.filter(F.transform("w", lambda w: F.when(w["good"], w["core"])), lambda w: w.isNotNull())
-    kinds = [ranked(F.col("named"), 0), ranked(F.col("tags"), 1), ranked(keys, 2), ranked(phrases, 3)]
-    terms = d.select("id", F.explode(F.concat(*[F.coalesce(k, F.array().cast("array<struct<rank:int,i:int,term:string>>")) for k in kinds])).alias("t")).where(F.length("t.term") >= 2)
-    g = terms.groupBy("id", F.lower("t.term").alias("key")).agg(F.min("t").alias("t"), *[F.count_if(F.col("t.rank") == r).alias(f"n{r}") for r in (2, 3)])
-    n = F.when(F.col("t.rank") == 2, F.col("n2")).when(F.col("t.rank") == 3, F.col("n3")).otherwise(0)
-    g = g.select("id", "key", "t", n.alias("n"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("t.rank", F.col("n").desc(), "t.i", "key"))
-    return g.withColumn("place", place).where(F.col("place") <= most).select("id", "t.term", "n", "place")
+    kind, stop = docs.schema["id"].dataType.simpleString(), frozenset(stop_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, terms, counts, places = [], [], [], []
+            for row, (text, named) in enumerate(zip(batch.column("text").to_pylist(), batch.column("named").to_pylist(), strict=True)):
+                found: dict[str, list] = {}
+                for t in [*((0, i, x) for i, x in enumerate(named or []) if x is not None), *_keyword_terms(text or "", stop)]:
+                    if len(t[2]) >= 2:
+                        entry = found.setdefault(t[2].lower(), [t, 0, 0])
+                        entry[0] = min(entry[0], t)
+                        entry[1] += t[0] == 2
+                        entry[2] += t[0] == 3
+                ranked = sorted((t[0], -(n2 if t[0] == 2 else n3 if t[0] == 3 else 0), t[1], key, t[2]) for key, (t, n2, n3) in found.items())[:most]
+                own += [row] * len(ranked)
+                terms += [x[4] for x in ranked]
+                counts += [-x[1] for x in ranked]
+                places += range(1, len(ranked) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(places, pa.int32())], ["id", "term", "n", "place"])
+
+    return docs.select("id", "text", "named").mapInArrow(run, f"id {kind}, term string, n long, place int")

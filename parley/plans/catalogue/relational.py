@@ -243,7 +243,7 @@ def bool_order(spark, sf):
     "word_page",
     """SELECT conv_id, turn, word FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\\s+')) AS word, generate_subscripts(string_split_regex(text, '\\s+'), 1) AS pos FROM conversations)
     WHERE word <> '' ORDER BY conv_id, turn, pos LIMIT 200 OFFSET 300""",
-    covers="o_word_page j_json_table",
+    covers="o_word_page",
 )
 def word_page(spark, sf):
     t = load(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"\s+")).alias("pos", "word")).where("word <> ''")

@@ -115,12 +115,19 @@ def index_replaced(spark, sf):
 
 @query(
     "snippets",
-    """SELECT doc_id AS id, substr(text, greatest(instr(lower(text), 'license') - 50, 1), 150) AS fragment, instr(lower(text), 'license') - greatest(instr(lower(text), 'license') - 50, 1) AS start FROM documents WHERE instr(lower(text), 'license') > 0""",
+    rf"""{_BASE} o AS (SELECT doc_id AS id, list_filter(string_split_regex(text, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND strlen(replace(strip_accents(lower(x)), 'ß', 'ss')) <= 40) AS words FROM documents),
+    p AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d),
+    f AS (SELECT term, count(DISTINCT id) AS df FROM p WHERE term IN ('license', 'under', 'mit') GROUP BY 1),
+    h AS (SELECT id, pos, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS weight FROM p JOIN f USING (term), c),
+    s AS (SELECT id, pos, round(sum(weight) OVER v, 6) AS weight, list(pos) OVER v AS places FROM h WINDOW v AS (PARTITION BY id ORDER BY pos RANGE BETWEEN CURRENT ROW AND 23 FOLLOWING)),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY weight DESC, pos) = 1)
+    SELECT b.id, array_to_string(words[greatest(pos - 3, 0) + 1:greatest(pos - 3, 0) + 27], ' ') AS fragment, weight, list_aggregate(list_transform(places, lambda x: x - greatest(pos - 3, 0)), 'string_agg', ',') AS hits FROM b JOIN o USING (id)""",
     covers="fts_snippet sf_snippet",
 )
 def snippets(spark, sf):
-    d = _docs(spark, sf).select("id", S.snippet(F.col("content"), "license").alias("s")).where("s is not null")
-    return d.select("id", "s.fragment", F.col("s.start").cast("long").alias("start"))
+    """The 24 words of each document in which its terms weigh most, with the places of the terms."""
+    docs = _docs(spark, sf).select("id", "content")
+    return _index(spark, sf).snippets(["license", "under", "mit"], "content", docs).select("id", "fragment", "weight", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits"))
 
 
 _STOP = ("the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "die", "der", "und", "le", "la", "de", "et", "el", "que", "y")

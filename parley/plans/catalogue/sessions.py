@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import text as T
+from parley.functions.json_tree import json_each, json_tree
 from parley.operators import sessions as S
 from parley.operators import transcript as P
 from parley.plans.catalog import query
@@ -172,3 +173,45 @@ def neutral_labels(spark, sf):
     hints = one.select("transcript", F.lit("word").alias("scope"), F.col("id").alias("word_id"), "channel", "speaker_index", F.lit("h").alias("human"), F.lit(True).alias("by_hand")).where("crc32(word_id) % 10 = 0")
     took_part = one.select("transcript", F.when(F.col("transcript") % 3 == 0, "me").otherwise("other").alias("human")).distinct()
     return P.neutral_words(one, hints, took_part, "me")
+
+
+_NESTED = """WITH c AS (SELECT conv_id, to_json({'id': conv_id, 'mine': conv_id % 2 = 0, 'turns': list({'role': role, 'n': turn, 'share': turn / 4, 'none': NULL, 'first words': string_split(text, ' ')[1:3]} ORDER BY turn)})::VARCHAR AS body FROM conversations GROUP BY 1)"""
+
+
+def nested(spark, sf):
+    """A JSON document of each conversation: its turns, with their first words as a list."""
+    turn = F.struct("turn", F.to_json(F.struct("role", F.col("turn").alias("n"), (F.col("turn") / 4).alias("share"), F.lit(None).cast("string").alias("none"), F.slice(F.split("text", " "), 1, 3).alias("first words")), {"ignoreNullFields": "false"}).alias("j"))
+    c = load(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["j"]), ",").alias("turns"))
+    mine = F.when(F.col("conv_id") % 2 == 0, "true").otherwise("false")
+    return c.select("conv_id", F.concat(F.lit('{"id":'), F.col("conv_id").cast("string"), F.lit(',"mine":'), mine, F.lit(',"turns":['), "turns", F.lit("]}")).alias("body"))
+
+
+_TYPES = "CASE WHEN j.type IN ('BIGINT', 'UBIGINT') THEN 'integer' WHEN j.type = 'DOUBLE' THEN 'real' WHEN j.type = 'VARCHAR' THEN 'text' WHEN j.type = 'BOOLEAN' THEN j.atom::VARCHAR ELSE lower(j.type) END"
+
+
+@query(
+    "json_values",
+    f"""{_NESTED} SELECT conv_id, j.key, j.fullkey AS full_key, {_TYPES} AS type, CASE WHEN j.type = 'VARCHAR' THEN j.atom ->> '$' WHEN j.type NOT IN ('ARRAY', 'OBJECT', 'NULL') THEN j.atom::VARCHAR END AS atom
+    FROM c, json_tree(c.body) j""",
+    covers="sf_json_tree sf_json_type",
+)
+def json_values(spark, sf):
+    """Every value of nested JSON, at any depth, with its path and type."""
+    return json_tree(nested(spark, sf), "body").select("conv_id", "key", "full_key", "type", "atom")
+
+
+@query(
+    "json_join",
+    f"""{_NESTED}, t AS (SELECT conv_id, json_extract(body, '$.turns')::VARCHAR AS turns FROM c),
+    e AS (SELECT conv_id, j.key::BIGINT AS place, j.value AS v FROM t, json_each(t.turns) j)
+    SELECT e.conv_id, place, v ->> '$.role' AS role, json_array_length(v, '$."first words"')::INT AS words, length(c.text) AS chars FROM e JOIN conversations c ON c.conv_id = e.conv_id AND c.turn = (v ->> '$.n')::BIGINT""",
+    covers="j_json_table sf_json_each sf_json_array_length sf_json_extract",
+)
+def json_join(spark, sf):
+    """The elements of a JSON array as a table, joined to the turns that they name."""
+    turns = nested(spark, sf).select("conv_id", F.to_json(F.variant_get(F.parse_json("body"), "$.turns", "variant")).alias("turns"))
+    field = lambda name, kind: F.get_json_object("v", f"$.{name}").cast(kind)
+    rows = json_each(turns, "turns").select("conv_id", F.col("key").cast("long").alias("place"), F.col("value").alias("v"))
+    words = F.size(F.from_json(F.get_json_object("v", "$['first words']"), "array<string>"))
+    e = rows.select("conv_id", "place", field("role", "string").alias("role"), field("n", "long").alias("turn"), words.alias("words"))
+    return e.join(load(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("chars")), ["conv_id", "turn"]).drop("turn")

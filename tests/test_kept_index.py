@@ -144,3 +144,12 @@ def test_a_stream_of_dirty_entities(spark, tmp_path):
         m.follow(spark.readStream.schema(schema).parquet(dirty), state).trigger(availableNow=True).start().awaitTermination()
         assert told(index) == brute(after)
     assert index.manifest()["batch"] == 1
+
+
+def test_snippets_take_the_heaviest_window(spark, tmp_path):
+    """The window with both terms, the first of equal ones, and the words before it."""
+    texts = {1: "a b red c d e f g h red green i j", 2: "Green! x, red red", 3: "green " + "y " * 30 + "Green z", 4: "nothing", 5: None}
+    df = spark.createDataFrame([(i, None, t) for i, t in texts.items()], SCHEMA)
+    index = KeptIndex(spark, str(tmp_path)).build(df)
+    got = {r["id"]: (r["fragment"], r["hits"]) for r in index.snippets(["red", "green"], "content", df, width=4, lead=1).collect()}
+    assert got == {1: ("h red green i j", [1, 2]), 2: ("Green x red red", [0, 2, 3]), 3: ("green y y y y", [0])}
