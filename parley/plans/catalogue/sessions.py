@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.functions import document_tree as D
 from parley.functions import text as T
 from parley.functions.json_tree import json_each, json_tree
 from parley.operators import sessions as S
@@ -215,3 +216,25 @@ def json_join(spark, sf):
     words = F.size(F.from_json(F.get_json_object("v", "$['first words']"), "array<string>"))
     e = rows.select("conv_id", "place", field("role", "string").alias("role"), field("n", "long").alias("turn"), words.alias("words"))
     return e.join(load(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("chars")), ["conv_id", "turn"]).drop("turn")
+
+
+@query(
+    "note_trees",
+    """WITH c AS (SELECT conv_id, turn, role, regexp_extract_all(text, '[A-Za-z]+') AS w FROM conversations),
+    k AS (SELECT conv_id, turn, role, w, len(w) AS n FROM c WHERE len(w) >= 6)
+    SELECT conv_id, sha256(string_agg('## ' || role || chr(10) || chr(10) || w[1] || ' **' || w[2] || '** *' || w[3] || '*' || chr(10) || chr(10) || '- ' || w[4] || chr(10) || '- [' || w[5] || '](http://x/' || turn || ')' || chr(10) || chr(10) || '> ' || w[6], chr(10) || chr(10) ORDER BY turn)) AS digest,
+      count(*) AS headings, 4 * count(*) AS paragraphs, 2 * count(*) AS items, count(*) AS bold, count(*) AS links, sum(length(role) + length(array_to_string(w[1:6], '')) + 2)::BIGINT AS chars FROM k GROUP BY 1""",
+    covers="sf_md_tiptap",
+)
+def note_trees(spark, sf):
+    """Notes of conversations in Markdown, to document trees and back to the same text; nodes and marks counted in the trees."""
+    c = load(spark, sf, "conversations").select("conv_id", "turn", "role", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0).alias("w")).where(F.size("w") >= 6)
+    w = [F.get("w", F.lit(i)) for i in range(6)]
+    turn = F.col("turn").cast("string")
+    body = F.concat(F.lit("## "), "role", F.lit("\n\n"), w[0], F.lit(" **"), w[1], F.lit("** *"), w[2], F.lit("*\n\n* "), w[3], F.lit("\n* ["), w[4], F.lit("](http://x/"), turn, F.lit(")\n\n>"), w[5], F.lit("\n"))
+    notes = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", body.alias("t")))), lambda x: x["t"]), "\n").alias("note"))
+    trees = notes.select("conv_id", D.tree_of("note").alias("tree"))
+    v = json_tree(trees, "tree").where("key in ('type', 'text')")
+    count = lambda kind: F.count_if((F.col("key") == "type") & (F.col("atom") == kind))
+    parts = v.groupBy("conv_id").agg(count("heading").alias("headings"), count("paragraph").alias("paragraphs"), count("listItem").alias("items"), count("bold").alias("bold"), count("link").alias("links"), F.sum(F.when(F.col("key") == "text", F.length("atom")).otherwise(0)).alias("chars"))
+    return trees.select("conv_id", F.sha2(D.markdown_of("tree"), 256).alias("digest")).join(parts, "conv_id")
