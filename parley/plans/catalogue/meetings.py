@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.functions import jsonx
@@ -9,6 +10,7 @@ from parley.operators import transcript as P
 from parley.plans.catalog import query
 from parley.plans.catalogue.transcripts import words
 from parley.sources import meetings as S
+from parley.sources import providers as R
 from parley.sources.tables import load
 
 
@@ -34,19 +36,6 @@ def front_matter(spark, sf):
     return p.select(header["id"].cast("long").alias("page_id"), header["url"].alias("url"), F.length(body).alias("body_chars"))
 
 
-@query(
-    "provider_records",
-    """SELECT conv_id AS meeting, turn - (SELECT min(turn) FROM conversations c WHERE c.conv_id = x.conv_id) AS pos, role AS speaker, length(text) AS chars, turn * 61000 AS start_ms FROM conversations x""",
-    covers="src_fathom sf_rfc3339",
-)
-def provider_records(spark, sf):
-    c = load(spark, sf, "conversations").withColumn("turn", F.col("turn").cast("long"))
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("speaker"), "text", F.format_string("%d:%02d", F.floor(F.col("turn") * 61 / 60), (F.col("turn") * 61) % 60).alias("timestamp"))))
-    r = c.groupBy("conv_id").agg(rows.alias("transcript")).select(F.to_json(F.struct(F.col("conv_id").alias("id"), F.lit("t").alias("title"), "transcript")).alias("record"))
-    out = S.imported(r, "fathom")
-    return out.select(F.col("meeting").cast("long").alias("meeting"), F.col("pos").cast("long").alias("pos"), "speaker", F.length("text").alias("chars"), "start_ms")
-
-
 @query("calendar_records", "SELECT event_id::VARCHAR AS id, event_type AS title, event_id % 2 = 0 AS all_day, event_id % 3 = 0 AS recurring FROM events", covers="src_calendar")
 def calendar_records(spark, sf):
     e = load(spark, sf, "events")
@@ -105,33 +94,85 @@ def contact_names(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"([\w.+-]+@[\w-]+\.[\w.-]+)"), F.lit(1)))).cast("long").alias("emails"))
 
 
-_SHAPES = tuple(sorted(S.PROVIDERS))
+_TEXTS = r"SELECT conv_id, turn::BIGINT AS turn, role, trim(text) AS text FROM conversations WHERE trim(text) <> ''"
+
+
+def _json(**fields) -> Column:
+    return F.to_json(F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in fields.items()]))
 
 
 @query(
-    "provider_shapes",
-    f"""SELECT p AS provider, conv_id AS meeting, turn - min(turn) OVER (PARTITION BY p, conv_id) AS pos, role AS speaker, length(text) AS chars, turn * 61000 AS start_ms
-    FROM conversations, (VALUES {", ".join(f"('{p}')" for p in _SHAPES)}) v(p)""",
-    covers="src_meet src_teams src_webex src_zoom src_fathom",
+    "provider_meet",
+    f"""SELECT 'conferenceRecords/' || conv_id AS meeting, CASE WHEN conv_id % 2 = 0 THEN 'spaces/' || conv_id ELSE 'Google Meet' END AS title, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+    CASE WHEN role = 'user' THEN 'Ada ' || conv_id WHEN role = 'assistant' THEN 'Guest' ELSE '' END AS speaker, text, turn * 61000 AS start_ms, CASE WHEN turn % 2 = 0 THEN turn * 61000 + 5500 ELSE turn * 61000 END AS end_ms FROM ({_TEXTS})""",
+    covers="src_meet sf_rfc3339",
 )
-def provider_shapes(spark, sf):
-    """Each conversation as a record of each provider: times as clocks, seconds, or times of day after the start."""
+def provider_meet(spark, sf):
+    """Conferences, participants and entries as three tables of records: times of day, seconds of duration, users of three kinds."""
+    c = load(spark, sf, "conversations").where("trim(text) <> ''").withColumn("turn", F.col("turn").cast("long"))
+    base = F.concat(F.lit("conferenceRecords/"), F.col("conv_id").cast("string"))
+    day = lambda s: F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    conferences = c.select("conv_id").distinct().select(_json(name=base, startTime=day(F.lit(0)), space=F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("spaces/"), F.col("conv_id").cast("string")))).alias("record"))
+    who = F.concat(base, F.lit("/participants/"), "role")
+    user = F.when(F.col("role") == "user", F.struct(F.concat(F.lit("Ada "), F.col("conv_id").cast("string")).alias("displayName")))
+    guest = F.when(F.col("role") == "assistant", F.struct(F.lit("Guest").alias("displayName")))
+    participants = c.select("conv_id", "role").distinct().select(_json(name=who, signedinUser=user, anonymousUser=guest).alias("record"))
+    start = F.when(F.col("turn") % 3 == 0, F.concat((F.col("turn") * 61).cast("string"), F.lit(".0s"))).otherwise(day(F.col("turn") * 61))
+    end = F.when(F.col("turn") % 2 == 0, F.concat((F.col("turn") * 61 + 5).cast("string"), F.lit(".5s")))
+    entries = c.select(_json(name=F.concat(base, F.lit("/transcripts/t/entries/"), F.format_string("%05d", "turn")), participant=who, text=F.col("text"), startTime=start, endTime=end).alias("record"))
+    out = R.meet_segments(conferences, participants, entries.unionByName(spark.createDataFrame([('{"name":"conferenceRecords/x/transcripts/t/entries/e"}',), ("bad",)], "record string")))
+    return out.select("meeting", "title", F.col("pos").cast("long").alias("pos"), "speaker", "text", "start_ms", "end_ms")
+
+
+@query(
+    "provider_fathom",
+    f"""SELECT 'r' || conv_id AS meeting, CASE WHEN conv_id % 2 = 0 THEN 'Talk' ELSE 'Fathom meeting' END AS title, CASE WHEN conv_id % 3 = 0 THEN '2024-01-01T00:00:00Z' ELSE '2024-01-02T00:00:00Z' END AS started_at,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, CASE WHEN role = 'user' THEN 'Ada' WHEN role = 'assistant' THEN 'bob' ELSE '' END AS speaker, text, turn * 61000 AS start_ms FROM ({_TEXTS})""",
+    covers="src_fathom sf_hhmmss",
+)
+def provider_fathom(spark, sf):
+    """Meetings, and transcripts by recording, whose speakers are objects with a display name, a name, or neither."""
     c = load(spark, sf, "conversations").withColumn("turn", F.col("turn").cast("long"))
+    id_ = F.concat(F.lit("r"), F.col("conv_id").cast("string"))
+    meetings = c.select("conv_id").distinct().select(
+        _json(recording_id=id_, title=F.when(F.col("conv_id") % 4 == 0, " "), meeting_title=F.when(F.col("conv_id") % 2 == 0, "Talk"), recording_start_time=F.when(F.col("conv_id") % 3 == 0, "2024-01-01T00:00:00Z"), scheduled_start_time="2024-01-02T00:00:00Z").alias("record")
+    )
+    speaker = F.struct(F.when(F.col("role") == "user", "Ada").otherwise(" ").alias("display_name"), F.when(F.col("role") != "tool", F.when(F.col("role") == "assistant", "bob").otherwise("")).alias("name"))
+    item = F.struct("turn", F.struct(speaker.alias("speaker"), "text", F.format_string("%02d:%02d:%02d", F.floor(F.col("turn") * 61 / 3600), F.floor(F.col("turn") * 61 / 60) % 60, (F.col("turn") * 61) % 60).alias("timestamp")).alias("i"))
+    transcripts = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["i"]).alias("rows")).select(id_.alias("recording_id"), _json(transcript=F.col("rows")).alias("record"))
+    out = R.fathom_segments(meetings, transcripts)
+    return out.select("meeting", "title", "started_at", F.col("pos").cast("long").alias("pos"), "speaker", "text", "start_ms")
+
+
+@query(
+    "provider_vtt",
+    """WITH t AS (SELECT conv_id, turn::BIGINT AS turn, role, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS text FROM conversations),
+    k AS (SELECT *, ['teams', 'webex', 'zoom'][conv_id % 3 + 1] AS provider FROM t WHERE text <> '')
+    SELECT provider, 'm' || conv_id AS meeting, CASE WHEN conv_id % 2 = 0 THEN 'Topic' ELSE CASE provider WHEN 'teams' THEN 'Teams' WHEN 'webex' THEN 'Webex' ELSE 'Zoom' END || ' meeting' END AS title,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS speaker, text, turn * 61000 AS start_ms, turn * 61000 + 1500 AS end_ms FROM k""",
+    covers="src_teams src_webex src_zoom",
+)
+def provider_vtt(spark, sf):
+    """Records of three services, each naming the WebVTT file of its transcript."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z ]", ""), " +", " "))
+    c = load(spark, sf, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", plain.alias("text"))
+    stamp = lambda s, ms: F.format_string(f"%02d:%02d:%02d.{ms}", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    at = F.col("turn") * 61
+    cue = F.concat(stamp(at, "000"), F.lit(" --> "), stamp(at + 1, "500"), F.lit("\n<v "), "role", F.lit(">"), "text")
+    path = F.concat(F.lit("https://files/"), F.col("conv_id").cast("string"), F.lit(".vtt"))
+    files = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", cue.alias("c")))), lambda x: x["c"]), "\n\n").alias("body")).select("conv_id", path.alias("path"), F.concat(F.lit("WEBVTT\n\n"), "body").alias("content"))
+    id_, topic, start = F.concat(F.lit("m"), F.col("conv_id").cast("string")), F.when(F.col("conv_id") % 2 == 0, "Topic"), "2024-01-01T00:00:00Z"
+    shapes = {
+        "teams": _json(id=id_, subject=topic, startDateTime=start, transcriptContentUrl=path),
+        "webex": F.when(F.col("conv_id") % 2 == 0, _json(id=id_, meetingTopic=topic, startTime=start, vttDownloadLink=path)).otherwise(_json(id=id_, meeting_topic=F.lit(""), start_time=start, vtt_download_link=path)),
+        "zoom": _json(uuid=id_, topic=topic, start_time=start, transcript_download_url=path),
+    }
     out = None
-    for k, name in enumerate(_SHAPES):
-        id_, title, start, entries, speaker, text, at = S.PROVIDERS[name]
-        seconds = F.col("turn") * 61
-        times = (
-            F.format_string("%d:%02d", F.floor(seconds / 60), seconds % 60), F.concat(seconds.cast("string"), F.lit("s")),
-            F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-        )
-        entry = F.struct(F.col("role").alias(speaker), F.col("text").alias(text), times[k % 3].alias(at))
-        rows = F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda x: x["e"])
-        begun = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        record = F.to_json(F.struct(F.col("conv_id").cast("string").alias(id_[2:]), F.lit("t").alias(title[2:]), begun.alias(start[2:]), F.col("rows").alias(entries)))
-        got = S.imported(c.groupBy("conv_id").agg(rows.alias("rows")).select(record.alias("record")), name).withColumn("provider", F.lit(name))
+    for k, (name, record) in enumerate(shapes.items()):
+        mine = files.where(F.col("conv_id") % 3 == k)
+        got = R.vtt_segments(name, mine.select(record.alias("record")), mine.select("path", "content"))
         out = got if out is None else out.unionByName(got)
-    return out.select("provider", F.col("meeting").cast("long").alias("meeting"), F.col("pos").cast("long").alias("pos"), "speaker", F.length("text").alias("chars"), "start_ms")
+    return out.select("provider", "meeting", "title", F.col("pos").cast("long").alias("pos"), "speaker", "text", "start_ms", "end_ms")
 
 
 @query("text_tables", "SELECT r_regionkey, n_nationkey, n_name FROM nation JOIN region ON r_regionkey = n_regionkey", covers="src_plaud")

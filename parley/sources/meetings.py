@@ -53,32 +53,6 @@ def vtt_cues(files: DataFrame) -> DataFrame:
     return rows.select("path", "cue", at(1).alias("start_ms"), at(3).alias("end_ms"), speaker.alias("speaker"), text.alias("text"))
 
 
-#: For each provider: the paths of a meeting's id, title, start, list of entries, and the entry's speaker, text and seconds or clock.
-PROVIDERS = {
-    "meet": ("$.name", "$.title", "$.startTime", "entries", "participant", "text", "startTime"),
-    "teams": ("$.id", "$.subject", "$.createdDateTime", "entries", "speaker", "text", "start"),
-    "webex": ("$.id", "$.meetingTopic", "$.startTime", "items", "personName", "text", "offset"),
-    "zoom": ("$.uuid", "$.topic", "$.start_time", "timeline", "username", "text", "ts"),
-    "fathom": ("$.id", "$.title", "$.scheduled_start_time", "transcript", "speaker", "text", "timestamp"),
-}
-
-
-def imported(records: DataFrame, provider: str) -> DataFrame:
-    """(meeting, title, started_at, pos, speaker, text, start_ms) of provider JSON (record string).
-
-    An entry's time is a clock, a number of seconds, or a time of day that is
-    taken relative to the meeting's start.
-    """
-    id_, title, start, entries, speaker, text, at = PROVIDERS[provider]
-    rows = F.from_json(F.get_json_object("record", f"$.{entries}"), f"array<struct<`{speaker}`: string, `{text}`: string, `{at}`: string>>")
-    started = F.get_json_object("record", start)
-    r = records.select(F.get_json_object("record", id_).alias("meeting"), F.get_json_object("record", title).alias("title"), started.alias("started_at"), F.posexplode_outer(rows).alias("pos", "e"))
-    when = F.col(f"e.{at}")
-    origin = F.unix_millis(F.try_to_timestamp("started_at"))
-    ms = F.when(when.rlike(r"^\d+(:\d+){1,2}$"), clock_ms(when)).when(when.rlike(r"^\d+(\.\d+)?s?$"), (F.regexp_replace(when, "s$", "").try_cast("double") * 1000).cast("long")).otherwise(F.greatest(F.unix_millis(F.try_to_timestamp(when)) - origin, F.lit(0)))
-    return r.select("meeting", "title", "started_at", "pos", F.col(f"e.{speaker}").alias("speaker"), F.col(f"e.{text}").alias("text"), ms.alias("start_ms"))
-
-
 def table_rows(text: Column | str) -> Column:
     """Rows of a text table: terminal colours removed, cells split at bars or runs of spaces, rules and empty lines left out."""
     plain = F.regexp_replace(text, r"\x1B\[[0-9;]*[A-Za-z]", "")
