@@ -49,3 +49,23 @@ def centred(start: Column, end: Column, most: int) -> tuple[Column, Column]:
     """An interval cut to its middle `most`."""
     cut = F.greatest((end - start) - most, F.lit(0))
     return start + F.floor(cut / 2).cast("long"), F.least(end, start + F.floor(cut / 2).cast("long") + most)
+
+
+#: Fixed values, in milliseconds: gap within which words are one run, length of a span at least and at most; spans of a speaker.
+RUN_GAP, LEAST_SPAN, MOST_SPAN, SPANS = 400, 1_500, 10_000, 3
+
+
+def speaker_spans(words: DataFrame, keys: Sequence[str], speaker: str) -> DataFrame:
+    """(keys, speaker, start, end, rank, quality): where each speaker of a key is heard alone, the SPANS longest stretches.
+
+    words: (keys, speaker, start_ms, end_ms). Words near each other make runs; what
+    other speakers of the key say is cut out; what is left is cut to its middle
+    MOST_SPAN and counts from LEAST_SPAN on; quality is its share of MOST_SPAN.
+    Words that last no time are left out; a null speaker is one of its own.
+    """
+    spoken = words.where("end_ms > start_ms").withColumn("_owner", F.coalesce(F.col(speaker).cast("long"), F.lit(-1)))
+    own = runs(spoken, [*keys, "_owner"], F.col("start_ms"), F.col("end_ms"), RUN_GAP).select(*keys, "_owner", "start", "end")
+    start, end = centred(F.col("start"), F.col("end"), MOST_SPAN)
+    cut = alone(own, keys, "_owner").select(*keys, "_owner", start.alias("start"), end.alias("end")).where(F.col("end") - F.col("start") >= LEAST_SPAN)
+    top = longest(cut, [*keys, "_owner"], SPANS)
+    return top.select(*keys, F.when(F.col("_owner") >= 0, F.col("_owner")).alias(speaker), "start", "end", "rank", F.least((F.col("end") - F.col("start")) / F.lit(float(MOST_SPAN)), F.lit(1.0)).alias("quality"))

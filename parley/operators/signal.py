@@ -36,9 +36,28 @@ def smoothed(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
     return df.groupBy(*keys).agg(rows.alias("_r")).select(*keys, F.size("_r").cast("long").alias("n"), fold.alias("last"))
 
 
-def peaks(df: DataFrame, index: str, value: str, total: int, buckets: int) -> DataFrame:
-    """(bucket, peak): `buckets` maxima of absolute values over an index from 0 to total - 1."""
-    return df.groupBy(F.floor(F.col(index) * buckets / F.lit(total)).cast("long").alias("bucket")).agg(F.max(F.abs(value)).alias("peak"))
+def peaks(df: DataFrame, keys: Sequence[str], index: str, value: str, most: int) -> DataFrame:
+    """(keys, bucket, peak): `most` maxima of absolute values at most of each key, over an index that counts from 0.
+
+    Values are taken together in blocks of a power of two, the least with which
+    there are fewer than twice `most` full ones; buckets are then stretches of
+    blocks that share a block at their edges where they do not fall on one. A
+    key of no more blocks than `most` gives its blocks. Values that are no
+    numbers count as 0. Lengths are a grouped maximum beside the data, so
+    nothing is counted while planning; blocks are combined before the shuffle.
+    """
+    length = df.groupBy(*keys).agg((F.max(index) + 1).cast("long").alias("_n"))
+    size = F.expr(f"shiftleft(1L, array_min(filter(sequence(0, 62), k -> shiftright(_n, k) < {2 * most})))")
+    magnitude = F.when(F.isnan(F.col(value).cast("double")) | (F.abs(value) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(F.abs(F.col(value).cast("double")), F.lit(0.0)))
+    j = df.join(length.withColumn("_size", size), list(keys)) if keys else df.crossJoin(F.broadcast(length.withColumn("_size", size)))
+    blocks = j.groupBy(*keys, "_n", "_size", F.floor(F.col(index) / F.col("_size")).cast("long").alias("_block")).agg(F.max(magnitude).alias("_peak"))
+    count = F.ceil(F.col("_n") / F.col("_size"))
+    step = F.greatest(count / F.lit(float(most)), F.lit(1.0))
+    # Bucket i takes the blocks from floor(i * step) to ceil((i + 1) * step) - 1.
+    first, last = F.floor(F.col("_block") / step), F.ceil((F.col("_block") + 1) / step) - 1
+    wide = F.sequence(F.greatest(first - 1, F.lit(0)), F.least(last + 1, F.least(count, F.lit(most)) - 1))
+    inside = F.filter(wide, lambda i: (F.floor(i * step) <= F.col("_block")) & (F.ceil((i + 1) * step) > F.col("_block")))
+    return blocks.select(*keys, F.explode(inside).alias("bucket"), "_peak").withColumn("bucket", F.col("bucket").cast("long")).groupBy(*keys, "bucket").agg(F.max("_peak").alias("peak"))
 
 
 def lag_of(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float, float]:

@@ -141,7 +141,7 @@ def activity_runs(spark, sf):
 @query(
     "top3_runs",
     _RUNS + """ SELECT user_id, "start", "end", rn AS rank, least(("end" - "start") / 36000000.0, 1.0) AS quality FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "end" - "start" DESC, "start") AS rn FROM runs WHERE n > 1) WHERE rn <= 3""",
-    covers="w_topn_group vp_spans",
+    covers="w_topn_group",
 )
 def top3_runs(spark, sf):
     top = I.longest(_runs(spark, sf).where("n > 1"), ["user_id"], 3)
@@ -160,7 +160,7 @@ def top3_runs(spark, sf):
     n AS (SELECT *, CASE WHEN lag(b) OVER (PARTITION BY channel, speaker ORDER BY a) = a THEN 0 ELSE 1 END AS new FROM c),
     m AS (SELECT *, sum(new) OVER (PARTITION BY channel, speaker ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM n)
     SELECT channel, speaker, min(a) AS "start", max(b) AS "end" FROM m GROUP BY channel, speaker, run""",
-    covers="j_interval_subtract vp_spans",
+    covers="j_interval_subtract",
 )
 def overlap_cut(spark, sf):
     e = _events(spark, sf).select(F.col("event_type").alias("channel"), (F.col("user_id") % 4).alias("speaker"), "t")
@@ -168,6 +168,32 @@ def overlap_cut(spark, sf):
     return I.alone(own, ["channel"], "speaker")
 
 
+@query(
+    "speaker_spans",
+    r"""WITH t AS (SELECT conv_id AS transcript, turn, unnest(string_split_regex(trim(text), '\s+')) AS x, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 AS pos FROM conversations),
+    w AS (SELECT transcript, (pos // 60) % 2 AS speaker, turn * 900000 + pos * 300 + (pos // 25) * 500 AS s, turn * 900000 + pos * 300 + (pos // 25) * 500 + CASE WHEN pos % 45 = 44 THEN 2900 ELSE 250 END AS e FROM t),
+    r AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY transcript, speaker ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 400 THEN 0 ELSE 1 END AS new FROM w),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY transcript, speaker ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM r),
+    i AS MATERIALIZED (SELECT transcript, speaker, min(s) AS s, max(e) AS e FROM g GROUP BY transcript, speaker, run),
+    p AS (SELECT DISTINCT transcript, s AS x FROM i UNION SELECT transcript, e FROM i),
+    q AS (SELECT transcript, x AS a, lead(x) OVER (PARTITION BY transcript ORDER BY x) AS b FROM p),
+    c AS (SELECT q.transcript, a, b, min(speaker) AS speaker FROM q JOIN i ON i.transcript = q.transcript AND i.s <= a AND i.e >= b WHERE b IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = 1),
+    n AS (SELECT *, CASE WHEN lag(b) OVER (PARTITION BY transcript, speaker ORDER BY a) = a THEN 0 ELSE 1 END AS new FROM c),
+    m AS (SELECT *, sum(new) OVER (PARTITION BY transcript, speaker ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM n),
+    k AS (SELECT transcript, speaker, min(a) AS s, max(b) AS e FROM m GROUP BY transcript, speaker, run),
+    l AS (SELECT transcript, speaker, s + greatest(e - s - 10000, 0) // 2 AS s, least(e, s + greatest(e - s - 10000, 0) // 2 + 10000) AS e FROM k),
+    o AS (SELECT *, row_number() OVER (PARTITION BY transcript, speaker ORDER BY e - s DESC, s) AS rank FROM l WHERE e - s >= 1500)
+    SELECT transcript, speaker, s AS "start", e AS "end", rank, least((e - s) / 10000.0, 1.0) AS quality FROM o WHERE rank <= 3""",
+    covers="vp_spans",
+)
+def speaker_spans(spark, sf):
+    """Words of two speakers who interrupt each other: the three longest stretches of each alone, 1.5 to 10 seconds of them."""
+    c = load(spark, sf, "conversations").select(F.col("conv_id").alias("transcript"), F.col("turn").cast("long").alias("turn"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "x"))
+    start = (F.col("turn") * 900_000 + F.col("pos") * 300 + F.floor(F.col("pos") / 25) * 500).cast("long")
+    words = c.select("transcript", (F.floor(F.col("pos") / 60) % 2).alias("speaker"), start.alias("start_ms"), (start + F.when(F.col("pos") % 45 == 44, 2900).otherwise(250)).alias("end_ms"))
+    return I.speaker_spans(words, ["transcript"], "speaker")
+
+
 @query(
     "first_seen_rank",
     "SELECT user_id, event_type, dense_rank() OVER (PARTITION BY event_type ORDER BY min(event_id)) AS label FROM events GROUP BY 1, 2",

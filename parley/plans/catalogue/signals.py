@@ -49,10 +49,21 @@ def ewma(spark, sf):
     return G.smoothed(load(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", "n", F.round("last", 6).alias("last"))
 
 
-@query("peaks", "SELECT (event_id * 100 // (SELECT count(*) FROM events))::BIGINT AS bucket, max(abs(value)) AS peak FROM events GROUP BY 1", covers="s_peaks")
+@query(
+    "peaks",
+    """WITH e AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, abs(value) AS v FROM events),
+    c AS (SELECT event_type, count(*) AS n FROM e GROUP BY 1),
+    n AS (SELECT event_type, n, min(k) AS k FROM c, range(0, 40) r(k) WHERE n // (1::BIGINT << k) < 200 GROUP BY 1, 2),
+    b AS (SELECT event_type, n, 1::BIGINT << k AS size, i // (1::BIGINT << k) AS block, max(v) AS peak FROM e JOIN n USING (event_type) GROUP BY ALL),
+    s AS (SELECT *, greatest(ceil(n / size::DOUBLE) / 100.0, 1.0) AS step, least(ceil(n / size::DOUBLE), 100) AS buckets FROM b)
+    SELECT event_type, u.bucket::BIGINT AS bucket, max(peak) AS peak FROM s, range(0, 100) u(bucket) WHERE u.bucket < buckets AND floor(u.bucket * step) <= block AND ceil((u.bucket + 1) * step) > block GROUP BY 1, 2""",
+    covers="s_peaks",
+)
 def peaks(spark, sf):
-    e = load(spark, sf, "events")
-    return G.peaks(e, "event_id", "value", e.count(), 100)
+    """The outline of each type's values in order, in 100 buckets at most."""
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    e = load(spark, sf, "events").select("event_type", "value", (F.row_number().over(w) - 1).alias("i"))
+    return G.peaks(e, ["event_type"], "i", "value", 100)
 
 
 @query("channel_lags", None, covers="s_gcc_phat")

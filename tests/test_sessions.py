@@ -140,3 +140,40 @@ def test_promotion_and_creation(spark):
     events = spark.createDataFrame([(1, "a"), (2, ""), (3, "b"), (4, "c")], "event long, external string")
     had = spark.createDataFrame([(1, ""), (8, "b")], "event long, external string")
     assert sorted(r["event"] for r in sessions.created_once(events, had).collect()) == [2, 4]
+
+
+def test_peaks_merge_in_pairs(spark):
+    """Against blocks that are merged in pairs while values come in, for lengths about powers of two."""
+    import math
+
+    from parley.operators import signal
+
+    def outline(values, most):
+        blocks, size, held = [], 1, []
+        for v in values:
+            held.append(abs(v) if math.isfinite(v) else 0.0)
+            if len(held) == size:
+                blocks, held = [*blocks, max(held)], []
+                if len(blocks) >= 2 * most:
+                    blocks, size = [max(blocks[i : i + 2]) for i in range(0, len(blocks), 2)], size * 2
+        blocks += [max(held)] if held else []
+        if len(blocks) <= most:
+            return blocks
+        step = len(blocks) / most
+        return [max(blocks[math.floor(i * step) : min(math.ceil((i + 1) * step), len(blocks))]) for i in range(most)]
+
+    series = {n: [((i * 7919) % 101 - 50) / 3 for i in range(n)] for n in (1, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 40, 100)}
+    series[3] = [float("nan"), -2.0, float("inf")]
+    df = spark.createDataFrame([(n, i, v) for n, values in series.items() for i, v in enumerate(values)], "n long, i long, v double")
+    got = {(r["n"], r["bucket"]): r["peak"] for r in signal.peaks(df, ["n"], "i", "v", 4).collect()}
+    assert got == {(n, k): p for n, values in series.items() for k, p in enumerate(outline(values, 4))}
+
+
+def test_speaker_spans_are_cut_and_long_enough(spark):
+    from parley.operators import intervals
+
+    words = [("a", 0, 0, 12_000), ("a", 0, 12_300, 20_000), ("a", 1, 19_000, 22_000), ("a", None, 30_000, 31_499), ("a", None, 40_000, 41_500), ("b", 1, 0, 5), *[("b", 2, i * 10_000, i * 10_000 + 2_000 + i) for i in range(5)], ("b", 3, 7, 7)]
+    df = spark.createDataFrame(words, "channel string, speaker long, start_ms long, end_ms long")
+    got = sorted((tuple(r) for r in intervals.speaker_spans(df, ["channel"], "speaker").collect()), key=repr)
+    want = [("a", 0, 4_500, 14_500, 1, 1.0), ("a", 1, 20_000, 22_000, 1, 0.2), ("a", None, 40_000, 41_500, 1, 0.15), ("b", 2, 40_000, 42_004, 1, 0.2004), ("b", 2, 30_000, 32_003, 2, 0.2003), ("b", 2, 20_000, 22_002, 3, 0.2002)]
+    assert got == sorted(want, key=repr)
