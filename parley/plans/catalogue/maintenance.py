@@ -100,7 +100,7 @@ def compare_and_set(spark, sf):
     "merge_entities",
     """SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey = 9 THEN 3 ELSE l_suppkey END AS l_suppkey FROM lineitem WHERE l_suppkey <> 9
       OR l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey = 3)""",
-    covers="m_merge_entities m_move",
+    covers="m_merge_entities",
 )
 def merge_entities(spark, sf):
     return M.merge_entities(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").withColumn("l_suppkey", F.col("l_suppkey").cast("string")), "l_suppkey", "l_orderkey", "3", "9").withColumn("l_suppkey", F.col("l_suppkey").cast("long"))

@@ -16,10 +16,10 @@ from parley.streaming.bounded import run_to_end, table_stream
     covers="src_sql",
 )
 def stream_windows(spark, sf):
-    """A windowed aggregate with a watermark over a file stream; state holds a row for each open window and type."""
+    """A windowed aggregate with a watermark over a file stream; state holds a row for each type and window that the watermark has not passed."""
     e = table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     w = e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return run_to_end(w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total")), "complete")
+    return run_to_end(w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total")), "update", ["day", "event_type"])
 
 
 def messages(spark, sf, repeated=True):

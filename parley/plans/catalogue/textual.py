@@ -147,9 +147,13 @@ def covered_timeline(spark, sf):
     return s.select(F.lit("session").alias("label")).unionByName(e.select(F.lit("event").alias("label"))).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("hashed_text", None, covers="sf_fnv1a sf_koelner sf_uuid sf_sha256")
+@query(
+    "hashed_text",
+    """SELECT p_partkey, printf('%08x', list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)) AS fnv, sha256(p_name) AS sha FROM part""",
+    covers="sf_fnv1a sf_sha256",
+)
 def hashed_text(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", T.fnv1a("p_name").alias("fnv"), T.cologne_code("p_name").alias("code"))
+    return load(spark, sf, "part").select("p_partkey", T.fnv1a("p_name").alias("fnv"), F.sha2("p_name", 256).alias("sha"))
 
 
 @query(

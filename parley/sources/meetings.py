@@ -85,18 +85,24 @@ def write_checked(df: DataFrame, path: str, expected: int | None = None) -> int:
 
     A count that differs from `expected` leaves `path` as it was and raises. The
     table that was there is renamed aside first, put back if the move fails, and
-    deleted only when the new one is in place.
+    deleted only when the new one is in place. What a stopped run left aside is
+    put back at the start where nothing is in its place, and deleted otherwise.
     """
     spark = df.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     staging = f"{path.rstrip('/')}__staging"
+    aside = f"{path.rstrip('/')}__before"
+    fs = fs_path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(fs_path(aside)):
+        if fs.exists(fs_path(path)):
+            fs.delete(fs_path(aside), True)
+        elif not fs.rename(fs_path(aside), fs_path(path)):
+            raise OSError(f"{aside} can't be put back")
     df.write.mode("overwrite").parquet(staging)
     n = spark.read.parquet(staging).count()
-    fs = fs_path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
     if expected is not None and n != expected:
         fs.delete(fs_path(staging), True)
         raise ValueError(f"{n} rows, {expected} expected")
-    aside = f"{path.rstrip('/')}__before"
     had = fs.exists(fs_path(path))
     if had and not fs.rename(fs_path(path), fs_path(aside)):
         raise OSError(f"{path} can't be moved aside")

@@ -79,7 +79,10 @@ def _overflow(state: dict) -> int:
 
 
 def _partial(state: dict, words: list[dict], key: str) -> list[dict]:
-    words = [w for w in words if w["end_ms"] > state["watermark"]]
+    late = 0
+    while late < len(words) and words[late]["end_ms"] <= state["watermark"]:
+        late += 1
+    words = words[late:]
     if not words:
         return []
     lo, hi = words[0]["start_ms"], words[-1]["end_ms"]

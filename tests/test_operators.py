@@ -354,6 +354,13 @@ def test_checked_writes_leave_the_target_on_a_mismatch(spark, tmp_path):
     with pytest.raises(ValueError):
         meetings.write_checked(spark.range(5), path, 4)
     assert spark.read.parquet(path).count() == 3
+    # A run that stopped between its two moves: the table is put back; one that stopped after them: what it left goes.
+    (tmp_path / "t").rename(tmp_path / "t__before")
+    with pytest.raises(ValueError):
+        meetings.write_checked(spark.range(5), path, 4)
+    assert spark.read.parquet(path).count() == 3 and not (tmp_path / "t__before").exists()
+    spark.range(9).write.parquet(str(tmp_path / "t__before"))
+    assert meetings.write_checked(spark.range(2), path, 2) == 2 and sorted(x.name for x in tmp_path.iterdir()) == ["t"]
 
 
 def test_read_only_catalog(spark, sf_dir):
