@@ -75,13 +75,29 @@ def plain_strings(spark, sf):
     )
 
 
-@query("frequent_word_language", None, covers="sf_lang_detect sf_lang_parse")
+def _count(words) -> str:
+    return f"len(list_filter(w, lambda x: x IN {tuple(words)}))"
+
+
+@query(
+    "frequent_word_language",
+    f"""WITH d AS (SELECT doc_id, lang, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '' AND strlen(x) <= 40) AS w FROM documents),
+    c AS (SELECT doc_id, lang, unnest([{", ".join(f"{{'code': '{c}', 'n': {_count(T.FREQUENT[c])}}}" for c in sorted(T.FREQUENT))}]) AS c FROM d),
+    g AS (SELECT doc_id, any_value(lang) AS lang, max(c.n) AS n, min_by(c.code, {{'n': -c.n, 'code': c.code}}) AS code FROM c GROUP BY 1)
+    SELECT doc_id, CASE WHEN n > 0 THEN code END AS guess, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang END AS lang FROM g""",
+    covers="sf_lang_detect sf_lang_parse",
+)
 def frequent_word_language(spark, sf):
     d = load(spark, sf, "documents")
     return d.select("doc_id", T.frequent_word_language("text").alias("guess"), T.language_code("lang").alias("lang"))
 
 
-@query("query_parts", None, covers="sf_query_parts fts_parse")
+@query(
+    "query_parts",
+    r"""WITH b AS (SELECT doc_id AS id, ' ' || array_to_string(list_filter(string_split_regex(replace(strip_accents(lower(text)), 'ß', 'ss'), '[^\p{L}\p{N}]+'), lambda w: w <> '' AND strlen(w) <= 40), ' ') || ' ' AS body FROM documents)
+    SELECT id FROM b WHERE instr(body, ' the ') > 0 AND NOT instr(body, ' license ') > 0 AND (instr(body, ' of the ') > 0 OR instr(body, ' und ') > 0)""",
+    covers="sf_query_parts fts_parse",
+)
 def query_parts(spark, sf):
     """Documents that a parsed query admits: all '+' parts, no '-' part, and any of the others where there are some."""
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))

@@ -164,14 +164,21 @@ def propagated_segments(spark, sf):
     return P.propagated(P.segments(w.withColumn("human", human))).select("transcript", "channel", "start_ms", "end_ms", "n", "speaker_index", "human")
 
 
-@query("neutral_labels", None, covers="s_neutralize")
+@query(
+    "neutral_labels",
+    r"""WITH t AS (SELECT conv_id AS transcript, turn, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS c, generate_subscripts(string_split_regex(trim(text), '\s+'), 1) - 1 AS pos FROM conversations),
+    w AS (SELECT transcript, transcript || ':' || (turn * 900000 + pos * 300) || ':' || c AS id, CASE WHEN transcript % 2 = 0 THEN 0 ELSE c END AS channel, CASE WHEN transcript % 2 = 1 AND c <> 1 THEN 0 END AS speaker_index, pos % 10 = 0 AS by_hand FROM t),
+    m AS (SELECT transcript FROM w GROUP BY 1 HAVING count(DISTINCT channel) <= 1 AND count(DISTINCT CASE WHEN speaker_index IS NOT NULL THEN channel || '/' || speaker_index END) <= 1 AND transcript % 3 <> 0)
+    SELECT w.transcript, id, channel, speaker_index, m.transcript IS NOT NULL AND NOT by_hand AS neutral FROM w LEFT JOIN m USING (transcript)""",
+    covers="s_neutralize",
+)
 def neutral_labels(spark, sf):
-    """Words of conversations whose labels say nothing; some turns are assigned by hand."""
+    """Words of conversations whose labels say nothing; every tenth word of a turn is assigned by hand."""
     from parley.plans.catalogue.transcripts import words
 
     w = words(spark, sf)
     one = w.select("transcript", F.concat_ws(":", "transcript", "start_ms", "channel").alias("id"), F.when(F.col("transcript") % 2 == 0, 0).otherwise(F.col("channel")).alias("channel"), F.when(F.col("transcript") % 2 == 1, F.col("speaker_index")).alias("speaker_index"))
-    hints = one.select("transcript", F.lit("word").alias("scope"), F.col("id").alias("word_id"), "channel", "speaker_index", F.lit("h").alias("human"), F.lit(True).alias("by_hand")).where("crc32(word_id) % 10 = 0")
+    hints = one.select("transcript", F.lit("word").alias("scope"), F.col("id").alias("word_id"), "channel", "speaker_index", F.lit("h").alias("human"), F.lit(True).alias("by_hand")).where("cast(split_part(word_id, ':', 2) as long) % 900000 % 3000 = 0")
     took_part = one.select("transcript", F.when(F.col("transcript") % 3 == 0, "me").otherwise("other").alias("human")).distinct()
     return P.neutral_words(one, hints, took_part, "me")
 
