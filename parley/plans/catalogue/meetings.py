@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parley.functions import jsonx
 from parley.operators import transcript as P
+from parley.operators.graph import shared_folder
 from parley.plans.catalog import query
 from parley.plans.catalogue.transcripts import words
 from parley.sources import meetings as S
 from parley.sources import providers as R
+from parley.sources import vault as V
 from parley.sources.tables import load
 
 
@@ -216,3 +220,70 @@ def signed_webhooks(spark, sf):
     e = load(spark, sf, "events").select(F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("payload"))
     subs = spark.createDataFrame([("all", []), ("errors", ["error", "view"])], "endpoint string, kinds array<string>")
     return S.signed_deliveries(e, subs, b"k3y").select("endpoint", "id", "signature")
+
+
+@query(
+    "scanned_files",
+    r"""WITH l AS (SELECT conv_id % 20 AS shelf, conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM conversations)
+    SELECT shelf, sha256(string_agg(line || chr(10), '' ORDER BY conv_id, turn)) AS digest, count(*) AS lines FROM l GROUP BY 1""",
+    covers="src_scan_files",
+)
+def scanned_files(spark, sf):
+    """Text files in a folder tree, written by Spark and found again by name, each as one row."""
+    path = f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}"
+    lines = load(spark, sf, "conversations").select((F.col("conv_id") % 20).alias("shelf"), "conv_id", "turn", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("line"))
+    lines.repartition("shelf").sortWithinPartitions("shelf", "conv_id", "turn").select("shelf", "line").write.partitionBy("shelf").text(path)
+    files = S.scan_files(spark, path, "*.txt")
+    shelf = F.regexp_extract("path", r"shelf=(\d+)", 1).cast("long")
+    return files.select(shelf.alias("shelf"), F.sha2("content", 256).alias("digest"), (F.size(F.split("content", "\n")) - 1).cast("long").alias("lines"))
+
+
+_SESSIONS = """WITH s AS (SELECT conv_id, 's' || conv_id AS session, CASE WHEN conv_id % 3 = 0 THEN 'work/2024' ELSE '' END AS folder FROM conversations GROUP BY 1)"""
+
+
+def vault(spark, sf):
+    """The files of a vault of conversations: a session with its turns as documents each, some of them broken."""
+    c = load(spark, sf, "conversations").withColumn("turn", F.col("turn").cast("long"))
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    base = F.concat(F.lit("file:/old/vault/sessions/"), F.when(F.col("conv_id") % 3 == 0, "work/2024/").otherwise(""), F.lit("s"), text(F.col("conv_id")), F.lit("/"))
+    one = c.select("conv_id").distinct()
+    people = F.array(F.struct(F.lit("h1").alias("human_id"), F.lit("manual").alias("source")), F.struct(F.lit("").alias("human_id"), F.lit("auto").alias("source")))
+    meta = _json(id=F.when(F.col("conv_id") % 5 == 0, "other").otherwise(F.concat(F.lit("s"), text(F.col("conv_id")))), title=F.when(F.col("conv_id") % 2 == 0, " ").otherwise(F.concat(F.lit("Talk "), text(F.col("conv_id")))), event=F.struct(F.lit("t").alias("tracking_id")), participants=people)
+    metas = one.select(F.concat(base, F.lit("_meta.json")).alias("path"), F.when(F.col("conv_id") % 7 == 0, "[]").when(F.col("conv_id") % 11 == 0, "broken").otherwise(meta).alias("content"))
+    summary = one.where("conv_id % 4 <> 2").select(F.concat(base, F.lit("_summary.md")).alias("path"), F.concat(F.lit("---\nid: sum"), text(F.col("conv_id")), F.lit("\nposition: 3\n---\n# "), F.when(F.col("conv_id") % 8 == 0, "Untitled").otherwise(F.concat(F.lit("About "), text(F.col("conv_id")))), F.lit("\nrest")).alias("content"))
+    notes = c.select(F.concat(base, F.when(F.col("turn") == 0, "_memo.md").otherwise(F.concat(F.lit("t"), text(F.col("turn")), F.lit(".md")))).alias("path"), F.concat(F.lit("---\ntemplate_id: "), "role", F.lit("\n---\n"), F.col("text")).alias("content"))
+    more = spark.createDataFrame([("file:/old/vault/humans/h1.md", "x"), ("file:/old/vault/events.json", "[]"), ("file:/old/vault/tasks.json", "no"), ("file:/old/vault/sessions/x/attachments/a.md", "y"), ("file:/old/vault/other/z.md", "z"), ("file:/elsewhere/_meta.json", "{}")], "path string, content string")
+    return V.classified(metas.unionByName(summary).unionByName(notes).unionByName(more), "/old/vault")
+
+
+@query(
+    "vault_sessions",
+    f"""{_SESSIONS} SELECT session, folder, CASE WHEN conv_id % 2 = 1 THEN 'Talk ' || conv_id WHEN conv_id % 4 = 2 OR conv_id % 8 = 0 THEN ' ' ELSE 'About ' || conv_id END AS title, 't' AS external_event_id,
+      CASE WHEN conv_id % 5 = 0 THEN 'metadata id other differs from folder id ' || session END AS warning, 1::BIGINT AS people FROM s WHERE conv_id % 7 <> 0 AND conv_id % 11 <> 0""",
+    covers="src_legacy_vault",
+)
+def vault_sessions(spark, sf):
+    """Sessions of an old vault with their titles, recovered from summaries where the metadata has none, and the people they name."""
+    files = vault(spark, sf)
+    people = V.participants(files).groupBy("session").agg(F.count("*").alias("people"))
+    return V.sessions(files).join(people, "session", "left").select("session", "folder", "title", "external_event_id", "warning", F.coalesce("people", F.lit(0)).alias("people"))
+
+
+@query(
+    "vault_documents",
+    f"""{_SESSIONS} SELECT session, 'summary' AS kind, 'sum' || conv_id AS id, 3::BIGINT AS position, '' AS template_id, '# ' || CASE WHEN conv_id % 8 = 0 THEN 'Untitled' ELSE 'About ' || conv_id END || chr(10) || 'rest' AS body FROM s WHERE conv_id % 4 <> 2
+    UNION ALL SELECT session, CASE WHEN turn = 0 THEN 'note' WHEN role <> '' THEN 'template_output' ELSE 'summary' END, sha256(session || ':document:' || CASE WHEN turn = 0 THEN '_memo.md' ELSE 't' || turn || '.md' END), 0, role, text FROM s JOIN conversations USING (conv_id)""",
+    covers="src_legacy_vault",
+)
+def vault_documents(spark, sf):
+    return V.documents(vault(spark, sf)).select("session", "kind", "id", "position", "template_id", "body")
+
+
+@query(
+    "vault_failures",
+    f"""{_SESSIONS} SELECT 'sessions/' || CASE WHEN folder = '' THEN '' ELSE folder || '/' END || session || '/_meta.json' AS relative, CASE WHEN conv_id % 7 = 0 THEN 'no object' ELSE 'no JSON' END AS problem FROM s WHERE conv_id % 7 = 0 OR conv_id % 11 = 0
+    UNION ALL SELECT 'tasks.json', 'no JSON'""",
+    covers="src_legacy_vault",
+)
+def vault_failures(spark, sf):
+    return V.failures(vault(spark, sf))

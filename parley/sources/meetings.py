@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
-from collections.abc import Sequence
+import re
+import urllib.parse
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +17,36 @@ from parley.functions.times import clock_ms
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, content) of text files by name, one row a file; listing and reading are Spark's."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """(path, content) of text files by name, one row a file; listing and reading are Spark's, which sees no files whose names begin with _ or a dot, nor empty ones."""
+    files = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+
+
+def scan_all_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, content) of all text files in a folder tree, also those whose names begin with _ or a dot, and empty ones.
+
+    Names are listed once, as Spark does itself; files are read by tasks, one at
+    a time, through Arrow's file systems, so the folder must be one that all
+    executors reach. What is no UTF-8 has replacement characters.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found, names = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        status = found.next()
+        if fnmatch.fnmatchcase(status.getPath().getName(), pattern):
+            names.append((re.sub(r"^file:/+", "file:///", status.getPath().toString()),))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                system, at = pafs.FileSystem.from_uri(urllib.parse.quote(name, safe="/:"))
+                with system.open_input_stream(at) as f:
+                    text = f.read().decode(errors="replace")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([text])], ["path", "content"])
+
+    listed = spark.createDataFrame(names, "path string")
+    return listed.repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism * 4))).mapInArrow(run, "path string, content string")
 
 
 def front_matter(text: Column | str) -> tuple[Column, Column]:

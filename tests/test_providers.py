@@ -44,3 +44,29 @@ def test_transcripts_as_vtt(spark):
     teams = lines(spark, {"id": "t", "subject": "S", "start": {"dateTime": "d"}, "transcriptContentUrl": "u/2"})
     assert told(R.vtt_segments("teams", teams, files), "meeting", "title", "started_at", "speaker") == [("t", "S", "d", "Bob")]
     assert R.vtt_segments("zoom", lines(spark, {"uuid": "z", "transcript_download_url": "u/9"}), files).count() == 0
+
+
+def test_vault_from_a_folder_tree(spark, tmp_path):
+    """Files on a disk: kinds by place, titles from summaries, broken files as rows."""
+    from parley.sources import meetings
+    from parley.sources import vault as V
+
+    tree = {
+        "sessions/work/a/_meta.json": '{"title":"","participants":[{"human_id":"h"},{}],"id":"b"}', "sessions/work/a/_summary.md": "---\nid: x\n---\n\n# Found it \nmore", "sessions/work/a/transcript.json": '{"transcripts":[{"id":"t","words":[{"text":" hi","start_ms":1,"end_ms":2,"channel":0}]}]}',
+        "sessions/b/_meta.json": '{"title":""}', "sessions/b/_summary.md": "# Summary\n", "sessions/b/own.md": "---\ntemplate_id: z\nposition: 7\nsession_id: c\n---\ntext", "sessions/d/_meta.json": "nope", "sessions/stray.md": "too high", "humans/h.md": "", "settings.json": "[]", "notes.txt": "no",
+    }
+    for name, content in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    files = V.classified(meetings.scan_all_files(spark, str(tmp_path)), str(tmp_path))
+    assert {r["relative"]: r["kind"] for r in files.collect()} == {
+        "sessions/work/a/_meta.json": "session", "sessions/work/a/_summary.md": "document", "sessions/work/a/transcript.json": "transcript", "sessions/b/_meta.json": "session", "sessions/b/_summary.md": "document", "sessions/b/own.md": "document",
+        "sessions/d/_meta.json": "session", "humans/h.md": "human", "settings.json": "settings",
+    }
+    assert told(V.sessions(files), "session", "folder", "title", "warning") == [("a", "work", "Found it", "metadata id b differs from folder id a"), ("b", "", "", None)]
+    assert told(V.participants(files), "session", "pos", "human_id", "source") == [("a", 0, "h", "")]
+    assert told(V.documents(files), "session", "kind", "position", "body")[1:] == [("b", "summary", 0, "# Summary\n"), ("c", "template_output", 7, "text")]
+    assert told(V.transcripts(files), "session", "transcript", "text", "start_ms") == [("a", "t", " hi", 1)]
+    assert told(V.failures(files), "relative", "problem") == [("sessions/d/_meta.json", "no JSON"), ("settings.json", "no object")]
+    assert meetings.scan_all_files(spark, str(tmp_path), "*.json").count() == 5
+    assert told(meetings.scan_files(spark, str(tmp_path), "*.txt"), "content") == [("no",)] and meetings.scan_files(spark, str(tmp_path), "*.json").count() == 2
