@@ -58,7 +58,7 @@ STAGES = [
     ("token_ids", token_ids),
 ]
 
-#: Learned language models, sketches and tokenizers are not expressible in SQL; tests hold each stage against a brute-force version.
+#: Learned language models, sketches and tokenizers are not expressible in SQL. Tests hold near_dedup and decontamination to brute-force versions; of the other stages, the tests of their operators.
 ORACLE_SQL = None
 
 
