@@ -48,6 +48,8 @@ DEPTH, MOST_CELLS, BYTES_A_CELL, BLOCK = 2, 1 << 28, 32, 1 << 20
 SLICE_BYTES, MOST_SLICES = 1 << 33, 256
 #: Keys that a task holds before it gives out a sketch, and rows of counts before it gives them out.
 HELD_KEYS, HELD_ROWS = 4_000_000, 400_000
+#: Sources up to which they are broadcast to the classes of equal counts, a row of some hundred bytes each; beyond they are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 MOST_COUNT = (1 << 12) - 1
 
 _SEPARATORS = np.zeros(256, dtype=bool)
@@ -225,7 +227,8 @@ def _pairs(known: DataFrame, sources: DataFrame) -> DataFrame:
     b = sources.select("lang", F.col("source").alias("y"), F.col("held").alias("held_y"), F.col("absent").alias("absent_y"))
     neither = a.join(b, "lang").where("x < y").select("lang", "x", "y", ((F.col("kinds") - F.col("held_x") - F.col("held_y")) * _apart("absent_x", "absent_y")).alias("value"))
     classes = known.groupBy("lang", "source", "p").agg(F.count("*").alias("m"))
-    one = classes.join(b, "lang").where("source <> y").select("lang", F.least("source", "y").alias("x"), F.greatest("source", "y").alias("y"), (F.col("m") * _apart("p", "absent_y")).alias("value"))
+    others = F.broadcast(b) if sources.count() <= BROADCAST_SOURCES else b
+    one = classes.join(others, "lang").where("source <> y").select("lang", F.least("source", "y").alias("x"), F.greatest("source", "y").alias("y"), (F.col("m") * _apart("p", "absent_y")).alias("value"))
     left = known.select("lang", "term", F.col("source").alias("x"), F.col("p").alias("p_x"), F.col("absent").alias("absent_x"))
     right = known.select("lang", "term", F.col("source").alias("y"), F.col("p").alias("p_y"), F.col("absent").alias("absent_y"))
     shared = _apart("p_x", "p_y") - _apart("p_x", "absent_y") - _apart("absent_x", "p_y") + _apart("absent_x", "absent_y")
