@@ -1,10 +1,9 @@
-"""Full-text search as relational operators: postings, BM25, boolean, phrase and fuzzy queries, filters, snippets, index maintenance."""
+"""Full-text search without an index: query parts, BM25 in one scan, fuzzy terms, places in conversations, keywords. `kept_index` has what an index answers."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,14 +16,6 @@ K1, B = 1.2, 0.75
 TITLE_BOOST = 3.0
 
 
-def postings(docs: DataFrame, fields: Sequence[str] = ("title", "content")) -> DataFrame:
-    """(id, field, term, tf, positions, length): one row for each term of each field of documents (id, fields)."""
-    parts = [docs.select("id", F.lit(f).alias("field"), word_tokens(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in fields]
-    words = reduce(DataFrame.unionByName, parts).select("id", "field", F.size("w").cast("long").alias("length"), F.posexplode("w").alias("pos", "term"))
-    grouped = words.groupBy("id", "field", "term", "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("id", "field", "term", "tf", "positions", "length")
-
-
 def parse(query: str) -> list[tuple[str, list[str]]]:
     """(sign, terms) of each part of a query: quoted parts are phrases, an open quote reaches to the end; + and - are signs; terms are folded as words are."""
     out = []
@@ -59,31 +50,6 @@ def any_of(docs: DataFrame, terms: Sequence[str], field: str = "content") -> Dat
     return scored(docs, terms, field).groupBy("id").agg(F.sum("score").alias("score"))
 
 
-def all_of(docs: DataFrame, terms: Sequence[str], fields: Sequence[tuple[str, float]] = (("title", TITLE_BOOST), ("content", 1.0))) -> DataFrame:
-    """(id, score) of documents that have every term in one of the fields or another; a field's hits count with its boost."""
-    hits = reduce(DataFrame.unionByName, [scored(docs, terms, f).withColumn("score", F.col("score") * boost) for f, boost in fields])
-    found = hits.groupBy("id").agg(F.sum("score").alias("score"), F.countDistinct("term").alias("n"))
-    return found.where(F.col("n") == len(set(terms))).drop("n")
-
-
-def with_phrase(docs: DataFrame, terms: Sequence[str], field: str, slop: int = 0) -> DataFrame:
-    """Documents in which the terms stand in order with at most `slop` other words between them in all."""
-    if not slop:
-        joined = F.concat(F.lit(" "), F.array_join(word_tokens(F.col(field)), " "), F.lit(" "))
-        return docs.where(F.instr(joined, f" {' '.join(terms)} ") > 0)
-    gap = r"(?:\S+ )"
-    pattern = "|".join(_spread([re.escape(t) for t in terms], slop, gap))
-    joined = F.concat(F.lit(" "), F.array_join(word_tokens(F.col(field)), " "), F.lit(" "))
-    return docs.where(joined.rlike(f"(?: )(?:{pattern}) "))
-
-
-def _spread(terms: list[str], slop: int, gap: str) -> list[str]:
-    """All ways to put `slop` gaps between terms, as patterns."""
-    if len(terms) == 1:
-        return [terms[0]]
-    return [f"{terms[0]} {gap * k}{rest}" for k in range(slop + 1) for rest in _spread(terms[1:], slop - k, gap)]
-
-
 def fuzzy_terms(docs: DataFrame, field: str, term: str, distance: int = 1) -> DataFrame:
     """(term, df): words of the field within an edit distance of a term; words of other lengths are not compared."""
     words = docs.select("id", F.explode(F.array_distinct(word_tokens(F.coalesce(F.col(field), F.lit(""))))).alias("term"))
@@ -105,12 +71,6 @@ def top(hits: DataFrame, limit: int = 100) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), "id").limit(limit).join(F.broadcast(total))
 
 
-def replaced(index: DataFrame, changed: DataFrame, removed: DataFrame, fields: Sequence[str] = ("title", "content")) -> DataFrame:
-    """Postings after some documents changed or went: their old postings leave, new ones come."""
-    gone = changed.select("id").unionByName(removed.select("id")).distinct()
-    return index.join(gone, "id", "left_anti").select(*index.columns).unionByName(postings(changed, fields))
-
-
 def overlapping_hits(rows: DataFrame, key: str, order: str, text: str, needle: str) -> DataFrame:
     """(key, order, hits): where a needle starts in the joined rows of each key, counted by row; overlapping hits all count.
 
