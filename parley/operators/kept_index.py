@@ -1,15 +1,17 @@
 """A full-text index that is kept: postings by term bucket, documents by id bucket, and manifests that name what is current.
 
-    data/<version>/postings/bucket=<b>/   (id, field, term, tf, positions, length), by term within a file
-    data/<version>/documents/bucket=<b>/  (id, field, length, terms)
-    manifest/<version>/                   (table, bucket, folder, state): the folder that holds each bucket, and the sums
+    data/<version>-<writer>/postings/bucket=<b>/   (id, field, term, tf, positions, length), by term within a file
+    data/<version>-<writer>/documents/bucket=<b>/  (id, field, length, terms)
+    manifest/<version>-<writer>/                   (table, bucket, folder, state): the folder that holds each bucket, and the sums
 
 A batch of changed documents reads the old terms of these documents from their
 id buckets, and writes anew only the buckets of terms and ids that it touches;
 a manifest then names them current, in one step, as a manifest counts only once
 it is complete. A query reads the buckets of its terms and, within them, the
 row groups that have them. A restart opens the last complete manifest; a batch
-that is replayed is recognised by its number and changes nothing.
+that is replayed is recognised by its number and changes nothing. Writers name
+their folders apart, so two that build one version at once do not mix: the first
+by name counts, and an update that finds another one beside it fails.
 
 Documents are (id, fields); null fields count as ''; a repeated id is indexed as
 one document with all its rows' postings, so callers pass an id once; documents
@@ -21,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -72,6 +76,10 @@ def bucket_of(c: Column | str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
 
+def _named(version: int) -> str:
+    return f"{version:08d}-{uuid.uuid4().hex}"
+
+
 class KeptIndex:
     """The index under a folder, as its last complete manifest says."""
 
@@ -84,21 +92,28 @@ class KeptIndex:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
-        """Versions with a complete manifest, the last at the end."""
+    def _complete(self) -> dict[int, list[str]]:
+        """Names of the complete manifests of each version, the one that counts first."""
         fs, path = self._fs()
         folder = path(f"{self.path}/manifest")
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n) for n in names if n.isdigit() and fs.exists(path(f"{self.path}/manifest/{n}/_SUCCESS")))
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        out: dict[int, list[str]] = {}
+        for n in sorted(names):
+            if re.fullmatch(r"\d{8}-\w+", n) and fs.exists(path(f"{self.path}/manifest/{n}/_SUCCESS")):
+                out.setdefault(int(n[:8]), []).append(n)
+        return out
+
+    def versions(self) -> list[int]:
+        """Versions with a complete manifest, the last at the end."""
+        return sorted(self._complete())
 
     def manifest(self) -> dict:
         """{tables: {table: {bucket: folder}}, and the state of the last version}; at most two rows a bucket."""
-        found = self.versions()
+        found = self._complete()
         if not found:
             raise FileNotFoundError(f"no index in {self.path}")
-        rows = self.spark.read.parquet(f"{self.path}/manifest/{found[-1]}").collect()
+        last = max(found)
+        rows = self.spark.read.parquet(f"{self.path}/manifest/{found[last][0]}").collect()
         tables: dict[str, dict[int, str]] = {"postings": {}, "documents": {}}
         state = {}
         for r in rows:
@@ -106,19 +121,22 @@ class KeptIndex:
                 state = json.loads(r["state"])
             else:
                 tables[r["table"]][r["bucket"]] = r["folder"]
-        return {"version": found[-1], "tables": tables} | state
+        return {"version": last, "tables": tables} | state
 
-    def _commit(self, version: int, tables: dict[str, dict[int, str]], state: dict) -> None:
+    def _commit(self, version: str, tables: dict[str, dict[int, str]], state: dict) -> bool:
+        """Names a version's folders current; whether no other writer has a manifest of this version."""
         rows = [(t, b, f, None) for t, own in tables.items() for b, f in sorted(own.items())] + [("state", None, None, json.dumps(state))]
         self.spark.createDataFrame(rows, "table string, bucket int, folder string, state string").coalesce(1).write.mode("error").parquet(f"{self.path}/manifest/{version}")
+        return self._complete()[int(version[:8])] == [version]
 
     def vacuum(self, keep: int = 2) -> int:
         """Deletes all but the last manifests and the data that none of these names; readers of older versions must be done."""
         fs, path = self._fs()
-        kept = self.versions()[-keep:]
+        found = self._complete()
+        kept = [found[v][0] for v in sorted(found)[-keep:]]
         named = {r["folder"].split("/")[1] for v in kept for r in self.spark.read.parquet(f"{self.path}/manifest/{v}").where("folder is not null").select("folder").distinct().collect()}
         gone = 0
-        for part, stay in (("data", named), ("manifest", {str(v) for v in kept})):
+        for part, stay in (("data", named), ("manifest", set(kept))):
             for s in fs.listStatus(path(f"{self.path}/{part}")):
                 if s.getPath().getName() not in stay:
                     fs.delete(s.getPath(), True)
@@ -127,7 +145,7 @@ class KeptIndex:
 
     # Writing
 
-    def _written(self, rows: DataFrame, version: int, table: str, buckets: int) -> dict[int, str]:
+    def _written(self, rows: DataFrame, version: str, table: str, buckets: int) -> dict[int, str]:
         """Writes rows by bucket, large buckets in several files; gives the folder of each bucket that has rows."""
         key = "term" if table == "postings" else "id"
         folder = f"data/{version}/{table}"
@@ -151,7 +169,7 @@ class KeptIndex:
         """A first or new version of all documents."""
         total = docs.agg(sum((F.coalesce(F.sum(F.octet_length(F.col(f))), F.lit(0)) for f in fields), F.lit(0))).first()[0]
         buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET_BYTES))
-        version = (self.versions() or [0])[-1] + 1
+        version = _named((self.versions() or [0])[-1] + 1)
         tables = {"postings": self._written(postings(docs, fields), version, "postings", buckets)}
         new = self._read({"postings": tables["postings"]}, "postings", None, docs.schema["id"].dataType.simpleString())
         tables["documents"] = self._written(self._forward(docs, fields, new), version, "documents", buckets)
@@ -169,7 +187,7 @@ class KeptIndex:
         now = self.manifest()
         if batch is not None and batch <= now["batch"]:
             return {"postings": 0, "documents": 0}
-        tables, buckets, fields, version = now["tables"], now["buckets"], now["fields"], now["version"] + 1
+        tables, buckets, fields, version = now["tables"], now["buckets"], now["fields"], _named(now["version"] + 1)
         ids = checkpointed(changed.select("id").unionByName(removed.select("id")).distinct())
         new = checkpointed(postings(changed, fields))
         touched = lambda df, key: {r["b"] for r in df.select(bucket_of(key, buckets).alias("b")).distinct().collect()}
@@ -188,7 +206,8 @@ class KeptIndex:
         gone, come = self._sums(old, fields), self._sums(forward, fields)
         sums = {f: [now["sums"][f][i] - gone[f][i] + come[f][i] for i in (0, 1)] for f in fields}
         state = {k: now[k] for k in ("buckets", "fields", "kind", "source")} | {"sums": sums, "batch": now["batch"] if batch is None else batch}
-        self._commit(version, tables, state)
+        if not self._commit(version, tables, state):
+            raise RuntimeError(f"another writer made version {version[:8]} of the index in {self.path}")
         return {"postings": len(term_buckets), "documents": len(id_buckets)}
 
     # Reading

@@ -87,10 +87,28 @@ def test_only_touched_buckets_are_written_and_read(spark, tmp_path, docs):
 
 def test_an_unfinished_manifest_does_not_count(spark, tmp_path, docs):
     index = KeptIndex(spark, str(tmp_path)).build(spark.createDataFrame(table(docs), SCHEMA))
-    os.makedirs(tmp_path / "manifest" / "2")
+    os.makedirs(tmp_path / "manifest" / "00000002-half")
     assert index.versions() == [1] and told(index) == brute(docs)
 
 
+def test_two_writers_do_not_mix(spark, tmp_path, docs, monkeypatch):
+    """Two builds of one version: each reads whole; an update beside another one fails and leaves a whole index."""
+    df = spark.createDataFrame(table(docs), SCHEMA)
+    index = KeptIndex(spark, str(tmp_path))
+    monkeypatch.setattr(KeptIndex, "versions", lambda self: [])
+    index.build(df)
+    index.build(df)
+    monkeypatch.undo()
+    assert index.versions() == [1] and len(os.listdir(tmp_path / "manifest")) == 2 and told(index) == brute(docs)
+    late = index.manifest()
+    index.update(df.where("id = 1"), df.select("id").where("id = 2"))
+    monkeypatch.setattr(KeptIndex, "manifest", lambda self: late)
+    with pytest.raises(RuntimeError):
+        index.update(df.where("id = 1"), df.select("id").where("id = 2"))
+    monkeypatch.undo()
+    assert told(index) == brute({i: d for i, d in docs.items() if i != 2})
+
+
 @pytest.mark.parametrize(("terms", "slop"), [(["red", "green"], 0), (["red", "red"], 0), (["red", "green", "blue"], 2), (["red", "the", "red"], 3), (["rare"], 0), (["red", "nowhere"], 5)])
 def test_phrases(spark, tmp_path, docs, terms, slop):
     index = KeptIndex(spark, str(tmp_path)).build(spark.createDataFrame(table(docs), SCHEMA))
