@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import folded, word_tokens
 from parley.operators.graph import checkpointed
+from parley.sources.tables import spread
 
 K1, B = 1.2, 0.75
 #: Buckets at least and at most, and bytes of text to a bucket between.
@@ -170,7 +171,7 @@ class KeptIndex:
         total = docs.agg(sum((F.coalesce(F.sum(F.octet_length(F.col(f))), F.lit(0)) for f in fields), F.lit(0))).first()[0]
         buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET_BYTES))
         version = _named((self.versions() or [0])[-1] + 1)
-        tables = {"postings": self._written(postings(docs, fields), version, "postings", buckets)}
+        tables = {"postings": self._written(postings(spread(docs), fields), version, "postings", buckets)}
         new = self._read({"postings": tables["postings"]}, "postings", None, docs.schema["id"].dataType.simpleString())
         tables["documents"] = self._written(self._forward(docs, fields, new), version, "documents", buckets)
         kind = docs.schema["id"].dataType.simpleString()

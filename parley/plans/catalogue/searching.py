@@ -11,7 +11,7 @@ from parley.operators import search as S
 from parley.operators.graph import shared_folder
 from parley.operators.kept_index import KeptIndex, kept
 from parley.plans.catalog import query
-from parley.sources.tables import load
+from parley.sources.tables import load, spread
 
 _FOLD = "replace(strip_accents(lower({})), 'ß', 'ss')"
 _TOKENS = r"list_filter(string_split_regex(replace(strip_accents(lower({})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '' AND strlen(w) <= 40)"
@@ -151,4 +151,4 @@ _CORE = r"regexp_extract({}, '^[^\p{{L}}\p{{N}}]*(.*?)[^\p{{L}}\p{{N}}]*$', 1)"
 )
 def keywords(spark, sf):
     d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.array("source").alias("named"))
-    return S.keywords(d, _STOP).select("id", F.lower("term").alias("term"), "n", "place")
+    return S.keywords(spread(d), _STOP).select("id", F.lower("term").alias("term"), "n", "place")
