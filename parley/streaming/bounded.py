@@ -13,9 +13,9 @@ from parley.operators.graph import shared_folder
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A stream of the files of one table of a data folder."""
+    """A stream of the files of one table of a data folder, where a table is a file or a folder of files."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}*.parquet")
 
 
 def run_to_end(stream: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
