@@ -6,8 +6,10 @@ mapping that says where the turns are and what their roles and texts are called.
 Prompt and completion pairs, instructions with and without input, message lists
 under several names and single turns all become canonical turns (conv_id, turn,
 part, role, text). Records whose fingerprint no mapping has are returned by
-`unmapped`, never dropped silently. Of a typed table all rows have one schema,
-so the table's own nested field paths select the mapping once.
+`unmapped`, never dropped silently. A row of a typed table is a record, too: its
+fingerprint is that of the JSON object with its fields, in which values are
+empty, as paths do not depend on them and a text may be longer than a parsed
+value can be; the texts themselves are taken from the typed columns.
 
 Turns are formatted by a template that marks them with control strings. In
 roles and texts every control string, of this template or of others in common
@@ -32,9 +34,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 #: Control strings that may not occur in a formatted text except as marks.
 CONTROL = (
@@ -108,12 +110,16 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(description(record))
 
 
-def _chosen(records: DataFrame, layouts: Sequence[Layout]) -> DataFrame:
-    """records with the name of their layout, null where no mapping has the fingerprint; the mappings are a short fixed list."""
+def _mappings(spark: SparkSession, layouts: Sequence[Layout]) -> DataFrame:
+    """(layout, fingerprint): the mappings are a short fixed list."""
     known = [(layout.name, described(paths)) for layout in layouts for paths in layout.path_sets()]
-    table = records.sparkSession.createDataFrame(known, "layout string, paths string")
-    table = table.select("layout", F.xxhash64("paths").alias("fingerprint"))
-    return records.select("record", fingerprint(F.col("record")).alias("fingerprint")).join(F.broadcast(table), "fingerprint", "left")
+    return spark.createDataFrame(known, "layout string, paths string").select("layout", F.xxhash64("paths").alias("fingerprint"))
+
+
+def _chosen(records: DataFrame, layouts: Sequence[Layout]) -> DataFrame:
+    """records with the name of their layout, null where no mapping has the fingerprint."""
+    told = records.select("record", fingerprint(F.col("record")).alias("fingerprint"))
+    return told.join(F.broadcast(_mappings(records.sparkSession, layouts)), "fingerprint", "left")
 
 
 def unmapped(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
@@ -165,18 +171,37 @@ def _paths(schema: StructType, known: set[str]) -> list[str]:
     return out
 
 
+def _outline(schema: StructType) -> Column:
+    """The row as a JSON object with its fields, whose values are empty or null: a list of objects is one object with all their fields, as the type says."""
+
+    def field(f: StructField) -> Column:
+        if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
+            return F.array(F.struct(*[F.lit("").alias(g.name) for g in f.dataType.elementType.fields])).alias(f.name)
+        return F.when(F.col(f.name).isNotNull(), F.lit("")).alias(f.name)
+
+    return F.to_json(F.struct(*[field(f) for f in schema.fields]), {"ignoreNullFields": "false"})
+
+
 def canonical_table(table: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """The same of a typed table: the mapping with the most fields among its columns counts, further columns are not read, roles stay as they are; ValueError if none fits."""
+    """The same of a typed table: each row's fingerprint selects its mapping, roles stay as they are.
+
+    The columns of the mapping with the most fields among them make the record;
+    further columns are not read. ValueError if none fits.
+    """
     known = {f.split("[")[0] for layout in layouts for f in (*layout.fields, *layout.optional)}
     here = set(_paths(table.schema, known))
-    fits = [(len(paths), -i) for i, layout in enumerate(layouts) for paths in layout.path_sets() if here.issuperset(paths)]
+    fits = [(len(paths), -i, paths) for i, layout in enumerate(layouts) for paths in layout.path_sets() if here.issuperset(paths)]
     if not fits:
         raise ValueError(f"no mapping has the layout {described(sorted(here))}")
-    layout = layouts[-max(fits)[1]]
-    conv = [F.col(c) for c in ("conv_id", "id") if c in (*layout.fields, *layout.optional) and c in table.columns]
-    turn = F.col("turn") if "turn" in layout.fields else F.lit(None)
-    held = replace(layout, turns=tuple(t for t in layout.turns if t[1] not in layout.optional or t[1] in here))
-    return _unfolded(table.select((F.coalesce(*conv) if conv else F.lit(None)).cast("string").alias("conv_id"), turn.cast("string").alias("turn"), _turns(held).alias("x")))
+    read = max(fits)[2]
+    inner = {f.split("[")[0]: [g.split("].")[1] for g in read if g.startswith(f"{f}[].")] for f in read if "[" not in f}
+    of_list = lambda c, own: F.transform(F.col(c), lambda x: F.struct(*[x[g].alias(g) for g in own]))
+    rows = table.select(*[of_list(c, own).alias(c) if own else F.col(c) for c, own in inner.items()])
+    told = rows.withColumn("fingerprint", fingerprint(_outline(rows.schema))).join(F.broadcast(_mappings(table.sparkSession, layouts)), "fingerprint", "left")
+    able = [layout for layout in layouts if set(read) in map(set, layout.path_sets())]
+    turns = [F.when(F.col("layout") == x.name, _turns(replace(x, turns=tuple(t for t in x.turns if t[1] not in x.optional or t[1] in read)))) for x in able]
+    conv = [F.col(c) for c in ("conv_id", "id") if c in read]
+    return _unfolded(told.select((F.coalesce(*conv) if conv else F.lit(None)).cast("string").alias("conv_id"), (F.col("turn") if "turn" in read else F.lit(None)).cast("string").alias("turn"), F.coalesce(*turns).alias("x")))
 
 
 def _quoted(text: str) -> str:

@@ -71,6 +71,16 @@ def test_tables_edges(spark):
         chat.canonical_table(df.drop("role"))
 
 
+def test_fingerprints_select_the_mapping_of_tables(spark, monkeypatch):
+    """A row of a typed table gets its mapping by its fingerprint, also with nulls and lists; other fingerprints select none."""
+    turns = spark.createDataFrame([(1, 0, "user", "x"), (2, None, None, None)], "conv_id long, turn long, role string, text string")
+    lists = spark.createDataFrame([(1, [("user", "x", 0.5)]), (2, []), (3, None)], "id long, messages array<struct<role: string, content: string, score: double>>")
+    assert sorted(r["conv_id"] for r in chat.canonical_table(turns).collect()) == [1, 2]
+    assert [(r["conv_id"], r["role"], r["text"]) for r in chat.canonical_table(lists).collect()] == [(1, "user", "x")]
+    monkeypatch.setattr(chat, "fingerprint", lambda record: F.xxhash64(F.concat(record, F.lit("?"))))
+    assert chat.canonical_table(turns).count() == 0
+
+
 def test_chat_query(spark, duck, sf_dir):
     from parley.llm.queries import ORACLE_SQL, QUERIES
 
