@@ -40,6 +40,12 @@ from parley.sources.tables import spread
 K1, B = 1.2, 0.75
 #: Buckets at least and at most, and bytes of text to a bucket between.
 LEAST_BUCKETS, MOST_BUCKETS, BUCKET_BYTES = 16, 4096, 64_000_000
+#: Words of documents that a task turns into postings at once; a longer document is a piece of its own.
+PIECE_WORDS = 1 << 18
+#: Changed ids up to which they are broadcast to the rows they replace, some tens of bytes each; beyond they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Files of a bucket from which an update deals its rows anew instead of leaving them where they are read.
+MOST_FILES = 16
 
 _POSTINGS = "term string, tf long, positions array<int>, length long"
 
@@ -51,24 +57,31 @@ def postings(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("w")
-            offsets = np.asarray(lists.offsets, dtype=np.int64)
-            size = np.diff(offsets)
-            words = lists.flatten().dictionary_encode()
-            if not len(words):
-                continue
-            code = words.indices.to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(len(size)), size)
-            pos = (np.arange(len(code)) - np.repeat(offsets[:-1] - offsets[0], size)).astype(np.int32)
-            order = np.lexsort((pos, code, doc))
-            code, doc, pos = code[order], doc[order], pos[order]
-            at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
-            ends = np.append(at, len(code))
-            own = pa.array(doc[at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(own), batch.column("field").take(own), words.dictionary.take(pa.array(code[at])), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos)), pa.array(size[doc[at]])],
-                ["id", "field", "term", "tf", "positions", "length"],
-            )
+            offsets = np.asarray(batch.column("w").offsets, dtype=np.int64)
+            group = (offsets[1:] - offsets[0] - 1) // PIECE_WORDS
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from piece(batch.slice(a, b - a))
+
+    def piece(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = batch.column("w")
+        offsets = np.asarray(lists.offsets, dtype=np.int64)
+        size = np.diff(offsets)
+        words = lists.flatten().dictionary_encode()
+        if not len(words):
+            return
+        code = words.indices.to_numpy().astype(np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        pos = (np.arange(len(code)) - np.repeat(offsets[:-1] - offsets[0], size)).astype(np.int32)
+        order = np.lexsort((pos, code, doc))
+        code, doc, pos = code[order], doc[order], pos[order]
+        at = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])))
+        ends = np.append(at, len(code))
+        own = pa.array(doc[at])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id").take(own), batch.column("field").take(own), words.dictionary.take(pa.array(code[at])), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos)), pa.array(size[doc[at]])],
+            ["id", "field", "term", "tf", "positions", "length"],
+        )
 
     return reduce(DataFrame.unionByName, parts).mapInArrow(run, f"id {kind}, field string, {_POSTINGS}")
 
@@ -146,21 +159,30 @@ class KeptIndex:
 
     # Writing
 
-    def _written(self, rows: DataFrame, version: str, table: str, buckets: int) -> dict[int, str]:
-        """Writes rows by bucket, large buckets in several files; gives the folder of each bucket that has rows."""
+    def _written(self, rows: DataFrame, version: str, table: str, buckets: int, stay: DataFrame | None = None) -> dict[int, str]:
+        """Writes rows by bucket, large buckets in several files; gives the folder of each bucket that has rows.
+
+        Rows of `stay` come from files of single buckets and are written by the
+        tasks that read them, without a shuffle, unless these files are many.
+        """
         key = "term" if table == "postings" else "id"
         folder = f"data/{version}/{table}"
-        dealt = rows.withColumn("bucket", bucket_of(key, buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
-        dealt.write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        sorted_ = lambda df: df.sortWithinPartitions("bucket", key)
+        own = lambda df: df.withColumn("bucket", bucket_of(key, buckets))
+        if stay is not None and len(stay.inputFiles()) > MOST_FILES * buckets:
+            rows, stay = stay.unionByName(rows), None
+        if stay is not None:
+            sorted_(own(stay)).write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
+        dealt = sorted_(own(rows).hint("rebalance", "bucket"))
+        dealt.write.mode("overwrite" if stay is None else "append").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         fs, path = self._fs()
         names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/{folder}"))]
         return {int(n[7:]): folder for n in names if n.startswith("bucket=")}
 
-    def _forward(self, docs: DataFrame, fields: Sequence[str], new: DataFrame) -> DataFrame:
-        """(id, field, length, terms) of documents, those without words as well."""
-        found = new.groupBy("id", "field").agg(F.first("length").alias("length"), F.collect_list("term").alias("terms"))
-        every = docs.select("id", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")).join(found, ["id", "field"], "left")
-        return every.select("id", "field", F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    def _forward(self, docs: DataFrame, fields: Sequence[str]) -> DataFrame:
+        """(id, field, length, terms) of documents, those without words as well; a document's words stay in its task."""
+        parts = [docs.select("id", F.lit(f).alias("field"), word_tokens(F.coalesce(F.col(f), F.lit(""))).alias("w")) for f in fields]
+        return reduce(DataFrame.unionByName, parts).select("id", "field", F.size("w").cast("long").alias("length"), F.array_distinct("w").alias("terms"))
 
     def _sums(self, forward: DataFrame, fields: Sequence[str]) -> dict[str, list[int]]:
         """{field: [documents, words]}."""
@@ -171,9 +193,8 @@ class KeptIndex:
         total = docs.agg(sum((F.coalesce(F.sum(F.octet_length(F.col(f))), F.lit(0)) for f in fields), F.lit(0))).first()[0]
         buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET_BYTES))
         version = _named((self.versions() or [0])[-1] + 1)
-        tables = {"postings": self._written(postings(spread(docs), fields), version, "postings", buckets)}
-        new = self._read({"postings": tables["postings"]}, "postings", None, docs.schema["id"].dataType.simpleString())
-        tables["documents"] = self._written(self._forward(docs, fields, new), version, "documents", buckets)
+        dealt = spread(docs)
+        tables = {"postings": self._written(postings(dealt, fields), version, "postings", buckets), "documents": self._written(self._forward(dealt, fields), version, "documents", buckets)}
         kind = docs.schema["id"].dataType.simpleString()
         sums = self._sums(self._read(tables, "documents", None, kind), fields)
         self._commit(version, tables, {"buckets": buckets, "fields": list(fields), "kind": kind, "sums": sums, "source": source, "batch": -1})
@@ -190,17 +211,18 @@ class KeptIndex:
             return {"postings": 0, "documents": 0}
         tables, buckets, fields, version = now["tables"], now["buckets"], now["fields"], _named(now["version"] + 1)
         ids = checkpointed(changed.select("id").unionByName(removed.select("id")).distinct())
+        named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         new = checkpointed(postings(changed, fields))
         touched = lambda df, key: {r["b"] for r in df.select(bucket_of(key, buckets).alias("b")).distinct().collect()}
         id_buckets = touched(ids, "id")
         held = self._read(tables, "documents", id_buckets, now["kind"])
-        old = checkpointed(held.join(ids, "id", "left_semi"))
+        old = checkpointed(held.join(named, "id", "left_semi"))
         term_buckets = touched(old.select(F.explode("terms").alias("term")), "term") | touched(new, "term")
-        forward = checkpointed(self._forward(changed, fields, new))
-        rest = self._read(tables, "postings", term_buckets, now["kind"]).join(ids, "id", "left_anti")
+        forward = checkpointed(self._forward(changed, fields))
+        rest = self._read(tables, "postings", term_buckets, now["kind"]).join(named, "id", "left_anti")
         written = {
-            "postings": self._written(rest.unionByName(new), version, "postings", buckets) if term_buckets else {},
-            "documents": self._written(held.join(ids, "id", "left_anti").unionByName(forward), version, "documents", buckets) if id_buckets else {},
+            "postings": self._written(new, version, "postings", buckets, rest) if term_buckets else {},
+            "documents": self._written(forward, version, "documents", buckets, held.join(named, "id", "left_anti")) if id_buckets else {},
         }
         for table, own in (("postings", term_buckets), ("documents", id_buckets)):
             tables[table] = {b: f for b, f in tables[table].items() if b not in own} | written[table]

@@ -171,3 +171,14 @@ def test_snippets_take_the_heaviest_window(spark, tmp_path):
     index = KeptIndex(spark, str(tmp_path)).build(df)
     got = {r["id"]: (r["fragment"], r["hits"]) for r in index.snippets(["red", "green"], "content", df, width=4, lead=1).collect()}
     assert got == {1: ("h red green i j", [1, 2]), 2: ("Green x red red", [0, 2, 3]), 3: ("green y y y y", [0])}
+
+
+def test_postings_are_made_in_pieces(spark, monkeypatch):
+    """Pieces of a few words give the rows of a whole batch: documents longer than a piece, empty ones and nulls as well."""
+    from parley.operators import kept_index
+
+    docs = spark.createDataFrame([(i, "" if i % 4 == 0 else None if i % 7 == 0 else " ".join(f"w{j % 3} x{i}" for j in range(i))) for i in range(20)], "id long, content string").coalesce(1)
+    told = lambda: sorted(map(tuple, kept_index.postings(docs, ["content"]).collect()), key=repr)
+    whole = told()
+    monkeypatch.setattr(kept_index, "PIECE_WORDS", 5)
+    assert told() == whole and len(whole) > 20
