@@ -47,7 +47,7 @@ DEPTH, MOST_CELLS, BYTES_A_CELL, BLOCK = 2, 1 << 28, 32, 1 << 20
 #: Bytes of text to a slice of the first level of adding; slices at most.
 SLICE_BYTES, MOST_SLICES = 1 << 33, 256
 #: Keys that a task holds before it gives out a sketch, and rows of counts before it gives them out.
-HELD_KEYS, HELD_ROWS = 4_000_000, 400_000
+HELD_KEYS, HELD_ROWS = 1_000_000, 100_000
 #: Sources up to which they are broadcast to the classes of equal counts, a row of some hundred bytes each; beyond they are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 MOST_COUNT = (1 << 12) - 1

@@ -203,3 +203,10 @@ def test_near_duplicates_with_one_id_twice(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(df).collect()}
     assert got == {(1, 1), (5, 1), (9, 1), (7, 7)}
+
+
+def test_divergence_holds_few_keys():
+    """What a task of op13 holds of hashes and counts before it gives them out: some 8 MB of keys, and 100,000 rows."""
+    from parley.llm import divergence
+
+    assert divergence.HELD_KEYS * 8 <= 8_000_000 and divergence.HELD_ROWS <= 100_000
