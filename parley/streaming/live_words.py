@@ -241,19 +241,37 @@ def spoken(envelopes: DataFrame) -> DataFrame:
 
 def overlap_trimmed(history: list[str], words: list[str], least: int = 1) -> list[str]:
     """New words without the longest suffix of the history that they repeat as a prefix."""
-    for n in range(min(len(history), len(words)), least - 1, -1):
-        if [h.lower() for h in history[-n:]] == [w.lower() for w in words[:n]]:
+    most = min(len(history), len(words))
+    before, own = [h.lower() for h in history[len(history) - most :]], [w.lower() for w in words[:most]]
+    for n in range(most, max(least, 1) - 1, -1):
+        if before[-n] == own[0] and before[-1] == own[n - 1] and before[-n:] == own[:n]:
             return words[n:]
     return words
 
 
 def collapsed(words: list[str], least: int = 6) -> list[str]:
-    """Words without immediate repeats of runs of `least` words or more."""
+    """Words without immediate repeats of runs of `least` words or more.
+
+    A run can only be a repeat where its last word stood before, so a word meets
+    its own earlier places, the nearest first, and no other length of run.
+    """
     out: list[str] = []
+    low: list[str] = []
+    places: dict[str, list[int]] = {}
     for w in words:
+        i, key = len(out), w.lower()
         out.append(w)
-        for n in range(least, len(out) // 2 + 1):
-            if [x.lower() for x in out[-n:]] == [x.lower() for x in out[-2 * n : -n]]:
-                del out[-n:]
+        low.append(key)
+        for j in reversed(places.get(key, ())):
+            n = i - j
+            if 2 * n > i + 1:
+                places[key].append(i)
+                break
+            if n >= least and (n < 2 or low[j - 1] == low[i - 1]) and low[j - n + 1 : j + 1] == low[j + 1 :]:
+                for gone in reversed(low[j + 1 : i]):
+                    places[gone].pop()
+                del out[j + 1 :], low[j + 1 :]
                 break
+        else:
+            places.setdefault(key, []).append(i)
     return out
