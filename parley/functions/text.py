@@ -191,14 +191,16 @@ LANGUAGE_CODES = {"deu": "de", "ger": "de", "german": "de", "eng": "en", "englis
 
 def frequent_word_language(text: Column | str) -> Column:
     """The language whose frequent words a text has most of, the first by code among equals; null without any."""
-    words = plain_words(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    own = F.split(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    frequent = sorted({w for words in FREQUENT.values() for w in words})
 
-    def count(own: Sequence[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*own)))
+    def best(words: Column) -> Column:
+        counts = [F.struct(F.size(F.filter(words, lambda w: w.isin(*FREQUENT[code]))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, code in enumerate(sorted(FREQUENT))]
+        return F.array_max(F.array(*counts))
 
-    counts = [F.struct(count(own).alias("n"), F.lit(code).alias("code")) for code, own in sorted(FREQUENT.items())]
-    best = F.array_max(F.transform(F.array(*counts), lambda c: c["n"]))
-    return F.when(best > 0, F.filter(F.array(*counts), lambda c: c["n"] == best)[0]["code"])
+    # A list of one names its value, which is thereby made once for a row.
+    first = F.transform(F.transform(F.array(F.filter(own, lambda w: w.isin(*frequent))), best), lambda c: F.when(c["n"] > 0, c["code"]))
+    return F.get(first, F.lit(0))
 
 
 def language_code(name: Column | str) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
+from parley.functions import text
 from parley.streaming import live_words as live
 
 
@@ -55,3 +58,10 @@ def test_long_turns_are_read_once():
     _Counted.reads = 0
     assert live.collapsed(words) == words and live.overlap_trimmed(words, words[1:]) == []
     assert _Counted.reads <= 3 * len(words)
+
+
+def test_languages_split_a_text_once(spark):
+    """The text is cut into words in one place of the plan; the first language by code wins among equals."""
+    df = spark.createDataFrame([("the dog AND the cat",), ("der Hund und",), ("la",), ("",), (None,), ("un un el",), ("xyz theo",)], "t string").select(text.frequent_word_language("t").alias("g"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r["g"] for r in df.collect()] == ["en", "de", "es", None, None, "es", None]
