@@ -32,6 +32,8 @@ from parley.operators.transcript import GAP, MOST_MS, MOST_WORDS
 
 #: Words, bytes of text and milliseconds that the window holds at most.
 WINDOW_WORDS, WINDOW_BYTES, WINDOW_MS = 4_096, 64 * 1_024, 30 * 60_000
+#: Fixed value: deltas that the batch form holds as Python objects at once, with what they change.
+PIECE = 32
 
 WORD = "struct<id:string,text:string,start_ms:bigint,end_ms:bigint,channel:int,speaker_index:int,human:string>"
 PARTIAL = "struct<text:string,start_ms:bigint,end_ms:bigint,channel:int>"
@@ -200,12 +202,12 @@ def stream_changes(deltas: DataFrame) -> DataFrame:
 
 
 def batch_changes(deltas: DataFrame) -> DataFrame:
-    """The same of a bounded log: each transcript's deltas in order, one transcript's window at a time."""
+    """The same of a bounded log: each transcript's deltas in order, one transcript's window and PIECE deltas at a time."""
     dealt = deltas.where("transcript is not null").repartition("transcript").sortWithinPartitions("transcript", "seq").select("transcript", "seq", "new_words", "replaced_ids", "partials")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, window = None, Window()
-        for batch in batches:
+        for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
             out = []
             for transcript, seq, new, replaced, partials in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if transcript != last:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import functions as F
+import pyarrow as pa
 
 from parley.functions import text
+from parley.streaming import live_segments as segments
 from parley.streaming import live_words as live
 
 
@@ -65,3 +66,29 @@ def test_languages_split_a_text_once(spark):
     df = spark.createDataFrame([("the dog AND the cat",), ("der Hund und",), ("la",), ("",), (None,), ("un un el",), ("xyz theo",)], "t string").select(text.frequent_word_language("t").alias("g"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert [r["g"] for r in df.collect()] == ["en", "de", "es", None, None, "es", None]
+
+
+class _Log:
+    """Stands for a log of deltas and gives the function that is run on its batches."""
+
+    def where(self, *_):
+        return self
+
+    repartition = sortWithinPartitions = select = where
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_live_deltas_are_held_in_pieces():
+    """A batch of 500 deltas gives its changes piece by piece, with one window over all of them."""
+    word = lambda i: {"id": str(i), "text": f" w{i}", "start_ms": i * 300, "end_ms": i * 300 + 250, "channel": 0, "speaker_index": 0, "human": None}
+    n = 500
+    batch = pa.RecordBatch.from_pylist([{"transcript": 7, "seq": i, "new_words": [word(i)], "replaced_ids": [], "partials": []} for i in range(n)])
+    pieces = list(segments.batch_changes(_Log())(iter([batch])))
+    assert max(len(set(p.column("seq").to_pylist())) for p in pieces) < n / 10
+    window, expected = segments.Window(), []
+    for i in range(n):
+        expected += window.apply(i, segments._words([word(i)]), [], [])
+    got = [r for p in pieces for r in p.to_pylist()]
+    assert [(r["seq"], r["change"], r["id"], r.get("text")) for r in got] == [(r["seq"], r["change"], r["id"], r.get("text")) for r in expected]
