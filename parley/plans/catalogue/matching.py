@@ -140,6 +140,11 @@ def _ordinary(docs):
     return checkpointed(O.ordinary_words(docs))
 
 
+def _candidates(docs, ordinary):
+    """Candidates, few beside the documents' words, which are thereby read once for all that they meet."""
+    return checkpointed(O.candidates(docs, ordinary))
+
+
 def _decided(spark):
     """Pairs that the dictionary knows, and pairs that were dismissed."""
     return spark.createDataFrame([("License", "Licence")], "canonical string, alias string"), spark.createDataFrame([("Public", "Publik")], "canonical string, alias string")
@@ -149,7 +154,7 @@ def _decided(spark):
 def name_proposals(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     ordinary = _ordinary(docs)
-    return O.undecided(O.proposals(O.candidates(docs, ordinary), _names(spark, sf, ordinary), ordinary=ordinary), *_decided(spark)).orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
+    return O.undecided(O.proposals(_candidates(docs, ordinary), _names(spark, sf, ordinary), ordinary=ordinary), *_decided(spark)).orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
 
 
 #: The phonetic code of Cologne of words of ASCII letters, by rules on each letter and its neighbours.
@@ -203,7 +208,7 @@ def context_proposals(spark, sf):
     """Candidates beside the names of their context; documents have no measured confidence, and the names belong to all of them."""
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     ordinary = _ordinary(docs)
-    found = O.candidates(docs, ordinary).withColumn("confidence", F.lit(None).cast("double"))
+    found = _candidates(docs, ordinary).withColumn("confidence", F.lit(None).cast("double"))
     return O.context_proposals(found, _everywhere(spark, sf, ordinary), ordinary=ordinary)
 
 
@@ -215,6 +220,6 @@ def _everywhere(spark, sf, ordinary):
 def vocabulary_scan(spark, sf):
     docs = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     ordinary = _ordinary(docs)
-    found = O.candidates(docs, ordinary).withColumn("confidence", F.lit(None).cast("double"))
+    found = _candidates(docs, ordinary).withColumn("confidence", F.lit(None).cast("double"))
     out = O.scan(found, _names(spark, sf, ordinary), _everywhere(spark, sf, ordinary), *_decided(spark), ordinary=ordinary)
     return out.orderBy(F.col("occurrences").desc(), F.col("sessions").desc(), "canonical", "alias")
