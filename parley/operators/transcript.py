@@ -20,11 +20,15 @@ def identities(words: DataFrame, hints: DataFrame) -> DataFrame:
     channel; of several hints for one thing the greatest human is taken.
     """
     by_word = hints.where("scope = 'word'").groupBy("transcript", F.col("word_id").alias("id")).agg(F.max("human").alias("_w"))
-    by_speaker = hints.where("scope = 'speaker'").groupBy("transcript", "channel", "speaker_index").agg(F.max("human").alias("_s"))
+    by_speaker = hints.where("scope = 'speaker' and speaker_index is not null").groupBy("transcript", "channel", "speaker_index").agg(F.max("human").alias("human"))
     single = words.groupBy("transcript", "channel").agg(F.countDistinct("speaker_index").alias("_k")).where("_k <= 1").drop("_k")
-    by_channel = hints.where("scope = 'channel'").groupBy("transcript", "channel").agg(F.max("human").alias("_c")).join(single, ["transcript", "channel"], "left_semi")
-    j = words.join(by_word, ["transcript", "id"], "left").join(by_speaker, ["transcript", "channel", "speaker_index"], "left").join(by_channel, ["transcript", "channel"], "left")
-    return j.withColumn("human", F.coalesce("_w", "_s", "_c")).select(*words.columns, "human")
+    by_channel = hints.where("scope = 'channel'").groupBy("transcript", "channel").agg(F.max("human").alias("human")).join(single, ["transcript", "channel"], "left_semi")
+    # A recording has few speakers: their hints come to its words by one join, and the words stay together by recording.
+    both = by_speaker.unionByName(by_channel.withColumn("speaker_index", F.lit(None).cast(by_speaker.schema["speaker_index"].dataType)))
+    own = both.groupBy("transcript").agg(F.collect_list(F.struct("channel", "speaker_index", "human")).alias("_own"))
+    told = lambda which: F.get(F.filter("_own", lambda h: (h["channel"] == F.col("channel")) & which(h["speaker_index"])), F.lit(0))["human"]
+    j = words.join(by_word, ["transcript", "id"], "left").join(own, "transcript", "left")
+    return j.withColumn("human", F.coalesce("_w", told(lambda s: s == F.col("speaker_index")), told(lambda s: s.isNull()))).select(*words.columns, "human")
 
 
 def _capped(rows: pd.DataFrame) -> pd.Series:
@@ -41,6 +45,14 @@ def _capped(rows: pd.DataFrame) -> pd.Series:
     return pd.Series(out, index=rows.index)
 
 
+def _by_caps(rows: DataFrame, keys: list[str], words: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of islands within the caps, as block 0, and those of the others; islands are measured where their rows are."""
+    island = Window.partitionBy(*keys)
+    over = (F.sum(words).over(island) > MOST_WORDS) | (F.max("end_ms").over(island) - F.min("start_ms").over(island) > MOST_MS)
+    rows = rows.withColumn("_over", F.coalesce(over, F.lit(False)))
+    return rows.where("not _over").drop("_over").withColumn("_block", F.lit(0).cast("long")), rows.where("_over").drop("_over")
+
+
 def segments(words: DataFrame) -> DataFrame:
     """(transcript, channel, speaker_index, human, start_ms, end_ms, last, n, text): blocks of words (transcript, channel, speaker_index, human, start_ms, end_ms, text).
 
@@ -55,21 +67,20 @@ def segments(words: DataFrame) -> DataFrame:
     fresh = F.when(lag_end.isNull() | (F.col("start_ms") - lag_end > GAP) | ~F.lag(key).over(w).eqNullSafe(key), 1).otherwise(0)
     rows = words.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     keys = ["transcript", "channel", "_island"]
-    over = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.max("end_ms") - F.min("start_ms")).alias("_span")).where((F.col("_n") > MOST_WORDS) | (F.col("_span") > MOST_MS)).select(*keys)
-    short = rows.join(over, keys, "left_anti").withColumn("_block", F.lit(0).cast("long"))
+    short, over = _by_caps(rows, keys, F.lit(1))
     schema = short.schema
 
     def cut(island: pd.DataFrame) -> pd.DataFrame:
         island = island.sort_values(["start_ms", "end_ms", "text"])
         return island.assign(_block=_capped(island))[schema.names]
 
-    long_ = rows.join(over, keys, "left_semi").groupBy(*keys).applyInPandas(cut, schema)
+    long_ = over.groupBy(*keys).applyInPandas(cut, schema)
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text"))), lambda x: x["text"])
-    out = short.unionByName(long_).groupBy(*keys, "_block").agg(
+    block = lambda part: part.groupBy(*keys, "_block").agg(
         F.first("speaker_index").alias("speaker_index"), F.first("human").alias("human"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.max(F.struct("start_ms", "end_ms")).alias("last"), F.count("*").alias("n"), F.trim(F.array_join(pieces, "")).alias("text"),
     )
-    return out.drop("_island", "_block")
+    return block(short).unionByName(block(long_)).drop("_island", "_block")
 
 
 def _joined(blocks: DataFrame, by: list[str], gap: int) -> DataFrame:
@@ -88,8 +99,7 @@ def _joined(blocks: DataFrame, by: list[str], gap: int) -> DataFrame:
     near = (before("last")["start_ms"] <= F.col("start_ms")) & (F.col("start_ms") - before("last")["end_ms"] <= gap)
     rows = blocks.withColumn("_new", F.when(F.coalesce(alike & near, F.lit(False)), 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     keys = [*by, "_island"]
-    over = rows.groupBy(*keys).agg(F.sum("n").alias("_n"), (F.max("end_ms") - F.min("start_ms")).alias("_span")).where((F.col("_n") > MOST_WORDS) | (F.col("_span") > MOST_MS)).select(*keys)
-    short = rows.join(over, keys, "left_anti").withColumn("_block", F.lit(0).cast("long"))
+    short, over = _by_caps(rows, keys, F.col("n"))
     names = short.columns
 
     def cut(island: pd.DataFrame) -> pd.DataFrame:
@@ -103,13 +113,13 @@ def _joined(blocks: DataFrame, by: list[str], gap: int) -> DataFrame:
             out.append(block)
         return island.assign(_block=out)[names]
 
-    long_ = rows.join(over, keys, "left_semi").groupBy(*keys).applyInPandas(cut, short.schema)
+    long_ = over.groupBy(*keys).applyInPandas(cut, short.schema)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x["text"]), " ")
     first = lambda c: F.min_by(c, F.struct(*order)).alias(c)
-    out = short.unionByName(long_).groupBy(*keys, "_block").agg(
+    block = lambda part: part.groupBy(*keys, "_block").agg(
         *([] if "channel" in by else [first("channel")]), first("speaker_index"), first("human"), text.alias("text"), F.min("start_ms").alias("_s"), F.max("end_ms").alias("end_ms"), F.max_by("last", F.struct(*order)).alias("last"), F.sum("n").alias("n"),
     )
-    return out.withColumnRenamed("_s", "start_ms").select(*blocks.columns)
+    return block(short).unionByName(block(long_)).withColumnRenamed("_s", "start_ms").select(*blocks.columns)
 
 
 def merged(blocks: DataFrame, gap: int = DISPLAY_GAP) -> DataFrame:
@@ -145,13 +155,12 @@ def neutral_words(words: DataFrame, hints: DataFrame, participants: DataFrame, o
 
 def labelled(blocks: DataFrame, names: DataFrame, own: str) -> DataFrame:
     """Adds label: the human's name, 'You' for one's own, else 'Speaker n' by first appearance in the transcript."""
-    unknown = blocks.where("human is null").groupBy("transcript", "channel", "speaker_index").agg(F.min("start_ms").alias("first"))
-    order = Window.partitionBy("transcript").orderBy("first", "channel", F.col("speaker_index").asc_nulls_first())
-    numbered = unknown.select("transcript", "channel", "speaker_index", F.row_number().over(order).alias("_n"))
-    b, u = blocks.alias("b"), numbered.alias("u")
-    same = (F.col("b.transcript") == F.col("u.transcript")) & (F.col("b.channel") == F.col("u.channel")) & F.col("b.speaker_index").eqNullSafe(F.col("u.speaker_index")) & F.col("b.human").isNull()
-    j = b.join(u, same, "left").select("b.*", "u._n").join(names.select("human", "name"), "human", "left")
-    return j.withColumn("label", F.coalesce("name", F.when(F.col("human") == own, "You"), F.concat(F.lit("Speaker "), F.col("_n").cast("string")), F.col("human"))).drop("name", "_n")
+    unknown = F.col("human").isNull()
+    first = F.min(F.when(unknown, F.col("start_ms"))).over(Window.partitionBy("transcript", "channel", "speaker_index"))
+    order = Window.partitionBy("transcript").orderBy(~unknown, "_first", "channel", F.col("speaker_index").asc_nulls_first())
+    numbered = blocks.withColumn("_first", first).withColumn("_n", F.when(unknown, F.dense_rank().over(order)))
+    j = numbered.join(names.select("human", "name"), "human", "left")
+    return j.withColumn("label", F.coalesce("name", F.when(F.col("human") == own, "You"), F.concat(F.lit("Speaker "), F.col("_n").cast("string")), F.col("human"))).select(*blocks.columns, "label")
 
 
 def segment_id(channel: Column, speaker: Column, human: Column, first: Column, last: Column) -> Column:
@@ -161,10 +170,10 @@ def segment_id(channel: Column, speaker: Column, human: Column, first: Column, l
 
 
 def markdown(blocks: DataFrame) -> DataFrame:
-    """(transcript, body): headings with time and label, and the text, in order."""
+    """(transcript, body, blocks): headings with time and label, and the text, in order; the number of blocks."""
     head = F.concat(F.lit("**["), timecode(F.col("start_ms")), F.lit("] "), F.col("label"), F.lit("**\n"), F.col("text"))
     rows = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "channel", head.alias("t"))))
-    return blocks.groupBy("transcript").agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n\n").alias("body"))
+    return blocks.groupBy("transcript").agg(F.array_join(F.transform(rows, lambda x: x["t"]), "\n\n").alias("body"), F.count("*").alias("blocks"))
 
 
 def live_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -87,8 +87,7 @@ def segments_render(spark, sf):
     hints = hint(own.where("transcript % 2 = 0"), "channel", 1, None, "h1").union(hint(own.where("transcript % 5 = 0"), "speaker", 0, 0, "me"))
     blocks = P.merged(P.segments(P.identities(w, hints)))
     names = spark.createDataFrame([("h1", "Ada")], "human string, name string")
-    told = P.labelled(blocks, names, "me")
-    return P.markdown(told).select("transcript", F.sha2("body", 256).alias("digest")).join(told.groupBy("transcript").agg(F.count("*").alias("blocks")), "transcript")
+    return P.markdown(P.labelled(blocks, F.broadcast(names), "me")).select("transcript", F.sha2("body", 256).alias("digest"), "blocks")
 
 
 @query(

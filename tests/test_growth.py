@@ -6,9 +6,10 @@ import random
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import vocabulary
+from parley.operators import transcript, vocabulary
 from parley.streaming import live_segments as segments
 from parley.streaming import live_words as live
 
@@ -144,3 +145,15 @@ def test_words_meet_their_neighbours_in_rows(spark):
     assert "Window" not in _plan(ordinary) + _plan(found)
     assert sorted(x[0] for x in ordinary.collect()) == ["dog", "the"]
     assert [tuple(x) for x in found.collect()] == [(1, 6, "Kowalski")]
+
+
+def test_islands_are_measured_where_they_are(spark):
+    """Words are not joined with the islands beyond the caps; hints of channels and speakers come by one join; a channel that is null is cut as well."""
+    words = [(1, c, 0, i * 300, i * 300 + 250, f" w{i}") for c in (None, 0) for i in range(600)] + [(1, 1, s, i * 300, i * 300 + 250, f" v{i}") for i, s in enumerate((0, 0, 1, None))]
+    w = spark.createDataFrame(words, "transcript long, channel int, speaker_index int, start_ms long, end_ms long, text string").withColumn("id", F.col("text"))
+    hints = [(1, "channel", None, 0, None, "ada"), (1, "channel", None, 1, None, "bob"), (1, "speaker", None, 1, 1, "cyd"), (1, "speaker", None, 1, None, "dan"), (1, "word", " v0", None, None, "eve")]
+    told = transcript.identities(w, spark.createDataFrame(hints, "transcript long, scope string, word_id string, channel int, speaker_index int, human string"))
+    out = transcript.segments(told)
+    assert "LeftAnti" not in _plan(out)
+    got = {(x["channel"], x["speaker_index"], x["human"], x["start_ms"], x["n"]) for x in out.collect()}
+    assert got == {(None, 0, None, 0, 512), (None, 0, None, 512 * 300, 88), (0, 0, "ada", 0, 512), (0, 0, "ada", 512 * 300, 88), (1, 0, "eve", 0, 1), (1, 0, None, 300, 1), (1, 1, "cyd", 600, 1), (1, None, None, 900, 1)}
