@@ -91,8 +91,9 @@ def overlapping_hits(rows: DataFrame, key: str, order: str, text: str, needle: s
 
 
 _CODE = re.compile(r"```.*?```", re.DOTALL), re.compile(r"`[^`]+`")
-_MARKS = str.maketrans("#*_~`[]()", " " * 9)
-_SPACES = re.compile(r"[ \t\n\r\f]+")
+_TOKENS = re.compile(r"[^ \t\n\r\f#*_~`\[\]()]+")
+#: Tokens that a task remembers at most.
+KNOWN_TOKENS = 200_000
 
 
 def _core(token: str) -> tuple[str, bool]:
@@ -104,34 +105,53 @@ def _core(token: str) -> tuple[str, bool]:
     return token[inside[0] : end] if inside else "", any(c in ".!?" for c in token[end:])
 
 
-def _keyword_terms(text: str, stop_words: frozenset[str]) -> list[tuple[int, int, str]]:
-    """(rank, place, term) of all tags (1), keywords (2) and phrases (3) of a text."""
+def _known(token: str, stop_words: frozenset[str]) -> tuple[str, str, bool, bool, bool]:
+    """(core, key, closes, everywhere, inside): a token's core as written and in lower case, and whether it is a keyword everywhere or only inside a sentence."""
+    core, closes = _core(token)
+    key = core.lower()
+    fit = len(core) >= 2 and any(c.isalpha() for c in core)
+    return core, key, closes, fit and key not in stop_words, fit and core[:1].isupper()
+
+
+def _keyword_terms(text: str, named: Sequence[str | None], stop_words: frozenset[str], known: dict[str, tuple]) -> dict[str, list]:
+    """Terms of two characters or more by their lower case: [first (rank, place, term), times as keyword, times as phrase] of all named terms (0), tags (1), keywords (2) and phrases (3)."""
     body = _CODE[1].sub("", _CODE[0].sub("", text))
-    out = [(1, i, t) for i, t in enumerate(re.findall(r"#(\w+)", body))]
+    found: dict[str, list] = {}
+    for t in [*((0, i, x) for i, x in enumerate(named) if x is not None), *((1, i, x) for i, x in enumerate(re.findall(r"#(\w+)", body)))]:
+        if len(t[2]) >= 2:
+            entry = found.setdefault(t[2].lower(), [t, 0, 0])
+            entry[0] = min(entry[0], t)
     run: list[str] = []
     n, starts = 0, True
 
     def ended() -> None:
         if len(run) > 1:
-            out.append((3, 0, " ".join(run)))
+            t = (3, 0, " ".join(run))
+            entry = found.setdefault(t[2].lower(), [t, 0, 0])
+            entry[0] = min(entry[0], t)
+            entry[2] += 1
         run.clear()
 
-    for token in _SPACES.split(body.translate(_MARKS)):
-        if not token:
-            continue
-        core, closes = _core(token)
+    for token in _TOKENS.findall(body):
+        if (of := known.get(token)) is None:
+            if len(known) >= KNOWN_TOKENS:
+                known.clear()
+            of = known[token] = _known(token, stop_words)
+        core, key, closes, everywhere, inside = of
         if starts:
             ended()
-        capital = core[:1].isupper() and not starts
-        if len(core) >= 2 and any(c.isalpha() for c in core) and (capital or core.lower() not in stop_words):
-            out.append((2, n, core))
+        if everywhere or (inside and not starts):
+            if (entry := found.get(key)) is None:
+                found[key] = [(2, n, core), 1, 0]
+            else:
+                entry[1] += 1
             run.append(core)
             n += 1
         else:
             ended()
         starts = closes
     ended()
-    return out
+    return found
 
 
 def keywords(docs: DataFrame, stop_words: Sequence[str], most: int = 50) -> DataFrame:
@@ -147,16 +167,11 @@ def keywords(docs: DataFrame, stop_words: Sequence[str], most: int = 50) -> Data
     kind, stop = docs.schema["id"].dataType.simpleString(), frozenset(stop_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        known: dict[str, tuple] = {}
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             own, terms, counts, places = [], [], [], []
             for row, (text, named) in enumerate(zip(batch.column("text").to_pylist(), batch.column("named").to_pylist(), strict=True)):
-                found: dict[str, list] = {}
-                for t in [*((0, i, x) for i, x in enumerate(named or []) if x is not None), *_keyword_terms(text or "", stop)]:
-                    if len(t[2]) >= 2:
-                        entry = found.setdefault(t[2].lower(), [t, 0, 0])
-                        entry[0] = min(entry[0], t)
-                        entry[1] += t[0] == 2
-                        entry[2] += t[0] == 3
+                found = _keyword_terms(text or "", named or [], stop, known)
                 ranked = sorted((t[0], -(n2 if t[0] == 2 else n3 if t[0] == 3 else 0), t[1], key, t[2]) for key, (t, n2, n3) in found.items())[:most]
                 own += [row] * len(ranked)
                 terms += [x[4] for x in ranked]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import transcript, vocabulary
+from parley.operators import search, transcript, vocabulary
 from parley.streaming import live_segments as segments
 from parley.streaming import live_words as live
 
@@ -157,3 +157,28 @@ def test_islands_are_measured_where_they_are(spark):
     assert "LeftAnti" not in _plan(out)
     got = {(x["channel"], x["speaker_index"], x["human"], x["start_ms"], x["n"]) for x in out.collect()}
     assert got == {(None, 0, None, 0, 512), (None, 0, None, 512 * 300, 88), (0, 0, "ada", 0, 512), (0, 0, "ada", 512 * 300, 88), (1, 0, "eve", 0, 1), (1, 0, None, 300, 1), (1, 1, "cyd", 600, 1), (1, None, None, 900, 1)}
+
+
+def test_keywords_look_at_a_token_once(spark, monkeypatch):
+    """A text that says the same words again is not taken apart again; what is remembered is bounded and changes no row."""
+    looks = []
+    core = search._core
+    monkeypatch.setattr(search, "_core", lambda token: looks.append(token) or core(token))
+    said = "the Fox, a fox! The the FOX? Big the x-y #tag_1 " * 200
+    run = search.keywords(_Docs(), ("the", "a"))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": [said, said], "named": [["Fox"], None]})
+    got = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    assert len(looks) <= len(set(search._TOKENS.findall(said)))
+    monkeypatch.setattr(search, "KNOWN_TOKENS", 2)
+    assert [r for b in run(iter([batch])) for r in b.to_pylist()] == got
+    assert [(r["term"], r["n"]) for r in got if r["id"] == 2][:4] == [("tag_1", 0), ("Fox", 600), ("Big", 200), ("x-y", 200)]
+
+
+class _Docs(_Log):
+    """Documents with numbers as ids."""
+
+    @property
+    def schema(self):
+        from pyspark.sql.types import LongType, StructField, StructType
+
+        return StructType([StructField("id", LongType())])
