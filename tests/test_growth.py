@@ -182,3 +182,33 @@ class _Docs(_Log):
         from pyspark.sql.types import LongType, StructField, StructType
 
         return StructType([StructField("id", LongType())])
+
+
+def test_dense_pairs_are_those_of_a_join(spark):
+    """Repeated rows, null keys, null values, keys of one side and lists of all lengths; one key's pairs lie in several tasks."""
+    from parley.operators import relational as R
+
+    r = random.Random(5)
+    left = [(r.choice([None, 1, 1, 1, 2, 3]), r.choice("xy"), r.choice([None, *range(60)])) for _ in range(400)] + [(9, "x", 1)]
+    right = [(r.choice([None, 1, 2, 4]), r.choice(["x", "y", None]), r.choice([None, *range(2000)])) for _ in range(1500)]
+    a, b = spark.createDataFrame(left, "k long, kind string, a long"), spark.createDataFrame(right, "k long, kind string, b long")
+    plain = a.join(b, ["k", "kind"]).groupBy("a", "b").count()
+    for most in (1, 7, 4032):
+        got = R.dense_join(a, b, ["k", "kind"], "a", "b", most=most)
+        assert got.columns == ["a", "b"]
+        assert got.groupBy("a", "b").count().exceptAll(plain).isEmpty() and plain.exceptAll(got.groupBy("a", "b").count()).isEmpty()
+    one = R.dense_join(a.where("k = 1 and kind = 'x'"), b, ["k", "kind"], "a", "b", most=20, pairs_a_task=1000)
+    held = [x["count"] for x in one.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 4 and max(held) < 3 * sum(held) / len(held)
+    assert R.dense_join(a, b.where("k = 5"), ["k", "kind"], "a", "b").count() == 0
+
+
+def test_pairs_of_sizes_take_little_disk(spark, tmp_path):
+    """16 million pairs of one size are written in less than two bits each."""
+    from parley.plans import catalog
+
+    spark.range(4000).selectExpr("id * 7 as event_id", "'view' as event_type", """'{"k": 5}' as props""").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(4000).selectExpr("id * 3 as p_partkey", "5 as p_size", "'Brand#12' as p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    catalog.queries()["join_on_json"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 16_000_000
+    assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 16_000_000 * 2 / 8
