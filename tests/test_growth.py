@@ -212,3 +212,24 @@ def test_pairs_of_sizes_take_little_disk(spark, tmp_path):
     catalog.queries()["join_on_json"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
     assert spark.read.parquet(f"{tmp_path}/pairs").count() == 16_000_000
     assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 16_000_000 * 2 / 8
+
+
+def test_dense_pairs_are_passed_on_in_small_pieces(spark):
+    """One pair of a million is asked for: a few thousand are made, not all that come from a pair of lists."""
+    from parley.operators import relational as R
+
+    a, b = spark.range(2000).selectExpr("1 as k", "id as a"), spark.range(500).selectExpr("1 as k", "id as b")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        first = R.dense_join(a, b, ["k"], "a", "b").limit(1)
+        assert len(first.collect()) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    made, nodes = [], [first._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert len(made) > 3 and 0 < max(made) <= 10_000
